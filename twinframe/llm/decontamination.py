@@ -125,7 +125,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     ``items`` are the sorted ids of items with an occurring window, ``spans`` the merged hit word spans [first, last). Null and empty
     texts have no words. An empty benchmark leaves everything clean. Rows with equal ids are reported each for itself.
     """
-    out = None
+    out, blocks = None, 0
     schema = "id long, row long, n_words long, items array<string>, spans array<struct<first:int,last:int>>"
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
@@ -145,12 +145,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                     ids, rows = (batch.column(i).slice(start, len(texts)) for i in (0, 1))
                     yield pa.RecordBatch.from_arrays([ids, rows, pa.array(list(map(len, words)), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span_type)], names=["id", "row", "n_words", "items", "spans"])
 
-        found = source.mapInArrow(run, schema)
+        found, blocks = source.mapInArrow(run, schema), blocks + 1
         out = found if out is None else out.unionByName(found)
-        blocks = 1 if out is found else 2
-    if blocks > 1:  # each block has a row for each document: put the blocks' items and spans together
-        out = out.groupBy("id", "row", "n_words").agg(F.count("*").alias("n"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    if blocks > 1:  # each block has a row for each document: put their items and spans together; rows that repeat stay as many
+        sets = [F.flatten(F.collect_set(c)).alias(c) for c in ("items", "spans")]
+        out = out.groupBy("id", "row", "n_words").agg((F.count("*") / blocks).cast("int").alias("n"), *sets)
         out = out.withColumn("items", F.sort_array(F.array_distinct("items"))).withColumn("spans", _merge_spans(F.sort_array("spans")))
+        out = out.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["last"] - x["first"]))
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "spans")
 

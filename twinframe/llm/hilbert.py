@@ -54,7 +54,7 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
         return F.transform(x, lambda v, j: F.when(j == 0, v.bitwiseXOR(flip).bitwiseXOR(swap)).when(j == s["i"], v.bitwiseXOR(swap)).otherwise(v))
 
     # For i = 0 the swap is x0 ^ x0 = 0, so only the flip applies.
-    undone = F.aggregate(steps, F.array(*cells), undo)
+    undone = F.aggregate(steps, F.array(*cells), undo) if bits > 1 else F.array(*cells)
     gray = F.aggregate(
         F.sequence(F.lit(1), F.lit(n - 1)) if n > 1 else F.array().cast("array<int>"),
         undone,
@@ -62,7 +62,7 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     )
     last = F.element_at(gray, -1)
     turn = F.aggregate(
-        F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)]),
+        F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)]).cast("array<long>"),
         F.lit(0).cast("long"),
         lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t),
     )

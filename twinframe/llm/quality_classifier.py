@@ -191,7 +191,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         yield pd.DataFrame({"network": [pickle.dumps(Network().fit(x, rows["y"].to_numpy(int)).__dict__)]})
 
     network = Network()  # trained in one task on the bounded sample; its weights are some kilobytes
-    network.__dict__ = pickle.loads(rows.coalesce(1).mapInPandas(train, "network binary").first()[0])  # noqa: S301
+    made = rows.coalesce(1).mapInPandas(train, "network binary").first()
+    network.__dict__ = pickle.loads(made[0]) if made else network.fit(np.zeros((0, 4 * DIMS + 1)), np.zeros(0)).__dict__  # noqa: S301
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -162,4 +162,6 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that are kept. Texts are counted twice rather than shuffled to meet their verdicts."""
     cutoffs = calibrate(with_counts(docs.select(id_col, text_col, stratum), text_col).drop(text_col), labels, id_col, stratum, alpha, delta)
-    return judge(with_counts(docs, text_col), cutoffs, stratum).filter("kept").select(docs.columns)
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in {*COUNTS, "base_failed", "kept"}}
+    kept = judge(with_counts(docs.withColumnsRenamed(own), own.get(text_col, text_col)), cutoffs, own.get(stratum, stratum)).filter("kept")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
