@@ -20,5 +20,5 @@ def query(sql: str | None = None):
     return put
 
 
-for _module in ("documentation", "statistics"):
+for _module in ("documentation", "statistics", "text", "collection"):
     import_module(f"twinframe.plans.{_module}")

@@ -1,0 +1,320 @@
+"""Text, audio, planning and collection queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from twinframe.functions import text as X
+from twinframe.operators import planning as G
+from twinframe.operators import tables as T
+
+from .registry import query
+from .views import table, twin, view
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
+_WORDS = "list_distinct(regexp_extract_all(lower({x}), '[a-z]+'))"
+_CONTENT = "list_filter(list_filter(" + _WORDS + ", lambda w: length(w) >= 4), lambda w: NOT list_contains(" + _STOP + ", w))"
+
+
+@query(twin("dialogues insertions", """WITH j AS (SELECT conv_id, transcript, distractor_conversation AS ins, insert_after_turn AS k, string_split(transcript, chr(10)) AS l FROM dialogues JOIN insertions USING (conv_id)),
+s AS (SELECT *, list_filter(range(1, len(l)+1), lambda i: regexp_matches(l[i], '^\\s*(\\[[A-Za-z ]+\\]|[A-Za-z ]+:)')) AS t FROM j), c AS (SELECT *, coalesce(t[least(greatest(k,1), len(t))+1], len(l)+1) AS cut FROM s)
+SELECT conv_id, array_to_string(list_concat(list_concat(l[1:cut-1], [ins]), l[cut:]), chr(10)) AS spliced FROM c"""))
+def splice_turn(spark, d):
+    joined = view(spark, d, "dialogues").join(view(spark, d, "insertions"), "conv_id")
+    return joined.select("conv_id", X.splice_after_turn(F.col("transcript"), F.col("distractor_conversation"), F.col("insert_after_turn").cast("int")).alias("spliced"))
+
+
+@query(twin("dialogues", "SELECT conv_id, array_to_string(CASE WHEN len(t) > 0 THEN t ELSE ['Doctor','Patient'] END, ',') AS tags FROM (SELECT conv_id, list_filter(u, lambda x, i: list_position(u, x) = i) AS t FROM (SELECT conv_id, regexp_extract_all(transcript, '(?m)^([A-Za-z]+):', 1) AS u FROM dialogues))"))
+def speaker_tags(spark, d):
+    return view(spark, d, "dialogues").select("conv_id", F.array_join(X.speaker_tags(F.col("transcript"), ["Doctor", "Patient"]), ",").alias("tags"))
+
+
+@query(twin("dialogues insertions", "SELECT conv_id, regexp_replace(distractor_conversation, '(?m)^user: ?', '[user] ', 'g') AS relabelled FROM (SELECT conv_id, regexp_replace(distractor_conversation, '(?m)^assistant: ?', '[assistant] ', 'g') AS distractor_conversation FROM insertions JOIN dialogues USING (conv_id))"))
+def relabel(spark, d):
+    joined = view(spark, d, "dialogues").join(view(spark, d, "insertions"), "conv_id")
+    bracketed = F.concat(F.lit("[doctor] hello\n"), F.col("transcript"))
+    return joined.select("conv_id", X.relabel(F.col("distractor_conversation"), bracketed).alias("relabelled"))
+
+
+_SENT = "'This was said in another room.'"
+_PARTS = "string_split(regexp_replace(text, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"SELECT doc_id, array_to_string(list_concat(list_concat(p[1:len(p)-1], [{_SENT}]), p[len(p):]), ' ') AS question FROM (SELECT doc_id, {_PARTS} AS p FROM documents)")
+def insert_sentence(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.insert_sentence(F.col("text"), F.lit(_SENT.strip("'"))).alias("question"))
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(array_to_string(p, ' '), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS clean FROM (SELECT doc_id, {_PARTS} AS p FROM documents)")
+def remove_sentence(spark, d):
+    sentence = F.lit(_SENT.strip("'"))
+    put = table(spark, d, "documents").select("doc_id", X.insert_sentence(F.col("text"), sentence).alias("question"))
+    return put.select("doc_id", X.remove_sentence(F.col("question"), sentence).alias("clean"))
+
+
+@query(f"SELECT doc_id, len(w) AS n, array_to_string(list_sort(w), ' ') AS words FROM (SELECT doc_id, {_CONTENT.format(x='text')} AS w FROM documents)")
+def content_words(spark, d):
+    words = X.content_words(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(words).cast("long").alias("n"), F.array_join(F.array_sort(words), " ").alias("words"))
+
+
+_LEAK = f"""SELECT doc_id, lang, source, len(c) AS n_content, len(k) AS n_leaked, round(len(k)/nullif(CAST(len(c) AS DOUBLE), 0), 6) AS leakage, round(len(list_intersect(c, x))/nullif(CAST(len(c) AS DOUBLE), 0), 6) AS overlap_clean, array_to_string(list_sort(k), ' ') AS leaked_words FROM (SELECT *, list_filter(list_intersect(c, m), lambda w: NOT list_contains(x, w)) AS k FROM (SELECT doc_id, lang, source, {_CONTENT.format(x='segment_text')} AS c, {_WORDS.format(x='clean_transcript')} AS x, {_WORDS.format(x='mixed_transcript')} AS m FROM leak_pairs))"""
+
+
+@query(twin("leak_pairs", _LEAK))
+def leakage(spark, d):
+    made = X.leakage(F.col("segment_text"), F.col("clean_transcript"), F.col("mixed_transcript"))
+    made = {k: c.cast("long") if k.startswith("n_") else c for k, c in made.items()}
+    return view(spark, d, "leak_pairs").select("doc_id", "lang", "source", *[c.alias(k) for k, c in made.items()])
+
+
+@query(twin("leak_pairs", f"WITH k AS ({_LEAK}) SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources, round(avg(leakage), 6) AS mean_leakage, round(100*avg(CASE WHEN n_leaked > 0 THEN 1.0 ELSE 0 END), 6) AS any_leak, round(avg(n_content), 6) AS mean_content FROM k GROUP BY lang"))
+def leakage_by_level(spark, d):
+    return leakage(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"), F.round(F.avg("leakage"), 6).alias("mean_leakage"), T.pct((F.col("n_leaked") > 0).cast("int")).alias("any_leak"), F.round(F.avg("n_content"), 6).alias("mean_content"))
+
+
+_TOK = "regexp_extract_all(lower({x}), '[a-z]+')[1:40]"
+
+
+@query(twin("leak_pairs", f"SELECT doc_id, round(CASE WHEN len(r) > 0 THEN levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(33+list_position(v, x) AS INT))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(33+list_position(v, x) AS INT))), ''))/CAST(len(r) AS DOUBLE) END, 6) AS wer FROM (SELECT *, list_distinct(list_concat(r, h)) AS v FROM (SELECT doc_id, {_TOK.format(x='clean_transcript')} AS r, {_TOK.format(x='segment_text')} AS h FROM leak_pairs))"))
+def wer(spark, d):
+    tokens = lambda c: F.slice(F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z]+"), F.lit(0)), 1, 40)
+    return view(spark, d, "leak_pairs").select("doc_id", F.round(X.wer(tokens("clean_transcript"), tokens("segment_text")), 6).alias("wer"))
+
+
+_LEXICON = [("the", 1), ("and", 1), ("tion", 2), ("anner", 3), ("erhe", 3)]
+
+
+@query("WITH lex(w, s) AS (VALUES ('the',1),('and',1),('tion',2),('anner',3),('erhe',3)), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents), h AS (SELECT doc_id, max(s) AS s, count(*) AS n FROM (SELECT doc_id, t, s FROM t JOIN lex ON w = t OR w || 's' = t) GROUP BY doc_id, t) SELECT d.doc_id, CAST(coalesce(sum(h.s*h.n), 0) AS BIGINT) AS score FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id GROUP BY d.doc_id")
+def keyword_score(spark, d):
+    # Counted inside each row: a lexicon of fixed size needs no explode and no shuffle.
+    lexicon = F.map_from_arrays(F.array(*[F.lit(w) for w, _ in _LEXICON] + [F.lit(w + "s") for w, _ in _LEXICON]), F.array(*[F.lit(s) for _, s in _LEXICON] * 2))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return table(spark, d, "documents").select("doc_id", F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.coalesce(F.try_element_at(lexicon, w), F.lit(0))).alias("score"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS clean FROM documents")
+def clean_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.regexp_replace("text", "<[^<>]*>", " "), r"[ \t\n\x0B\f\r]+", " ")).alias("clean"))
+
+
+_ANSWER = r"""coalesce(nullif(regexp_extract(response, '(?i)final answer is:?\s*[\[(]([A-D])[\])]', 1), ''), nullif(regexp_extract(response, '(?i)final answer is:?\s*([A-D])\b', 1), ''), nullif(regexp_extract(response, '(?i)answer is:?\s*[\[(]?([A-D])[\])]?\b', 1), ''), nullif(regexp_extract(response, 'boxed\{([A-D])\}', 1), ''), nullif(regexp_extract(response, '\*\*([A-D])\*\*', 1), ''), regexp_extract_all(response, '[\[(]([A-Z])[\])]', 1)[-1])"""
+
+
+@query(twin("responses", f"SELECT item_id, coalesce('(' || {_ANSWER} || ')', '[invalid]') AS parsed FROM responses"))
+def extract_answer(spark, d):
+    return view(spark, d, "responses").select("item_id", X.extract_answer(F.col("response")).alias("parsed"))
+
+
+@query(twin("responses", f"SELECT item_id, parsed = '[invalid]' AS is_invalid, trim(parsed, '()') = correct_answer AS is_correct FROM (SELECT *, coalesce('(' || {_ANSWER} || ')', '[invalid]') AS parsed FROM responses)"))
+def score_answers(spark, d):
+    parsed = X.extract_answer(F.col("response"))
+    return view(spark, d, "responses").select("item_id", (parsed == "[invalid]").alias("is_invalid"), (F.btrim(parsed, F.lit("()")) == F.col("correct_answer")).alias("is_correct"))
+
+
+@query("SELECT conv_id, CASE WHEN count(*) < 4 THEN 'turn count' WHEN min(CASE WHEN turn = 0 THEN role END) <> 'user' THEN 'opener' WHEN max(length(text)) > 2000 THEN 'length' WHEN sum(CASE WHEN regexp_matches(text, '[0-9]{5}') THEN 1 ELSE 0 END) > 0 THEN 'forbidden' END AS failed FROM conversations GROUP BY conv_id")
+def rule_validate(spark, d):
+    text = F.col("text")
+    facts = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("turn") == 0, F.col("role"))).alias("opener"), F.max(F.length(text)).alias("longest"), F.count_if(text.rlike("[0-9]{5}")).alias("digits"))
+    return facts.select("conv_id", X.first_failing([(F.col("n") < 4, "turn count"), (F.col("opener") != "user", "opener"), (F.col("longest") > 2000, "length"), (F.col("digits") > 0, "forbidden")]).alias("failed"))
+
+
+@query("SELECT item_id, array_to_string(list_transform(list_sort(list_transform(w, lambda x: lpad(CAST(1000-length(x) AS VARCHAR), 4, '0') || x))[1:8], lambda x: substr(x, 5, 6)), ' ') AS stems FROM (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda x: length(x) >= 4 AND x <> 'that') AS w FROM benchmark)")
+def stems(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(X.stems(F.col("text"), ["that"]), " ").alias("stems"))
+
+
+_DOC_LINES = "SELECT doc_id, unnest(generate_series(1, len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+_HEADER = "CASE WHEN regexp_matches(line, '^The ') THEN 'A' WHEN regexp_matches(line, '^(To|Is) ') THEN 'B' END"
+
+
+def _lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", (F.col("pos") + 1).cast("long"))
+
+
+def _sections(spark, d):
+    header = F.when(F.col("line").rlike("^The "), "A").when(F.col("line").rlike("^(To|Is) "), "B")
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _lines(spark, d).withColumn("section", F.coalesce(F.last(header, ignorenulls=True).over(w), F.lit("Unsectioned")))
+
+
+_SECTIONED = f"SELECT doc_id, pos, line, coalesce(last_value({_HEADER} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Unsectioned') AS section FROM ({_DOC_LINES})"
+
+
+@query(f"SELECT doc_id, pos, section FROM ({_SECTIONED})")
+def section_assign(spark, d):
+    return _sections(spark, d).select("doc_id", "pos", "section")
+
+
+@query(f"SELECT section, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs, round(count(DISTINCT doc_id)/CAST((SELECT count(*) FROM documents) AS DOUBLE), 6) AS share FROM ({_SECTIONED}) GROUP BY section")
+def section_share(spark, d):
+    total = table(spark, d, "documents").agg(F.count("*").alias("t"))  # one row
+    own = _sections(spark, d).groupBy("section", "doc_id").agg(F.count("*").alias("k")).groupBy("section").agg(F.sum("k").alias("n_lines"), F.count("*").alias("n_docs"))
+    return own.crossJoin(F.broadcast(total)).select("section", "n_lines", "n_docs", F.round(F.col("n_docs") / F.col("t"), 6).alias("share"))
+
+
+_TAXONOMY = [("question", r"\?"), ("shout", r"!!"), ("symbols", r"%%%|&&&"), ("number", r"[0-9]")]
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '\\?') THEN 'question' WHEN regexp_matches(text, '!!') THEN 'shout' WHEN regexp_matches(text, '%%%|&&&') THEN 'symbols' WHEN regexp_matches(text, '[0-9]') THEN 'number' ELSE 'other' END AS class FROM documents")
+def taxonomy_classify(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.coalesce(X.first_failing([(F.col("text").rlike(p), n) for n, p in _TAXONOMY]), F.lit("other")).alias("class"))
+
+
+@query(f"SELECT doc_id, count(*) FILTER (hits >= 2) AS n_lines, min(pos) FILTER (hits >= 2) AS first_line FROM (SELECT doc_id, pos, CAST(regexp_matches(lower(line), 'tion') AS INT) + CAST(regexp_matches(lower(line), 'that') AS INT) + CAST(regexp_matches(lower(line), 'heblee?') AS INT) AS hits FROM ({_DOC_LINES})) GROUP BY doc_id")
+def locate_lines(spark, d):
+    low = F.lower("line")
+    hits = sum(low.rlike(p).cast("int") for p in ("tion", "that", "heblee?"))
+    return _lines(spark, d).withColumn("hits", hits).groupBy("doc_id").agg(F.count_if(F.col("hits") >= 2).alias("n_lines"), F.min(F.when(F.col("hits") >= 2, F.col("pos"))).alias("first_line"))
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'red|blue') THEN 'Proprietary' WHEN regexp_matches(lower(p_name), 'ring') THEN 'Open-weight, medical' ELSE 'Open-weight, general' END AS grp FROM part")
+def rule_group(spark, d):
+    low = F.lower("p_name")
+    return table(spark, d, "part").select("p_partkey", F.when(low.rlike("red|blue"), "Proprietary").when(low.rlike("ring"), "Open-weight, medical").otherwise("Open-weight, general").alias("grp"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(regexp_extract(c, '^audio_(-?\\d+)dB_d(\\d+)$', 1) AS INT) AS level_db, CAST(regexp_extract(c, '^audio_(-?\\d+)dB_d(\\d+)$', 2) AS INT) AS donor FROM (SELECT l_orderkey, l_linenumber, concat('audio_', CAST(l_linenumber*5-20 AS VARCHAR), 'dB_d', CAST(l_suppkey % 2 AS VARCHAR)) AS c FROM lineitem)")
+def code_parse(spark, d):
+    code = F.format_string("audio_%ddB_d%d", F.col("l_linenumber") * 5 - 20, F.col("l_suppkey") % 2)
+    pattern = r"^audio_(-?\d+)dB_d(\d+)$"
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", code.alias("c"))
+    return rows.select("l_orderkey", "l_linenumber", *[F.regexp_extract("c", pattern, i).try_cast("int").alias(n) for i, n in ((1, "level_db"), (2, "donor"))])
+
+
+@query("SELECT s_suppkey, regexp_extract(t, '\\((.*?);', 1) AS relation, regexp_replace(t, ' \\(.*\\)$', '') AS topic FROM (SELECT s_suppkey, concat(s_name, ' (nation ', CAST(s_nationkey AS VARCHAR), '; class ', CAST(s_suppkey % 3 AS VARCHAR), ')') AS t FROM supplier)")
+def topic_parse(spark, d):
+    topic = F.concat("s_name", F.lit(" (nation "), F.col("s_nationkey").cast("string"), F.lit("; class "), (F.col("s_suppkey") % 3).cast("string"), F.lit(")"))
+    rows = table(spark, d, "supplier").select("s_suppkey", topic.alias("t"))
+    return rows.select("s_suppkey", F.regexp_extract("t", r"\((.*?);", 1).alias("relation"), F.regexp_replace("t", r" \(.*\)$", "").alias("topic"))
+
+
+@query(twin("responses", "SELECT item_id, CASE WHEN correct_answer = 'A' THEN 'B' ELSE 'A' END AS option_letter FROM responses"))
+def first_wrong_option(spark, d):
+    options = F.filter(F.array(*map(F.lit, "ABCD")), lambda x: x != F.col("correct_answer"))
+    return view(spark, d, "responses").select("item_id", F.element_at(options, 1).alias("option_letter"))
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (contains(text, 'tion')) AS n_tion, count(DISTINCT source) AS n_sources, round(avg(length(text)), 6) AS mean_chars, round(avg(length(text) - length(replace(text, chr(10), '')) + 1), 6) AS mean_lines FROM documents GROUP BY lang")
+def topic_stats(spark, d):
+    text = F.col("text")
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.contains(text, F.lit("tion"))).alias("n_tion"), F.count_distinct("source").alias("n_sources"), F.round(F.avg(F.char_length(text)), 6).alias("mean_chars"), F.round(F.avg(F.regexp_count(text, F.lit("\n")) + 1), 6).alias("mean_lines"))
+
+
+@query("SELECT lang, source, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS rank FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)) WHERE rank <= 5")
+def topk_values(spark, d):
+    counts = table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return T.top_k(counts, ["lang"], [F.desc("n"), F.col("source")], 5)
+
+
+# Transcripts and plans -------------------------------------------------------------------------------------------------
+
+
+@query(twin("utterances", "SELECT item_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY start_s, end_s, speaker) AS transcript, count(*) AS n, max(end_s) AS seconds FROM utterances GROUP BY item_id"))
+def transcript_assemble(spark, d):
+    rows = view(spark, d, "utterances")
+    line = F.struct("start_s", "end_s", "speaker", F.concat_ws(": ", "speaker", "text").alias("line"))
+    return rows.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("transcript"), F.count("*").alias("n"), F.max("end_s").alias("seconds"))
+
+
+@query(twin("utterances", "SELECT item_id, speaker, start_s, end_s, text FROM utterances WHERE trim(text) <> '' AND speaker = 'user'"))
+def chunk_explode(spark, d):
+    rows = view(spark, d, "utterances")
+    chunk = F.struct(F.col("start_s").alias("start"), F.when(F.col("speaker") == "user", F.col("end_s")).alias("end"), "text")
+    stored = rows.groupBy("item_id").agg(F.to_json(F.collect_list(chunk)).alias("chunks"))
+    parsed = stored.select("item_id", F.inline(F.from_json("chunks", "array<struct<start:double,end:double,text:string>>")))
+    kept = parsed.filter("end is not null and trim(text) <> ''")
+    return kept.select("item_id", F.lit("user").alias("speaker"), F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text")
+
+
+_INTERVAL = r'xmin = ([0-9.]+)\s+xmax = ([0-9.]+)\s+text = "((?:[^"]|"")*)"'
+
+
+@query(twin("utterances", "SELECT item_id, start_s, end_s, replace(text, chr(10), ' ') AS text FROM utterances WHERE trim(text) <> ''"))
+def utterance_extract(spark, d):
+    """Timed intervals written as annotation text and read back by pattern."""
+    part = F.concat(F.lit("xmin = "), F.col("start_s").cast("string"), F.lit("\n xmax = "), F.col("end_s").cast("string"), F.lit('\n text = "'), F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit('""')), F.lit('"\n'))
+    files = view(spark, d, "utterances").groupBy("item_id").agg(F.array_join(F.collect_list(part), "").alias("content"))
+    fields = [F.regexp_extract_all("content", F.lit(_INTERVAL), F.lit(i)) for i in (1, 2, 3)]
+    zipped = files.select("item_id", F.inline(F.arrays_zip(*[f.alias(n) for f, n in zip(fields, "abc")])))
+    names = [c for c in zipped.columns if c != "item_id"]
+    rows = zipped.select("item_id", F.col(names[0]).cast("double").alias("start_s"), F.col(names[1]).cast("double").alias("end_s"), F.replace(F.col(names[2]), F.lit('""'), F.lit('"')).alias("text"))
+    return rows.filter(F.trim("text") != "")
+
+
+_SCORED = "SELECT item_id, start_s, end_s, len(regexp_extract_all(lower(text), 'on')) AS score FROM utterances"
+
+
+def _scored(spark, d):
+    return view(spark, d, "utterances").select("item_id", "start_s", "end_s", F.regexp_count(F.lower("text"), F.lit("on")).cast("long").alias("score"))
+
+
+_DENSEST = f"""WITH u AS (SELECT *, row_number() OVER w AS rn, sum(score) OVER w AS pre FROM ({_SCORED}) WINDOW w AS (PARTITION BY item_id ORDER BY start_s, end_s)),
+r AS (SELECT a.item_id, a.start_s AS start, a.rn AS f, b.rn AS l, b.end_s AS e, b.pre - a.pre + a.score AS score FROM u a JOIN u b ON a.item_id = b.item_id AND b.rn >= a.rn AND b.start_s <= a.start_s + 12),
+m AS (SELECT *, max(e) OVER (PARTITION BY item_id, f ORDER BY l) AS "end" FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, "end"-start, start) AS q FROM m WHERE "end"-start BETWEEN 5 AND 12)
+SELECT item_id, start, "end", CAST(score AS BIGINT) AS score, l-f+1 AS n_units FROM k WHERE q = 1"""
+
+
+@query(twin("utterances", _DENSEST))
+def densest_window(spark, d):
+    return G.densest_window(_scored(spark, d), "item_id", "score", 5, 12)
+
+
+@query(twin("utterances", "WITH k AS (SELECT item_id, max(end_s) AS s, count(*) AS n FROM utterances GROUP BY item_id) SELECT count(*) AS n_items, CAST(sum(n) AS BIGINT) AS n_utterances, round(sum(s)/3600, 6) AS hours, round(avg(s)/60, 6) AS mean_minutes FROM k"))
+def corpus_profile(spark, d):
+    per = view(spark, d, "utterances").groupBy("item_id").agg(F.max("end_s").alias("s"), F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("n_items"), F.sum("n").alias("n_utterances"), F.round(F.sum("s") / 3600, 6).alias("hours"), F.round(F.avg("s") / 60, 6).alias("mean_minutes"))
+
+
+@query(twin("insertions", "SELECT insert_after_turn, count(*) AS n, count(DISTINCT bench_id) AS n_topics, round(avg(length(distractor_summary)), 6) AS mean_chars FROM insertions GROUP BY ALL"))
+def insertion_profile(spark, d):
+    return view(spark, d, "insertions").groupBy("insert_after_turn").agg(F.count("*").alias("n"), F.count_distinct("bench_id").alias("n_topics"), F.round(F.avg(F.length("distractor_summary")), 6).alias("mean_chars"))
+
+
+@query("WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('13|' || CAST(c_custkey AS VARCHAR)), c_custkey) AS r, count(*) OVER () AS n FROM customer) SELECT c_custkey, r <= greatest(1, floor(n*0.1)) AS heldout FROM r")
+def locked_split(spark, d):
+    return G.locked_split(table(spark, d, "customer").select("c_custkey"), "c_custkey", 0.1, 13)
+
+
+_CYCLE = "SELECT s_suppkey, row_number() OVER (ORDER BY md5('5|' || CAST(s_suppkey AS VARCHAR)), s_suppkey) - 1 AS pos, count(*) OVER () AS n FROM supplier"
+
+
+@query(f"WITH c AS ({_CYCLE}) SELECT a.s_suppkey, CAST(j AS INT) AS j, b.s_suppkey AS donor FROM c a, (SELECT unnest(range(0, 2)) AS j) k JOIN c b ON b.pos = (a.pos + j + 1) % a.n WHERE j < a.n - 1")
+def assign_donors(spark, d):
+    return G.assign_donors(table(spark, d, "supplier"), "s_suppkey", 2, 5)
+
+
+_MIX = "(CAST(('0x'||substr(md5(concat_ws('|', '9', CAST(a.s_suppkey AS VARCHAR), CAST(j AS VARCHAR))),1,8)) AS UBIGINT)/4294967296.0e0)"
+
+
+@query(f"WITH c AS ({_CYCLE}), p AS (SELECT a.s_suppkey, CAST(j AS INT) AS j, b.s_suppkey AS donor, {_MIX} AS u, 12.0 + a.s_suppkey % 100 AS len FROM c a, (SELECT unnest(range(0, 2)) AS j) k JOIN c b ON b.pos = (a.pos + j + 1) % a.n WHERE j < a.n - 1) SELECT s_suppkey, 'audio_' || CAST(level AS VARCHAR) || 'dB_d' || CAST(j AS VARCHAR) AS code, donor, round(greatest(0, least(CAST(len AS DOUBLE)*(0.2e0+0.6e0*u), len - 8.0)), 6) AS onset FROM p, (VALUES (-20), (-10), (-5)) l(level) UNION ALL SELECT s_suppkey, 'clean', NULL, NULL FROM supplier")
+def mix_plan(spark, d):
+    items = table(spark, d, "supplier")
+    donors = G.assign_donors(items, "s_suppkey", 2, 5)
+    length = (F.lit(12.0) + F.col("s_suppkey") % 100).cast("double")
+    start = G.onset(9, F.col("s_suppkey").cast("string"), F.col("j").cast("string"), length=length, segment=F.lit(8.0))
+    levels = F.explode(F.array(*map(F.lit, (-20, -10, -5)))).alias("level")
+    mixes = donors.select("s_suppkey", "j", "donor", F.round(start, 6).alias("onset"), levels)
+    mixes = mixes.select("s_suppkey", F.format_string("audio_%ddB_d%d", "level", "j").alias("code"), "donor", "onset")
+    return mixes.unionByName(items.select("s_suppkey", F.lit("clean").alias("code")), allowMissingColumns=True)
+
+
+@query("SELECT c_custkey, c_mktsegment, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) % 7 AS slot FROM customer")
+def balanced_slots(spark, d):
+    k = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")) - 1
+    return table(spark, d, "customer").select("c_custkey", "c_mktsegment", (k % 7).cast("long").alias("slot"))
+
+
+@query("SELECT c_custkey, coalesce(n_name, 'general') AS system FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
+def lookup_default(spark, d):
+    known = table(spark, d, "nation").filter("n_nationkey < 20")
+    return table(spark, d, "customer").join(known, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("general")).alias("system"))
+
+
+@query("WITH s AS (SELECT label, vec_id % 2 = 0 AS f, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), r AS (SELECT label, sqrt(avg(x*x) FILTER (f)) AS a, sqrt(avg(x*x) FILTER (NOT f)) AS b FROM s GROUP BY label) SELECT label, level, round(pow(10.0e0, level/20.0)*a/nullif(b, 0), 6) AS gain FROM r, (VALUES (-20), (-5)) l(level)")
+def gain_for_level(spark, d):
+    samples = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 2 == 0).alias("f"), F.explode(F.col("embedding").cast("array<double>")).alias("x"))
+    rms = lambda c: F.sqrt(F.avg(F.when(c, F.col("x") * F.col("x"))))
+    levels = F.explode(F.array(F.lit(-20), F.lit(-5))).alias("level")
+    return samples.groupBy("label").agg(rms(F.col("f")).alias("a"), rms(~F.col("f")).alias("b")).select("label", "a", "b", levels).select("label", "level", F.round(G.gain(F.col("a"), F.col("b"), F.col("level")), 6).alias("gain"))
