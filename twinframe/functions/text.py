@@ -11,6 +11,11 @@ TURN = r"^\s*(\[[A-Za-z ]+\]|[A-Za-z ]+:)"
 STOP_WORDS = ["about", "after", "again", "also", "been", "before", "being", "could", "does", "doing", "down", "during", "from", "going", "have", "having", "here", "into", "just", "know", "like", "more", "most", "only", "other", "over", "really", "same", "should", "some", "such", "than", "that", "their", "them", "then", "there", "these", "they", "this", "those", "through", "very", "want", "well", "were", "what", "when", "where", "which", "while", "will", "with", "would", "your"]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside a lambda a plain expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lines(text: Column) -> Column:
     """Lines without trailing empty ones."""
     return F.split(F.regexp_replace(text, r"[\r\n]+$", ""), r"\r\n|\n|\r")
@@ -25,11 +30,14 @@ def relabel(inserted: Column, transcript: Column) -> Column:
 
 def splice_after_turn(transcript: Column, inserted: Column, k: Column) -> Column:
     """``inserted`` after the k-th speaker turn; k is clamped to the turns there are, no turns: at the end. Either side may be empty."""
-    rows = lines(transcript)
-    starts = F.filter(F.sequence(F.lit(1), F.size(rows)), lambda i: F.element_at(rows, i).rlike(TURN))
-    after = F.least(F.greatest(k, F.lit(1)), F.size(starts)) + 1
-    cut = F.coalesce(F.when(F.size(starts) > 0, F.try_element_at(starts, after.cast("int"))), F.size(rows) + 1)
-    joined = F.array_join(F.concat(F.slice(rows, 1, cut - 1), F.array(inserted), F.slice(rows, cut, F.size(rows))), "\n")
+
+    def spliced(rows: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(rows)), lambda i: F.element_at(rows, i).rlike(TURN))
+        after = F.least(F.greatest(k, F.lit(1)), F.size(starts)) + 1
+        cut = F.coalesce(F.when(F.size(starts) > 0, F.try_element_at(starts, after.cast("int"))), F.size(rows) + 1)
+        return F.array_join(F.concat(F.slice(rows, 1, cut - 1), F.array(inserted), F.slice(rows, cut, F.size(rows))), "\n")
+
+    joined = let(lines(transcript), spliced)
     return F.when(F.coalesce(F.length(transcript), F.lit(0)) == 0, inserted).when(F.coalesce(F.length(inserted), F.lit(0)) == 0, transcript).otherwise(joined)
 
 
@@ -81,10 +89,16 @@ def wer(reference: Column, hypothesis: Column) -> Column:
 
     Up to 55,000 distinct tokens a pair; an empty reference gives null.
     """
-    known = F.array_distinct(F.concat(reference, hypothesis))
-    code = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, x) + 255), 4, "0")), "UTF-16BE")
-    text = lambda a: F.array_join(F.transform(a, code), "")
-    return F.when(F.size(reference) > 0, F.levenshtein(text(reference), text(hypothesis)) / F.size(reference))
+
+    def rate(both: Column) -> Column:
+        ref, hyp = both["r"], both["h"]
+        known = F.array_distinct(F.concat(ref, hyp))
+        # A token's code is its place among the distinct tokens, looked up in a map that is built once.
+        codes = F.map_from_arrays(known, F.transform(F.sequence(F.lit(256), F.size(known) + 255), lambda i: F.decode(F.unhex(F.lpad(F.hex(i), 4, "0")), "UTF-16BE")))
+        text = lambda m, a: F.array_join(F.transform(a, lambda x: F.element_at(m, x)), "")
+        return F.when(F.size(ref) > 0, let(codes, lambda m: F.levenshtein(text(m, ref), text(m, hyp)) / F.size(ref)))
+
+    return let(F.struct(reference.alias("r"), hypothesis.alias("h")), rate)
 
 
 def extract_answer(response: Column) -> Column:
@@ -115,11 +129,16 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def align_insertion(clean: Column, distracted: Column) -> Column:
     """For each token of ``distracted`` its 0-based place in ``clean``, -1 for the inserted run."""
-    head = common_prefix(clean, distracted)
-    tail = F.least(common_prefix(F.reverse(clean), F.reverse(distracted)), F.size(clean) - head)
-    shift = F.size(distracted) - F.size(clean)
-    place = lambda i: F.when(i < head, i).when(i >= F.size(distracted) - tail, i - shift).otherwise(-1)
-    return F.when(F.size(distracted) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(distracted) - 1), place))
+
+    def placed(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        head = common_prefix(a, b)
+        tail = F.least(common_prefix(x["ra"], x["rb"]), F.size(a) - head)
+        place = lambda e: lambda i: F.when(i < e["h"], i).when(i >= F.size(b) - e["t"], i - F.size(b) + F.size(a)).otherwise(-1)
+        whole = let(F.struct(head.alias("h"), tail.alias("t")), lambda e: F.transform(F.sequence(F.lit(0), F.size(b) - 1), place(e)))
+        return F.when(F.size(b) == 0, F.array().cast("array<int>")).otherwise(whole)
+
+    return let(F.struct(clean.alias("a"), distracted.alias("b"), F.reverse(clean).alias("ra"), F.reverse(distracted).alias("rb")), placed)
 
 
 def stems(topic: Column, stop: list[str], size: int = 6, most: int = 8) -> Column:
