@@ -36,7 +36,7 @@ def repaired(reply: Column) -> tuple[Column, Column]:
 
 def strict_field(reply: Column, name: str, allowed: str) -> Column:
     """An unquoted integer field within ``allowed`` (a character class); anything else, true and 1.0 too, is null."""
-    return F.nullif(F.regexp_extract(reply, rf'^\{{(?:.*,)?\s*"{name}"\s*:\s*({allowed})\s*[,}}].*\}}$', 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(reply, rf'^\{{(?:.*,)?\s*"{name}"\s*:\s*({allowed})(?=\s*[,}}]).*\}}$', 1), F.lit("")).cast("int")
 
 
 def parse_strict(df: DataFrame, reply: str = "judge_raw") -> DataFrame:
