@@ -170,7 +170,7 @@ def _merge_spans(spans):
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = 500_000, phrase_block: int = 200_000, mark: str = "\n") -> DataFrame:
     """``docs`` with the merged hit spans cut out of their texts and ``mark`` put in their place.
 
-    Cutting is repeated while words that have come together form a test phrase. Other columns, null texts and clean texts stay as they are.
+    Cutting is repeated while words that have come together form a test phrase of the block at hand. Other columns, null texts and clean texts stay as they are.
     """
     out, at, cut_mark = docs, docs.columns.index(text_col), mark.encode()
     for block in _blocks(benchmark, item_col, item_text, window, phrase_block):

@@ -115,9 +115,9 @@ def _bin(rule: str) -> Column:
 def calibrate(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """(stratum, cutoffs map<rule, double>): the certified cutoffs in use. Strata without any are missing.
 
-    ``counts`` has COUNTS, the id and the stratum (null: a stratum of its own). Unlabelled rows and null labels take no part.
+    ``counts`` has COUNTS, the id and the stratum (null: a stratum of its own). Unlabelled rows and null labels take no part; of labels that repeat an id the least counts.
     """
-    known = labels.select(F.col(id_col), F.col("quality").cast("int").alias("quality")).filter("quality is not null").dropDuplicates([id_col])
+    known = labels.groupBy(id_col).agg(F.min("quality").cast("int").alias("quality")).filter("quality is not null")
     held = counts.filter(~base_failed()).join(known, id_col).select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "quality", *[_bin(r).alias(r) for r in RULES])
     long = held.select("stratum", "quality", F.explode(F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*RULES))).alias("rule", "bin"))
     table = stage_table(long.groupBy("stratum", "rule", "bin", "quality").count(), "quality-table")
