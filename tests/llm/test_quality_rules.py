@@ -28,6 +28,11 @@ def test_counts_against_brute_force(spark):
     assert got == {(i, *plain(t)) for i, t, *_ in rows}
 
 
+def test_stutter(spark):
+    got = Q.with_counts(frame(spark, [(1, "a a a b b a", "en", "s", 1), (2, None, "en", "s", 1)])).orderBy("doc_id").collect()
+    assert [r.n_stutter for r in got] == [3, 0]
+
+
 def test_binomial_tail():
     for n, p in ((10, 0.3), (60, 0.01)):
         for k in range(n + 1):

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from itertools import chain
 from math import exp, lgamma, log, log1p
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -23,13 +24,14 @@ from pyspark.sql import types as T
 from .common import append_columns, as_bytes, stage_table
 
 WINDOW = 8
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs", "n_text_lines")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs", "n_text_lines", "n_stutter")
 #: Rates and their cutoffs, lenient first; a document is rejected where its rate is above the cutoff.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "symbols": ("n_symbols / n_words", (3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)),
     "bangs": ("n_bangs / n_words", (3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)),
     "upper": ("n_upper / word_chars", (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
     "dup_lines": ("n_dup_lines / n_text_lines", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)),
+    "stutter": ("n_stutter / n_words", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)),
     "repeats": ("n_repeat_words / n_words", (0.29, 0.25, 0.2, 0.15, 0.1, 0.05)),
 }
 
@@ -67,7 +69,7 @@ def repeated_words(words: list[list[bytes]], window: int = WINDOW) -> np.ndarray
 
 def _count(texts: pa.Array) -> list[np.ndarray]:
     raw = [t or b"" for t in as_bytes(texts)]
-    made: list[list] = [[], [], [], [], [], [], [], []]
+    made: list[list] = [[] for _ in COUNTS]
     for at in range(0, len(raw), 500):  # bounds the word lists held at once
         part = raw[at : at + 500]
         words = [t.split() for t in part]
@@ -82,6 +84,7 @@ def _count(texts: pa.Array) -> list[np.ndarray]:
             made[5].append(int(np.count_nonzero((letters >= 65) & (letters <= 90))))
             made[6].append(t.count(b"!"))
             made[7].append(len(lines))
+            made[8].append(sum(map(eq, w, w[1:])))
     return [np.array(x, np.int64) for x in made]
 
 
