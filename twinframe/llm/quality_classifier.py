@@ -24,17 +24,19 @@ from pyspark.sql import types as T
 from .common import as_bytes, stage_table
 
 BUCKETS, DIMS, NONZERO, REACH = 8192, 24, 4, 2
-CACHE = 400_000
-_SHAPES = ((re.compile(rb"[A-Z]+"), b"X"), (re.compile(rb"[a-z]+"), b"x"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"[\x80-\xff]+"), b"u"))
-_known: dict[bytes, tuple[int, int]] = {}
+CACHE = 600_000
+#: Documents whose words are held at once.
+BATCH = 1000
+#: Letters, digits and other bytes by class; what is left are marks.
+_CLASS = bytes(88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 else 48 if 48 <= c <= 57 else 117 if c >= 128 else c for c in range(256))
+_RUN = re.compile(rb"([Xx0u])\1+")
+_known: dict[bytes, int] = {}
 
 
 def word_buckets(word: bytes, buckets: int = BUCKETS) -> tuple[int, int]:
-    """The buckets of a word's folded letters (lower half) and of its shape (upper half)."""
-    shape = word
-    for pattern, sign in _SHAPES:
-        shape = pattern.sub(sign, shape)
+    """The buckets of a word's folded letters (lower half) and of its shape (upper half): runs of a class count as one."""
     half = buckets // 2
+    shape = _RUN.sub(rb"\1", word.translate(_CLASS))
     return zlib.crc32(word.lower().strip(b".,;:!?#*$%&|<>\"'()")) % half, half + zlib.crc32(shape[:12]) % half
 
 
@@ -50,13 +52,20 @@ def index_vectors(buckets: int = BUCKETS, dims: int = DIMS, nonzero: int = NONZE
 def _bucket_lists(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters and shape buckets of all words of a batch, and each text's number of words."""
     words = [(t or b"").split() for t in texts]
-    for w in set(chain.from_iterable(words)) - _known.keys():
-        _known[w] = word_buckets(w)
     sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter(chain.from_iterable(map(_known.__getitem__, chain.from_iterable(words))), np.int64, int(2 * sizes.sum())).reshape(-1, 2)
-    if len(_known) > CACHE:
+    codes, distinct = pd.factorize(np.fromiter(chain.from_iterable(words), object, int(sizes.sum())))
+    packed = np.zeros(len(distinct), np.int64)
+    for i, w in enumerate(distinct):
+        known = _known.get(w)
+        if known is None:
+            letters, shape = word_buckets(w)
+            known = _known[w] = letters * BUCKETS + shape
+        packed[i] = known
+    if len(_known) > CACHE:  # frequent words are in this batch and stay
         _known.clear()
-    return flat[:, 0], flat[:, 1], sizes
+        _known.update(zip(distinct, packed.tolist()))
+    flat = packed[codes]
+    return flat // BUCKETS, flat % BUCKETS, sizes
 
 
 def context_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +76,8 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray
         counts, sums = np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, DIMS), np.int64)
         for batch in batches:
             texts = as_bytes(batch.column(0))
-            for lo in range(0, len(texts), 500):
-                letters, shapes, sizes = _bucket_lists(texts[lo : lo + 500])
+            for lo in range(0, len(texts), BATCH):
+                letters, shapes, sizes = _bucket_lists(texts[lo : lo + BATCH])
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 own = index[letters] + index[shapes]
                 near = np.zeros_like(own)
@@ -114,8 +123,8 @@ def with_vectors(docs: DataFrame, vectors: np.ndarray, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
-            for lo in range(0, len(texts), 500):
-                letters, shapes, sizes = _bucket_lists(texts[lo : lo + 500])
+            for lo in range(0, len(texts), BATCH):
+                letters, shapes, sizes = _bucket_lists(texts[lo : lo + BATCH])
                 out = np.zeros((len(sizes), width), np.float32)
                 full = np.flatnonzero(sizes)
                 if len(full):
