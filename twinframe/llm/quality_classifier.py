@@ -117,8 +117,9 @@ def word_vectors(counts: np.ndarray, sums: np.ndarray, damping: float = 1e-3) ->
 
 
 def with_vectors(docs: DataFrame, vectors: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, vector array<float>): the mean vector of letters, that of shapes, and the scaled logarithm of the number of words."""
-    width = 2 * vectors.shape[1] + 1
+    """(id, vector array<float>): the mean vectors of letters and of shapes, the share of words that repeat the one before, and the
+    scaled logarithm of the number of words."""
+    width = 2 * vectors.shape[1] + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,6 +132,9 @@ def with_vectors(docs: DataFrame, vectors: np.ndarray, id_col: str, text_col: st
                     first = (np.cumsum(sizes) - sizes)[full]
                     for i, ids in enumerate((letters, shapes)):
                         out[full, i * vectors.shape[1] : (i + 1) * vectors.shape[1]] = np.add.reduceat(vectors[ids], first, axis=0) / sizes[full, None]
+                    doc = np.repeat(np.arange(len(sizes)), sizes)
+                    again = (letters[1:] == letters[:-1]) & (shapes[1:] == shapes[:-1]) & (doc[1:] == doc[:-1])
+                    out[full, -2] = np.bincount(doc[1:][again], minlength=len(sizes))[full] / sizes[full]
                 out[:, -1] = np.log1p(sizes) / 10
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sizes)), pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), width).cast(pa.list_(pa.float32()))], names=["id", "vector"])
 
@@ -188,20 +192,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """(id, held_out, score, predicted) for each row of ``docs``.
 
     The network learns from at most ``train_rows`` labelled rows that are not held out, those of least hash; word vectors and scores
-    cover all documents. Null and empty texts are scored from a zero vector. Without labels every score is 0.5. An empty table gives none.
+    cover all documents. Null and empty texts are scored from a zero vector. Without labels every score is 0.5; of labels that repeat an id the least counts. An empty table gives none.
     """
     vectors = stage_table(with_vectors(docs, word_vectors(*context_vectors(docs, text_col)), id_col, text_col), "quality-vectors")
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col("quality").cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    rows = vectors.join(known.dropDuplicates(["id"]), "id").orderBy(F.xxhash64("id"), "id").limit(train_rows).select("vector", "y")
+    known = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("quality").cast("int").alias("y"))
+    known = known.filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
+    rows = vectors.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(train_rows).select("vector", "y")
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"vector": [], "y": []}), *frames])
-        x = np.array(rows["vector"].tolist(), np.float32) if len(rows) else np.zeros((0, 4 * DIMS + 1), np.float32)
+        x = np.array(rows["vector"].tolist(), np.float32) if len(rows) else np.zeros((0, 4 * DIMS + 2), np.float32)
         yield pd.DataFrame({"network": [pickle.dumps(Network().fit(x, rows["y"].to_numpy(int)).__dict__)]})
 
     network = Network()  # trained in one task on the bounded sample; its weights are some kilobytes
     made = rows.coalesce(1).mapInPandas(train, "network binary").first()
-    network.__dict__ = pickle.loads(made[0]) if made else network.fit(np.zeros((0, 4 * DIMS + 1)), np.zeros(0)).__dict__  # noqa: S301
+    network.__dict__ = pickle.loads(made[0]) if made else network.fit(np.zeros((0, 4 * DIMS + 2)), np.zeros(0)).__dict__  # noqa: S301
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
