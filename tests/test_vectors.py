@@ -32,14 +32,14 @@ def test_sentences(spark):
     assert cut("First sentence. New. Last sentence?", "New.") == "First sentence. Last sentence?" and cut("abc", "x") is None
 
 
-@pytest.mark.parametrize(("reply", "want"), [("Therefore, the final answer is [B].", "(B)"), ("the final answer is: C", "(C)"), ("... the answer is C.", "(C)"), ("\\boxed{D}", "(D)"), ("I think (a) is right", "[invalid]"), ("no letter here", "[invalid]")])
+@pytest.mark.parametrize(("reply", "want"), [("Therefore, the final answer is [B].", "(B)"), ("the final answer is: C", "(C)"), ("... the answer is C.", "(C)"), ("\\boxed{D}", "(D)"), ("I think (a) is right", "[invalid]"), ("no letter here", "[invalid]"), ("the\u0120final\u0120answer\u0120is\u0120D.\u010a", "(D)")])
 def test_answers(spark, reply, want):
     assert one(spark, X.extract_answer(F.col("r")), r=reply) == want
 
 
 def test_content_words_and_leakage(spark):
     words = one(spark, X.content_words(F.col("t")), t="I have had chest pain and a cough for three days")
-    assert {"chest", "pain", "cough", "three"} <= set(words) and "have" not in words
+    assert set(words) == {"chest", "pain", "cough", "three"}
 
 
 @pytest.mark.parametrize(("ref", "hyp", "want"), [("a b c d", "a b x d", 0.25), ("a b c", "a b c", 0.0), ("a b", "a b c", 0.5), ("a b c", "", 1.0), ("a b c", "b c", 1 / 3), ("", "a", None)])

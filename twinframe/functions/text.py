@@ -8,7 +8,37 @@ from pyspark.sql import functions as F
 #: A line that opens a speaker's turn.
 TURN = r"^\s*(\[[A-Za-z ]+\]|[A-Za-z ]+:)"
 #: Words that carry no content in leakage counts.
-STOP_WORDS = ["about", "after", "again", "also", "been", "before", "being", "could", "does", "doing", "down", "during", "from", "going", "have", "having", "here", "into", "just", "know", "like", "more", "most", "only", "other", "over", "really", "same", "should", "some", "such", "than", "that", "their", "them", "then", "there", "these", "they", "this", "those", "through", "very", "want", "well", "were", "what", "when", "where", "which", "while", "will", "with", "would", "your"]
+STOP_WORDS = """
+that this with have been were they them their there what when where which while would could should about after
+before because just like some more most very really okay yeah right know think going want well also then than from
+into over only other your yours thing things something anything nothing kind sort little much many does doing done
+said says being come came coming here still since again maybe actually probably quite pretty sure good great fine
+thank thanks hello morning today tomorrow yesterday week weeks days time times last next first long take taking taken
+make making made need needs look looking feel feeling felt tell told mean means sorry please will might must shall
+ever never always sometimes every each both same such through under around down away until though although whether
+either neither anyone everyone someone people person else lots okay mmhmm umm hmmm bye
+""".split()
+#: Reply formats in order of precedence; (pattern, whether its last match counts instead of its first).
+ANSWER_PATTERNS = [
+    (r"the answer is ([A-D])", False),
+    (r"(?i)answer is ([A-D])\.?", False),
+    (r"(?i)Therefore, the final model answer is ([A-D])", False),
+    (r"boxed\{([A-D])\}", False),
+    (r"The answer is \*\*\[([A-D])\]", False),
+    (r"(?i)Answer: ([A-D])", False),
+    (r"(?i)Answer:\*\* ([A-D])", False),
+    (r"is ([A-D])", False),
+    (r"[\(\[]([A-Z])[\)\]]", True),
+    (r"\*\*([A-D])\*\*", False),
+    (r"\[([A-D])\]", False),
+    (r"(?i)Choice ([A-D])", False),
+    (r"(?i)\[\*\*([A-D])\]", False),
+    (r"(?i)\[([A-D])\*\*\]", False),
+    (r"(?i)My Answer\n\*\*([A-D])", False),
+    (r"(?i)\n\n\*\*Answer:\*\*\n([A-D])", False),
+]
+#: Fixed value: an explicit final answer in a looser format.
+FINAL_ANSWER = r"(?i)(?:therefore[, :]*\s*)?(?:the\s+)?(?:final\s+)(?:model\s+)?answer\s*(?:is)?\s*[:=\-]?\s*[\"'`]*[\[(]*\**\s*([A-D])(?:\b|\**)"
 
 
 def let(value: Column, body) -> Column:
@@ -101,18 +131,20 @@ def wer(reference: Column, hypothesis: Column) -> Column:
     return let(F.struct(reference.alias("r"), hypothesis.alias("h")), rate)
 
 
+def _by_format(response: Column) -> list[Column]:
+    last = lambda p: F.try_element_at(F.regexp_extract_all(response, F.lit(p), F.lit(1)), F.lit(-1))
+    return [last(p) if at_end else F.nullif(F.regexp_extract(response, p, 1), F.lit("")) for p, at_end in ANSWER_PATTERNS]
+
+
 def extract_answer(response: Column) -> Column:
-    """The letter that a reply settles on as ``(X)``, or ``[invalid]``: an ordered list of patterns, the first that matches decides."""
-    patterns = [
-        r"(?i)final answer is:?\s*[\[(]([A-D])[\])]",
-        r"(?i)final answer is:?\s*([A-D])\b",
-        r"(?i)answer is:?\s*[\[(]?([A-D])[\])]?\b",
-        r"boxed\{([A-D])\}",
-        r"\*\*([A-D])\*\*",
-    ]
-    bracket = F.try_element_at(F.regexp_extract_all(response, F.lit(r"[\[(]([A-Z])[\])]"), F.lit(1)), F.lit(-1))
-    found = F.coalesce(*[F.nullif(F.regexp_extract(response, p, 1), F.lit("")) for p in patterns], bracket)
-    return F.coalesce(F.concat(F.lit("("), found, F.lit(")")), F.lit("[invalid]"))
+    """The letter that a reply settles on as ``(X)``, or ``[invalid]``.
+
+    The first format that matches decides; then again with byte-level token marks read as white space; then the last explicit final
+    answer. Formats that ignore case can give a lower-case letter, which scores as wrong and not as invalid.
+    """
+    plain = F.replace(F.replace(response, F.lit("\u0120"), F.lit(" ")), F.lit("\u010a"), F.lit("\n"))
+    final = F.upper(F.try_element_at(F.regexp_extract_all(plain, F.lit(FINAL_ANSWER), F.lit(1)), F.lit(-1)))
+    return F.coalesce(F.concat(F.lit("("), F.coalesce(*_by_format(response), *_by_format(plain), final), F.lit(")")), F.lit("[invalid]"))
 
 
 def first_failing(rules: list[tuple[Column, str]]) -> Column:

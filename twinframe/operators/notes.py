@@ -1,0 +1,82 @@
+"""Where inserted content turns up in notes: sections, located lines, taxonomy, keyword scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Section of a header line, first match wins.
+SECTION_PATTERNS = [
+    ("chief_complaint", r"chief complaint|\bcc\b|reason for visit"),
+    ("hpi", r"history of present illness|\bhpi\b|interval history|present illness"),
+    ("pmh", r"past medical|medical history|\bpmh\b|past surgical|\bpsh\b|surgical history|medications?|allerg|review of systems|\bros\b|immuniz"),
+    ("family_history", r"family history|\bfh\b|\bfhx\b"),
+    ("social_history", r"social history|\bsh\b|\bshx\b|social"),
+    ("subjective", r"subjective|^\**s\**[:.]|^s$"),
+    ("objective", r"objective|^\**o\**[:.]|physical exam|vitals|examination|labs|results"),
+    ("assessment", r"assessment|impression|diagnos|^\**a\**[:.]|differential|^a$"),
+    ("plan", r"^\**p\**[:.]|\bplan\b|recommendation|follow.?up|disposition|orders|^p$"),
+]
+#: The coarse section that each stands for.
+COARSE = {
+    "chief_complaint": "Chief complaint / HPI",
+    "hpi": "Chief complaint / HPI",
+    "pmh": "History (PMH/meds/ROS)",
+    "family_history": "Family / social history",
+    "social_history": "Family / social history",
+    "subjective": "Subjective (other)",
+    "objective": "Objective",
+    "assessment": "Assessment",
+    "plan": "Plan",
+}
+#: A leading one-letter section mark, a header that opens a line of text, and a line that is nothing but a header.
+LETTER = r"^(\*\*|__|#+\s*)?[SOAP]\s*[:.]\s*"
+INLINE = r"^\s*(#+\s*|\*\*|__)?([A-Za-z][A-Za-z /&()\-]{1,40}?)\s*(\*\*|__)?\s*:"
+HEADER = r"^\s*(#+\s*|\*\*|__)?\s*([A-Za-z][A-Za-z /&()\-]{1,60}?)\s*(\*\*|__)?\s*:?\s*(\*\*|__)?\s*$"
+#: Failure modes over a rationale and the located lines, first match wins.
+TAXONOMY = [
+    ("pathologised_conversation", r"tangential|off-topic|circumstantial|cognitive|mental status|thought process|confusion|coheren|delirium|hallucinat|memory (impairment|difficult)|anxiety|panic|psychiat|mood"),
+    ("substituted_history", r"chief complaint|primary diagnosis|as the patient's own (condition|diagnosis|surgical|history|symptom|complaint|report)|patient's own (medical|surgical|past)|status post|s/p |own (diagnosis|surgery|procedure|condition)"),
+    ("family_history_inflation", r"family history|hereditary|familial|genetic|inherit|risk factor|given (the )?family"),
+    ("inferred_concern", r"unvoiced|unstated|implied concern|may reflect .{0,30}concern|screen|counsel|inquir|interest in|consider (evaluat|assess|screen)|prompt|explore"),
+    ("recorded_as_patient_activity", r"activity|social history|recreational|hobby|plays|participates|lifestyle"),
+    ("literalised_remark", r"convert|recast|misrepresent|reinterpret|reframe|as (a )?factual|as if reporting|literal|clinical detail|fabricated|household|treat(s|ed)? .{0,40}as (a )?(genuine|real|clinical|symptom|complaint)|misinterpret"),
+]
+
+
+def classify(text: Column, rules: list[tuple[str, str]] = TAXONOMY, default: str = "other") -> Column:
+    """The first rule whose pattern occurs in the lower-cased text. Null counts as empty."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.coalesce(*[F.when(low.rlike(p), F.lit(n)) for n, p in rules], F.lit(default))
+
+
+def section_of_header(line: Column) -> Column:
+    """The coarse section that a line announces, as a header of its own or at its start; null if none."""
+    raw = F.regexp_replace(F.trim(line), LETTER, "$1")
+    name = F.lower(F.coalesce(*[F.nullif(F.regexp_extract(raw, p, 2), F.lit("")) for p in (HEADER, INLINE)]))
+    return F.coalesce(*[F.when(name.rlike(p), F.lit(COARSE[n])) for n, p in SECTION_PATTERNS])
+
+
+def note_lines(notes: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, pos, line), positions from 1."""
+    return notes.select(*keys, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("pos", (F.col("pos") + 1).cast("long"))
+
+
+def assign_sections(lines: DataFrame, keys: list[str], header: Column | None = None) -> DataFrame:
+    """Add the section of the nearest header at or above each line; a header of no known section is passed over. A note is one group."""
+    header = section_of_header(F.col("line")) if header is None else header
+    above = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.withColumn("section", F.coalesce(F.last(header, ignorenulls=True).over(above), F.lit("Unsectioned")))
+
+
+def located(line: Column, stems: Column) -> Column:
+    """Whether a line has two of the stems (one, if there are at most two); bare short headers don't count."""
+    hits = F.size(F.filter(stems, lambda s: F.contains(F.lower(line), s)))
+    bare = F.trim(line).rlike(HEADER) & (F.length(F.trim(line)) < 40)
+    return (hits >= F.when(F.size(stems) <= 2, 1).otherwise(2)) & ~bare
+
+
+def keyword_score(text: Column, words: list[str]) -> Column:
+    """How many tokens are keywords, as they are or without a final s; each token counts once."""
+    known = F.array(*map(F.lit, words)).cast("array<string>")
+    return F.size(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda t: F.array_contains(known, t) | (t.endswith("s") & F.array_contains(known, F.substring(t, F.lit(1), F.length(t) - 1)))))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from twinframe.functions import text as X
+from twinframe.operators import notes as N
 from twinframe.operators import planning as G
 from twinframe.operators import tables as T
 
@@ -99,7 +100,12 @@ def clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.regexp_replace("text", "<[^<>]*>", " "), r"[ \t\n\x0B\f\r]+", " ")).alias("clean"))
 
 
-_ANSWER = r"""coalesce(nullif(regexp_extract(response, '(?i)final answer is:?\s*[\[(]([A-D])[\])]', 1), ''), nullif(regexp_extract(response, '(?i)final answer is:?\s*([A-D])\b', 1), ''), nullif(regexp_extract(response, '(?i)answer is:?\s*[\[(]?([A-D])[\])]?\b', 1), ''), nullif(regexp_extract(response, 'boxed\{([A-D])\}', 1), ''), nullif(regexp_extract(response, '\*\*([A-D])\*\*', 1), ''), regexp_extract_all(response, '[\[(]([A-Z])[\])]', 1)[-1])"""
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_ANSWER = "coalesce(" + ", ".join(f"regexp_extract_all(response, {_sql_text(p)}, 1)[-1]" if end else f"nullif(regexp_extract(response, {_sql_text(p)}, 1), '')" for p, end in X.ANSWER_PATTERNS)
+_ANSWER += f", upper(regexp_extract_all(response, {_sql_text(X.FINAL_ANSWER)}, 1)[-1]))"
 
 
 @query(twin("responses", f"SELECT item_id, coalesce('(' || {_ANSWER} || ')', '[invalid]') AS parsed FROM responses"))
@@ -130,13 +136,12 @@ _HEADER = "CASE WHEN regexp_matches(line, '^The ') THEN 'A' WHEN regexp_matches(
 
 
 def _lines(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", (F.col("pos") + 1).cast("long"))
+    return N.note_lines(table(spark, d, "documents"), ["doc_id"], "text")
 
 
 def _sections(spark, d):
     header = F.when(F.col("line").rlike("^The "), "A").when(F.col("line").rlike("^(To|Is) "), "B")
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _lines(spark, d).withColumn("section", F.coalesce(F.last(header, ignorenulls=True).over(w), F.lit("Unsectioned")))
+    return N.assign_sections(_lines(spark, d), ["doc_id"], header)
 
 
 _SECTIONED = f"SELECT doc_id, pos, line, coalesce(last_value({_HEADER} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Unsectioned') AS section FROM ({_DOC_LINES})"
@@ -154,12 +159,12 @@ def section_share(spark, d):
     return own.crossJoin(F.broadcast(total)).select("section", "n_lines", "n_docs", F.round(F.col("n_docs") / F.col("t"), 6).alias("share"))
 
 
-_TAXONOMY = [("question", r"\?"), ("shout", r"!!"), ("symbols", r"%%%|&&&"), ("number", r"[0-9]")]
+_CLASSES = [("question", r"\?"), ("shout", r"!!"), ("symbols", r"%%%|&&&"), ("number", r"[0-9]")]
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '\\?') THEN 'question' WHEN regexp_matches(text, '!!') THEN 'shout' WHEN regexp_matches(text, '%%%|&&&') THEN 'symbols' WHEN regexp_matches(text, '[0-9]') THEN 'number' ELSE 'other' END AS class FROM documents")
 def taxonomy_classify(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.coalesce(X.first_failing([(F.col("text").rlike(p), n) for n, p in _TAXONOMY]), F.lit("other")).alias("class"))
+    return table(spark, d, "documents").select("doc_id", N.classify(F.col("text"), _CLASSES).alias("class"))
 
 
 @query(f"SELECT doc_id, count(*) FILTER (hits >= 2) AS n_lines, min(pos) FILTER (hits >= 2) AS first_line FROM (SELECT doc_id, pos, CAST(regexp_matches(lower(line), 'tion') AS INT) + CAST(regexp_matches(lower(line), 'that') AS INT) + CAST(regexp_matches(lower(line), 'heblee?') AS INT) AS hits FROM ({_DOC_LINES})) GROUP BY doc_id")
