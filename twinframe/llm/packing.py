@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, stage_table
 
-CACHE = 400_000
+CACHE = 600_000
 _tokenizers: dict = {}
 
 
@@ -49,8 +49,10 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
             known[chunk] = np.array(enc.ids, "<u4").tobytes()
     get = known.__getitem__
     out = [np.array(tok.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() if cs is None else b"".join(map(get, cs)) for t, cs in zip(texts, chunks)]
-    if len(known) > CACHE:
+    if len(known) > CACHE:  # frequent chunks are in this batch and stay
+        recent = {c: known[c] for cs in chunks if cs for c in cs}
         known.clear()
+        known.update(recent)
     return out
 
 
