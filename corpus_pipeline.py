@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinframe.llm import decontamination, packing, pii, quality_rules, simhash
+from twinframe.llm import decontamination, near_copies, packing, pii, quality_rules
 from twinframe.llm.common import stage_table
 
 
@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (5-word Jaccard of 0.8 or more) the document with the least id stays."""
+    return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("near duplicates", dedup), ("decontamination", decontaminate), ("personal data", personal_data), ("packing", pack)]
-#: Fingerprints, exact binomial cutoffs and packing are not expressible in SQL; the stages are tested against brute force.
+#: Shingle sets, exact binomial cutoffs and packing are not expressible in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

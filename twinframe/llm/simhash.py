@@ -13,7 +13,7 @@ each of its keys and not g squared.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -240,19 +240,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows with a null id have no name to keep them by and stay only if no named document has their fingerprint's group.
     """
     found = stage_table(near_duplicates(docs, id_col, text_col, **options), "simhash-groups")
+    return keep_least(docs, found, id_col, "fp", lambda rows, out: with_fingerprints(rows, text_col, out, options.get("shingle", 4)))
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, print_col: str, add_prints: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """One row for each component of ``found`` (id, print, component_id), by ``add_prints`` also for rows without an id."""
     drop = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     kept = docs.join(drop, id_col, "left_anti")
     named = found.filter(F.col(id_col).isNull()).isEmpty()
     if not named:
-        kept = kept.filter(F.col(id_col).isNotNull()).unionByName(_unnamed(docs, found, id_col, text_col, options.get("shingle", 4)))
+        lone = found.groupBy(print_col).agg(F.max("component_id").alias("c")).filter("c is null").select(F.col(print_col).alias("__print"))
+        rows = add_prints(docs.filter(F.col(id_col).isNull()), "__print")
+        unnamed = rows.join(lone, "__print", "left_semi").dropDuplicates(["__print"]).select(docs.columns)
+        kept = kept.filter(F.col(id_col).isNotNull()).unionByName(unnamed)
     repeated = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().filter("count > 1").select(id_col)
     if not repeated.isEmpty():
         once = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
         kept = kept.join(repeated, id_col, "left_anti").unionByName(once)
     return kept.select(docs.columns)
-
-
-def _unnamed(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    lone = found.groupBy("fp").agg(F.max("component_id").alias("c")).filter("c is null").select(F.col("fp").alias("__fp"))
-    rows = with_fingerprints(docs.filter(F.col(id_col).isNull()), text_col, "__fp", shingle)
-    return rows.join(lone, "__fp", "left_semi").dropDuplicates(["__fp"]).select(docs.columns)
