@@ -87,3 +87,20 @@ def test_edges(spark):
     odd = docs.selectExpr("*", "1 as n_hit", "2 as row", "3 as items")
     assert D.find_contamination(odd, bench).columns == ["doc_id", "n_words", "n_hit", "items", "spans"]
     assert D.remove_contamination(odd, bench).columns == odd.columns
+
+
+def test_removal_does_not_depend_on_blocks(spark):
+    rng = random.Random(11)
+    words_ = [f"t{i}" for i in range(60)]
+    items = [(1, " ".join(words_)), (2, " ".join(f"u{i}" for i in range(12)))]
+    second = items[1][1].split()
+    rows = [(i, " ".join([f"a{rng.randrange(99)}" for _ in range(15)] + words_ + [f"b{rng.randrange(99)}" for _ in range(15)]), "en", "s", 1) for i in range(6)]
+    # cutting the first item's passage puts the second item together: another round has to find it
+    rows.append((50, " ".join(["x", *second[:6], *words_[:20], *second[6:], "y"]), "en", "s", 1))
+    rows += [(60, None, None, None, None), (61, "clean", "en", "s", 1), (61, "clean", "en", "s", 1)]
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, BENCH)
+    whole, cut = (sorted(((r.doc_id, r.text) for r in D.remove_contamination(docs, bench, phrase_block=b).collect()), key=str) for b in (200_000, 20))
+    assert whole == cut and len(cut) == len(rows)
+    texts = dict(cut)
+    assert all(not set(words(texts[i])) & set(words_) for i in range(6))
+    assert words(texts[50]) == ["x", "y"] and texts[60] is None

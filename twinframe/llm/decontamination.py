@@ -100,11 +100,11 @@ def word_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
     return [(int(edge[2 * a]), int(edge[2 * b - 1])) for a, b in spans]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, size: int) -> Iterator[Phrases]:
-    table = stage_table(test_phrases(benchmark, id_col, text_col, window), "phrases")
-    n = max(1, -(-table.count() * 5 // (size * 4)))
+def _blocks(phrases: DataFrame, size: int) -> Iterator[Phrases]:
+    """The staged table ``phrases`` in blocks."""
+    n = max(1, -(-phrases.count() * 5 // (size * 4)))
     for k in range(n):
-        rows = table.filter(F.pmod(F.xxhash64("phrase"), F.lit(n)) == k).collect()  # some 0.8 x size rows
+        rows = phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(n)) == k).collect()  # some 0.8 x size rows
         yield Phrases(sorted((r["phrase"], r["items"]) for r in rows))
 
 
@@ -129,7 +129,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     schema = "id long, row long, n_words long, items array<string>, spans array<struct<first:int,last:int>>"
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    for block in _blocks(benchmark, item_col, item_text, window, phrase_block):
+    for block in _blocks(stage_table(test_phrases(benchmark, item_col, item_text, window), "phrases"), phrase_block):
 
         def run(batches: Iterator[pa.RecordBatch], block: Phrases = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -167,43 +167,98 @@ def _merge_spans(spans):
     return F.aggregate(spans, empty, step)
 
 
+def _hit_words(block: Phrases, words: list[list[bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(document, first words, last words) of each document of the shard that has hits."""
+    doc, first, phrase = block.hits(words)
+    order = np.argsort(doc, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else ():
+        yield int(doc[own[0]]), first[own], first[own] + block.lengths[phrase[own]]
+
+
+def _cut(text: bytes, first: np.ndarray, last: np.ndarray, mark: bytes) -> bytes:
+    kept, end = [], 0
+    for a, b in word_spans(text, merged(first, last)):
+        kept += (text[end:a], mark)
+        end = b
+    return b"".join([*kept, text[end:]])
+
+
+def _with_texts(batch: pa.RecordBatch, at: int, changed: dict[int, bytes]) -> pa.RecordBatch:
+    if not changed:
+        return batch
+    raw = as_bytes(batch.column(at))
+    for i, t in changed.items():
+        raw[i] = t
+    return batch.set_column(at, batch.schema.field(at), pa.array(raw, pa.binary()).cast(batch.column(at).type))
+
+
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = 500_000, phrase_block: int = 200_000, mark: str = "\n") -> DataFrame:
     """``docs`` with the merged hit spans cut out of their texts and ``mark`` put in their place.
 
-    Cutting is repeated while words that have come together form a test phrase of the block at hand. Other columns, null texts and clean texts stay as they are.
+    A round searches all blocks on the text as it is and cuts once. Rounds are repeated for documents that were cut, until words that
+    have come together form no test phrase of any block. Other columns, null texts and clean texts stay as they are.
     """
-    out, at, cut_mark = docs, docs.columns.index(text_col), mark.encode()
-    for block in _blocks(benchmark, item_col, item_text, window, phrase_block):
+    at, cut_mark = docs.columns.index(text_col), mark.encode()
+    phrases = stage_table(test_phrases(benchmark, item_col, item_text, window), "phrases")
+    blocks = list(_blocks(phrases, phrase_block))
+    if len(blocks) > 1:
+        return _remove_by_rounds(docs, blocks, at, shard_words, cut_mark)
+    block = blocks[0]
 
-        def run(batches: Iterator[pa.RecordBatch], block: Phrases = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                old = batch.column(at)
-                changed: dict[int, bytes] = {}
-                for start, texts, words in _shards(batch, at, shard_words):
-                    rows = np.arange(start, start + len(texts))
-                    while len(rows):
-                        doc, first, phrase = block.hits(words)
-                        again, order = [], np.argsort(doc, kind="stable")
-                        for own in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else ():
-                            d = int(doc[own[0]])
-                            text, kept, end = texts[d], [], 0
-                            for a, b in word_spans(text, merged(first[own], first[own] + block.lengths[phrase[own]])):
-                                kept += (text[end:a], cut_mark)
-                                end = b
-                            changed[int(rows[d])] = b"".join([*kept, text[end:]])
-                            again.append(d)
-                        rows = rows[again]
-                        texts = [changed[int(r)] for r in rows]
-                        words = [words_of(t) for t in texts]
-                if changed:
-                    raw = as_bytes(old)
-                    for i, t in changed.items():
-                        raw[i] = t
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(raw, pa.binary()).cast(old.type))
-                yield batch
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            changed: dict[int, bytes] = {}
+            for start, texts, words in _shards(batch, at, shard_words):
+                rows = np.arange(start, start + len(texts))
+                while len(rows):
+                    again = []
+                    for d, first, last in _hit_words(block, words):
+                        changed[int(rows[d])] = _cut(texts[d], first, last, cut_mark)
+                        again.append(d)
+                    rows = rows[again]
+                    texts = [changed[int(r)] for r in rows]
+                    words = [words_of(t) for t in texts]
+            yield _with_texts(batch, at, changed)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _remove_by_rounds(docs: DataFrame, blocks: list[Phrases], at: int, shard_words: int, mark: bytes) -> DataFrame:
+    """Each block adds its hit spans to a column while the texts stay unchanged; then they are cut, and cut documents go round again."""
+    spans_at = len(docs.columns)
+    spans_type = pa.list_(pa.int32())
+    with_spans = T.StructType([*docs.schema, T.StructField("__spans", T.ArrayType(T.IntegerType()))])
+    with_mark = T.StructType([*docs.schema, T.StructField("__cut", T.BooleanType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, changed = as_bytes(batch.column(at)), {}
+            for i, spans in enumerate(batch.column(spans_at).to_pylist()):
+                if spans:
+                    ends = np.array(spans).reshape(-1, 2)
+                    changed[i] = _cut(texts[i], ends[:, 0], ends[:, 1], mark)
+            done = _with_texts(batch, at, changed)
+            yield pa.RecordBatch.from_arrays([*done.columns[:spans_at], pa.array([i in changed for i in range(batch.num_rows)], pa.bool_())], names=with_mark.names)
+
+    out, left = None, docs
+    while True:
+        found = left.withColumn("__spans", F.array().cast("array<int>"))
+        for block in blocks:
+
+            def search(batches: Iterator[pa.RecordBatch], block: Phrases = block) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    spans = batch.column(spans_at).to_pylist()
+                    for start, _, words in _shards(batch, at, shard_words):
+                        for d, first, last in _hit_words(block, words):
+                            spans[start + d] += [x for span in merged(first, last) for x in span]
+                    yield batch.set_column(spans_at, batch.schema.field(spans_at), pa.array(spans, spans_type).cast(batch.column(spans_at).type))
+
+            found = found.mapInArrow(search, with_spans)
+        done = stage_table(found.mapInArrow(cut, with_mark), "decontaminated")
+        clean, left = (done.filter(c).drop("__cut") for c in ("not __cut", "__cut"))
+        out = clean if out is None else out.unionByName(clean)
+        if left.isEmpty():
+            return out
 
 
 def digest(items: "F.Column"):
