@@ -63,3 +63,16 @@ def test_edges(spark):
     assert pii.with_pii(spark.createDataFrame([], DOCS)).collect() == []
     odd = frame(spark, corpus()).selectExpr("*", "'x' as spans", "1 as n_ip")
     assert pii.with_pii(odd).count() == len(corpus()) and pii.mask_pii(odd).columns == odd.columns
+
+
+def test_iban_before_other_capitals():
+    for text, number in (
+        ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89 3704 0044 0532 0130 00"),
+        ("IBAN DE89370400440532013000 2024", "DE89370400440532013000"),
+        ("GB82 WEST 1234 5698 7654 32 UK", "GB82 WEST 1234 5698 7654 32"),
+        ("AB12 CDEF GHIJ KLMN DE89 3704 0044 0532 0130 00 THE END", "DE89 3704 0044 0532 0130 00"),
+    ):
+        assert [text[a:b] for k, a, b in pii.find_spans(text) if k == "iban"] == [number]
+    two = "NO93 8601 1117 947 DE89 3704 0044 0532 0130 00"
+    assert [two[a:b] for k, a, b in pii.find_spans(two) if k == "iban"] == ["NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00"]
+    assert not [s for s in pii.find_spans("DE88 3704 0044 0532 0130 00 BIC") if s[0] == "iban"]
