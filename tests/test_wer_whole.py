@@ -1,0 +1,34 @@
+import re
+
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from twinframe.functions import text as X
+from twinframe.plans import views
+
+SF = "/root/testdata/sf0.001"
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_whole_texts_against_brute_force(spark):
+    pairs = views.view(spark, SF, "leak_pairs").select("doc_id", "clean_transcript", "segment_text").limit(40).collect()
+    got = {r.doc_id: r.wer for r in entry.queries()["wer_whole"](spark, SF).collect()}
+    longest = 0
+    for i, clean, segment in pairs:
+        ref, hyp = (re.findall("[a-z]+", (t or "").lower()) for t in (clean, segment))
+        longest = max(longest, len(ref))
+        assert got[i] is None if not ref else abs(got[i] - distance(ref, hyp) / len(ref)) < 1e-6
+    assert longest > 40
+
+
+def test_more_tokens_than_codes_before_surrogates(spark):
+    rows = spark.createDataFrame([([f"t{i}" for i in range(55_200)], ["other"])], "r array<string>, h array<string>")
+    assert rows.select(X.wer(F.col("r"), F.col("h"))).first()[0] == 1.0

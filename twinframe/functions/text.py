@@ -117,14 +117,14 @@ def leakage(segment: Column, clean: Column, mixed: Column) -> dict[str, Column]:
 def wer(reference: Column, hypothesis: Column) -> Column:
     """Word error rate of two token arrays: distinct tokens become single characters and edit distance does the rest.
 
-    Up to 55,000 distinct tokens a pair; an empty reference gives null.
+    Up to a million distinct tokens a pair; an empty reference gives null.
     """
 
     def rate(both: Column) -> Column:
         ref, hyp = both["r"], both["h"]
         known = F.array_distinct(F.concat(ref, hyp))
-        # A token's code is its place among the distinct tokens, looked up in a map that is built once.
-        codes = F.map_from_arrays(known, F.transform(F.sequence(F.lit(256), F.size(known) + 255), lambda i: F.decode(F.unhex(F.lpad(F.hex(i), 4, "0")), "UTF-16BE")))
+        # A token's code is its place among the distinct tokens, looked up in a map that is built once. Surrogates are no characters and are left out.
+        codes = F.map_from_arrays(known, F.transform(F.sequence(F.lit(256), F.size(known) + 255), lambda i: F.decode(F.unhex(F.lpad(F.hex(F.when(i < 0xD800, i).otherwise(i + 0x800)), 8, "0")), "UTF-32")))
         text = lambda m, a: F.array_join(F.transform(a, lambda x: F.element_at(m, x)), "")
         return F.when(F.size(ref) > 0, let(codes, lambda m: F.levenshtein(text(m, ref), text(m, hyp)) / F.size(ref)))
 
