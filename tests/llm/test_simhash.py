@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 
 from twinframe.llm import simhash
+from twinframe.llm.common import join_by_count
 
 from .helpers import DOCS, corpus, frame
 
@@ -87,3 +88,31 @@ def test_empty_and_clashing_columns(spark):
     odd = frame(spark, corpus()).selectExpr("*", "1 as fp", "2 as component_id", "3 as rep", "'k' as key")
     assert simhash.near_duplicates(odd).columns == ["doc_id", "fp", "component_id"]
     assert set(simhash.keep_one(odd).columns) == set(odd.columns)
+
+
+def test_hot_keys_give_the_same(spark):
+    rows = corpus() + [(500 + i, None, "en", "s", 0) for i in range(40)]
+    want = plain_components(rows)
+    for hot in (2, 1000):
+        got = {(r[0], r[1] % (1 << 64), r[2]) for r in simhash.near_duplicates(frame(spark, rows), block=3, hot_rows=hot).collect()}
+        assert got == want
+    star = spark.createDataFrame([(i, 1) for i in range(2, 60)] + [(i, i - 1) for i in range(100, 140)], "a long, b long")
+    for hot in (5, 1000):
+        got = dict(simhash.components(star, hot_rows=hot).collect())
+        assert {got.get(i, i) for i in range(1, 60)} == {1} and {got.get(i, i) for i in range(99, 140)} == {99}
+
+
+def test_join_by_count(spark):
+    rows = spark.createDataFrame([(k, i) for k, n in (("a", 30), ("b", 3), ("c", 1)) for i in range(n)] + [(None, 7), ("z", 8)], "k string, i int")
+    facts = spark.createDataFrame([("a", 30, 1), ("b", 3, 2), ("d", 9, 3)], "k string, n int, f int")
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(facts, "k", how).collect()))
+        assert sorted(map(str, join_by_count(rows, facts, "k", how=how, hot_rows=2).collect())) == want
+
+
+def test_keep_least_by_broadcast_and_by_shuffle(spark):
+    docs = frame(spark, corpus())
+    found = simhash.near_duplicates(docs).cache()
+    prints = lambda rows, out: simhash.with_fingerprints(rows, "text", out)
+    kept = [sorted(r.doc_id for r in simhash.keep_least(docs, found, "doc_id", "fp", prints, n).collect()) for n in (0, 10**6)]
+    assert kept[0] == kept[1] and len(kept[0]) < docs.count()

@@ -8,8 +8,14 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A key with more rows than this may be hot, and at most HOT_KEYS keys are: their facts are broadcast.
+HOT_ROWS, HOT_KEYS = 50_000, 1000
+#: Ids (longs) that are broadcast at most; more are shuffled.
+BROADCAST_IDS = 1_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
@@ -38,6 +44,22 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_by_count(rows: DataFrame, facts: DataFrame, key: str, count: str = "n", how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``facts`` on ``key`` so that no task gets all rows of a hot key.
+
+    ``facts`` has one row a key, with the number of its ``rows`` in ``count``; it should be cheap to read, as a staged table is. Keys
+    with more rows than ``hot_rows`` and than 1 / HOT_KEYS of all, so at most HOT_KEYS keys, are broadcast and their rows stay
+    where they are; all others are shuffled by key. ``how`` (inner or left) holds for keys that ``facts`` lacks.
+    """
+    total, most = facts.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    limit = max(hot_rows, total // HOT_KEYS)
+    if most <= limit:
+        return rows.join(facts, key, how)
+    hot = F.broadcast(facts.filter(F.col(count) > limit))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.filter(F.col(count) <= limit), key, how)
+    return rows.join(hot, key).select(rest.columns).unionByName(rest)
+
+
 def append_columns(df: DataFrame, inputs: list[str], fields: T.StructType, func: Callable[..., list]) -> DataFrame:
     """Add columns computed batch by batch from the Arrow arrays of ``inputs``.
 

@@ -1,10 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingles, for the pipeline.
+"""The SimHash operator for a stage that must find every pair with a Jaccard similarity of 0.8 or more.
 
-A document is the set of its shingles of ``SHINGLE`` words (64-bit hashes). MinHash bands propose: of two sets with similarity s,
-``BANDS`` bands of ``ROWS`` minima agree in at least one with chance 1 - (1 - s^ROWS)^BANDS, that is 0.9999 at 0.8. Documents that
-share a band, directly or over others, form a candidate group; its sets meet in tasks, and pairs that share a band are verified by
-their exact similarity. A group with more documents than ``block`` is dealt out in pairs of blocks, so no task holds more than two
-blocks of a group. What a task returns is a spanning forest of verified links; pairs that are linked already are not looked at again.
+A document is the set of its shingles of ``SHINGLE`` words (64-bit hashes). Two proposals are made, and both are verified by the exact
+similarity of the sets:
+
+* SimHash fingerprints within ``radius`` bits, found by the generalised pigeonhole search of ``simhash.links``;
+* at a similarity of 0.8 two fingerprints of 64 bits differ in some 10 bits, a radius that no pigeonhole plan can probe on many
+  documents. What the fingerprints miss is proposed by MinHash bands: of two sets with similarity s, ``BANDS`` bands of ``ROWS`` minima
+  agree in at least one with chance 1 - (1 - s^ROWS)^BANDS, that is 0.9999 at 0.8.
+
+Documents that a proposal joins, directly or over others, form a candidate group, whose sets meet in tasks of at most two blocks of
+``block`` documents. A group that fits in a block is settled at once. In a larger one each block is settled first, then the blocks'
+representatives, and only a group that still is in several parts has all its pairs of blocks compared. What a task returns is
+a spanning forest of verified links; pairs that are linked already are not looked at again.
 """
 
 from __future__ import annotations
@@ -14,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, stage_table
-from .simhash import SEED, components, keep_least
+from .common import BROADCAST_IDS, HOT_ROWS, append_columns, as_bytes, join_by_count, stage_table
+from .simhash import SEED, components, keep_least, links, majority, shingle_digests
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
 #: Two sets link when they share at least NUM / DEN of their union.
@@ -29,18 +36,11 @@ _MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) +
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """The sorted distinct hashes of all shingles; a shorter text is one shingle, a text without words has none."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    k = min(SHINGLE, len(words))
-    starts = np.concatenate(([0], gaps + 1))[: len(words) - k + 1].tolist()
-    ends = np.append(gaps, len(joined))[k - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64))
+def set_and_print(text: bytes | None) -> tuple[np.ndarray, int]:
+    """The sorted distinct hashes of all shingles, and the SimHash fingerprint as a signed long."""
+    digests = shingle_digests(text, SHINGLE)
+    fp = majority(digests)
+    return np.unique(np.frombuffer(b"".join(digests), np.uint64)), fp - (1 << 64) if fp >> 63 else fp
 
 
 def band_keys(shingles: np.ndarray) -> list[int]:
@@ -62,102 +62,152 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return shared * DEN >= (small + large - shared) * NUM
 
 
-def _print(shingles: np.ndarray) -> int:
+def _hash(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
 def with_prints(docs: DataFrame, text_col: str = "text", out: str = "print") -> DataFrame:
     """Add a hash of the shingle set: equal for texts with equal sets."""
-    return append_columns(docs, [text_col], T.StructType([T.StructField(out, T.LongType())]), lambda texts: [[_print(shingle_set(t)) for t in as_bytes(texts)]])
+    return append_columns(docs, [text_col], T.StructType([T.StructField(out, T.LongType())]), lambda texts: [[_hash(set_and_print(t)[0]) for t in as_bytes(texts)]])
 
 
 def _with_bands(docs: DataFrame) -> DataFrame:
     def run(texts: pa.Array) -> list[list]:
-        sets = [shingle_set(t) for t in as_bytes(texts)]
-        return [list(map(_print, sets)), list(map(band_keys, sets))]
+        made = list(map(set_and_print, as_bytes(texts)))
+        return [[_hash(s) for s, _ in made], [fp for _, fp in made], [band_keys(s) for s, _ in made]]
 
-    return append_columns(docs, ["text"], T.StructType([T.StructField("print", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]), run).select("id", "print", "bands")
+    fields = [T.StructField("print", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return append_columns(docs, ["text"], T.StructType(fields), run).select("id", "print", "fp", "bands")
 
 
 def _with_sets(docs: DataFrame) -> DataFrame:
     def run(texts: pa.Array) -> list[list]:
-        sets = [shingle_set(t) for t in as_bytes(texts)]
-        return [[s.tobytes() for s in sets], [np.array(band_keys(s), np.int64).tobytes() for s in sets]]
+        made = list(map(set_and_print, as_bytes(texts)))
+        return [[s.tobytes() for s, _ in made], [np.array(band_keys(s), np.int64).tobytes() for s, _ in made], [fp for _, fp in made]]
+
+    fields = [T.StructField("shingles", T.BinaryType()), T.StructField("bands", T.BinaryType()), T.StructField("fp", T.LongType())]
+    return append_columns(docs, ["text"], T.StructType(fields), run).drop("text")
+
 
-    return append_columns(docs, ["text"], T.StructType([T.StructField("shingles", T.BinaryType()), T.StructField("bands", T.BinaryType())]), run)
+def forest(sets: list[np.ndarray], bands: np.ndarray, prints: np.ndarray, radius: int, start: np.ndarray | None = None) -> np.ndarray:
+    """The root of each set over verified links of pairs that share a band (``bands``: a row for each set) or have near fingerprints.
 
+    Sets with equal ``start`` are taken for linked.
+    """
+    root = np.arange(len(sets)) if start is None else np.unique(start, return_index=True)[1][np.unique(start, return_inverse=True)[1]]
+    refuted = set()
+
+    def look(i: int, others: np.ndarray) -> None:
+        for j in others[root[others] != root[i]].tolist():
+            pair = (i, j) if i < j else (j, i)
+            if root[i] == root[j] or pair in refuted:
+                continue
+            if similar(sets[i], sets[j]):
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+            else:
+                refuted.add(pair)
 
-def forest(sets: list[np.ndarray], bands: np.ndarray) -> np.ndarray:
-    """The root of each set over verified links of pairs that share a band (``bands``: a row for each set)."""
-    root, refuted = np.arange(len(sets)), set()
     for column in bands.T:
         order = np.argsort(column, kind="stable")
         for run in np.split(order, np.flatnonzero(np.diff(column[order])) + 1):
             for at, i in enumerate(run[:-1].tolist()):
-                rest = run[at + 1 :]
-                for j in rest[root[rest] != root[i]].tolist():
-                    pair = (i, j) if i < j else (j, i)
-                    if root[i] == root[j] or pair in refuted:
-                        continue
-                    if similar(sets[i], sets[j]):
-                        root[root == max(root[i], root[j])] = min(root[i], root[j])
-                    else:
-                        refuted.add(pair)
+                look(i, run[at + 1 :])
+    for i in range(len(sets) - 1):
+        if (root != root[i]).any():
+            look(i, i + 1 + np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= radius))
     return root
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, id, shingles, bands) sorted by key: edges (a, b)."""
-    key, ids, sets, bands = None, [], [], []
+def _verified(dealt: DataFrame, radius: int) -> DataFrame:
+    """From (keys, id, root, shingles, bands, fp): edges (a, b) of verified links between rows that share a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
 
-    def made() -> pa.RecordBatch:
-        node = np.array(ids, np.int64)
-        other = node[forest(sets, np.array(bands))] if ids else node
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(node, other)), pa.array(np.minimum(node, other))], names=["a", "b"])
+        def made() -> pa.RecordBatch:
+            ids, start, sets, bands, prints = zip(*held)
+            node = np.array(ids, np.int64)
+            root = forest(list(sets), np.array(bands), np.array(prints, np.int64).view(np.uint64), radius, np.array(start, np.int64))
+            other = node[root]
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(node, other)), pa.array(np.minimum(node, other))], names=["a", "b"])
 
-    for batch in batches:
-        for k, i, s, b in zip(*[c.to_pylist() for c in batch.columns]):
-            if k != key:
-                if len(ids) > 1:
-                    yield made()
-                key, ids, sets, bands = k, [], [], []
-            if s:
-                ids.append(i)
-                sets.append(np.frombuffer(s, np.uint64))
-                bands.append(np.frombuffer(b, np.int64))
-    if len(ids) > 1:
-        yield made()
+        for batch in batches:
+            for k, i, root, s, b, fp in zip(*[c.to_pylist() for c in batch.columns]):
+                if k != key:
+                    if len(held) > 1:
+                        yield made()
+                    key, held = k, []
+                if s:
+                    held.append((i, root, np.frombuffer(s, np.uint64), np.frombuffer(b, np.int64), fp))
+        if len(held) > 1:
+            yield made()
 
+    rows = dealt.select(F.explode("keys").alias("key"), "id", "root", "shingles", "bands", "fp")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").filter("a > b").distinct()
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
+
+def _pairs_of_blocks(n: Column, block: int) -> Column:
+    """The keys under which a row meets every row of its group, of ``n`` rows, while no key has more than some two blocks."""
+    blocks = F.ceil(n / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("group", F.least(own, i), F.greatest(own, i)))
+
+
+def _linked(sets: DataFrame, radius: int, block: int, hot_rows: int) -> DataFrame:
+    """(node, component) over the verified links of ``sets`` (id, group, n, shingles, bands, fp)."""
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("n") / F.lit(block)).cast("int"))
+    edges = stage_table(_verified(sets.withColumns({"keys": F.array(F.xxhash64("group", own)), "root": F.col("id")}), radius), "copies-edges")
+    large = sets.filter(F.col("n") > block)
+    if large.isEmpty():
+        return components(edges, hot_rows=hot_rows)
+
+    def rooted() -> DataFrame:
+        return large.join(components(edges, hot_rows=hot_rows), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
+
+    heads = stage_table(rooted().filter("id = root").drop("n"), "copies-heads")
+    heads = join_by_count(heads, stage_table(heads.groupBy("group").agg(F.count("*").alias("n")), "copies-head-counts"), "group", hot_rows=hot_rows)
+    edges = stage_table(edges.union(_verified(heads.withColumn("keys", _pairs_of_blocks(F.col("n"), block)), radius)).distinct(), "copies-edges")
+    parts = stage_table(rooted(), "copies-rooted")
+    apart = parts.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows")).filter("least < most")
+    apart = stage_table(apart.select("group", "rows"), "copies-apart")
+    if not apart.isEmpty():
+        rest = join_by_count(parts, apart, "group", "rows", hot_rows=hot_rows)
+        edges = edges.union(_verified(rest.withColumn("keys", _pairs_of_blocks(F.col("n"), block)), radius))
+    return components(edges, hot_rows=hot_rows)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, block: int = 512, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, print, component_id) for each row of ``docs``: component_id is the least id reachable over links, the row's own included.
 
-    Rows with equal shingle sets share a component, texts without words among them. A row whose id is null gets its set's
-    component, or null if no named row has that set.
+    Rows with equal shingle sets share a component, texts without words (null, empty, blank) among them. A row whose id is null gets
+    its set's component, or null if no named row has that set. Rows that repeat an id are one node. An empty table gives none. Other columns
+    are not read, so names that clash with ours do no harm.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = stage_table(_with_bands(rows), "copies-prints")
-    reps = stage_table(prints.groupBy("print").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "copies-reps")
-    keyed = reps.filter("rep is not null").select(F.explode("bands").alias("key"), "rep")
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("key", "least")
-    stars = keyed.join(shared, "key").filter("rep > least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
-    found = components(stars)
+    made = [F.min("id").alias("rep"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("n")]
+    reps = stage_table(prints.groupBy("print").agg(*made), "copies-reps")
+    named = reps.filter("rep is not null and size(bands) > 0").select("rep", "fp", "bands")
+    span = [F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")]
+    keyed = named.select(F.explode("bands").alias("key"), "rep")
+    shared = stage_table(keyed.groupBy("key").agg(*span).filter("least < most"), "copies-bands")
+    by_print = stage_table(named.groupBy("fp").agg(*span), "copies-fingerprints")
+    near = links(by_print.select("fp", F.col("least").alias("rep")), radius, block)
+    same = join_by_count(named.select("fp", "rep"), by_print.filter("least < most"), "fp", hot_rows=hot_rows)
+    stars = join_by_count(keyed, shared, "key", hot_rows=hot_rows).select("rep", "least").union(same.select("rep", "least")).filter("rep > least")
+    found = components(stars.union(near).toDF("a", "b").distinct(), hot_rows=hot_rows)
     members = stage_table(found.union(found.select("component", "component")).distinct().toDF("id", "group"), "copies-groups")
-    blocks = F.ceil(F.col("count") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("group", F.least(own, i), F.greatest(own, i)))
-    dealt = members.join(members.groupBy("group").count(), "group").select("id", pair.alias("keys"))
-    sets = _with_sets(rows.join(dealt, "id")).select(F.explode("keys").alias("key"), "id", "shingles", "bands")
-    edges = sets.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long").filter("a > b").distinct()
-    joined = components(edges)
-    classes = reps.join(joined, reps["rep"] == joined["node"], "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "print").select(F.col("id").alias(id_col), "print", "component_id")
+    members = stage_table(join_by_count(members, stage_table(members.groupBy("group").agg(F.count("*").alias("n")), "copies-counts"), "group", hot_rows=hot_rows), "copies-members")
+    sets = stage_table(_with_sets(rows.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "id")), "copies-sets")
+    joined = _linked(sets, radius, block, hot_rows)
+    classes = reps.join(joined, reps["rep"] == joined["node"], "left").select("print", F.coalesce("component", "rep").alias("component_id"), "n")
+    return join_by_count(prints.select("id", "print"), classes, "print", hot_rows=hot_rows).select(F.col("id").alias(id_col), "print", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its group of near copies; of rows that repeat an id, one stays.
 
-    Rows with a null id stay only if no named row has their shingle set, one of each set.
+    Rows with a null id stay only if no named row has their shingle set, one of each set. Other columns stay as they are.
     """
-    found = stage_table(near_copies(docs, id_col, text_col, block), "copies-components")
+    found = stage_table(near_copies(docs, id_col, text_col, **options), "copies-components")
     return keep_least(docs, found, id_col, "print", lambda rows, out: with_prints(rows, text_col, out))

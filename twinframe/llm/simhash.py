@@ -24,30 +24,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes, stage_table
+from .common import BROADCAST_IDS, HOT_ROWS, append_columns, as_bytes, join_by_count, stage_table
 
 SEED = 42
 #: Estimated seconds for a probe row (shuffled, sorted) and for a candidate pair (verified).
 PROBE_S, PAIR_S = 1.2e-6, 3e-8
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """The unsigned 64-bit SimHash of one text; 0 without words."""
+def shingle_digests(text: bytes | None, shingle: int) -> list[bytes]:
+    """The 8-byte digest of each shingle of one text, repeats included; a shorter text is one shingle, one without words has none."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = np.concatenate(([0], gaps + 1))
-    ends = np.append(gaps, len(joined))
     k = min(shingle, len(words))
-    starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
+    starts = np.concatenate(([0], gaps + 1))[: len(words) - k + 1].tolist()
+    ends = np.append(gaps, len(joined))[k - 1 :].tolist()
     digest = xxhash.xxh64_digest
+    return [digest(joined[s:e], SEED) for s, e in zip(starts, ends)]
+
+
+def majority(digests: list[bytes]) -> int:
+    """The unsigned 64-bit number whose bits are set in over half of the digests; 0 for none."""
+    if not digests:
+        return 0
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 1 << 16):
-        raw = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
+    for at in range(0, len(digests), 1 << 16):
+        raw = np.frombuffer(b"".join(digests[at : at + (1 << 16)]), np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(digests)).tobytes(), "big")
+
+
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """The unsigned 64-bit SimHash of one text; 0 without words."""
+    return majority(shingle_digests(text, shingle))
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = 4) -> DataFrame:
@@ -173,7 +184,7 @@ def links(prints: DataFrame, radius: int = 4, block: int = 512) -> DataFrame:
     blocks = F.ceil(F.col("count") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("key", F.least(own, i), F.greatest(own, i)))
-    dealt = keyed.join(hot, "key", "left").select(F.explode(F.when(F.col("count").isNull(), F.array("key")).otherwise(pair)).alias("key"), "fp", "rep")
+    dealt = join_by_count(keyed, hot, "key", "count", "left").select(F.explode(F.when(F.col("count").isNull(), F.array("key")).otherwise(pair)).alias("key"), "fp", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
@@ -195,16 +206,23 @@ def links(prints: DataFrame, radius: int = 4, block: int = 512) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the least node reachable, for each node that has an edge. Alternating large and small stars."""
+def components(edges: DataFrame, rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(node, component): the least node reachable, for each node that has an edge. Alternating large and small stars.
+
+    A node with more edges than ``hot_rows`` (the hub of a star) meets its minimum without a shuffle of its edges.
+    """
+    size = 0
+
+    def meet(e: DataFrame, least: DataFrame) -> DataFrame:
+        return e.join(least, "a") if 2 * size <= hot_rows else join_by_count(e, stage_table(least, "edges-least"), "a", hot_rows=hot_rows)
 
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        return meet(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
     def small(e: DataFrame) -> DataFrame:
-        joined = e.join(e.groupBy("a").agg(F.min("b").alias("m")), "a")
+        joined = meet(e, e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         ends = F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         return joined.select(ends).select("e.a", "e.b").filter("a > b").distinct()
 
@@ -212,7 +230,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = stage_table(edges.filter("a > b"), "edges")
     before = mark(edges)
     for _ in range(rounds):
-        edges = stage_table(small(large(edges)), "edges")
+        size = before[0]
+        stars = large(edges)
+        edges = stage_table(small(stars if 2 * size <= hot_rows else stage_table(stars, "edges-large")), "edges")
         now = mark(edges)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -220,18 +240,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, block: int = 512, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, fp, component_id) for each row of ``docs``.
 
     component_id is the least id reachable over links, the row's own included. Rows without words (null or empty text) have the
     fingerprint 0 and link like any other. Rows with the same fingerprint share a component, repeated rows included. A row
     whose id is null gets its fingerprint's component, or null if no id is reachable at that fingerprint. An empty table gives none.
+    Other columns of ``docs`` are not read, so names that clash with ours do no harm.
     """
     prints = stage_table(with_fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle=shingle).select("id", "fp"), "simhash-prints")
-    reps = stage_table(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
-    joined = components(links(reps.filter("rep is not null"), radius, block))
-    classes = reps.join(joined, reps["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    reps = stage_table(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "simhash-reps")
+    joined = components(links(reps.filter("rep is not null").select("fp", "rep"), radius, block), hot_rows=hot_rows)
+    classes = reps.join(joined, reps["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n")
+    return join_by_count(prints, classes, "fp", hot_rows=hot_rows).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -243,10 +264,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return keep_least(docs, found, id_col, "fp", lambda rows, out: with_fingerprints(rows, text_col, out, options.get("shingle", 4)))
 
 
-def keep_least(docs: DataFrame, found: DataFrame, id_col: str, print_col: str, add_prints: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """One row for each component of ``found`` (id, print, component_id), by ``add_prints`` also for rows without an id."""
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, print_col: str, add_prints: Callable[[DataFrame, str], DataFrame], broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """One row for each component of ``found`` (id, print, component_id), by ``add_prints`` also for rows without an id.
+
+    Up to ``broadcast_ids`` ids that go are broadcast, so no text is moved; more meet the documents in a shuffle by id.
+    """
     drop = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(drop, id_col, "left_anti")
+    few = drop.count() <= broadcast_ids
+    kept = docs.join(F.broadcast(drop) if few else drop, id_col, "left_anti")
     named = found.filter(F.col(id_col).isNull()).isEmpty()
     if not named:
         lone = found.groupBy(print_col).agg(F.max("component_id").alias("c")).filter("c is null").select(F.col(print_col).alias("__print"))
