@@ -94,7 +94,7 @@ def test_hot_keys_give_the_same(spark):
     rows = corpus() + [(500 + i, None, "en", "s", 0) for i in range(40)]
     want = plain_components(rows)
     for hot in (2, 1000):
-        got = {(r[0], r[1] % (1 << 64), r[2]) for r in simhash.near_duplicates(frame(spark, rows), block=3, hot_rows=hot).collect()}
+        got = {(r[0], r[1] % (1 << 64), r[2]) for r in simhash.near_duplicates(frame(spark, rows), block=3, hub=hot, hot_rows=hot).collect()}
         assert got == want
     star = spark.createDataFrame([(i, 1) for i in range(2, 60)] + [(i, i - 1) for i in range(100, 140)], "a long, b long")
     for hot in (5, 1000):

@@ -1,6 +1,8 @@
 import re
+from itertools import combinations, product
 
 from twinframe.llm import url_filter as U
+from twinframe.llm.common import join_by_count
 
 PAGES = "page_id long, url string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -28,24 +30,66 @@ def test_fixed_rules(spark):
         assert got[i] == (host, path, rule, verdict or "allow")
 
 
+def enumerated(sets, bad, min_rows, min_support=0.002, min_confidence=0.5, min_lift=1.5):
+    """{antecedent: (confidence, support)} over all token sets of the labelled rows, without those that a subset makes useless."""
+    total, base, rules = len(sets), len(bad) / len(sets), {}
+    counts = {}
+    for i, s in sets.items():
+        for size in range(1, len(s) + 1):
+            for part in combinations(sorted(s), size):
+                n, k = counts.get(part, (0, 0))
+                counts[part] = (n + 1, k + (i in bad))
+    for part, (n, k) in counts.items():
+        if k >= max(min_rows, min_support * total) and k / n >= min_confidence and k / n / base >= min_lift:
+            rules[part] = (k / n, k / total)
+    return {p: v for p, v in rules.items() if not any((q := tuple(x for x in p if x != y)) in rules and rules[q][0] >= v[0] for y in p)}
+
+
+def token_table(pages):
+    host, path = U.host_and_path(U.F.col("url"))
+    return pages.withColumns({"h": host, "p": path}).withColumn("tokens", U.url_tokens(U.F.col("url"), U.F.col("h"), U.F.col("p")))
+
+
 def test_mined_rules_match_like_enumeration(spark):
-    rows = [(i, f"https://{('bad' if i % 4 == 0 else 'good') + str(i % 3)}.site.net/{('spam' if i % 8 == 0 else 'news')}/{i}" + ("?ref=x" if i % 5 == 0 else "")) for i in range(400)]
+    rows = [(i, f"https://{('bad' if i % 4 == 0 else 'good') + str(i % 3)}.site.net/{('spam/x' if i % 8 == 0 else 'news')}/{i}" + ("?ref=x" if i % 5 == 0 else "")) for i in range(400)]
     labels = [(i, 0 if i % 4 == 0 and i % 12 else 1, 0) for i in range(0, 400)]
     pages, known = spark.createDataFrame(rows, PAGES).repartition(3), spark.createDataFrame(labels, LABELS)
-    host, path = U.host_and_path(U.F.col("url"))
-    tokens = pages.withColumns({"h": host, "p": path}).withColumn("tokens", U.url_tokens(U.F.col("url"), U.F.col("h"), U.F.col("p")))
-    rules = U.mine_rules(tokens.join(known, tokens.page_id == known.doc_id).selectExpr("tokens", "quality = 0 as bad"), min_support=0.01)
-    mined = [(set(r.antecedent), r.confidence, r.support) for r in rules.collect()]
-    assert mined
+    tokens = token_table(pages)
+    rules, classes = U.mine_rules(tokens.join(known, tokens.page_id == known.doc_id).selectExpr("tokens", "quality = 0 as bad"), min_support=0.01)
+    members = {}
+    for r in classes.collect():
+        members.setdefault(r.item, []).append(r.token)
+    assert max(map(len, members.values())) > 1
+    mined = {tuple(sorted(choice)): (r.confidence, r.support) for r in rules.collect() for choice in product(*[members[x] for x in r.antecedent])}
     sets = {r.page_id: set(r.tokens) for r in tokens.collect()}
-    bad = {i for i, q, _ in labels if q == 0}
-    for have, confidence, support in mined:
-        fits = [i for i, s in sets.items() if have <= s]
-        assert abs(confidence - sum(i in bad for i in fits) / len(fits)) < 1e-9 and abs(support - sum(i in bad for i in fits) / 400) < 1e-9
+    want = enumerated(sets, {i for i, q, _ in labels if q == 0}, 10, 0.01)
+    assert mined.keys() == want.keys() and mined
+    assert all(abs(a - b) < 1e-9 for p in want for a, b in zip(mined[p], want[p]))
     got = {r.page_id: (r.verdict, r.confidence) for r in U.judge_urls(pages, known, min_support=0.01).collect()}
     for i, s in sets.items():
-        sure = [c for have, c, _ in mined if have <= s]
-        assert got[i] == (("block", max(sure)) if sure else ("allow", None))
+        sure = [c for have, (c, _) in want.items() if s.issuperset(have)]
+        assert got[i][0] == ("block" if sure else "allow") and (not sure or abs(got[i][1] - max(sure)) < 1e-9)
+
+
+def test_long_templates_are_one_item(spark):
+    deep = "/".join(f"seg{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    rows = [(i, f"https://a.net/{deep}/{i}" if i % 5 == 0 else f"https://b.net/p/{i}") for i in range(100)] + [(200, f"http://c.net/{deep}x"), (201, None), (202, None)]
+    labels = [(i, 0 if i % 5 == 0 else 1, 0) for i in range(100)]
+    pages, known = spark.createDataFrame(rows, PAGES), spark.createDataFrame(labels, LABELS)
+    got = {r.page_id: (r.verdict, r.mined) for r in U.judge_urls(pages, known).collect()}
+    assert all(got[i][0] == ("block" if i % 5 == 0 else "allow") for i in range(100)) and len(got[0][1]) == 41
+    assert got[200][0] == "block" and len(got[200][1]) == 39 and got[201] == ("allow", None)  # a part of the template is enough
+
+
+def test_hot_sets_give_the_same(spark, monkeypatch):
+    rows = [(i, None if i % 3 == 0 else f"https://bad.net/{i % 2}/a" if i % 3 == 1 else f"https://good.net/{i}") for i in range(300)]
+    labels = [(i, 0 if i % 3 == 1 else 1, 0) for i in range(300)]
+    pages, known = spark.createDataFrame(rows, PAGES), spark.createDataFrame(labels, LABELS)
+    want = sorted(map(str, U.judge_urls(pages, known).collect()))
+    small = U._small_or_by_count
+    monkeypatch.setattr(U, "_small_or_by_count", lambda a, b, key: small(a, b, key, 0))
+    monkeypatch.setattr(U, "join_by_count", lambda *a, **k: join_by_count(*a, **{**k, "hot_rows": 5}))
+    assert sorted(map(str, U.judge_urls(pages, known).collect())) == want
 
 
 def test_edges(spark):

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A key with more rows than this may be hot, and at most HOT_KEYS keys are: their facts are broadcast.
-HOT_ROWS, HOT_KEYS = 50_000, 1000
+#: A key with more than 1 / HOT_KEYS of all rows, and more than this, is hot: its facts are broadcast.
+HOT_ROWS, HOT_KEYS = 256, 1000
 #: Ids (longs) that are broadcast at most; more are shuffled.
 BROADCAST_IDS = 1_000_000
 

@@ -159,10 +159,10 @@ def _linked(sets: DataFrame, radius: int, block: int, hot_rows: int) -> DataFram
     edges = stage_table(_verified(sets.withColumns({"keys": F.array(F.xxhash64("group", own)), "root": F.col("id")}), radius), "copies-edges")
     large = sets.filter(F.col("n") > block)
     if large.isEmpty():
-        return components(edges, hot_rows=hot_rows)
+        return components(edges)
 
     def rooted() -> DataFrame:
-        return large.join(components(edges, hot_rows=hot_rows), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
+        return large.join(components(edges), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
 
     heads = stage_table(rooted().filter("id = root").drop("n"), "copies-heads")
     heads = join_by_count(heads, stage_table(heads.groupBy("group").agg(F.count("*").alias("n")), "copies-head-counts"), "group", hot_rows=hot_rows)
@@ -173,7 +173,7 @@ def _linked(sets: DataFrame, radius: int, block: int, hot_rows: int) -> DataFram
     if not apart.isEmpty():
         rest = join_by_count(parts, apart, "group", "rows", hot_rows=hot_rows)
         edges = edges.union(_verified(rest.withColumn("keys", _pairs_of_blocks(F.col("n"), block)), radius))
-    return components(edges, hot_rows=hot_rows)
+    return components(edges)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, block: int = 512, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -195,7 +195,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = links(by_print.select("fp", F.col("least").alias("rep")), radius, block)
     same = join_by_count(named.select("fp", "rep"), by_print.filter("least < most"), "fp", hot_rows=hot_rows)
     stars = join_by_count(keyed, shared, "key", hot_rows=hot_rows).select("rep", "least").union(same.select("rep", "least")).filter("rep > least")
-    found = components(stars.union(near).toDF("a", "b").distinct(), hot_rows=hot_rows)
+    found = components(stars.union(near).toDF("a", "b").distinct())
     members = stage_table(found.union(found.select("component", "component")).distinct().toDF("id", "group"), "copies-groups")
     members = stage_table(join_by_count(members, stage_table(members.groupBy("group").agg(F.count("*").alias("n")), "copies-counts"), "group", hot_rows=hot_rows), "copies-members")
     sets = stage_table(_with_sets(rows.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "id")), "copies-sets")
