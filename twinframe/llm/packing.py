@@ -10,6 +10,7 @@ executors, and rank ranges map to (pattern, copy, slot), so each item finds its
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,39 +22,91 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, stage_table
 
-CACHE = 600_000
-_tokenizers: dict = {}
+#: Bytes of remembered chunks (with some 180 for the objects of each), and of the longest chunk that is remembered.
+CACHE_BYTES, LONGEST = 128_000_000, 64
+#: Chunks that are encoded as one text, with a special token between them.
+JOINED = 32
+_TAIL = re.compile(rb"(?<=[a-z0-9])[.,;:!?]+\Z")
+_encoders: dict[str, ChunkEncoder] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+class ChunkEncoder:
+    """Encodes texts by their chunks between ASCII white space.
+
+    The vocabulary ignores case and drops white space, so a text's ids are those of its chunks, each encoded by itself; and those of a
+    chunk that ends with stops after an ASCII letter or digit are those of its two parts, as a run of marks is a word of its own. Texts that
+    may hold a special token go through whole.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tok = Tokenizer.from_file(path)
+        special = [(i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.normalized)]
+        self.mark_id, self.mark = special[-1] if special else (None, "")
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        texts = [c.decode() for c in chunks]
+        if self.mark_id is None:
+            return [x.tobytes() for x in self._ids(texts)]
+        out: list[bytes] = []
+        for at, ids in zip(range(0, len(texts), JOINED), self._ids([f" {self.mark} ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)])):
+            cuts = np.flatnonzero(ids == self.mark_id).tolist()
+            part = texts[at : at + JOINED]
+            if len(cuts) == len(part) - 1:
+                raw = ids.tobytes()
+                out += [raw[4 * lo : 4 * hi] for lo, hi in zip([0, *[c + 1 for c in cuts]], [*cuts, len(ids)])]
+            else:  # a chunk that makes the token itself
+                out += [x.tobytes() for x in self._ids(part)]
+        return out
+
+    def _learn(self, chunks: set[bytes]) -> list[bytes]:
+        """Put chunks into ``known``; returns those that are too long to stay."""
+        tails = {c: m.start() for c in chunks if (m := _TAIL.search(c))}
+        need = [c for c in {c[: tails[c]] if c in tails else c for c in chunks} | {c[at:] for c, at in tails.items()} if c not in self.known]
+        for at in range(0, len(need), 20_000):
+            part = need[at : at + 20_000]
+            self.known.update(zip(part, self._encode(part)))
+        for c, at in tails.items():
+            self.known[c] = self.known[c[:at]] + self.known[c[at:]]
+        new = [*need, *tails]
+        self.held += sum(len(c) + len(self.known[c]) + 180 for c in new)
+        return [c for c in new if len(c) > LONGEST]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        chunks = [None if b"<|" in t else t.lower().split() for t in texts]
+        found = [cs and list(map(self.known.get, cs)) for cs in chunks]
+        missing = {c for cs, vs in zip(chunks, found) if cs and None in vs for c, v in zip(cs, vs) if v is None}
+        long = self._learn(missing) if missing else []
+        get = self.known.__getitem__
+        out = []
+        for t, cs, vs in zip(texts, chunks, found):
+            if cs is None:
+                out.append(self._ids([t.decode()])[0].tobytes())
+            else:
+                out.append(b"".join([get(c) if v is None else v for c, v in zip(cs, vs)] if None in vs else vs))
+        for c in long:
+            self.held -= len(c) + len(self.known.pop(c)) + 180
+        if self.held > CACHE_BYTES:  # frequent chunks are in this batch and stay
+            recent = {c: self.known[c] for cs in chunks if cs for c in cs if c in self.known}
+            self.known, self.held = recent, sum(len(c) + len(v) + 180 for c, v in recent.items())
+            if self.held > CACHE_BYTES // 2:
+                self.known, self.held = {}, 0
+        return out
 
 
 def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers.
-
-    The vocabulary ignores case and drops white space, so a text's ids are those of its chunks between ASCII white space, and
-    chunks are encoded once and remembered (at most CACHE of them). Texts that may hold a special token go through whole.
-    """
-    tok, known = _tokenizer(path)
-    chunks = [None if b"<|" in t else t.lower().split() for t in texts]
-    new = list({c for cs in chunks if cs for c in cs if c not in known})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for chunk, enc in zip(part, tok.encode_batch([c.decode() for c in part], add_special_tokens=False)):
-            known[chunk] = np.array(enc.ids, "<u4").tobytes()
-    get = known.__getitem__
-    out = [np.array(tok.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() if cs is None else b"".join(map(get, cs)) for t, cs in zip(texts, chunks)]
-    if len(known) > CACHE:  # frequent chunks are in this batch and stay
-        recent = {c: known[c] for cs in chunks if cs for c in cs}
-        known.clear()
-        known.update(recent)
-    return out
+    """Each text's ids as little-endian unsigned 32-bit integers, by the tokenizer file ``path``."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path](texts)
 
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -175,7 +228,9 @@ def _slots(units: int):
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, units: int = 128, group: int = 200_000, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents with sequence_id (from 0, gapless) and offset in the sequence (from 0, gapless).
 
-    Items of a width are ranked in groups of some ``group`` pieces. Null and empty texts give a piece that holds only ``end_id``. Repeated rows are packed each for itself. An empty table gives none.
+    Items of a width are ranked in groups of some ``group`` pieces. Null and empty texts give a piece that holds only ``end_id``. Repeated
+    rows, and rows with a null id, are packed each for itself; an empty table gives none. Other columns of ``docs`` are not read, so clashing names
+    do no harm.
     """
     grid = capacity // units
     items = pieces(docs, vocabulary, id_col, text_col, capacity, end_id, with_ids)
