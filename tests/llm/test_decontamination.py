@@ -104,3 +104,15 @@ def test_removal_does_not_depend_on_blocks(spark):
     texts = dict(cut)
     assert all(not set(words(texts[i])) & set(words_) for i in range(6))
     assert words(texts[50]) == ["x", "y"] and texts[60] is None
+
+
+def test_a_phrase_of_many_items_is_dealt_out(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    items = [(i, passage) for i in range(40)] + [(90, "Only three words")]
+    rows = [(1, f"a {passage} b", "en", "s", 1), (2, "clean", "en", "s", 1), (3, "x only three words", "en", "s", 1)]
+    parts = D.test_phrases(spark.createDataFrame(items, BENCH), items=7).collect()
+    assert max(len(r["items"]) for r in parts) < 20 and len({(r["phrase"], r["part"]) for r in parts}) == len(parts) > 4
+    want = sorted((i, *plain(t, items)) for i, t, *_ in rows)
+    for block in (200_000, 30):
+        got = D.find_contamination(frame(spark, rows), spark.createDataFrame(items, BENCH), phrase_block=block).selectExpr("doc_id", "n_words", "n_hit", "size(items) n", "sha2(array_join(items, ','), 256) h")
+        assert sorted(map(tuple, got.collect())) == want

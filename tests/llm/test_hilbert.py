@@ -14,8 +14,8 @@ def test_neighbours_on_the_curve_are_neighbours_in_space(spark, dims, bits):
     points = list(product(range(1 << bits), repeat=dims))
     names = [f"d{i}" for i in range(dims)]
     table = spark.createDataFrame(points, ", ".join(f"{n} long" for n in names)).coalesce(1)
-    order = [tuple(r[:dims]) for r in table.withColumn("h", H.hilbert_index([F.col(n) for n in names], bits)).orderBy("h").collect()]
-    at = [r.h for r in table.select(H.hilbert_index([F.col(n) for n in names], bits).alias("h")).collect()]
+    order = [tuple(r[:dims]) for r in H.with_hilbert_index(table, [F.col(n) for n in names], bits, "h").orderBy("h").collect()]
+    at = [r.h for r in H.with_hilbert_index(table, [F.col(n) for n in names], bits, "h").collect()]
     assert sorted(at) == list(range(len(points)))
     assert all(sum(abs(a - b) for a, b in zip(p, q)) == 1 for p, q in zip(order, order[1:]))
 
@@ -44,3 +44,9 @@ def test_edges(spark):
     assert H.assign_shards(spark.createDataFrame([], DOCS), ["doc_id", "lang"], ["doc_id"], 5).collect() == []
     odd = frame(spark, corpus()).selectExpr("*", "1 as shard", "'s' as slot", "2 as hilbert", "cast(null as double) as v")
     assert H.assign_shards(odd, ["v", "lang"], ["doc_id"], 5).count() == len(corpus())
+
+
+def test_repeated_rows_take_distinct_slots(spark):
+    rows = frame(spark, corpus()[:5] * 40)
+    got = H.assign_shards(rows, ["doc_id", "lang"], ["doc_id"], 7).collect()
+    assert len({(r.shard, r.slot) for r in got}) == len(got) == 200

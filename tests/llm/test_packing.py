@@ -72,3 +72,22 @@ def test_knapsack_against_enumeration():
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), VOCABULARY).collect() == []
+
+
+def test_remembered_chunks_are_bounded(monkeypatch):
+    tok = Tokenizer.from_file(VOCABULARY)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 30_000)
+    monkeypatch.setattr(packing, "JOINED", 7)
+    encoder, rng = packing.ChunkEncoder(VOCABULARY), np.random.default_rng(4)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the.", "ab", "字" * 90, "é,", "x" * 70], 9).tolist() + [f"w{n}q{n}." for n in rng.integers(0, 10**6, 20)]) for _ in range(4)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert encoder.held == sum(len(c) + len(v) + 180 for c, v in encoder.known.items()) <= 30_000
+        assert all(len(c) <= packing.LONGEST for c in encoder.known)
+
+
+def test_clashing_columns_and_null_ids(spark):
+    rows = [(None, "a b c", "en", "s", 1), (None, None, None, None, None), (5, "d", "en", "s", 1)]
+    odd = frame(spark, rows).selectExpr("*", "1 as id", "2 as width", "3 as salt", "4 as sequence_id")
+    got = packing.pack(odd, VOCABULARY).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["5", "None", "None"] and {r.doc_tokens for r in got} == {4, 1, 2}

@@ -54,3 +54,30 @@ def test_edges(spark):
     assert len(got) == len(corpus()) and {r.score for r in got} == {0.5}
     one_class = spark.createDataFrame([(i, 1, 0) for i in range(30)], LABELS)
     assert len({r.score for r in C.score_quality(odd, one_class).collect()}) == 1
+
+
+def test_more_labels_than_train_rows(spark):
+    rows, labels = labelled()
+    got = C.score_quality(frame(spark, rows + rows[:50]), spark.createDataFrame(labels, LABELS), train_rows=200).collect()
+    assert len(got) == 650
+    held = [r for r in got if r.held_out]
+    assert np.mean([r.predicted == (r.doc_id % 3 > 0) for r in held]) > 0.9
+
+
+def test_long_words_count_whole_and_are_not_remembered(monkeypatch):
+    a, b = b"ab-" * 5000 + b"X9", b"ab-" * 5000 + b"X!"
+    assert C.word_buckets(a)[1] != C.word_buckets(b)[1] and C.word_buckets(a)[0] != C.word_buckets(b)[0]
+    monkeypatch.setattr(C, "CACHE_BYTES", 20_000)
+    rng = random.Random(4)
+    for _ in range(30):
+        texts = [sentence(rng, 60).encode() + b" " + a for _ in range(5)]
+        letters, shapes, sizes = C._bucket_lists(texts)
+        want = [C.word_buckets(w) for t in texts for w in t.split()]
+        assert list(zip(letters.tolist(), shapes.tolist())) == want and sizes.sum() == len(want)
+        assert a not in C._known and C._held <= 20_000
+
+
+def test_very_long_text(spark):
+    rows, labels = labelled(120)
+    got = C.score_quality(frame(spark, rows + [(900, "word " * 200_000, "en", "s", 1), (901, "x" * 500_000, "en", "s", 1), (None, None, None, None, None)]), spark.createDataFrame(labels, LABELS)).collect()
+    assert len(got) == 123 and all(0 <= r.score <= 1 for r in got)

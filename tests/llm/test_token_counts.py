@@ -49,3 +49,15 @@ def test_query(spark):
     assert C.with_token_counts(spark.createDataFrame([], DOCS), MODEL).collect() == []
     odd = frame(spark, rows).selectExpr("*", "'x' as n_tokens")
     assert C.with_token_counts(odd, MODEL).filter("doc_id = 21 and n_tokens is null").count() == 0
+
+
+def test_long_words_null_ids_and_bounded_memory(spark, monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(None, "a bc", "en", "s", 1), (1, "x" * 100_000 + " y", "en", "s", 1), (2, "é" * 3000, "en", "s", 1)]
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in C.with_token_counts(frame(spark, rows), path).collect()}
+    counter = C.UnigramCounter(C.vocabulary(path))
+    assert got == {i: counter.count_text(t) for i, t, *_ in rows}
+    assert all(len(w) <= C.LONGEST for w in counter.known)
+    monkeypatch.setattr(C, "CACHE_BYTES", 2000)
+    counter.count_text(" ".join(f"w{i}" for i in range(500)))
+    assert not counter.known and counter.held == 0

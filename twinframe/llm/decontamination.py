@@ -3,7 +3,7 @@
 A shard is a run of documents that one task holds (some ``shard_words`` words). Words that no benchmark item has cannot lie in an
 occurrence, so they and runs shorter than the shortest phrase become separators; the rest is indexed, every test phrase is searched
 backwards through the wavelet ranks, occurrences are located from sampled suffix positions, and hit spans of a document are merged.
-Test phrases are sent to the tasks in blocks of at most ``phrase_block``, each block one pass over the documents.
+Test phrases are sent to the tasks in blocks of some ``phrase_block`` (phrase, item) pairs, each block one pass over the documents.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, stage_table
+from .common import as_bytes, join_by_count, stage_table
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -29,8 +29,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
-def test_phrases(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(phrase, items): each distinct window of ``window`` words with the ids of its items; a shorter item is one window. Null and empty items have none."""
+def test_phrases(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, items: int = 1000) -> DataFrame:
+    """(phrase, part, items): each distinct window of ``window`` words with the ids of its items; a shorter item is one window.
+
+    The ids of a phrase that very many items share are dealt out to parts of some ``items``. Null and empty items have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,7 +46,10 @@ def test_phrases(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(items, pa.string())], names=["phrase", "item"])
 
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).filter("i is not null").mapInArrow(run, "phrase string, item string")
-    return rows.groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    rows = stage_table(rows.distinct(), "phrase-items")
+    counts = stage_table(rows.groupBy("phrase").agg(F.count("*").alias("n")), "phrase-counts")
+    part = F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / F.lit(items)).cast("int")).alias("part")
+    return join_by_count(rows, counts, "phrase").select("phrase", part, "item").groupBy("phrase", "part").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 class Phrases:
@@ -101,10 +107,11 @@ def word_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
 
 
 def _blocks(phrases: DataFrame, size: int) -> Iterator[Phrases]:
-    """The staged table ``phrases`` in blocks."""
-    n = max(1, -(-phrases.count() * 5 // (size * 4)))
+    """The staged table ``phrases`` in blocks of some ``size`` ids of items, each with its phrase: what the driver holds at once."""
+    entries = phrases.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
+    n = max(1, -(-entries * 5 // (size * 4)))
     for k in range(n):
-        rows = phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(n)) == k).collect()  # some 0.8 x size rows
+        rows = phrases.filter(F.pmod(F.xxhash64("phrase", "part"), F.lit(n)) == k).select("phrase", "items").collect()  # some 0.8 x size ids
         yield Phrases(sorted((r["phrase"], r["items"]) for r in rows))
 
 

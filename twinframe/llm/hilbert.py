@@ -39,40 +39,35 @@ def quantise(df: DataFrame, dims: list[str], bits: int, accuracy: int = 1000) ->
     return out
 
 
-def hilbert_index(cells: list[Column], bits: int) -> Column:
-    """The position on the curve of a point with one ``bits``-bit coordinate for each dimension.
+def with_hilbert_index(df: DataFrame, cells: list[Column], bits: int, out: str = "hilbert") -> DataFrame:
+    """``df`` with the position on the curve of a point with one ``bits``-bit coordinate for each dimension.
 
-    The published transpose algorithm: undo the excess work of each bit from the top down, Gray-encode, then interleave.
+    The published transpose algorithm, one projection for each step so that no expression is written out twice: undo the excess work of
+    each bit from the top down, Gray-encode, then interleave.
     """
     n = len(cells)
-    steps = F.array(*[F.struct(F.lit(1 << b).cast("long").alias("q"), F.lit(i).alias("i")) for b in range(bits - 1, 0, -1) for i in range(n)])
-
-    def undo(x: Column, s: Column) -> Column:
-        low, own = s["q"] - 1, F.element_at(x, s["i"] + 1)
-        swap = F.when(own.bitwiseAND(s["q"]) != 0, F.lit(0).cast("long")).otherwise(F.element_at(x, 1).bitwiseXOR(own).bitwiseAND(low))
-        flip = F.when(own.bitwiseAND(s["q"]) != 0, low).otherwise(F.lit(0).cast("long"))
-        return F.transform(x, lambda v, j: F.when(j == 0, v.bitwiseXOR(flip).bitwiseXOR(swap)).when(j == s["i"], v.bitwiseXOR(swap)).otherwise(v))
-
-    # For i = 0 the swap is x0 ^ x0 = 0, so only the flip applies.
-    undone = F.aggregate(steps, F.array(*cells), undo) if bits > 1 else F.array(*cells)
-    gray = F.aggregate(
-        F.sequence(F.lit(1), F.lit(n - 1)) if n > 1 else F.array().cast("array<int>"),
-        undone,
-        lambda x, i: F.transform(x, lambda v, j: F.when(j == i, v.bitwiseXOR(F.element_at(x, i))).otherwise(v)),
-    )
-    last = F.element_at(gray, -1)
-    turn = F.aggregate(
-        F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)]).cast("array<long>"),
-        F.lit(0).cast("long"),
-        lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t),
-    )
-    places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
-    return F.aggregate(
-        places,
-        F.struct(F.lit(0).cast("long").alias("h"), gray.alias("x"), turn.alias("t")),
-        lambda a, p: F.struct((a["h"] * 2 + (F.call_function("shiftright", F.element_at(a["x"], p["i"] + 1).bitwiseXOR(a["t"]), p["b"]).bitwiseAND(F.lit(1).cast("long")))).alias("h"), a["x"].alias("x"), a["t"].alias("t")),
-        lambda a: a["h"],
-    )
+    x = [f"__x{i}" for i in range(n)]
+    made = df.withColumns(dict(zip(x, cells)))
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(n):
+            first, own = F.col(x[0]), F.col(x[i])
+            up, swap = own.bitwiseAND(F.lit(q)) != 0, first.bitwiseXOR(own).bitwiseAND(F.lit(q - 1))
+            step = {x[0]: F.when(up, first.bitwiseXOR(F.lit(q - 1))).otherwise(first.bitwiseXOR(swap))}
+            if i:
+                step[x[i]] = F.when(up, own).otherwise(own.bitwiseXOR(swap))
+            made = made.withColumns(step)
+    for i in range(1, n):
+        made = made.withColumn(x[i], F.col(x[i]).bitwiseXOR(F.col(x[i - 1])))
+    turn = F.lit(0).cast("long")
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        turn = turn.bitwiseXOR(F.when(F.col(x[-1]).bitwiseAND(F.lit(q)) != 0, F.lit(q - 1)).otherwise(F.lit(0)).cast("long"))
+    made = made.withColumn("__turn", turn)
+    index = F.lit(0).cast("long")
+    for b in range(bits - 1, -1, -1):
+        for i in range(n):
+            bit = F.shiftright(F.col(x[i]).bitwiseXOR(F.col("__turn")), b).bitwiseAND(F.lit(1).cast("long"))
+            index = index * 2 + bit
+    return made.withColumn(out, index).drop(*x, "__turn")
 
 
 def assign_shards(df: DataFrame, dims: list[str], ties: list[str], n_shards: int, bits: int = 5, ranges: int | None = None) -> DataFrame:
@@ -83,8 +78,8 @@ def assign_shards(df: DataFrame, dims: list[str], ties: list[str], n_shards: int
     sort first. Input columns named like an output are replaced. An empty table gives none.
     """
     made = ("hilbert", "shard", "slot")
-    rows = df.drop(*made)
-    rows = rows.withColumn("hilbert", hilbert_index(quantise(rows, dims, bits), bits))
+    rows = stage_table(df.drop(*made), "hilbert-input")  # is read for the quantiles and for the index
+    rows = stage_table(with_hilbert_index(rows, quantise(rows, dims, bits), bits), "hilbert-index")  # is read to sample the ranges and to deal
     order = [F.col("hilbert"), *[F.col(t) for t in ties]]
     spread = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
     spread = stage_table(spread.withColumn("__part", F.spark_partition_id()), "hilbert-rows")

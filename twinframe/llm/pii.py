@@ -28,8 +28,16 @@ _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 #: What a kind scores by itself, and words that within CONTEXT characters before or after add or take 0.4.
 START = {"iban": 0.8, "secret": 0.3, "ssn": 0.3}
-NEAR = {"iban": ("iban", "account", "bank"), "secret": ("token", "secret", "password", "key", "credential"), "ssn": ("ssn", "social", "security")}
-FAR = {"iban": ("example", "invalid"), "secret": ("checksum", "sha1", "sha256", "md5", "commit"), "ssn": ("part", "serial", "order")}
+NEAR = {
+    "iban": ("iban", "account", "bank", "bic", "swift", "transfer", "payee", "konto", "cuenta", "compte"),
+    "secret": ("token", "tokens", "secret", "secrets", "password", "passwd", "pwd", "key", "keys", "apikey", "credential", "credentials", "auth", "bearer", "authorization", "private", "access"),
+    "ssn": ("ssn", "social", "security", "taxpayer", "tin", "itin"),
+}
+FAR = {
+    "iban": ("example", "invalid", "sample", "placeholder"),
+    "secret": ("checksum", "sha", "sha1", "sha256", "sha512", "md5", "commit", "digest", "hash", "fingerprint", "revision", "etag"),
+    "ssn": ("part", "serial", "order", "sku", "model", "catalog", "invoice", "isbn", "phone", "fax"),
+}
 CONTEXT, THRESHOLD = 40, 0.6
 
 

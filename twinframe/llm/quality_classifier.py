@@ -24,20 +24,22 @@ from pyspark.sql import types as T
 from .common import as_bytes, stage_table
 
 BUCKETS, DIMS, NONZERO, REACH = 8192, 24, 4, 2
-CACHE = 600_000
+#: Bytes of remembered words (with some 120 for the objects of each), and of the longest word that is remembered.
+CACHE_BYTES, LONGEST = 96_000_000, 64
 #: Documents whose words are held at once.
 BATCH = 1000
 #: Letters, digits and other bytes by class; what is left are marks.
 _CLASS = bytes(88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 else 48 if 48 <= c <= 57 else 117 if c >= 128 else c for c in range(256))
 _RUN = re.compile(rb"([Xx0u])\1+")
 _known: dict[bytes, int] = {}
+_held = 0
 
 
 def word_buckets(word: bytes, buckets: int = BUCKETS) -> tuple[int, int]:
     """The buckets of a word's folded letters (lower half) and of its shape (upper half): runs of a class count as one."""
     half = buckets // 2
     shape = _RUN.sub(rb"\1", word.translate(_CLASS))
-    return zlib.crc32(word.lower().strip(b".,;:!?#*$%&|<>\"'()")) % half, half + zlib.crc32(shape[:12]) % half
+    return zlib.crc32(word.lower().strip(b".,;:!?#*$%&|<>\"'()")) % half, half + zlib.crc32(shape) % half
 
 
 def index_vectors(buckets: int = BUCKETS, dims: int = DIMS, nonzero: int = NONZERO, seed: int = 7) -> np.ndarray:
@@ -51,6 +53,7 @@ def index_vectors(buckets: int = BUCKETS, dims: int = DIMS, nonzero: int = NONZE
 
 def _bucket_lists(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters and shape buckets of all words of a batch, and each text's number of words."""
+    global _held
     words = [(t or b"").split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     codes, distinct = pd.factorize(np.fromiter(chain.from_iterable(words), object, int(sizes.sum())))
@@ -59,11 +62,18 @@ def _bucket_lists(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
         known = _known.get(w)
         if known is None:
             letters, shape = word_buckets(w)
-            known = _known[w] = letters * BUCKETS + shape
+            known = letters * BUCKETS + shape
+            if len(w) <= LONGEST:
+                _known[w] = known
+                _held += len(w) + 120
         packed[i] = known
-    if len(_known) > CACHE:  # frequent words are in this batch and stay
+    if _held > CACHE_BYTES:  # frequent words are in this batch and stay, unless the batch alone is large
         _known.clear()
-        _known.update(zip(distinct, packed.tolist()))
+        recent = {w: k for w, k in zip(distinct, packed.tolist()) if len(w) <= LONGEST}
+        _held = sum(map(len, recent)) + 120 * len(recent)
+        if _held > CACHE_BYTES // 2:
+            recent, _held = {}, 0
+        _known.update(recent)
     flat = packed[codes]
     return flat // BUCKETS, flat % BUCKETS, sizes
 
@@ -191,21 +201,28 @@ def held_out(id_col: str):
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """(id, held_out, score, predicted) for each row of ``docs``.
 
-    The network learns from at most ``train_rows`` labelled rows that are not held out, those of least hash; word vectors and scores
-    cover all documents. Null and empty texts are scored from a zero vector. Without labels every score is 0.5; of labels that repeat an id the least counts. An empty table gives none.
+    The network learns from at most ``train_rows`` labelled ids that are not held out: all of them, or where there are more those whose
+    hash lies under a cutoff that lets some 95 % of ``train_rows`` through. Word vectors and scores cover all documents. Null and empty texts
+    are scored from a zero vector. Without labels every score is 0.5; of labels that repeat an id the least counts, and of documents that
+    repeat a labelled id one trains. An empty table gives none. Other columns of ``docs`` are not read, so clashing names do no harm.
     """
     vectors = stage_table(with_vectors(docs, word_vectors(*context_vectors(docs, text_col)), id_col, text_col), "quality-vectors")
     known = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("quality").cast("int").alias("y"))
-    known = known.filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    rows = vectors.join(known, "id").orderBy(F.xxhash64("id"), "id").limit(train_rows).select("vector", "y")
+    known = stage_table(known.filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out("id")), "quality-labels")
+    n = known.count()
+    if n > train_rows:
+        known = known.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 31)) < int((1 << 31) * 0.95 * train_rows / n))
+    # At most train_rows ids are broadcast, so no vector is shuffled but those that train.
+    rows = vectors.join(F.broadcast(known), "id").groupBy("id").agg(F.min("vector").alias("vector"), F.min("y").alias("y"))
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"vector": [], "y": []}), *frames])
+        rows = pd.concat([pd.DataFrame({"id": [], "vector": [], "y": []}), *frames])
+        rows = rows.iloc[np.argsort([zlib.crc32(b"%d" % i) for i in rows["id"]], kind="stable")] if len(rows) else rows
         x = np.array(rows["vector"].tolist(), np.float32) if len(rows) else np.zeros((0, 4 * DIMS + 2), np.float32)
         yield pd.DataFrame({"network": [pickle.dumps(Network().fit(x, rows["y"].to_numpy(int)).__dict__)]})
 
     network = Network()  # trained in one task on the bounded sample; its weights are some kilobytes
-    made = rows.coalesce(1).mapInPandas(train, "network binary").first()
+    made = rows.coalesce(1).sortWithinPartitions("id").mapInPandas(train, "network binary").first()
     network.__dict__ = pickle.loads(made[0]) if made else network.fit(np.zeros((0, 4 * DIMS + 2)), np.zeros(0)).__dict__  # noqa: S301
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from .common import append_columns
 
 UNKNOWN_PENALTY = 10.0
-CACHE = 400_000
+#: Bytes of remembered words (with some 150 for the objects of each), and characters of the longest word that is remembered.
+CACHE_BYTES, LONGEST = 96_000_000, 64
 #: The characters that split words: Unicode white space.
 _WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
@@ -56,6 +57,7 @@ class UnigramCounter:
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
         self.bytes = all(f"<0x{b:02X}>" in {p for p, _ in pieces} for b in range(256))
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def count(self, word: str) -> int:
         """Tokens of one word, of which the first character is the word mark."""
@@ -81,16 +83,20 @@ class UnigramCounter:
         return tokens[n]
 
     def count_text(self, text: str) -> tuple[int, int]:
-        """(words, tokens) of a whole text; each word is counted once and remembered, at most CACHE of them."""
+        """(words, tokens) of a whole text; words are remembered up to CACHE_BYTES, longer ones than LONGEST never."""
         words = _WORD.findall(text) if _ODD.search(text) else text.split()
         known, total = self.known, 0
         for word in words:
             n = known.get(word)
             if n is None:
-                n = known[word] = self.count("\u2581" + word.replace(" ", "\u2581"))
+                n = self.count("\u2581" + word.replace(" ", "\u2581"))
+                if len(word) <= LONGEST:
+                    known[word] = n
+                    self.held += 4 * len(word) + 150
             total += n
-        if len(known) > CACHE:
+        if self.held > CACHE_BYTES:
             known.clear()
+            self.held = 0
         return len(words), total
 
 
@@ -101,7 +107,8 @@ def _counter(path: str) -> UnigramCounter:
 
 
 def with_token_counts(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """Add n_words and n_tokens (long) over whole texts. Null, empty and blank texts have 0. ``model``: a sentencepiece file at the same path everywhere."""
+    """Add n_words and n_tokens (long) over whole texts. Null, empty and blank texts have 0; rows that repeat or have a null id are counted each
+    for itself, an empty table stays empty, and input columns of these names are replaced. ``model``: a sentencepiece file at the same path everywhere."""
 
     def run(texts: pa.Array) -> list[list[int]]:
         counter = _counter(model)
