@@ -83,11 +83,48 @@ def insert_sentence(question: Column, sentence: Column) -> Column:
     return F.array_join(F.array_insert(parts, F.size(parts), sentence), " ")
 
 
+def tidy(text: Column) -> Column:
+    """Lines without outer blanks, runs of blanks as one, no white space before punctuation; newlines stay."""
+    out = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    for pattern, put in ((r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"[ \t]{2,}", " "), (r"\s+([,.;:?!])", "$1"), (r"^\s+|\s+\z", "")):
+        out = F.regexp_replace(out, pattern, put)
+    return out
+
+
 def remove_sentence(question: Column, sentence: Column) -> Column:
-    """Without the first occurrence of the sentence, white space tidied; null where it doesn't occur."""
-    at = F.locate(sentence, question) if isinstance(sentence, str) else F.instr(question, sentence)
-    rest = F.concat(F.substring(question, F.lit(1), at - 1), F.lit(" "), F.substring(question, at + F.length(sentence), F.length(question)))
-    return F.when(at > 0, F.trim(F.regexp_replace(rest, r"\s+", " ")))
+    """Without the first occurrence of the sentence, then tidied; a question without it is an error."""
+    at = F.instr(question, sentence)
+    before = F.regexp_replace(F.substring(question, F.lit(1), at - 1), r"\s+\z", "")
+    after = F.regexp_replace(F.substring(question, at + F.length(sentence), F.length(question)), r"^\s+", "")
+    lost = F.raise_error(F.lit("distracting sentence not found in question")).cast("string")
+    return F.when(question.isNull() | sentence.isNull(), F.lit(None).cast("string")).when(at > 0, tidy(F.concat(before, F.lit(" "), after))).otherwise(lost)
+
+
+def ascii_fold(text: Column) -> Column:
+    """Typographic dashes, quotes, dots and spaces as plain characters."""
+    return F.replace(F.translate(text, "\u2018\u2019\u201c\u201d\u2013\u2014\u2011\u00a0", "''\"\"--- "), F.lit("\u2026"), F.lit("..."))
+
+
+def normal_option(text: Column) -> Column:
+    """An answer option in lower case, letters, digits and spaces only."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^a-z0-9 ]", ""))
+
+
+def primed_option(topic: Column, options: list[tuple[str, Column]]) -> Column:
+    """The letter of the option that equals the topic, else of the first that contains it or is contained in it; null if none."""
+    t = normal_option(topic)
+    normal = [(k, normal_option(o)) for k, o in options]
+    exact = [F.when(o == t, k) for k, o in normal]
+    near = [F.when((t != "") & (F.contains(o, t) | F.contains(t, o)), k) for k, o in normal]
+    return F.coalesce(*exact, *near)
+
+
+def distractor_code(code: Column) -> tuple[Column, Column]:
+    """(level, donor) of a code like ``audio_-10dB_d1``; any other code is an error, null stays null."""
+    pattern = r"^audio_(-?\d+)dB_d(\d+)$"
+    wrong = F.raise_error(F.concat(F.lit("not a distractor code: "), code)).cast("int")
+    level, donor = (F.when(code.isNull(), F.lit(None).cast("int")).when(code.rlike(pattern), F.regexp_extract(code, pattern, i).try_cast("int")).otherwise(wrong) for i in (1, 2))
+    return level, donor
 
 
 def word_set(text: Column) -> Column:
@@ -117,7 +154,7 @@ def leakage(segment: Column, clean: Column, mixed: Column) -> dict[str, Column]:
 def wer(reference: Column, hypothesis: Column) -> Column:
     """Word error rate of two token arrays: distinct tokens become single characters and edit distance does the rest.
 
-    Up to a million distinct tokens a pair; an empty reference gives null.
+    An empty reference gives null. There are codes for a million distinct tokens in a pair; more are an error.
     """
 
     def rate(both: Column) -> Column:
@@ -126,6 +163,7 @@ def wer(reference: Column, hypothesis: Column) -> Column:
         # A token's code is its place among the distinct tokens, looked up in a map that is built once. Surrogates are no characters and are left out.
         codes = F.map_from_arrays(known, F.transform(F.sequence(F.lit(256), F.size(known) + 255), lambda i: F.decode(F.unhex(F.lpad(F.hex(F.when(i < 0xD800, i).otherwise(i + 0x800)), 8, "0")), "UTF-32")))
         text = lambda m, a: F.array_join(F.transform(a, lambda x: F.element_at(m, x)), "")
+        codes = F.when(F.size(known) > 1_000_000, F.raise_error(F.lit("over a million distinct tokens in a pair")).cast("map<string,string>")).otherwise(codes)
         return F.when(F.size(ref) > 0, let(codes, lambda m: F.levenshtein(text(m, ref), text(m, hyp)) / F.size(ref)))
 
     return let(F.struct(reference.alias("r"), hypothesis.alias("h")), rate)
@@ -173,8 +211,21 @@ def align_insertion(clean: Column, distracted: Column) -> Column:
     return let(F.struct(clean.alias("a"), distracted.alias("b"), F.reverse(clean).alias("ra"), F.reverse(distracted).alias("rb")), placed)
 
 
-def stems(topic: Column, stop: list[str], size: int = 6, most: int = 8) -> Column:
-    """Search stems of a topic: longest words first, cut to ``size`` letters, at most ``most``."""
-    words = F.array_except(F.filter(word_set(topic), lambda w: F.length(w) >= 4), F.array(*map(F.lit, stop)).cast("array<string>"))
-    order = F.array_sort(words, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    return F.transform(F.slice(order, 1, most), lambda w: F.substring(w, 1, size))
+#: Words that say nothing about an inserted topic.
+TOPIC_STOP = """
+the and with for from that this their have has had was were been being about after into
+very just over some more than then them they also only when what which while your you
+patient mentions mentioned says said small talk aside joke jokes joking friend person someone who
+week weeks month months last ago now still back getting doing going one two named called
+""".split()
+
+
+def stems(topic: Column, stop: list[str] = TOPIC_STOP, size: int = 6, most: int = 8) -> Column:
+    """Search stems of a topic: the distinct first ``size`` letters of its words of four or more characters that are no stop words
+    (what is in parentheses is left out), longest first, then in alphabetical order, at most ``most``."""
+    low = F.regexp_replace(F.lower(topic), r"\(.*?\)", " ")
+    words = F.regexp_extract_all(low, F.lit(r"[a-z][a-z'\-]{3,}"), F.lit(0))
+    kept = F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+    cut = F.array_distinct(F.transform(kept, lambda w: F.substring(w, 1, size)))
+    order = F.array_sort(cut, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    return F.slice(order, 1, most)

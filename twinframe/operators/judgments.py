@@ -48,22 +48,45 @@ def parse_strict(df: DataFrame, reply: str = "judge_raw") -> DataFrame:
 
 
 def lenient_object(reply: Column) -> Column:
-    """The outermost braces of a reply, or null."""
-    return F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
+    """The reply if it is JSON as a whole (an object, or nothing), else its outermost braces if they are; null otherwise."""
+    inner = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    whole = F.try_parse_json(reply).isNotNull()
+    found = F.when(whole, F.when(F.ltrim(reply).startswith("{"), reply)).when(F.try_parse_json(inner).isNotNull(), inner)
+    return F.nullif(found, F.lit(""))
+
+
+def whole_number(value: Column) -> Column:
+    """A JSON value as a whole number: numbers lose their fraction, true is 1, a string must be digits; anything else is null."""
+    kind = F.schema_of_variant(value)
+    text = F.trim(F.try_variant_get(value, "$", "string"))
+    digits = F.when(text.rlike(r"^[+-]?[0-9]{1,9}$"), text.cast("int"))
+    number = F.try_variant_get(value, "$", "double")
+    small = F.when(F.abs(number) < 1e9, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("int"))
+    return F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int")).when(kind == "STRING", digits).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), small)
 
 
 def parse_paired(df: DataFrame, reply: str, first_is_clean: Column) -> DataFrame:
     """Two rows a reply: slots A and B un-blinded to conditions. Values outside their range make the whole reply a parse error."""
-    slot = "struct<contamination:int,severity:int>"
-    parsed = F.from_json(lenient_object(F.col(reply)), f"struct<A:{slot},B:{slot}>")
-    fine = [parsed[s]["contamination"].isin(0, 1) & parsed[s]["severity"].between(0, 3) for s in "AB"]
-    ok = F.coalesce(fine[0] & fine[1], F.lit(False))
+    parsed = F.try_parse_json(lenient_object(F.col(reply)))
+    fields = {(s, f): f"__{s}_{f}" for s in "AB" for f in ("contamination", "severity")}
+    wide = df.withColumn("__v", parsed)
+    wide = wide.withColumns({name: whole_number(F.try_variant_get("__v", f"$.{s}.{f}", "variant")) for (s, f), name in fields.items()})
+    fine = [F.col(f"__{s}_contamination").isin(0, 1) & F.col(f"__{s}_severity").between(0, 3) for s in "AB"]
     rows = F.array(*[
         F.struct(F.lit(c).alias("condition"), F.when(first_is_clean == is_first, "A").otherwise("B").alias("shown_as")) for c, is_first in (("clean", True), ("distracted", False))
     ])
-    out = df.withColumns({"__p": parsed, "__ok": ok, "__r": F.explode(rows)})
-    take = lambda f: F.when(F.col("__ok"), F.when(F.col("__r.shown_as") == "A", F.col(f"__p.A.{f}")).otherwise(F.col(f"__p.B.{f}")))
-    return out.withColumns({"condition": F.col("__r.condition"), "shown_as": F.col("__r.shown_as"), "contamination": take("contamination"), "severity": take("severity"), "parse_error": ~F.col("__ok")}).drop("__p", "__ok", "__r")
+    out = wide.withColumns({"__ok": F.coalesce(fine[0] & fine[1], F.lit(False)), "__r": F.explode(rows)})
+    take = lambda f: F.when(F.col("__ok"), F.when(F.col("__r.shown_as") == "A", F.col(f"__A_{f}")).otherwise(F.col(f"__B_{f}")))
+    made = out.withColumns({"condition": F.col("__r.condition"), "shown_as": F.col("__r.shown_as"), "contamination": take("contamination"), "severity": take("severity"), "parse_error": ~F.col("__ok")})
+    return made.drop("__v", "__ok", "__r", *fields.values())
+
+
+def parse_single(df: DataFrame, reply: str) -> DataFrame:
+    """contamination 0 or 1 and severity 0 to 3 of a reply about one note; a value that fails makes both null."""
+    wide = df.withColumn("__v", F.try_parse_json(lenient_object(F.col(reply))))
+    c, s = (whole_number(F.try_variant_get("__v", f"$.{f}", "variant")) for f in ("contamination", "severity"))
+    ok = F.coalesce(c.isin(0, 1) & s.between(0, 3), F.lit(False))
+    return wide.withColumns({"contamination": F.when(ok, c), "severity": F.when(ok, s), "parse_error": ~ok}).drop("__v")
 
 
 def parse_quality(df: DataFrame, reply: str, metrics: list[str]) -> DataFrame:

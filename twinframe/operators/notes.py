@@ -33,6 +33,10 @@ COARSE = {
 LETTER = r"^(\*\*|__|#+\s*)?[SOAP]\s*[:.]\s*"
 INLINE = r"^\s*(#+\s*|\*\*|__)?([A-Za-z][A-Za-z /&()\-]{1,40}?)\s*(\*\*|__)?\s*:"
 HEADER = r"^\s*(#+\s*|\*\*|__)?\s*([A-Za-z][A-Za-z /&()\-]{1,60}?)\s*(\*\*|__)?\s*:?\s*(\*\*|__)?\s*$"
+#: The sections in report order.
+SECTION_ORDER = ["Chief complaint / HPI", "History (PMH/meds/ROS)", "Family / social history", "Subjective (other)", "Objective", "Assessment", "Plan", "Unsectioned"]
+#: Words of a clinical action.
+ACTION = r"(?i)\b(screen|refer|referral|evaluat|assess for|consider|order|obtain|check|monitor|counsel|educat|discuss|follow[- ]?up|imaging|labs?|test|workup|work-up|recommend|advise|encourage|prescri|start)\w*"
 #: Failure modes over a rationale and the located lines, first match wins.
 TAXONOMY = [
     ("pathologised_conversation", r"tangential|off-topic|circumstantial|cognitive|mental status|thought process|confusion|coheren|delirium|hallucinat|memory (impairment|difficult)|anxiety|panic|psychiat|mood"),
@@ -50,9 +54,13 @@ def classify(text: Column, rules: list[tuple[str, str]] = TAXONOMY, default: str
     return F.coalesce(*[F.when(low.rlike(p), F.lit(n)) for n, p in rules], F.lit(default))
 
 
+def _strip(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+|\s+\z", "")
+
+
 def section_of_header(line: Column) -> Column:
     """The coarse section that a line announces, as a header of its own or at its start; null if none."""
-    raw = F.regexp_replace(F.trim(line), LETTER, "$1")
+    raw = F.regexp_replace(_strip(line), LETTER, "$1")
     name = F.lower(F.coalesce(*[F.nullif(F.regexp_extract(raw, p, 2), F.lit("")) for p in (HEADER, INLINE)]))
     return F.coalesce(*[F.when(name.rlike(p), F.lit(COARSE[n])) for n, p in SECTION_PATTERNS])
 
@@ -72,10 +80,21 @@ def assign_sections(lines: DataFrame, keys: list[str], header: Column | None = N
 def located(line: Column, stems: Column) -> Column:
     """Whether a line has two of the stems (one, if there are at most two); bare short headers don't count."""
     hits = F.size(F.filter(stems, lambda s: F.contains(F.lower(line), s)))
-    bare = F.trim(line).rlike(HEADER) & (F.length(F.trim(line)) < 40)
+    bare = _strip(line).rlike(HEADER) & (F.length(_strip(line)) < 40)
     return (hits >= F.when(F.size(stems) <= 2, 1).otherwise(2)) & ~bare
 
 
+def frozen(rows: DataFrame, saved: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
+    """``rows`` with ``flags`` from saved annotations, which must match every row, each once, and be true or false; else an error."""
+    known = saved.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.first(f).alias(f) for f in flags])
+    joined = rows.drop(*flags).withColumn("__row", F.lit(True)).join(known, keys, "full_outer")
+    bad = F.when(F.col("__n").isNull() | F.col("__row").isNull(), "annotations must match every row").when(F.col("__n") > 1, "duplicate keys in annotations")
+    for f in flags:
+        bad = bad.when(~F.coalesce(F.lower(F.col(f).cast("string")).isin("true", "false"), F.lit(False)), f"annotation is not true or false: {f}")
+    checked = joined.withColumn("__n", F.when(bad.isNotNull(), F.raise_error(bad).cast("long")).otherwise(F.col("__n"))).filter("__n = 1")
+    return checked.withColumns({f: F.col(f).cast("boolean") for f in flags}).drop("__n", "__row")
+
+
 def keyword_score(text: Column, words: list[str]) -> Column:
     """How many tokens are keywords, as they are or without a final s; each token counts once."""
     known = F.array(*map(F.lit, words)).cast("array<string>")

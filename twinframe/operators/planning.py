@@ -12,13 +12,14 @@ def hash_order(*parts) -> Column:
     return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
-def global_rank(df: DataFrame, order: Column, ties: str, out: str = "rank", salts: int = 256) -> DataFrame:
-    """A rank from 0 over the whole table by a uniform hash, without a single-partition window.
+def global_rank(df: DataFrame, order: Column, ties: str, out: str = "rank", digits: int = 3) -> DataFrame:
+    """A rank from 0 over the whole table by a uniform hash in hex digits, without a single-partition window.
 
-    Rows are bucketed by the leading digits of the hash, so buckets are even and ordered; bucket counts give the offsets.
+    Rows are bucketed by the leading ``digits`` of the hash, so buckets are even and in order; the counts of 16^digits buckets give
+    the offsets.
     """
-    keyed = df.withColumn("__h", order).withColumn("__b", F.conv(F.substring("__h", 1, 2), 16, 10).cast("int") % salts)
-    counts = keyed.groupBy("__b").agg(F.count("*").alias("__n"))  # 256 rows at most
+    keyed = df.withColumn("__h", order).withColumn("__b", F.conv(F.substring("__h", 1, digits), 16, 10).cast("int"))
+    counts = keyed.groupBy("__b").agg(F.count("*").alias("__n"))  # 16^digits rows at most
     base = counts.withColumn("__base", F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).drop("__n")
     ranked = keyed.join(F.broadcast(base), "__b").withColumn(out, F.col("__base") + F.row_number().over(Window.partitionBy("__b").orderBy("__h", ties)) - 1)
     return ranked.drop("__h", "__b", "__base")
@@ -64,3 +65,16 @@ def onset(seed: int, *keys: Column, length: Column, segment: Column, lo: float =
 def gain(foreground: Column, background: Column, level_db: Column) -> Column:
     """The factor that puts a background at a level relative to the foreground's root mean square; null for silence."""
     return F.try_divide(F.pow(F.lit(10.0), level_db / 20) * foreground, background)
+
+
+def assemble_pairs(plan: DataFrame, transcripts: DataFrame, item: str, code: str, text: str, clean: str = "clean") -> tuple[DataFrame, DataFrame]:
+    """Planned mixes with the clean and the mixed transcript, and the audit of the plan: how many are planned, whole and in want of either.
+
+    ``plan`` has ``item`` and ``code``; ``transcripts`` has one row for each item and code, the code ``clean`` among them.
+    """
+    own = transcripts.filter(F.col(code) == clean).select(item, F.col(text).alias("clean_text"))
+    mixed = transcripts.filter(F.col(code) != clean).select(item, code, F.col(text).alias("mixed_text"))
+    joined = plan.join(own, item, "left").join(mixed, [item, code], "left")
+    no_clean, no_mixed = F.col("clean_text").isNull(), F.col("mixed_text").isNull()
+    audit = joined.agg(F.count("*").alias("planned"), F.count_if(~no_clean & ~no_mixed).alias("whole"), F.count_if(no_clean).alias("no_clean"), F.count_if(no_mixed).alias("no_mixed"))
+    return joined.filter(~no_clean & ~no_mixed), audit

@@ -1,11 +1,16 @@
 """Paired and clustered statistics on DataFrames.
 
-Resampling works on collapsed units (clusters), never on rows: a replicate's weight of a unit is Poisson(1) by inverse
-distribution of a hash, so intervals repeat exactly on any partitioning.
+Resampling works on collapsed units (clusters, or rows dealt to a bounded number of units), never on rows: a replicate's weight of a
+unit is Poisson(1) by inverse distribution of a hash, so intervals repeat exactly on any partitioning. A unit is hashed once; its numbers
+in the replicates are the values of a random polynomial of degree 2 modulo a prime, so any three replicates are independent.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,10 @@ from pyspark.sql import functions as F
 POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518)
 
 
+#: The prime 2^31 - 1.
+PRIME = 2147483647
+
+
 def uniform(*parts: Column | str | int) -> Column:
     """A number in [0, 1) from the md5 of the parts joined by ``|``."""
     key = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
@@ -26,16 +35,49 @@ def poisson_weight(u: Column) -> Column:
     return out.otherwise(len(POISSON))
 
 
-def bootstrap_ratio(units: DataFrame, group: list[str], unit: str, top: str, bottom: str, replicates: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+def replicate_uniform(seed: int, unit: Column, b: Column) -> tuple[list[Column], Column]:
+    """The three coefficients of a unit (columns to be computed once) and the number in [0, 1) of replicate ``b`` from columns k0, k1, k2."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), unit.cast("string")))
+    made = [(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") % PRIME).alias(f"k{i}") for i in range(3)]
+    b = b.cast("bigint")
+    return made, (F.col("k0") + F.col("k1") * b + F.col("k2") * b * b) % PRIME / F.lit(float(PRIME))
+
+
+def replicates_of(units: DataFrame, group: list[str], unit: str, top: str, bottom: str, replicates: int, seed: int) -> DataFrame:
+    """(group, b, s): sum(top) / sum(bottom) over each replicate's resampled units (one row each)."""
+    made, u = replicate_uniform(seed, F.col(unit), F.col("b"))
+    coded = units.select(*group, F.col(top).cast("double").alias("__t"), F.col(bottom).cast("double").alias("__n"), *made)
+    reps = coded.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", poisson_weight(u).cast("double"))
+    return reps.groupBy(*group, "b").agg(F.try_divide(F.sum(F.col("w") * F.col("__t")), F.sum(F.col("w") * F.col("__n"))).alias("s"))
+
+
+def bootstrap_ratio(units: DataFrame, group: list[str], unit: str, top: str, bottom: str, replicates: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of sum(top) / sum(bottom) over resampled units (one row each)."""
-    reps = units.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    weight = poisson_weight(uniform(seed, F.col("b").cast("string"), F.col(unit).cast("string"))).cast("double")
-    stats = reps.withColumn("w", weight).groupBy(*group, "b").agg(F.try_divide(F.sum(F.col("w") * F.col(top)), F.sum(F.col("w") * F.col(bottom))).alias("s"))
+    stats = replicates_of(units, group, unit, top, bottom, replicates, seed)
     point = units.groupBy(*group).agg(F.count("*").alias("n_units"), F.round(F.try_divide(F.sum(top), F.sum(bottom)), 6).alias("estimate"))
     bounds = stats.groupBy(*group).agg(*[F.round(F.percentile("s", F.lit(q)), 6).alias(n) for n, q in (("lo", alpha / 2), ("hi", 1 - alpha / 2))])
     return point.join(bounds, group) if group else point.crossJoin(bounds)
 
 
+def dealt_sums(df: DataFrame, group: list[str], value: Column, keys: list[str], units: int = 500) -> DataFrame:
+    """(group, unit, total, n): rows with a value dealt by the hash of ``keys`` to at most ``units`` units of each group."""
+    unit = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("bigint"), F.lit(units))
+    rows = df.withColumn("__v", value.cast("double")).filter(F.col("__v").isNotNull())
+    return rows.groupBy(*group, unit.alias("unit")).agg(F.sum("__v").alias("total"), F.count("*").alias("n"))
+
+
+def mean_interval(sums: DataFrame, group: list[str], scale: float = 1.0, lo: str = "ci_low", hi: str = "ci_high", **options) -> DataFrame:
+    """(group, lo, hi): interval of the mean from ``dealt_sums`` (or sums of them), times ``scale``."""
+    scaled = sums.withColumn("total", F.col("total") * scale)
+    return bootstrap_ratio(scaled, group, "unit", "total", "n", **options).select(*group, F.col("lo").alias(lo), F.col("hi").alias(hi))
+
+
+def bootstrap_p(stats: DataFrame, group: list[str], replicates: int) -> DataFrame:
+    """Two-sided p of a zero statistic from ``replicates_of``: twice the lesser tail, 1 / replicates at least and 1 at most."""
+    tails = F.least(F.avg((F.col("s") <= 0).cast("double")), F.avg((F.col("s") >= 0).cast("double")))
+    return stats.groupBy(*group).agg(F.round(F.least(F.lit(1.0), F.greatest(2 * tails, F.lit(1.0 / replicates))), 6).alias("p"))
+
+
 def cluster_sums(df: DataFrame, group: list[str], cluster: str, value: Column) -> DataFrame:
     """(group, cluster, total, n): what resampling needs of each cluster."""
     return df.groupBy(*group, cluster).agg(F.sum(value.cast("double")).alias("total"), F.count(value).cast("double").alias("n"))
@@ -59,13 +101,83 @@ def paired_difference(a: Column, b: Column) -> list[Column]:
     return [n.alias("n"), F.round(100 * pa, 6).alias("acc_a"), F.round(100 * pb, 6).alias("acc_b"), F.round(100 * (pa - pb), 6).alias("drop_pp"), F.round(100 * F.sqrt(F.greatest(variance, F.lit(0.0))), 6).alias("se_pp")]
 
 
+def _integral(density, start: Column, nodes: int = 64) -> Column:
+    """The integral of ``density`` over [start / (1 - start), infinity) by Gauss-Legendre nodes in s = x / (1 + x)."""
+    x, w = np.polynomial.legendre.leggauss(nodes)
+    points = F.array(*[F.struct(F.lit(float((a + 1) / 2)).alias("x"), F.lit(float(c / 2)).alias("w")) for a, c in zip(x, w)])
+
+    def term(total: Column, node: Column) -> Column:
+        s = start + (1 - start) * node["x"]
+        return total + node["w"] * density(s / (1 - s)) / ((1 - s) * (1 - s))
+
+    return (1 - start) * F.aggregate(points, F.lit(0.0), term)
+
+
+def _t_density(df: Column):
+    return lambda x: F.exp(-(df + 1) / 2 * F.log1p(x * x / df))
+
+
+def t_tail(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t; null without degrees of freedom."""
+    t, df = F.abs(t.cast("double")), df.cast("double")
+    p = _integral(_t_density(df), t / (1 + t)) / _integral(_t_density(df), F.lit(0.0))
+    return F.when((df > 0) & t.isNotNull(), F.least(F.lit(1.0), p))
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided p of a standard normal value."""
+    z = F.abs(z.cast("double"))
+    return F.least(F.lit(1.0), _integral(lambda x: F.exp(-x * x / 2), z / (1 + z)) / math.sqrt(math.pi / 2))
+
+
+def t_quantile(df: Column, alpha: float = 0.05, steps: int = 50) -> Column:
+    """The t with a two-sided tail of ``alpha``, by bisection in t / (1 + t)."""
+    df = df.cast("double")
+    whole = _integral(_t_density(df), F.lit(0.0))
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = (at["lo"] + at["hi"]) / 2
+        over = _integral(_t_density(df), middle) > alpha * whole
+        return F.struct(F.when(over, middle).otherwise(at["lo"]).alias("lo"), F.when(over, at["hi"]).otherwise(middle).alias("hi"))
+
+    s = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda at: (at["lo"] + at["hi"]) / 2)
+    return F.when(df > 0, s / (1 - s))
+
+
+def one_sample_t(x: Column) -> list[Column]:
+    """n, mean, sd, sem of a value, its two-sided p against 0 and the 95 % interval of the mean; undefined parts are null."""
+    n, mean, sd = F.count(x), F.avg(x), F.stddev_samp(x)
+    sem = sd / F.sqrt(n)
+    half = t_quantile(n - 1) * sem
+    p = F.when(sem > 0, t_tail(F.try_divide(mean, sem), n - 1))
+    return [n.alias("n"), *[F.round(c, 6).alias(k) for k, c in (("mean", mean), ("sd", sd), ("sem", sem), ("p", p), ("ci_low", mean - half), ("ci_high", mean + half))]]
+
+
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x of 1 or more: Stirling's series, moved up by seven."""
+    y = x.cast("double") + 7
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5)))
+    return series - reduce(lambda a, b: a + b, [F.log(x.cast("double") + i) for i in range(7)])
+
+
 def mcnemar(b01: Column, b10: Column) -> Column:
-    """Two-sided exact p of discordant counts: terms of the binomial by a log recurrence, no factorials."""
-    n, k = (b01 + b10).cast("int"), F.least(b01, b10).cast("int")
-    start = F.struct((n * F.log(F.lit(0.5))).cast("double").alias("t"), F.exp(n * F.log(F.lit(0.5))).cast("double").alias("s"))
-    step = lambda a, i: F.struct((a["t"] + F.log((n - i + 1).cast("double") / i)).alias("t"), (a["s"] + F.exp(a["t"] + F.log((n - i + 1).cast("double") / i))).alias("s"))
-    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), start, step, lambda a: a["s"])
-    return F.when(n == 0, 1.0).otherwise(F.least(2 * tail, F.lit(1.0)))
+    """Two-sided exact p of discordant counts.
+
+    The binomial tail is summed from its largest term down by a recurrence. Beyond 12 sqrt(n) + 60 terms what is left is below 1e-100 of the sum,
+    so the work grows with the root of the counts.
+    """
+    n, k = (b01 + b10).cast("long"), F.least(b01, b10).cast("long")
+    first = F.exp(log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) + n * math.log(0.5))
+    terms = F.least(k, F.ceil(12 * F.sqrt(n)) + 60).cast("long")
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+    def step(a: Column, i: Column) -> Column:
+        t = a["t"] * (k - i + 1) / (n - k + i)
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+    tail = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<long>")), start, step, lambda a: a["s"])
+    return F.when(n == 0, 1.0).otherwise(F.least(2 * first * tail, F.lit(1.0)))
 
 
 def kappa(n11: Column, n10: Column, n01: Column, n00: Column) -> tuple[Column, Column]:
@@ -76,53 +188,118 @@ def kappa(n11: Column, n10: Column, n01: Column, n00: Column) -> tuple[Column, C
     return F.round(100 * seen, 6), F.round(F.when(chance < 1, (seen - chance) / (1 - chance)), 6)
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank with ties averaged."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+def numbered(df: DataFrame, by: list[str], order: list[str], weight: str | None = None, out: str = "last", buckets: int = 64) -> DataFrame:
+    """Add to each row the running sum of ``weight`` (1 without one) in the order of ``order`` within ``by``, and the sum of all as ``out``_all.
+
+    The first order column is a number (not null). Rows are bucketed by its value between the group's least and greatest, so no task
+    sorts a whole group unless its values crowd together; sums of at most ``buckets`` buckets a group give the offsets.
+    """
+    lead, w = F.col(order[0]).cast("double"), F.col(weight) if weight else F.lit(1).cast("long")
+    span = df.groupBy(*by).agg(F.min(lead).alias("__lo"), F.max(lead).alias("__hi"))
+    joined = df.join(span, by) if by else df.crossJoin(F.broadcast(span))  # one row
+    cell = F.floor(F.try_divide(lead - F.col("__lo"), F.col("__hi") - F.col("__lo")) * buckets)
+    cut = joined.withColumn("__b", F.least(F.coalesce(cell, F.lit(0)), F.lit(buckets - 1)).cast("int")).withColumn("__w", w)
+    sums = cut.groupBy(*by, "__b").agg(F.sum("__w").alias("__s"))
+    own = Window.partitionBy(*by)
+    base = sums.select(*by, "__b", (F.sum("__s").over(own.orderBy("__b")) - F.col("__s")).alias("__base"), F.sum("__s").over(own).alias(f"{out}_all"))
+    inside = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cut.join(base, [*by, "__b"]).withColumn(out, F.col("__base") + F.sum("__w").over(inside)).drop("__lo", "__hi", "__b", "__w", "__base")
+
+
+def value_ranks(df: DataFrame, by: list[str], value: str, count: str | None = None) -> DataFrame:
+    """(by, value, __c: rows with it, rank: their average rank, __n: rows of the group), from the counts of distinct values."""
+    counts = df.groupBy(*by, value).agg((F.sum(count) if count else F.count("*")).alias("__c"))
+    run = numbered(counts, by, [value], "__c", "__last")
+    return run.select(*by, value, "__c", (F.col("__last") - (F.col("__c") - 1) / 2).alias("rank"), F.col("__last_all").alias("__n"))
 
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation; null where a side is constant. Groups should be many or small: each is ranked as a whole."""
-    clean = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = clean.select(*group, average_rank(x, group).alias("__x"), average_rank(y, group).alias("__y"))
-    varied = (F.min("__x") < F.max("__x")) & (F.min("__y") < F.max("__y"))
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.round(F.when(varied, F.corr("__x", "__y")), 6).alias("rho"))
+    """Rank correlation and its two-sided p; null where a side is constant (p also below three rows). Works on counts of (x, y) cells."""
+    cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*group, x, y).agg(F.count("*").alias("__k"))
+    for v, name in ((x, "__x"), (y, "__y")):
+        ranks = value_ranks(cells, group, v, "__k")
+        cells = cells.join(ranks.select(*group, v, (F.col("rank") - (F.col("__n") + 1) / 2).alias(name)), [*group, v])
+    k = F.col("__k")
+    sxy, sxx, syy = (F.sum(k * F.col(a) * F.col(b)) for a, b in (("__x", "__y"), ("__x", "__x"), ("__y", "__y")))
+    made = cells.groupBy(*group).agg(F.sum(k).alias("n"), F.when((sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy)).alias("rho"))
+    return made.select(*group, "n", F.round("rho", 6).alias("rho"), F.round(correlation_p(F.col("rho"), F.col("n")), 6).alias("p"))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation by t with n - 2 degrees of freedom; 0 for a perfect one, null below three rows."""
+    t = F.abs(r) * F.sqrt(F.try_divide((n - 2).cast("double"), 1 - r * r))
+    return F.when(n > 2, F.when(F.abs(r) >= 1, 0.0).otherwise(t_tail(t, n - 2)))
 
 
 def ols(y: Column, x: Column) -> list[Column]:
-    """Slope, intercept, r, r squared and the slope's standard error."""
-    n = F.regr_count(y, x)
+    """Slope, intercept, r, r squared, the slope's standard error and two-sided p."""
+    n, r = F.regr_count(y, x), F.corr(y, x)
     rest = (F.regr_syy(y, x) - F.regr_sxy(y, x) * F.regr_sxy(y, x) / F.regr_sxx(y, x)) / (n - 2)
-    return [n.alias("n"), F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.round(F.corr(y, x), 6).alias("r"), F.round(F.regr_r2(y, x), 6).alias("r2"), F.round(F.sqrt(rest / F.regr_sxx(y, x)), 6).alias("stderr")]
+    return [n.alias("n"), F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 6).alias("intercept"), F.round(r, 6).alias("r"), F.round(F.regr_r2(y, x), 6).alias("r2"), F.round(F.sqrt(rest / F.regr_sxx(y, x)), 6).alias("stderr"), F.round(correlation_p(r, n), 6).alias("p")]
 
 
 def welch(x: Column, first: Column) -> list[Column]:
-    """t and Satterthwaite degrees of freedom of two groups, ``first`` marking the one and its negation the other."""
+    """t, Satterthwaite degrees of freedom, two-sided p and the p of a lesser first mean, ``first`` marking the one group and its negation the other."""
     side = [(F.avg(F.when(c, x)), F.var_samp(F.when(c, x)) / F.count(F.when(c, x)), F.count(F.when(c, x))) for c in (first, ~first)]
     (ma, va, na), (mb, vb, nb) = side
-    return [F.round((ma - mb) / F.sqrt(va + vb), 6).alias("t"), F.round((va + vb) * (va + vb) / (va * va / (na - 1) + vb * vb / (nb - 1)), 6).alias("df")]
+    t = F.try_divide(ma - mb, F.sqrt(va + vb))
+    df = F.try_divide((va + vb) * (va + vb), F.try_divide(va * va, na - 1) + F.try_divide(vb * vb, nb - 1))
+    p = t_tail(t, df)
+    return [F.round(c, 6).alias(k) for k, c in (("t", t), ("df", df), ("p", p), ("p_less", F.when(t < 0, p / 2).otherwise(1 - p / 2)))]
+
+
+def benjamini_hochberg(df: DataFrame, p: str, order: list[str] = (), by: list[str] = (), out: str = "q") -> DataFrame:
+    """False-discovery q-values within ``by``; null p-values take no part and get null. Ties share a q, so ``order`` has no effect.
+
+    Only distinct p-values are ordered, in buckets: the least p n / rank from a bucket on is carried over its lesser buckets.
+    """
+    by, buckets = list(by), 256
+    run = numbered(df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__c")), by, [p], "__c", "__r")
+    cut = run.withColumn("__v", F.col(p) * F.col("__r_all") / F.col("__r")).withColumn("__b", F.floor(F.col(p) * buckets))
+    later = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy(*by, "__b").agg(F.min("__v").alias("__m")).select(*by, "__b", F.min("__m").over(later).alias("__m"))
+    inside = Window.partitionBy(*by, "__b").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    q = F.least(F.min("__v").over(inside), F.coalesce("__m", F.lit(1.0)), F.lit(1.0))
+    done = cut.join(carried, [*by, "__b"]).select(*by, p, F.greatest(q, F.lit(0.0)).alias(out))
+    return df.join(done, [*by, p], "left").select(*df.columns, out)
+
+
+def signed_rank_p(n: Column, w: Column, ties: Column) -> Column:
+    """Two-sided p of the lesser rank sum ``w`` of ``n`` differences; ``ties``: the sum of t^3 - t over tied groups.
+
+    Up to 50 differences without ties by counting all signs, else by the normal law with its variance corrected for ties.
+    """
+    n = n.cast("int")
+    mean = n * (n + 1) / 4
+    sd = F.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
+    size = F.least(n, F.lit(50))
 
+    def with_rank(counts: Column, i: Column) -> Column:  # the rank i is positive or not
+        return F.transform(counts, lambda c, j: c + F.when(j >= i, F.element_at(counts, F.greatest(j - i, F.lit(0)) + 1)).otherwise(0.0))
 
-def benjamini_hochberg(df: DataFrame, p: str, order: list[str], by: list[str] = (), out: str = "q") -> DataFrame:
-    """False-discovery q-values within ``by``; null p-values take no part and get null."""
-    known = df.filter(F.col(p).isNotNull())
-    ranked = known.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(p, *order))).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
-    q = F.min(F.col(p) * F.col("__n") / F.col("__r")).over(Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    done = ranked.withColumn(out, F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0))).drop("__r", "__n")
-    return done.unionByName(df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    none = F.transform(F.sequence(F.lit(0), (size * (size + 1) / 2).cast("int")), lambda j: F.when(j == 0, 1.0).otherwise(0.0))
+    ways = F.aggregate(F.sequence(F.lit(1), size), none, with_rank)
+    under = F.aggregate(F.slice(ways, 1, F.floor(w).cast("int") + 1), F.lit(0.0), lambda a, c: a + c)
+    exact = F.least(F.lit(1.0), 2 * under / F.pow(F.lit(2.0), size))
+    return F.when(n == 0, 1.0).when((n <= 50) & (ties == 0), exact).otherwise(normal_tail(F.try_divide(w - mean, sd)))
 
 
 def wilcoxon(df: DataFrame, group: list[str], difference: str) -> DataFrame:
-    """Signed-rank sums without zeros; ``w`` is the lesser one, null if nothing is left."""
-    left = df.filter(F.col(difference) != 0).withColumn("__a", F.abs(difference))
-    ranked = left.withColumn("__r", average_rank("__a", group))
-    plus, minus = (F.sum(F.when(c, F.col("__r")).otherwise(0.0)) for c in (F.col(difference) > 0, F.col(difference) < 0))
-    return ranked.groupBy(*group).agg(F.count("*").alias("n_nonzero"), F.round(plus, 6).alias("w_plus"), F.round(minus, 6).alias("w_minus"), F.round(F.least(plus, minus), 6).alias("w"))
+    """Signed-rank sums without zeros, the lesser one ``w`` and its two-sided p; a group without any nonzero difference has p = 1."""
+    known = df.filter(F.col(difference).isNotNull()).groupBy(*group, difference).agg(F.count("*").alias("__k"))
+    left = known.filter(F.col(difference) != 0).withColumn("__a", F.abs(difference))
+    ranked = left.join(value_ranks(left, group, "__a", "__k").drop("__n"), [*group, "__a"])
+    k, up = F.col("__k"), F.col(difference) > 0
+    plus, minus = (F.coalesce(F.sum(F.when(c, k * F.col("rank"))), F.lit(0.0)) for c in (up, ~up))
+    # The values d and -d share a tie of __c rows: each carries its part of t^3 - t.
+    ties = F.sum(k / F.col("__c") * (F.pow("__c", F.lit(3)) - F.col("__c")))
+    sums = ranked.groupBy(*group).agg(F.sum(k).alias("n_nonzero"), plus.alias("w_plus"), minus.alias("w_minus"), ties.alias("ties"))
+    every = known.select(*group).distinct().join(sums, group, "left").fillna(0)
+    w = F.least("w_plus", "w_minus")
+    return every.select(*group, "n_nonzero", *[F.round(c, 6).alias(c) for c in ("w_plus", "w_minus")], F.round(w, 6).alias("w"), F.round(signed_rank_p(F.col("n_nonzero"), w, F.col("ties")), 6).alias("p"))
 
 
 def rank_bins(df: DataFrame, by: list[str], order: list[str], bins: int = 5, out: str = "bin") -> DataFrame:
-    """Bins of equal width in the rank (not in the count): the edges are quantiles of the ranks themselves."""
-    w = Window.partitionBy(*by)
-    n, r = F.count("*").over(w), F.row_number().over(w.orderBy(*order))
-    numbered = df.withColumn("__n", n).withColumn("__r", r)
-    return numbered.withColumn(out, F.greatest(F.lit(1), F.expr(f"((__r - 1) * {bins} + (__n - 2)) div greatest(__n - 1, 1)")).cast("int")).drop("__n", "__r")
+    """Bins of equal width in the rank (not in the count): the edges are quantiles of the ranks themselves. The first of ``order`` is a number."""
+    run = numbered(df, by, order, None, "__r")
+    return run.withColumn(out, F.greatest(F.lit(1), F.expr(f"((__r - 1) * {bins} + (__r_all - 2)) div greatest(__r_all - 1, 1)")).cast("int")).drop("__r", "__r_all")

@@ -23,6 +23,11 @@ def contrast(clean: Column, distracted: Column) -> list[Column]:
     ]
 
 
+def cohort(model: Column, frontier: list[str]) -> Column:
+    """The cohort of a model: API for those listed, else open-weight."""
+    return F.when(model.isin(*frontier), "API").otherwise("open-weight") if frontier else F.lit("open-weight")
+
+
 def strata(pairs: DataFrame, by: list[str], clean: str, distracted: str, extra: list[Column] = ()) -> DataFrame:
     """The contrast of each stratum."""
     return pairs.groupBy(*by).agg(*contrast(F.col(clean), F.col(distracted)), *extra)

@@ -8,6 +8,7 @@ from twinframe.operators import pairing as P
 from twinframe.operators import stats as S
 from twinframe.operators import tables as T
 
+from .intervals import bounds_sql, sums_sql, unit_sql
 from .registry import query
 from .views import twin, view
 
@@ -21,10 +22,24 @@ def pct(x: str) -> str:
 CONTRAST = f"count(*) AS n_pairs, CAST(0 AS BIGINT) AS n_dropped, {pct('c0')} AS rate_clean, {pct('c1')} AS rate_distracted, {pct('c1-c0')} AS delta_pp"
 
 
-@query(twin("pairs", f"SELECT model, source_dataset, distractor_type, {CONTRAST}, round(avg(CAST(s1 AS DOUBLE)), 6) AS mean_severity FROM pairs GROUP BY ALL"))
+#: Models that form the API cohort; all others are open-weight.
+FRONTIER = ["m3"]
+_COHORT = "CASE WHEN model IN ('m3') THEN 'API' ELSE 'open-weight' END AS cohort"
+_STRATUM = "model, source_dataset, distractor_type"
+
+
+def _paired_rows(spark, d):
+    return view(spark, d, "pairs").withColumn("cohort", T.cohort(F.col("model"), FRONTIER))
+
+
+@query(twin("pairs", f"SELECT * FROM (SELECT {_STRATUM}, min(family) AS family, {CONTRAST}, round(avg(CAST(s1 AS DOUBLE)), 6) AS mean_severity FROM pairs GROUP BY {_STRATUM}) JOIN ({bounds_sql(sums_sql('SELECT * FROM pairs', _STRATUM, 'c1-c0', 'item_id'), _STRATUM)}) USING ({_STRATUM})"))
 def strata_table(spark, d):
+    """The contrast of each stratum with its interval."""
     wide = P.pair_pivot(view(spark, d, "judgments"), PAIR_KEYS, ["contamination", "severity"])
-    return T.strata(wide, ["model", "source_dataset", "distractor_type"], "contamination_clean", "contamination_distracted", [F.round(F.avg("severity_distracted"), 6).alias("mean_severity")])
+    by = ["model", "source_dataset", "distractor_type"]
+    table = T.strata(wide, by, "contamination_clean", "contamination_distracted", [F.min("family").alias("family"), F.round(F.avg("severity_distracted"), 6).alias("mean_severity")])
+    sums = S.dealt_sums(wide, by, F.col("contamination_distracted") - F.col("contamination_clean"), ["item_id"])
+    return table.join(S.mean_interval(sums, by, 100.0), by)
 
 
 @query(twin("pairs", "SELECT source_dataset, item_id, model, distractor_type, c0 AS contamination_clean, c1 AS contamination_distracted, q0 AS overall_quality_clean, q1 AS overall_quality_distracted, c1-c0 AS delta FROM pairs"))
@@ -34,31 +49,56 @@ def pair_pivot(spark, d):
 
 
 SETS = [["model"], ["distractor_type"], ["family"], ["family", "distractor_type"], ["model", "distractor_type"], ["model", "family", "distractor_type"], []]
-_SETS_SQL = "GROUPING SETS ((model), (distractor_type), (family), (family, distractor_type), (model, distractor_type), (model, family, distractor_type), ())"
-_ALL = ", ".join(f"CASE WHEN grouping({c})=1 THEN 'all' ELSE {c} END AS {c}" for c in ("model", "family", "distractor_type"))
+
+
+def _sets_sql(extra: str = "", sets=SETS) -> str:
+    return "GROUPING SETS (" + ", ".join("(" + ", ".join(["cohort", *x, *([extra] if extra else [])]) + ")" for x in sets) + ")"
+
+
+def _labels(columns) -> str:
+    return ", ".join(f"CASE WHEN grouping({c})=1 THEN 'all' ELSE {c} END AS {c}" for c in columns)
+
+
+_DIMS = ("model", "family", "distractor_type")
+_BY = "cohort, model, family, distractor_type"
 
 
 @query(
     twin(
         "pairs",
-        f"""WITH pooled AS (SELECT {_ALL}, {CONTRAST} FROM pairs GROUP BY {_SETS_SQL}),
-        own AS (SELECT model, source_dataset, family, distractor_type, avg(CAST(c1-c0 AS DOUBLE)) AS d FROM pairs GROUP BY ALL),
-        means AS (SELECT {_ALL}, round(100*avg(d), 6) AS delta_strata, count(*) FILTER (d > 0) AS n_up, count(*) FILTER (d = 0) AS n_flat, count(*) FILTER (d < 0) AS n_down FROM own GROUP BY {_SETS_SQL})
-        SELECT * FROM pooled JOIN means USING (model, family, distractor_type)""",
+        f"""WITH r AS (SELECT *, {_COHORT}, {unit_sql("item_id")} AS unit FROM pairs), pooled AS (SELECT cohort, {_labels(_DIMS)}, {CONTRAST} FROM r GROUP BY {_sets_sql()}),
+        own AS (SELECT cohort, model, source_dataset, family, distractor_type, avg(CAST(c1-c0 AS DOUBLE)) AS d FROM r GROUP BY ALL),
+        means AS (SELECT cohort, {_labels(_DIMS)}, round(100*avg(d), 6) AS delta_strata, count(*) FILTER (d > 0) AS n_up, count(*) FILTER (d = 0) AS n_flat, count(*) FILTER (d < 0) AS n_down FROM own GROUP BY {_sets_sql()}),
+        u AS (SELECT cohort, {_labels(_DIMS)}, unit, 100.0e0*sum(c1-c0) AS total, count(*) AS n FROM r GROUP BY {_sets_sql('unit')})
+        SELECT * FROM pooled JOIN means USING ({_BY}) JOIN ({bounds_sql('SELECT * FROM u', _BY)}) USING ({_BY})""",
     )
 )
 def summary_grouping_sets(spark, d):
-    return T.summary(view(spark, d, "pairs"), ["model", "source_dataset", "family", "distractor_type"], SETS, "c0", "c1")
+    """Pooled contrast with its interval, unweighted mean of strata and their signs, by cohort over grouping sets."""
+    rows, sets = _paired_rows(spark, d), [["cohort", *x] for x in SETS]
+    by = ["cohort", *_DIMS]
+    table = T.summary(rows, ["cohort", "model", "source_dataset", "family", "distractor_type"], sets, "c0", "c1")
+    sums = S.dealt_sums(rows, by, F.col("c1") - F.col("c0"), ["item_id"])
+    units = T.grouped(sums, [[*x, "unit"] for x in sets], [F.sum("total").alias("total"), F.sum("n").alias("n")])
+    return table.join(S.mean_interval(units, by, 100.0), by)
 
 
-_QUALITY = "SELECT 'overall_quality' AS metric, model, CAST(q0 AS DOUBLE) AS a, CAST(q1 AS DOUBLE) AS b, source_dataset, distractor_type FROM pairs UNION ALL SELECT 'completeness', model, CAST(k0 AS DOUBLE), CAST(k1 AS DOUBLE), source_dataset, distractor_type FROM pairs"
+METRICS = {"clinical_correctness": ("t0", "t1"), "completeness": ("k0", "k1"), "succinctness": ("u0", "u1"), "hallucination": ("h0", "h1"), "overall_quality": ("q0", "q1")}
+_QUALITY = " UNION ALL ".join(f"SELECT '{m}' AS metric, {_COHORT}, {_STRATUM}, item_id, CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b FROM pairs" for m, (a, b) in METRICS.items())
 
 
-@query(twin("pairs", f"WITH m AS ({_QUALITY}), s AS (SELECT metric, model, source_dataset, distractor_type, avg(b-a) AS x FROM m GROUP BY ALL) SELECT metric, model, n, pooled, strata FROM (SELECT metric, model, count(*) AS n, round(avg(b-a), 6) AS pooled FROM m GROUP BY ALL) JOIN (SELECT metric, model, round(avg(x), 6) AS strata FROM s GROUP BY ALL) USING (metric, model)"))
+@query(twin("pairs", f"""WITH m AS ({_QUALITY}), s AS (SELECT metric, cohort, {_STRATUM}, avg(b-a) AS x FROM m GROUP BY ALL)
+    SELECT * FROM (SELECT metric, cohort, count(*) AS n, round(avg(a), 6) AS clean_mean, round(avg(b), 6) AS distracted_mean, round(avg(b-a), 6) AS pooled FROM m GROUP BY ALL)
+    JOIN (SELECT metric, cohort, round(avg(x), 6) AS strata FROM s GROUP BY ALL) USING (metric, cohort) JOIN ({bounds_sql(sums_sql('SELECT * FROM m', 'metric, cohort', 'b-a', 'item_id', 1.0), 'metric, cohort')}) USING (metric, cohort)"""))
 def quality_long(spark, d):
-    long = T.long_metrics(view(spark, d, "pairs"), ["model", "source_dataset", "distractor_type"], {"overall_quality": ("q0", "q1"), "completeness": ("k0", "k1")})
-    own = long.groupBy("metric", "model", "source_dataset", "distractor_type").agg(F.sum(F.col("distracted") - F.col("clean")).alias("t"), F.count("*").alias("c"))
-    return own.groupBy("metric", "model").agg(F.sum("c").alias("n"), F.round(F.sum("t") / F.sum("c"), 6).alias("pooled"), F.round(F.avg(F.col("t") / F.col("c")), 6).alias("strata"))
+    """Quality changes by metric and cohort: pooled with interval, and the unweighted mean of strata."""
+    by = ["metric", "cohort"]
+    long = T.long_metrics(_paired_rows(spark, d), ["cohort", "model", "source_dataset", "distractor_type", "item_id"], METRICS)
+    own = long.groupBy(*by, "model", "source_dataset", "distractor_type").agg(F.sum("clean").alias("a"), F.sum("distracted").alias("b"), F.count("*").alias("c"))
+    mean = lambda x: F.round(F.sum(x) / F.sum("c"), 6)
+    change = F.col("b") - F.col("a")
+    table = own.groupBy(*by).agg(F.sum("c").alias("n"), mean(F.col("a")).alias("clean_mean"), mean(F.col("b")).alias("distracted_mean"), mean(change).alias("pooled"), F.round(F.avg(change / F.col("c")), 6).alias("strata"))
+    return table.join(S.mean_interval(S.dealt_sums(long, by, F.col("distracted") - F.col("clean"), ["item_id"]), by), by)
 
 
 @query(twin("pairs", f"WITH l AS (SELECT model, source_dataset, distractor_type, 'a' AS rater, c0 AS x0, c1 AS x1 FROM pairs UNION ALL SELECT model, source_dataset, distractor_type, 'b', b0, b1 FROM pairs), s AS (SELECT rater, model, source_dataset, distractor_type, avg(CAST(x1-x0 AS DOUBLE)) AS v FROM l GROUP BY ALL), t AS (SELECT rater, count(*) FILTER (v < 0) AS n_negative FROM s GROUP BY ALL) SELECT rater, count(*) AS n, {pct('x0')} AS rate_clean, {pct('x1')} AS rate_distracted, {pct('x1-x0')} AS delta_pp, any_value(n_negative) AS n_negative FROM l JOIN t USING (rater) GROUP BY rater"))
@@ -108,15 +148,32 @@ def outcome_label(spark, d):
     return pairs.select("source_dataset", "item_id", "model", "distractor_type", "outcome", "outcome_open")
 
 
-@query(twin("pairs", f"SELECT CASE WHEN grouping(model)=1 THEN 'all' ELSE model END AS model, distractor_type, count(*) AS n, {pct('c1')} AS incorporated, {pct('CASE WHEN o = $$misattributed$$ THEN 1 ELSE 0 END')} AS misattributed, {pct('CASE WHEN o = $$used$$ THEN 1 ELSE 0 END')} AS used, {pct('CASE WHEN o = $$recorded_only$$ THEN 1 ELSE 0 END')} AS recorded_only FROM (SELECT *, {_OUTCOME} AS o FROM pairs) GROUP BY GROUPING SETS ((model, distractor_type), (distractor_type))"))
+_ATTR_SETS = [[], ["distractor_type"], ["family"], ["model"], ["model", "distractor_type"]]
+_KINDS = ("misattributed", "used", "recorded_only")
+
+
+@query(twin("pairs", f"""WITH r AS (SELECT *, {_COHORT}, {_OUTCOME} AS o, {unit_sql("item_id")} AS unit FROM pairs), l AS (SELECT *, CASE WHEN o = kind THEN 1 ELSE 0 END AS v FROM r, (VALUES ('misattributed'), ('used'), ('recorded_only')) k(kind)),
+    t AS (SELECT cohort, kind, {_labels(_DIMS)}, count(*) AS n, CAST(sum(c1) AS BIGINT) AS n_incorporated, count(*) FILTER (c1 = 1 AND s1 >= 1) AS n_judged, {pct('c1')} AS incorporated, {pct('v')} AS pct FROM l GROUP BY {_sets_sql('kind', _ATTR_SETS)}),
+    u AS (SELECT cohort, kind, {_labels(_DIMS)}, unit, 100.0e0*sum(v) AS total, count(*) AS n FROM l GROUP BY {_sets_sql('kind, unit', _ATTR_SETS)})
+    SELECT * FROM t JOIN ({bounds_sql('SELECT * FROM u', 'kind, ' + _BY)}) USING (kind, {_BY})"""))
 def attribution_rates(spark, d):
-    flags = [T.pct((F.col("outcome") == o).cast("int")).alias(o) for o in ("misattributed", "used", "recorded_only")]
-    return T.grouped(_outcomes(view(spark, d, "pairs")), [["model", "distractor_type"], ["distractor_type"]], [F.count("*").alias("n"), T.pct(F.col("c1")).alias("incorporated"), *flags])
+    """Shares of all pairs by outcome with intervals, by cohort over grouping sets."""
+    rows = _outcomes(_paired_rows(spark, d)).select("*", F.explode(F.array(*map(F.lit, _KINDS))).alias("kind"))
+    value = (F.col("outcome") == F.col("kind")).cast("int")
+    sets = [["cohort", "kind", *x] for x in _ATTR_SETS]
+    by = ["cohort", "kind", *_DIMS]
+    cells = [F.count("*").alias("n"), F.sum("c1").alias("n_incorporated"), F.count_if((F.col("c1") == 1) & (F.col("s1") >= 1)).alias("n_judged"), T.pct(F.col("c1")).alias("incorporated"), T.pct(value).alias("pct")]
+    units = T.grouped(S.dealt_sums(rows, by, value, ["item_id"]), [[*x, "unit"] for x in sets], [F.sum("total").alias("total"), F.sum("n").alias("n")])
+    return T.grouped(rows, sets, cells).join(S.mean_interval(units, by, 100.0), by)
 
 
-@query(twin("pairs", f"SELECT model, outcome, n, round(n / sum(n) OVER (PARTITION BY model), 6) AS share FROM (SELECT model, {_OUTCOME} AS outcome, count(*) AS n FROM pairs GROUP BY ALL)"))
+@query(twin("pairs", f"WITH h AS (SELECT model, distractor_type, {_OUTCOME} AS outcome, {_OUTCOME_OPEN} AS mode FROM pairs), f AS (SELECT * FROM h WHERE outcome IN ('misattributed', 'used')) SELECT model, distractor_type, outcome, mode, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT 'all', distractor_type, 'both', mode, count(*) FROM f GROUP BY ALL"))
 def taxonomy_counts(spark, d):
-    return T.shares(_outcomes(view(spark, d, "pairs")), ["model"], "outcome")
+    """Modes of notes that misattribute or act: by model and outcome, and pooled."""
+    both = _outcomes(_outcomes(view(spark, d, "pairs"), False).withColumnRenamed("outcome", "mode"))
+    harm = both.filter("outcome in ('misattributed', 'used')")
+    pooled = harm.groupBy("distractor_type", "mode").agg(F.count("*").alias("n")).withColumns({"model": F.lit("all"), "outcome": F.lit("both")})
+    return harm.groupBy("model", "distractor_type", "outcome", "mode").agg(F.count("*").alias("n")).unionByName(pooled)
 
 
 @query(twin("pairs", "SELECT model, distractor_type, s1 AS severity, n, round(n / sum(n) OVER (PARTITION BY model, distractor_type), 6) AS share FROM (SELECT model, distractor_type, s1, count(*) AS n FROM pairs GROUP BY ALL)"))
@@ -130,11 +187,11 @@ def outcome_by_class(spark, d):
     return T.grouped(_outcomes(view(spark, d, "pairs"), False), [["model", "distractor_type", "family"], ["distractor_type", "family"]], rates)
 
 
-@query(twin("pairs", f"SELECT source_dataset, count(*) AS n, {pct('c1')} AS incorporated, {pct('CASE WHEN s1 = 3 THEN 1 ELSE 0 END')} AS misattributed, rank() OVER (ORDER BY {pct('c1')} DESC, source_dataset) AS position FROM pairs GROUP BY source_dataset"))
+@query(twin("pairs", f"SELECT source_dataset, count(*) AS n, {pct('c1')} AS incorporated, {pct('CASE WHEN s1 = 3 THEN 1 ELSE 0 END')} AS misattributed, {pct('CASE WHEN s1 = 2 THEN 1 ELSE 0 END')} AS acted_on, rank() OVER (ORDER BY {pct('c1')} DESC, source_dataset) AS position FROM pairs GROUP BY source_dataset"))
 def topic_outcomes(spark, d):
     from pyspark.sql import Window
 
-    table = view(spark, d, "pairs").groupBy("source_dataset").agg(F.count("*").alias("n"), T.pct(F.col("c1")).alias("incorporated"), T.pct((F.col("s1") == 3).cast("int")).alias("misattributed"))
+    table = view(spark, d, "pairs").groupBy("source_dataset").agg(F.count("*").alias("n"), T.pct(F.col("c1")).alias("incorporated"), T.pct((F.col("s1") == 3).cast("int")).alias("misattributed"), T.pct((F.col("s1") == 2).cast("int")).alias("acted_on"))
     return table.withColumn("position", F.rank().over(Window.orderBy(F.desc("incorporated"), "source_dataset")).cast("long"))  # one row a topic
 
 

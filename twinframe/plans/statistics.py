@@ -9,6 +9,7 @@ from twinframe.operators import stats as S
 from twinframe.operators import tables as T
 
 from .documentation import pct
+from .intervals import average_rank_sql, bounds_sql, normal_tail_sql, ratio_sql, replicates_sql, sums_sql, t_table_sql, tail_sql
 from .registry import query
 from .views import table, twin, view
 
@@ -39,12 +40,18 @@ def mcnemar(spark, d):
     return cells.withColumn("p", F.round(S.mcnemar(F.col("b01"), F.col("b10")), 6))
 
 
-@query(twin("item_arms", f"WITH v AS ({_VECTORS}), l AS (SELECT model, 'interference' AS arm, a AS x, b AS y FROM v UNION ALL SELECT model, 'random', a, c FROM v UNION ALL SELECT model, 'all', a, e FROM v UNION ALL SELECT model, 'interference_vs_random', c, b FROM v), t AS (SELECT model, arm, {_PAIRED}, count(*) FILTER (x=0 AND y=1) AS b01, count(*) FILTER (x=1 AND y=0) AS b10 FROM l GROUP BY ALL) SELECT *, round({_MCNEMAR}, 6) AS p FROM t"))
+_SIDES = (("interference", "none", "interference"), ("random", "none", "random"), ("all", "none", "all"), ("interference_vs_random", "random", "interference"))
+_LONG = f"SELECT model, item_id, arm, x, y FROM ({_VECTORS}), LATERAL (VALUES ('interference', a, b), ('random', a, c), ('all', a, e), ('interference_vs_random', c, b)) s(arm, x, y)"
+
+
+@query(twin("item_arms", f"WITH l AS ({_LONG}), t AS (SELECT model, arm, {_PAIRED}, count(*) FILTER (x=0 AND y=1) AS b01, count(*) FILTER (x=1 AND y=0) AS b10 FROM l GROUP BY ALL) SELECT *, round({_MCNEMAR}, 6) AS p FROM t JOIN ({bounds_sql(sums_sql('SELECT * FROM l', 'model, arm', 'x-y', 'item_id'), 'model, arm')}) USING (model, arm)"))
 def intervention_contrast(spark, d):
-    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), F.col(a).alias("x"), F.col(b).alias("y")) for n, a, b in (("interference", "none", "interference"), ("random", "none", "random"), ("all", "none", "all"), ("interference_vs_random", "random", "interference"))]))
-    long = arms(spark, d).select("model", sides.alias("s")).select("model", "s.*")
+    """Each arm against no intervention, and interference against random: paired loss, its interval and exact p."""
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), F.col(a).alias("x"), F.col(b).alias("y")) for n, a, b in _SIDES]))
+    long = arms(spark, d).select("model", "item_id", sides.alias("s")).select("model", "item_id", "s.*")
     cells = long.groupBy("model", "arm").agg(*S.paired_difference(F.col("x"), F.col("y")), F.count_if(F.expr("x = 0 and y = 1")).alias("b01"), F.count_if(F.expr("x = 1 and y = 0")).alias("b10"))
-    return cells.withColumn("p", F.round(S.mcnemar(F.col("b01"), F.col("b10")), 6))
+    interval = S.mean_interval(S.dealt_sums(long, ["model", "arm"], F.col("x") - F.col("y"), ["item_id"]), ["model", "arm"], 100.0)
+    return cells.withColumn("p", F.round(S.mcnemar(F.col("b01"), F.col("b10")), 6)).join(interval, ["model", "arm"])
 
 
 @query(twin("item_arms", f"SELECT model, count(*) FILTER (h) AS n_heldout, count(*) AS n_all, round(100*(avg(CAST(a AS DOUBLE)) FILTER (h) - avg(CAST(b AS DOUBLE)) FILTER (h)), 6) AS drop_heldout, round(100*avg(CAST(a-b AS DOUBLE)), 6) AS drop_all FROM (SELECT *, item_id % 10 = 0 AS h FROM ({_VECTORS})) GROUP BY model"))
@@ -54,66 +61,70 @@ def baseline_drop(spark, d):
     return arms(spark, d).groupBy("model").agg(F.count_if(held).alias("n_heldout"), F.count("*").alias("n_all"), T.pct(F.when(held, gap)).alias("drop_heldout"), T.pct(gap).alias("drop_all"))
 
 
-_U = "(CAST(('0x'||substr(md5(concat_ws('|', '{seed}', CAST(b AS STRING), CAST({unit} AS STRING))),1,8)) AS UBIGINT)/4294967296.0e0)"
-_W = "CASE WHEN u<0.36787944117 THEN 0 WHEN u<0.73575888234 THEN 1 WHEN u<0.91969860293 THEN 2 WHEN u<0.98101184312 THEN 3 WHEN u<0.99634015317 THEN 4 WHEN u<0.99940581518 THEN 5 ELSE 6 END"
-
-
-def _boot_sql(units: str, group: str, unit: str, top: str, bottom: str, reps: int, seed: int) -> str:
-    u = _U.format(seed=seed, unit=unit)
-    return f"""WITH units AS ({units}), r AS (SELECT *, {u} AS u FROM units, (SELECT unnest(range(0, {reps})) AS b)), s AS (SELECT {group}, b, sum(({_W})*{top})/nullif(sum(({_W})*{bottom}), 0) AS s FROM r GROUP BY ALL),
-    i AS (SELECT {group}, round(quantile_cont(s, 0.025), 6) AS lo, round(quantile_cont(s, 0.975), 6) AS hi FROM s GROUP BY ALL),
-    p AS (SELECT {group}, count(*) AS n_units, round(sum({top})/nullif(sum({bottom}), 0), 6) AS estimate FROM units GROUP BY ALL) SELECT * FROM p JOIN i USING ({group})"""
-
-
 _CLUSTERS = "SELECT model, distractor_type, item_id, sum(CAST(c1-c0 AS DOUBLE)) AS total, CAST(count(c1-c0) AS DOUBLE) AS n FROM pairs GROUP BY ALL"
 
 
-@query(twin("pairs", _boot_sql(f"SELECT *, total/n AS mean, 1.0e0 AS one FROM ({_CLUSTERS})", "model, distractor_type", "item_id", "mean", "one", 200, 0)))
+@query(twin("pairs", ratio_sql(f"SELECT *, total/n AS mean, 1.0e0 AS one FROM ({_CLUSTERS})", "model, distractor_type", "item_id", "mean", "one", 2000, 0)))
 def cluster_bootstrap_mean(spark, d):
     return S.bootstrap_cluster_mean(view(spark, d, "pairs"), ["model", "distractor_type"], "item_id", F.col("c1") - F.col("c0"))
 
 
-@query(twin("pairs", _boot_sql(_CLUSTERS.replace("model, distractor_type, item_id", "family, item_id"), "family", "item_id", "total", "n", 300, 20261002)))
+@query(twin("pairs", ratio_sql(_CLUSTERS.replace("model, distractor_type, item_id", "family, item_id"), "family", "item_id", "total", "n", 5000, 20261002)))
 def cluster_bootstrap_ratio(spark, d):
-    return S.bootstrap_cluster_ratio(view(spark, d, "pairs"), ["family"], "item_id", F.col("c1") - F.col("c0"), replicates=300, seed=20261002)
+    return S.bootstrap_cluster_ratio(view(spark, d, "pairs"), ["family"], "item_id", F.col("c1") - F.col("c0"), replicates=5000, seed=20261002)
 
 
-@query(twin("item_arms", _boot_sql(f"SELECT model, item_id, CAST(b-a AS DOUBLE) AS v, 1.0e0 AS one FROM ({_VECTORS})", "model", "item_id", "v", "one", 100, 5)))
+@query(twin("item_arms", ratio_sql(f"SELECT model, item_id, CAST(b-a AS DOUBLE) AS v, 1.0e0 AS one FROM ({_VECTORS})", "model", "item_id", "v", "one", 2000, 5)))
 def bootstrap_ci(spark, d):
     rows = arms(spark, d).select("model", "item_id", (F.col("interference") - F.col("none")).cast("double").alias("v"), F.lit(1.0).alias("one"))
-    return S.bootstrap_ratio(rows, ["model"], "item_id", "v", "one", replicates=100, seed=5)
+    return S.bootstrap_ratio(rows, ["model"], "item_id", "v", "one", seed=5)
+
+
+_RHO_P = "CASE WHEN n > 2 THEN CASE WHEN abs(rho) >= 1 THEN 0.0 ELSE " + tail_sql("(rho*sqrt((n-2)/(1-rho*rho)))", "(n-2)") + " END END"
 
 
-_AVGRANK = "rank() OVER (PARTITION BY {g} ORDER BY {x}) + (count(*) OVER (PARTITION BY {g}, {x}) - 1)/2.0e0"
+def _spearman_sql(rows: str, group: str, x: str, y: str) -> str:
+    ranks = f"SELECT {group}, {average_rank_sql(group, x)} AS x, {average_rank_sql(group, y)} AS y FROM ({rows})"
+    return f"SELECT {group}, n, round(rho, 6) AS rho, round({_RHO_P}, 6) AS p FROM (SELECT {group}, count(*) AS n, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS rho FROM ({ranks}) GROUP BY ALL)"
 
 
-@query(twin("pairs", f"SELECT source_dataset, count(*) AS n, round(CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END, 6) AS rho FROM (SELECT source_dataset, {_AVGRANK.format(g='source_dataset', x='chars')} AS x, {_AVGRANK.format(g='source_dataset', x='s1')} AS y FROM pairs) GROUP BY source_dataset"))
+@query(twin("pairs", _spearman_sql("SELECT * FROM pairs", "source_dataset", "chars", "s1")))
 def spearman(spark, d):
     return S.spearman(view(spark, d, "pairs"), ["source_dataset"], "chars", "s1")
 
 
-@query("SELECT l_returnflag, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept, round(corr(l_extendedprice, l_quantity), 6) AS r, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(sqrt((regr_syy(l_extendedprice, l_quantity) - regr_sxy(l_extendedprice, l_quantity)*regr_sxy(l_extendedprice, l_quantity)/regr_sxx(l_extendedprice, l_quantity))/(count(*)-2)/regr_sxx(l_extendedprice, l_quantity)), 6) AS stderr FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(rho, 6) AS r, round(r2, 6) AS r2, round(stderr, 6) AS stderr, round(" + _RHO_P + ", 6) AS p FROM (SELECT l_returnflag, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, corr(l_extendedprice, l_quantity) AS rho, regr_r2(l_extendedprice, l_quantity) AS r2, sqrt((regr_syy(l_extendedprice, l_quantity) - regr_sxy(l_extendedprice, l_quantity)*regr_sxy(l_extendedprice, l_quantity)/regr_sxx(l_extendedprice, l_quantity))/(count(*)-2)/regr_sxx(l_extendedprice, l_quantity)) AS stderr FROM lineitem GROUP BY l_returnflag)")
 def ols(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*S.ols(F.col("l_extendedprice"), F.col("l_quantity")))
 
 
-@query(twin("pairs", "SELECT model, round((avg(x) FILTER (f) - avg(x) FILTER (NOT f))/sqrt(va+vb), 6) AS t, round((va+vb)*(va+vb)/(va*va/(na-1)+vb*vb/(nb-1)), 6) AS df FROM (SELECT model, CAST(q1-q0 AS DOUBLE) AS x, family='family_a' AS f, (var_samp(CAST(q1-q0 AS DOUBLE)) FILTER (family='family_a') OVER w)/(count(*) FILTER (family='family_a') OVER w) AS va, (var_samp(CAST(q1-q0 AS DOUBLE)) FILTER (family<>'family_a') OVER w)/(count(*) FILTER (family<>'family_a') OVER w) AS vb, count(*) FILTER (family='family_a') OVER w AS na, count(*) FILTER (family<>'family_a') OVER w AS nb FROM pairs WINDOW w AS (PARTITION BY model)) GROUP BY model, va, vb, na, nb"))
+_WELCH = "WITH m AS (SELECT model, avg(CAST(q1-q0 AS DOUBLE)) FILTER (f) AS ma, avg(CAST(q1-q0 AS DOUBLE)) FILTER (NOT f) AS mb, var_samp(q1-q0) FILTER (f)/count(*) FILTER (f) AS va, var_samp(q1-q0) FILTER (NOT f)/count(*) FILTER (NOT f) AS vb, count(*) FILTER (f) AS na, count(*) FILTER (NOT f) AS nb FROM (SELECT *, family='family_a' AS f FROM pairs) GROUP BY model), s AS (SELECT model, (ma-mb)/sqrt(va+vb) AS t, (va+vb)*(va+vb)/(va*va/(na-1)+vb*vb/(nb-1)) AS df FROM m), q AS (SELECT *, " + tail_sql("t", "df") + " AS p FROM s) SELECT model, round(t, 6) AS t, round(df, 6) AS df, round(p, 6) AS p, round(CASE WHEN t < 0 THEN p/2 ELSE 1 - p/2 END, 6) AS p_less FROM q"
+
+
+@query(twin("pairs", _WELCH))
 def welch_stat(spark, d):
     return view(spark, d, "pairs").groupBy("model").agg(*S.welch((F.col("q1") - F.col("q0")).cast("double"), F.col("family") == "family_a"))
 
 
-_BRANDS = "SELECT p_brand, count(*) FILTER (l_returnflag='R') AS b01, count(*) FILTER (l_returnflag='A') AS b10 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 GROUP BY p_brand"
+_BRANDS = "SELECT p_brand, count(*) FILTER (l_returnflag='R') AS b01, count(*) FILTER (l_returnflag='A') AS b10 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"
 
 
 @query(f"WITH t AS ({_BRANDS}), p AS (SELECT p_brand, {_MCNEMAR} AS p FROM t), r AS (SELECT *, row_number() OVER (ORDER BY p, p_brand) AS r, count(*) OVER () AS n FROM p) SELECT p_brand, round(p, 6) AS p, round(least(1.0, greatest(0.0, min(p*n/r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))), 6) AS q FROM r")
 def bh_fdr(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_quantity > 49").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     cells = rows.groupBy("p_brand").agg(F.count_if(F.col("l_returnflag") == "R").alias("b01"), F.count_if(F.col("l_returnflag") == "A").alias("b10"))
-    done = S.benjamini_hochberg(cells.withColumn("p", S.mcnemar(F.col("b01"), F.col("b10"))), "p", ["p_brand"])  # one row a brand
+    done = S.benjamini_hochberg(cells.withColumn("p", S.mcnemar(F.col("b01"), F.col("b10"))), "p")
     return done.select("p_brand", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
 
 
-@query(twin("pairs", f"WITH z AS (SELECT model, distractor_type, q1-q0 AS d, abs(q1-q0) AS a FROM pairs WHERE q1 <> q0), r AS (SELECT *, {_AVGRANK.format(g='model, distractor_type', x='a')} AS r FROM z) SELECT model, distractor_type, count(*) AS n_nonzero, round(sum(CASE WHEN d>0 THEN r ELSE 0 END), 6) AS w_plus, round(sum(CASE WHEN d<0 THEN r ELSE 0 END), 6) AS w_minus, round(least(sum(CASE WHEN d>0 THEN r ELSE 0 END), sum(CASE WHEN d<0 THEN r ELSE 0 END)), 6) AS w FROM r GROUP BY ALL"))
+_SIGNED = f"""WITH z AS (SELECT model, distractor_type, q1-q0 AS d, abs(q1-q0) AS a FROM pairs WHERE q1 <> q0), r AS (SELECT *, {average_rank_sql('model, distractor_type', 'a')} AS r FROM z),
+ c AS (SELECT model, distractor_type, sum(CAST(k AS DOUBLE)*k*k - k) AS ties FROM (SELECT model, distractor_type, a, count(*) AS k FROM z GROUP BY ALL) GROUP BY ALL),
+ w AS (SELECT model, distractor_type, count(*) AS n, sum(CASE WHEN d>0 THEN r ELSE 0 END) AS p, sum(CASE WHEN d<0 THEN r ELSE 0 END) AS m, any_value(ties) AS ties FROM r JOIN c USING (model, distractor_type) GROUP BY ALL),
+ v AS (SELECT *, least(p, m) AS w, (least(p, m) - n*(n+1)/4.0e0)/sqrt((CAST(n AS DOUBLE)*(n+1)*(2*n+1) - ties/2)/24) AS zz FROM w)
+ SELECT model, distractor_type, coalesce(n, 0) AS n_nonzero, round(coalesce(p, 0), 6) AS w_plus, round(coalesce(m, 0), 6) AS w_minus, round(coalesce(w, 0), 6) AS w, round(coalesce({normal_tail_sql('zz')}, 1.0), 6) AS p FROM (SELECT DISTINCT model, distractor_type FROM pairs) LEFT JOIN v USING (model, distractor_type)"""
+
+
+@query(twin("pairs", _SIGNED))
 def wilcoxon_w(spark, d):
     return S.wilcoxon(view(spark, d, "pairs").withColumn("d", F.col("q1") - F.col("q0")), ["model", "distractor_type"], "d")
 
@@ -121,12 +132,31 @@ def wilcoxon_w(spark, d):
 _LEVELS = "SELECT *, CASE WHEN family = 'family_a' THEN '-5' ELSE '-10' END AS level FROM pairs"
 
 
-@query(twin("pairs", f"WITH l AS ({_LEVELS}), c AS (SELECT level, model, item_id, avg(CAST(c1 AS DOUBLE)) AS m FROM l GROUP BY ALL), c2 AS (SELECT level, item_id, avg(CAST(c1 AS DOUBLE)) AS m FROM l GROUP BY ALL), r AS (SELECT level, model, count(*) AS n_pairs, {pct('c0')} AS rate_clean FROM l GROUP BY ALL UNION ALL SELECT level, 'all', count(*), {pct('c0')} FROM l GROUP BY level), k AS (SELECT level, model, count(*) AS n_clusters, round(100*avg(m), 6) AS rate_mixed FROM c GROUP BY ALL UNION ALL SELECT level, 'all', count(*), round(100*avg(m), 6) FROM c2 GROUP BY level) SELECT * FROM r JOIN k USING (level, model)"))
+_CUBE = "CASE WHEN grouping(level)=1 THEN 'all' ELSE level END AS level, CASE WHEN grouping(model)=1 THEN 'all' ELSE model END AS model"
+_CUBE_SETS = "GROUPING SETS ((level, model{0}), (level{0}), (model{0}), ({1}))"
+_CUBE_UNITS = f"SELECT {_CUBE}, item_id, 100.0e0*avg(CAST(c1 AS DOUBLE)) AS m, 100.0e0*avg(CAST(c1-c0 AS DOUBLE)) AS dm, 1.0e0 AS one FROM l GROUP BY {_CUBE_SETS.format(', item_id', 'item_id')}"
+
+
+@query(twin("pairs", f"""WITH l AS ({_LEVELS}), c AS ({_CUBE_UNITS}), r AS (SELECT {_CUBE}, count(*) AS n_pairs, {pct('c0')} AS rate_clean, round(avg(CAST(s1 AS DOUBLE)), 6) AS severity FROM l GROUP BY {_CUBE_SETS.format('', '')}),
+    k AS (SELECT level, model, count(*) AS n_clusters, round(avg(m), 6) AS rate_mixed, round(avg(dm), 6) AS delta_pp FROM c GROUP BY ALL)
+    SELECT * FROM r JOIN k USING (level, model) JOIN ({bounds_sql('SELECT * FROM c', 'level, model', 'item_id', 'dm', 'one')}) USING (level, model)"""))
 def cluster_rates_cube(spark, d):
+    """Rates by level and model with all pooled rows; the mixed rate and the contrast are means of cluster means, with its interval."""
     rows = view(spark, d, "pairs").withColumn("level", F.when(F.col("family") == "family_a", "-5").otherwise("-10"))
     # Cluster means of each grouping first, their mean second: the mean of means is not the mean of rows.
-    per = T.grouped(rows, [["level", "model", "item_id"], ["level", "item_id"]], [F.avg("c1").alias("m"), F.count("*").alias("n"), F.sum("c0").alias("k")])
-    return per.groupBy("level", "model").agg(F.sum("n").alias("n_pairs"), F.round(100 * F.sum("k") / F.sum("n"), 6).alias("rate_clean"), F.count("*").alias("n_clusters"), F.round(100 * F.avg("m"), 6).alias("rate_mixed"))
+    sets = [["level", "model"], ["level"], ["model"], []]
+    cells = [F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("c0", "c1", "s1")]]
+    per = T.grouped(rows, [[*x, "item_id"] for x in sets], cells).withColumns({"m": 100 * F.col("c1") / F.col("n"), "dm": 100 * (F.col("c1") - F.col("c0")) / F.col("n"), "one": F.lit(1.0)})
+    mean = lambda c: F.round(F.sum(c) / F.sum("n"), 6)
+    table = per.groupBy("level", "model").agg(F.sum("n").alias("n_pairs"), mean(100 * F.col("c0")).alias("rate_clean"), mean(F.col("s1")).alias("severity"), F.count("*").alias("n_clusters"), F.round(F.avg("m"), 6).alias("rate_mixed"), F.round(F.avg("dm"), 6).alias("delta_pp"))
+    interval = S.bootstrap_ratio(per, ["level", "model"], "item_id", "dm", "one").select("level", "model", F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"))
+    return table.join(interval, ["level", "model"])
+
+
+@query(twin("pairs", _spearman_sql("SELECT * FROM pairs", "family, model", "s0", "s1")))
+def conditional_spearman(spark, d):
+    """Rank correlation of leakage and outcome within each level."""
+    return S.spearman(view(spark, d, "pairs"), ["family", "model"], "s0", "s1")
 
 
 @query(twin("pairs", f"SELECT source_dataset, s0 > 0 AS leaked, count(*) AS n, {pct('c1')} AS rate FROM pairs GROUP BY ALL"))
@@ -168,16 +198,59 @@ def set_overlap(spark, d):
     return marks.groupBy("model").agg(F.count_if("l").alias("n_a"), F.count_if("r").alias("n_b"), both.alias("n_both"), F.count("*").alias("n_union"), F.round(both / F.count("*"), 6).alias("jaccard"), (F.count_if(F.col("l") & ~F.col("r")) == 0).alias("subset"))
 
 
-_PICKS = "SELECT model, distractor, seed, layer, head FROM head_masks WHERE gate < 0.35 AND seed < 40"
+#: Seeds are dealt to RUNS training runs; a run selects the heads whose mean gate is under the cutoff.
+RUNS = 12
+_PICKS = f"SELECT model, distractor, seed % {RUNS} AS run, layer, head FROM head_masks GROUP BY ALL HAVING avg(gate) < 0.48"
 
 
-@query(twin("head_masks", f"WITH s AS ({_PICKS}), n AS (SELECT model, distractor, seed, count(*) AS n FROM s GROUP BY ALL), i AS (SELECT a.model, a.distractor, a.seed AS seed_a, b.seed AS seed_b, count(*) AS k FROM s a JOIN s b ON a.model=b.model AND a.distractor=b.distractor AND a.layer=b.layer AND a.head=b.head AND a.seed < b.seed GROUP BY ALL), p AS (SELECT a.model, a.distractor, a.seed AS seed_a, b.seed AS seed_b, a.n + b.n AS sizes FROM n a JOIN n b ON a.model=b.model AND a.distractor=b.distractor AND a.seed < b.seed) SELECT model, distractor, seed_a, seed_b, round(coalesce(k,0)/CAST(sizes - coalesce(k,0) AS DOUBLE), 6) AS jaccard FROM p LEFT JOIN i USING (model, distractor, seed_a, seed_b)"))
+@query(twin("head_masks", f"WITH s AS ({_PICKS}), n AS (SELECT model, distractor, run, count(*) AS n FROM s GROUP BY ALL), i AS (SELECT a.model, a.distractor, a.run AS run_a, b.run AS run_b, count(*) AS k FROM s a JOIN s b ON a.model=b.model AND a.distractor=b.distractor AND a.layer=b.layer AND a.head=b.head AND a.run < b.run GROUP BY ALL), p AS (SELECT a.model, a.distractor, a.run AS run_a, b.run AS run_b, a.n + b.n AS sizes FROM n a JOIN n b ON a.model=b.model AND a.distractor=b.distractor AND a.run < b.run) SELECT model, distractor, run_a, run_b, round(coalesce(k,0)/CAST(sizes - coalesce(k,0) AS DOUBLE), 6) AS jaccard FROM p LEFT JOIN i USING (model, distractor, run_a, run_b)"))
 def pairwise_jaccard(spark, d):
-    sets = view(spark, d, "head_masks").filter("gate < 0.35 and seed < 40").groupBy("model", "distractor", "seed").agg(F.collect_set(F.col("layer") * 8 + F.col("head")).alias("s"))
-    a, b = sets.alias("a"), sets.alias("b")  # 40 seeds: one row each with a set of 64 heads at most
-    pairs = a.join(b, (F.col("a.model") == F.col("b.model")) & (F.col("a.distractor") == F.col("b.distractor")) & (F.col("a.seed") < F.col("b.seed")))
+    return _run_pairs(spark, d).select("model", "distractor", "run_a", "run_b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def _run_sets(spark, d):
+    """(model, distractor, run, s): the heads each run selects; all rows enter a mean, and there are at most RUNS sets a group."""
+    picks = view(spark, d, "head_masks").groupBy("model", "distractor", (F.col("seed") % RUNS).alias("run"), "layer", "head").agg(F.avg("gate").alias("g")).filter("g < 0.48")
+    return picks.groupBy("model", "distractor", "run").agg(F.collect_set(F.col("layer") * 8 + F.col("head")).alias("s"))
+
+
+def _run_pairs(spark, d):
+    a, b = _run_sets(spark, d).alias("a"), _run_sets(spark, d).alias("b")
+    pairs = a.join(b, (F.col("a.model") == F.col("b.model")) & (F.col("a.distractor") == F.col("b.distractor")) & (F.col("a.run") < F.col("b.run")))
     share = F.size(F.array_intersect("a.s", "b.s")) / F.size(F.array_union("a.s", "b.s"))
-    return pairs.select("a.model", "a.distractor", F.col("a.seed").alias("seed_a"), F.col("b.seed").alias("seed_b"), F.round(share, 6).alias("jaccard"))
+    return pairs.select("a.model", "a.distractor", F.col("a.run").alias("run_a"), F.col("b.run").alias("run_b"), share.alias("jaccard"))
+
+
+_PUBLISHED = "SELECT model, distractor, layer, head FROM head_masks GROUP BY ALL HAVING avg(gate) < 0.49"
+
+
+@query(twin("head_masks", f"""WITH s AS ({_PICKS}), pub AS ({_PUBLISHED}), n AS (SELECT model, distractor, run, count(*) AS n FROM s GROUP BY ALL),
+    i AS (SELECT a.model, a.distractor, a.run AS run_a, b.run AS run_b, count(*) AS k FROM s a JOIN s b ON a.model=b.model AND a.distractor=b.distractor AND a.layer=b.layer AND a.head=b.head AND a.run < b.run GROUP BY ALL),
+    p AS (SELECT a.model, a.distractor, a.run AS run_a, b.run AS run_b, a.n + b.n AS sizes FROM n a JOIN n b ON a.model=b.model AND a.distractor=b.distractor AND a.run < b.run),
+    j AS (SELECT model, distractor, avg(x) AS j_mean, min(x) AS j_min, max(x) AS j_max FROM (SELECT model, distractor, coalesce(k,0)/CAST(sizes - coalesce(k,0) AS DOUBLE) AS x FROM p LEFT JOIN i USING (model, distractor, run_a, run_b)) GROUP BY ALL),
+    z AS (SELECT model, distractor, count(*) AS n_runs, round(avg(n), 6) AS heads_mean, min(n) AS heads_min, max(n) AS heads_max FROM n GROUP BY ALL),
+    h AS (SELECT model, distractor, layer, head, count(*) AS hits FROM s GROUP BY ALL),
+    u AS (SELECT coalesce(h.model, pub.model) AS model, coalesce(h.distractor, pub.distractor) AS distractor, hits, pub.model IS NOT NULL AS published FROM h FULL JOIN pub ON h.model=pub.model AND h.distractor=pub.distractor AND h.layer=pub.layer AND h.head=pub.head)
+    SELECT model, distractor, n_runs, heads_mean, heads_min, heads_max, round(j_mean, 6) AS jaccard_mean, round(j_min, 6) AS jaccard_min, round(j_max, 6) AS jaccard_max,
+    count(*) FILTER (hits = n_runs) AS n_all_runs, count(hits) AS n_union, count(*) FILTER (hits >= 2 AND published) AS n_recovered, count(*) FILTER (published) AS n_published, round(count(*) FILTER (hits IS NOT NULL AND published)/CAST(count(*) AS DOUBLE), 6) AS jaccard_published
+    FROM u JOIN z USING (model, distractor) LEFT JOIN j USING (model, distractor) GROUP BY ALL"""))
+def run_stability(spark, d):
+    """Stability over runs: sizes, pairwise overlap (null with one run), heads in all or any, overlap with the set of all seeds together."""
+    keys = ["model", "distractor"]
+    sets, pairs = _run_sets(spark, d), _run_pairs(spark, d)
+    sizes = sets.groupBy(*keys).agg(F.count("*").alias("n_runs"), F.round(F.avg(F.size("s")), 6).alias("heads_mean"), F.min(F.size("s")).cast("long").alias("heads_min"), F.max(F.size("s")).cast("long").alias("heads_max"))
+    overlap = pairs.groupBy(*keys).agg(*[F.round(f("jaccard"), 6).alias(f"jaccard_{n}") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
+    hits = sets.select(*keys, F.explode("s").alias("at")).groupBy(*keys, "at").agg(F.count("*").alias("hits"))
+    published = view(spark, d, "head_masks").groupBy(*keys, (F.col("layer") * 8 + F.col("head")).alias("at")).agg(F.avg("gate").alias("g")).filter("g < 0.49").select(*keys, "at", F.lit(True).alias("published"))
+    both = hits.join(published, [*keys, "at"], "full_outer").join(sizes.select(*keys, "n_runs"), keys)
+    counts = both.groupBy(*keys).agg(
+        F.count_if(F.col("hits") == F.col("n_runs")).alias("n_all_runs"),
+        F.count("hits").alias("n_union"),
+        F.count_if((F.col("hits") >= 2) & F.col("published")).alias("n_recovered"),
+        F.count_if("published").alias("n_published"),
+        F.round(F.count_if(F.col("hits").isNotNull() & F.col("published")) / F.count("*"), 6).alias("jaccard_published"),
+    )
+    return sizes.join(overlap, keys, "left").join(counts, keys)
 
 
 @query(twin("head_masks", "WITH s AS (SELECT model, distractor, layer, head, count(*) FILTER (gate < 0.35) AS hits, count(DISTINCT seed) AS n FROM head_masks GROUP BY ALL) SELECT model, distractor, max(n) AS n_seeds, count(*) FILTER (hits = n) AS n_all_seeds, count(*) FILTER (hits > 0) AS n_union, count(*) FILTER (hits >= 2) AS n_recovered, round(sum(hits)/CAST(max(n) AS DOUBLE), 6) AS mean_heads, min(hits) AS min_hits, max(hits) AS max_hits FROM s GROUP BY ALL"))
@@ -192,10 +265,11 @@ def depth_histogram(spark, d):
     return T.shares(binned, ["model"], "bin").withColumnRenamed("n", "n_selected")
 
 
-@query(twin("head_masks", "SELECT model, gate, round(row_number() OVER (PARTITION BY model ORDER BY gate, seed, layer, head)/CAST(count(*) OVER (PARTITION BY model) AS DOUBLE), 6) AS ecdf FROM head_masks WHERE layer = 0"))
+@query(twin("head_masks", "SELECT model, gate, n, round(sum(n) OVER (PARTITION BY model ORDER BY gate)/CAST(sum(n) OVER (PARTITION BY model) AS DOUBLE), 6) AS ecdf FROM (SELECT model, gate, count(*) AS n FROM head_masks GROUP BY ALL)"))
 def ecdf(spark, d):
-    w = Window.partitionBy("model")
-    return view(spark, d, "head_masks").filter("layer = 0").select("model", "gate", F.round(F.row_number().over(w.orderBy("gate", "seed", "layer", "head")) / F.count("*").over(w), 6).alias("ecdf"))
+    """The share of heads with a gate up to each value, over all layers."""
+    values = view(spark, d, "head_masks").groupBy("model", "gate").agg(F.count("*").alias("n"))
+    return S.numbered(values, ["model"], ["gate"], "n", "__k").select("model", "gate", "n", F.round(F.col("__k") / F.col("__k_all"), 6).alias("ecdf"))
 
 
 @query(twin("head_masks", "SELECT model, distractor, round(avg(gate) FILTER (layer < 2), 6) AS mean_a, round(avg(gate) FILTER (layer >= 2), 6) AS mean_b, round(avg(gate) FILTER (layer < 2)/nullif(avg(gate) FILTER (layer >= 2), 0), 6) AS ratio FROM head_masks GROUP BY ALL"))
@@ -211,22 +285,22 @@ def ref_delta(spark, d):
     return own.select("model", "distractor", "layer", F.round(F.col("x") - base, 6).alias("delta"))
 
 
-_CONTROL = "WITH m AS (SELECT *, gate < 0.2 AS sel, md5(concat_ws('|', '3', CAST(layer AS STRING), CAST(head AS STRING))) AS h FROM head_masks), n AS (SELECT model, seed, count(*) FILTER (sel) AS k FROM m GROUP BY ALL), r AS (SELECT model, seed, layer, head, row_number() OVER (PARTITION BY model, seed ORDER BY h) AS r FROM m WHERE NOT sel) SELECT model, seed, layer, head FROM r JOIN n USING (model, seed) WHERE r <= k"
+_CONTROL = "WITH m AS (SELECT *, gate < 0.2 AS sel, md5(concat_ws('|', '3', model, CAST(seed AS STRING), CAST(layer AS STRING), CAST(head AS STRING))) AS h FROM head_masks), n AS (SELECT model, seed, count(*) FILTER (sel) AS k FROM m GROUP BY ALL), r AS (SELECT model, seed, layer, head, row_number() OVER (PARTITION BY model, seed ORDER BY h) AS r FROM m WHERE NOT sel) SELECT model, seed, layer, head FROM r JOIN n USING (model, seed) WHERE r <= k"
 
 
 @query(twin("head_masks", _CONTROL))
 def matched_control(spark, d):
     masks = view(spark, d, "head_masks").withColumn("sel", F.col("gate") < 0.2)
-    hashed = F.md5(F.concat_ws("|", F.lit("3"), F.col("layer").cast("string"), F.col("head").cast("string")))
+    hashed = F.md5(F.concat_ws("|", F.lit("3"), *[F.col(c).cast("string") for c in ("model", "seed", "layer", "head")]))
     sized = masks.withColumn("k", F.count_if("sel").over(Window.partitionBy("model", "seed")))
     ranked = sized.filter("not sel").withColumn("r", F.row_number().over(Window.partitionBy("model", "seed").orderBy(hashed)))
     return ranked.filter("r <= k").select("model", "seed", "layer", "head")
 
 
-@query(twin("head_masks", "SELECT model, seed, layer, head, scale, CASE WHEN gate < 0.5 THEN scale ELSE 1.0 END AS gate FROM head_masks, (VALUES (0.0e0), (0.5e0), (1.5e0)) s(scale) WHERE layer < 2"))
+@query(twin("head_masks", "SELECT model, seed, layer, head, scale, CASE WHEN gate < 0.5 THEN scale ELSE 1.0 END AS gate FROM head_masks, (VALUES (0.0e0), (0.5e0), (1.5e0)) s(scale)"))
 def scaled_gates(spark, d):
     scales = F.explode(F.array(*map(F.lit, (0.0, 0.5, 1.5)))).alias("scale")
-    rows = view(spark, d, "head_masks").filter("layer < 2").select("*", scales)
+    rows = view(spark, d, "head_masks").select("*", scales)
     return rows.select("model", "seed", "layer", "head", "scale", F.when(F.col("gate") < 0.5, F.col("scale")).otherwise(1.0).alias("gate"))
 
 
@@ -250,11 +324,24 @@ def qa_long(wide):
     )
 
 
-@query(twin("qa_per_item", f"WITH q AS ({_QA}), l AS ({_LOSS}), t AS (SELECT engine, distractor, {_PAIRED}, count(*) FILTER (x=0 AND y=1) AS b01, count(*) FILTER (x=1 AND y=0) AS b10 FROM l WHERE bad = 0 GROUP BY ALL) SELECT *, round({_MCNEMAR}, 6) AS p FROM t"))
+_MODEL = f"""WITH q AS ({_QA}), l AS ({_LOSS}), t AS (SELECT engine, distractor, {_PAIRED}, count(*) FILTER (x=0 AND y=1) AS b01, count(*) FILTER (x=1 AND y=0) AS b10 FROM l WHERE bad = 0 GROUP BY ALL),
+    a AS (SELECT engine, distractor, count(*) AS n_all, drop_pp AS drop_all_pp, se_pp AS se_all_pp FROM (SELECT engine, distractor, {_PAIRED.replace('count(*) AS n', 'count(*) AS k')} FROM l GROUP BY ALL) GROUP BY ALL),
+    c AS (SELECT engine, condition, CAST(sum(is_invalid) AS BIGINT) AS n_bad, 512*(1 + count(*) % 2) AS cap FROM qa_per_item GROUP BY ALL)
+    SELECT t.* , round({_MCNEMAR}, 6) AS p, (SELECT count(*) FROM l WHERE l.engine = t.engine AND l.distractor = t.distractor) AS n_all, a.drop_all_pp, a.se_all_pp, c.n_bad AS invalid_clean, d.n_bad AS invalid_distracted, c.cap AS cap_clean, d.cap AS cap_distracted
+    FROM t JOIN a USING (engine, distractor) JOIN c ON c.engine = t.engine AND c.condition = 'clean' JOIN c d ON d.engine = t.engine AND d.condition = t.distractor"""
+
+
+@query(twin("qa_per_item", _MODEL))
 def qa_model_table(spark, d):
-    rows = qa_long(qa_wide(spark, d)).filter("bad = 0")
-    cells = rows.groupBy("engine", "distractor").agg(*S.paired_difference(F.col("x"), F.col("y")), F.count_if(F.expr("x = 0 and y = 1")).alias("b01"), F.count_if(F.expr("x = 1 and y = 0")).alias("b10"))
-    return cells.withColumn("p", F.round(S.mcnemar(F.col("b01"), F.col("b10")), 6))
+    """Each engine and distractor: loss on evaluable pairs with its exact p, loss on all items, invalid replies and token caps of both arms."""
+    keys = ["engine", "distractor"]
+    rows = qa_long(qa_wide(spark, d))
+    cells = rows.filter("bad = 0").groupBy(*keys).agg(*S.paired_difference(F.col("x"), F.col("y")), F.count_if(F.expr("x = 0 and y = 1")).alias("b01"), F.count_if(F.expr("x = 1 and y = 0")).alias("b10"))
+    every = rows.groupBy(*keys).agg(*S.paired_difference(F.col("x"), F.col("y"))).select(*keys, F.col("n").alias("n_all"), F.col("drop_pp").alias("drop_all_pp"), F.col("se_pp").alias("se_all_pp"))
+    runs = view(spark, d, "qa_per_item").groupBy("engine", "condition").agg(F.sum("is_invalid").alias("bad"), (512 * (1 + F.count("*") % 2)).alias("cap"))
+    clean = runs.filter("condition = 'clean'").select("engine", F.col("bad").alias("invalid_clean"), F.col("cap").alias("cap_clean"))
+    other = runs.select("engine", F.col("condition").alias("distractor"), F.col("bad").alias("invalid_distracted"), F.col("cap").alias("cap_distracted"))
+    return cells.withColumn("p", F.round(S.mcnemar(F.col("b01"), F.col("b10")), 6)).join(every, keys).join(clean, "engine").join(other, keys)
 
 
 @query(twin("qa_per_item", f"WITH q AS ({_QA}), l AS ({_LOSS}), e AS (SELECT engine, CASE WHEN engine < 'e4' THEN 'Proprietary' ELSE 'Open-weight' END AS grp, 100*(avg(CAST(x AS DOUBLE))-avg(CAST(y AS DOUBLE))) AS loss FROM l GROUP BY ALL) SELECT CASE WHEN grouping(grp)=1 THEN 'all' ELSE grp END AS grp, count(*) AS n, round(avg(loss), 6) AS mean, round(stddev_samp(loss), 6) AS sd, round(stddev_samp(loss)/sqrt(count(*)), 6) AS sem, round(min(loss), 6) AS lo, round(max(loss), 6) AS hi FROM e GROUP BY ROLLUP (grp)"))
@@ -270,39 +357,84 @@ def invalid_counts(spark, d):
     return view(spark, d, "qa_per_item").groupBy("engine", "condition").agg(F.count("*").alias("n"), F.sum("is_invalid").alias("n_invalid"), T.pct(F.col("is_invalid")).alias("pct_invalid"))
 
 
-@query(twin("qa_per_item", f"WITH q AS ({_QA}), l AS ({_LOSS}), c AS (SELECT engine, distractor, p_brand, count(*) AS n, 100*(avg(CAST(x AS DOUBLE))-avg(CAST(y AS DOUBLE))) AS loss FROM l JOIN part ON p_partkey = item_id GROUP BY ALL) SELECT p_brand, distractor, count(*) AS n_engines, CAST(sum(n) AS BIGINT) AS n, round(avg(loss), 6) AS mean_loss, round(avg(loss) FILTER (n >= 15), 6) AS reported_loss FROM c GROUP BY ALL"))
+_CATEGORY = f"""WITH q AS ({_QA}), l AS ({_LOSS}), k AS (SELECT p_brand, count(*) AS n_items FROM part GROUP BY ALL),
+    c AS (SELECT engine, distractor, p_brand, 100*(avg(CAST(x AS DOUBLE)) FILTER (bad = 0) - avg(CAST(y AS DOUBLE)) FILTER (bad = 0)) AS loss FROM l JOIN part ON p_partkey = item_id GROUP BY ALL),
+    w AS (SELECT * FROM c UNION ALL SELECT engine, 'mean', p_brand, avg(loss) FROM c GROUP BY ALL),
+    m AS (SELECT * FROM w UNION ALL SELECT 'mean', distractor, p_brand, avg(loss) FROM w GROUP BY ALL)
+    SELECT engine, distractor, p_brand, n_items, n_items >= 15 AS reported, round(loss, 6) AS loss FROM m JOIN k USING (p_brand)"""
+
+
+@query(twin("qa_per_item", _CATEGORY))
 def category_loss(spark, d):
-    rows = qa_long(qa_wide(spark, d)).join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("item_id") == F.col("p_partkey"))
-    own = rows.groupBy("engine", "distractor", "p_brand").agg(F.count("*").alias("n"), (100 * F.avg(F.col("x") - F.col("y"))).alias("loss"))
-    return own.groupBy("p_brand", "distractor").agg(F.count("*").alias("n_engines"), F.sum("n").alias("n"), F.round(F.avg("loss"), 6).alias("mean_loss"), F.round(F.avg(F.when(F.col("n") >= 15, F.col("loss"))), 6).alias("reported_loss"))
+    """Loss by engine and category on evaluable pairs, with rows for the mean over distractors and over engines; null without such pairs."""
+    parts = table(spark, d, "part").select("p_partkey", "p_brand")
+    rows = qa_long(qa_wide(spark, d)).join(parts, F.col("item_id") == F.col("p_partkey"))
+    fit = F.col("bad") == 0
+    own = rows.groupBy("engine", "distractor", "p_brand").agg((100 * (F.avg(F.when(fit, F.col("x"))) - F.avg(F.when(fit, F.col("y"))))).alias("loss"))
+    over = lambda t, c, keys: t.groupBy(*keys).agg(F.avg("loss").alias("loss")).withColumn(c, F.lit("mean")).select("engine", "distractor", "p_brand", "loss")
+    both = own.unionByName(over(own, "distractor", ["engine", "p_brand"]))
+    every = both.unionByName(over(both, "engine", ["distractor", "p_brand"]))
+    sizes = parts.groupBy("p_brand").agg(F.count("*").alias("n_items"))
+    return every.join(sizes, "p_brand").select("engine", "distractor", "p_brand", "n_items", (F.col("n_items") >= 15).alias("reported"), F.round("loss", 6).alias("loss"))
 
 
-_FAMILY = "WITH q AS ({}) SELECT a.engine AS engine_a, b.engine AS engine_b, count(*) AS n, round(100*avg(CAST((a.c_ok-a.n_ok)-(b.c_ok-b.n_ok) AS DOUBLE)), 6) AS did_pp FROM q a JOIN q b ON a.item_id = b.item_id AND a.engine < b.engine GROUP BY ALL".format(_QA)
+_FAMILY = f"WITH q AS ({_QA}), e AS (SELECT * FROM q WHERE c_bad + n_bad = 0), p AS (SELECT a.engine AS engine_a, b.engine AS engine_b, a.item_id, (a.c_ok-a.n_ok)-(b.c_ok-b.n_ok) AS v, 1 AS one FROM e a JOIN e b ON a.item_id = b.item_id AND a.engine < b.engine), u AS ({sums_sql('SELECT * FROM p', 'engine_a, engine_b', 'v', 'item_id')}), t AS (SELECT engine_a, engine_b, round(least(1.0, greatest(2*least(avg(CASE WHEN s <= 0 THEN 1.0 ELSE 0 END) FILTER (s IS NOT NULL), avg(CASE WHEN s >= 0 THEN 1.0 ELSE 0 END) FILTER (s IS NOT NULL)), 1/2000.0)), 6) AS p FROM ({replicates_sql('SELECT * FROM u', 'engine_a, engine_b', 'unit', 'total', 'n', 2000, 0)}) GROUP BY ALL) SELECT * FROM (SELECT engine_a, engine_b, count(*) AS n, round(100*avg(CAST(v AS DOUBLE)), 6) AS did_pp FROM p GROUP BY ALL) JOIN ({bounds_sql('SELECT * FROM u', 'engine_a, engine_b')}) USING (engine_a, engine_b) JOIN t USING (engine_a, engine_b)"
 
 
 @query(twin("qa_per_item", _FAMILY))
 def family_pairs(spark, d):
-    loss = qa_wide(spark, d).select("engine", "item_id", (F.col("c_ok") - F.col("n_ok")).alias("loss"))
+    """Difference of losses of two engines on items that are valid in all four cells, with interval and p."""
+    keys = ["engine_a", "engine_b"]
+    loss = qa_wide(spark, d).filter("c_bad + n_bad = 0").select("engine", "item_id", (F.col("c_ok") - F.col("n_ok")).alias("loss"))
     a, b = loss.alias("a"), loss.alias("b")  # one row for each engine and item: pairs are engines squared for an item
     pairs = a.join(b, (F.col("a.item_id") == F.col("b.item_id")) & (F.col("a.engine") < F.col("b.engine")))
-    return pairs.groupBy(F.col("a.engine").alias("engine_a"), F.col("b.engine").alias("engine_b")).agg(F.count("*").alias("n"), T.pct(F.col("a.loss") - F.col("b.loss")).alias("did_pp"))
+    pairs = pairs.select(F.col("a.engine").alias("engine_a"), F.col("b.engine").alias("engine_b"), "a.item_id", (F.col("a.loss") - F.col("b.loss")).alias("v"))
+    sums = S.dealt_sums(pairs, keys, 100 * F.col("v"), ["item_id"])
+    stats = S.replicates_of(sums, keys, "unit", "total", "n", 2000, 0)
+    point = pairs.groupBy(*keys).agg(F.count("*").alias("n"), T.pct(F.col("v")).alias("did_pp"))
+    return point.join(S.mean_interval(sums, keys), keys).join(S.bootstrap_p(stats, keys, 2000), keys)
 
 
-_RUNS = "SELECT engine, condition, max(item_id % 3) AS cap, min(item_id) AS first_item FROM qa_per_item WHERE item_id < 50 GROUP BY ALL"
+#: A run's token cap, from the number of its rows.
+_RUNS = "SELECT engine, condition, 512*(1 + count(*) % 2) AS cap FROM qa_per_item GROUP BY ALL"
 
 
 @query(twin("qa_per_item", f"WITH r AS ({_RUNS}) SELECT a.engine, b.condition, a.cap AS cap_clean, b.cap, CASE WHEN a.cap = b.cap THEN 'matched' ELSE 'excluded' END AS status FROM r a JOIN r b ON a.engine = b.engine AND a.condition = 'clean' AND b.condition <> 'clean'"))
 def matched_config(spark, d):
-    runs = view(spark, d, "qa_per_item").filter("item_id < 50").groupBy("engine", "condition").agg(F.max(F.col("item_id") % 3).alias("cap"))
+    runs = view(spark, d, "qa_per_item").groupBy("engine", "condition").agg((512 * (1 + F.count("*") % 2)).alias("cap"))
     clean = runs.filter("condition = 'clean'").select("engine", F.col("cap").alias("cap_clean"))
     return runs.filter("condition <> 'clean'").join(clean, "engine").select("engine", "condition", "cap_clean", "cap", F.when(F.col("cap") == F.col("cap_clean"), "matched").otherwise("excluded").alias("status"))
 
 
-@query(twin("qa_per_item", f"WITH q AS ({_QA}), e AS (SELECT engine, 100*avg(CAST(c_ok AS DOUBLE)) AS acc, 100*avg(CAST(c_ok-n_ok AS DOUBLE)) AS loss, 100*avg(CAST(c_bad AS DOUBLE)) AS inv FROM q GROUP BY engine), p AS (SELECT engine, 100*avg(CAST(n_ok AS DOUBLE)) AS acc, 100*avg(CAST(n_ok-b_ok AS DOUBLE)) AS loss, 100*avg(CAST(n_bad AS DOUBLE)) AS inv FROM q GROUP BY engine) SELECT engine, round(p.acc-e.acc, 6) AS d_acc, round(p.loss-e.loss, 6) AS d_loss, round(p.inv, 6) AS invalid, p.inv > 10 AS collapsed FROM e JOIN p USING (engine)"))
+_PROMPT_RUNS = """p AS (SELECT engine, prompt, 512*(1 + count(*) % 2) AS cap, 100*avg(CAST(is_correct AS DOUBLE)) FILTER (condition='clean') AS acc,
+    100*(avg(CAST(is_correct AS DOUBLE)) FILTER (condition='clean') - avg(CAST(is_correct AS DOUBLE)) FILTER (condition<>'clean')) AS loss, 100*avg(CAST(is_invalid AS DOUBLE)) AS inv FROM qa_prompts GROUP BY ALL),
+    e AS (SELECT v.engine, v.prompt, v.acc - s.acc AS d_acc, v.loss - s.loss AS d_loss, v.inv AS invalid, v.inv > 10 AS collapsed, v.cap = s.cap AS matched FROM p v JOIN p s ON v.engine = s.engine AND s.prompt = 'standard' AND v.prompt <> 'standard')"""
+
+
+@query(twin("qa_prompts", f"WITH {_PROMPT_RUNS} SELECT engine, prompt, round(d_acc, 6) AS d_acc, round(d_loss, 6) AS d_loss, round(invalid, 6) AS invalid, collapsed, matched FROM e"))
 def prompt_effect(spark, d):
-    m = lambda x: 100 * F.avg(x)
-    c, n, b = F.col("c_ok"), F.col("n_ok"), F.col("b_ok")
-    return qa_wide(spark, d).groupBy("engine").agg(F.round(m(n) - m(c), 6).alias("d_acc"), F.round(m(n - b) - m(c - n), 6).alias("d_loss"), F.round(m(F.col("n_bad")), 6).alias("invalid"), (m(F.col("n_bad")) > 10).alias("collapsed"))
+    """Each prompt variant against the standard prompt of the same engine; unmatched where the token caps differ."""
+    return _prompts(spark, d).select("engine", "prompt", *[F.round(c, 6).alias(c) for c in ("d_acc", "d_loss", "invalid")], "collapsed", "matched")
+
+
+def _prompts(spark, d):
+    clean = F.col("condition") == "clean"
+    rate = lambda c: 100 * F.avg(F.when(c, F.col("is_correct")))
+    runs = view(spark, d, "qa_prompts").groupBy("engine", "prompt").agg((512 * (1 + F.count("*") % 2)).alias("cap"), rate(clean).alias("acc"), (rate(clean) - rate(~clean)).alias("loss"), (100 * F.avg("is_invalid")).alias("invalid"))
+    base = runs.filter("prompt = 'standard'").select("engine", *[F.col(c).alias(f"__{c}") for c in ("cap", "acc", "loss")])
+    made = runs.filter("prompt <> 'standard'").join(base, "engine")
+    return made.select("engine", "prompt", (F.col("acc") - F.col("__acc")).alias("d_acc"), (F.col("loss") - F.col("__loss")).alias("d_loss"), "invalid", (F.col("invalid") > 10).alias("collapsed"), (F.col("cap") == F.col("__cap")).alias("matched"))
+
+
+_T_ROWS = "SELECT prompt, engines, count(*) AS n, avg(d_loss) AS mean, stddev_samp(d_loss) AS sd FROM (SELECT *, 'all' AS engines FROM e UNION ALL SELECT *, 'format_stable' FROM e WHERE NOT collapsed UNION ALL SELECT *, 'matched' FROM e WHERE matched) GROUP BY ALL"
+
+
+@query(twin("qa_prompts", t_table_sql(_PROMPT_RUNS, _T_ROWS, "prompt, engines")))
+def prompt_summary(spark, d):
+    """The change of the loss over engines (all, those whose format holds, those with the same token cap): mean, t interval and p."""
+    groups = F.explode(F.array_compact(F.array(F.lit("all"), F.when(~F.col("collapsed"), "format_stable"), F.when(F.col("matched"), "matched")))).alias("engines")
+    table = _prompts(spark, d).select("prompt", groups, "d_loss").groupBy("prompt", "engines").agg(*S.one_sample_t(F.col("d_loss")))
+    return table.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")})
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (l_quantity >= 49) AS n_error, count(*) FILTER (l_discount = 0) AS n_refusal, round(avg(l_extendedprice), 4) AS mean_tokens FROM lineitem GROUP BY ALL")

@@ -21,6 +21,9 @@ SPARK: dict[str, str] = {
                MAX(CASE WHEN l_returnflag = 'R' THEN 1 + CAST(floor(l_quantity) AS INT) % 3 ELSE 0 END) AS severity,
                MAX(1 + CAST(floor(l_quantity) AS INT) % 5) AS overall_quality,
                MAX(1 + CAST(floor(l_quantity) AS INT) % 4) AS completeness,
+               MAX(1 + CAST(floor(l_quantity / 3) AS INT) % 5) AS clinical_correctness,
+               MAX(1 + CAST(floor(l_quantity / 7) AS INT) % 5) AS succinctness,
+               MAX(CASE WHEN l_tax > 0.06 THEN 1 ELSE 0 END) AS hallucination,
                MAX(CAST(floor(l_extendedprice) AS BIGINT)) AS transcript_chars
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4, 5, 6""",
     "pairs": """
@@ -30,6 +33,9 @@ SPARK: dict[str, str] = {
                MAX(CASE WHEN condition = 'clean' THEN severity END) AS s0, MAX(CASE WHEN condition = 'distracted' THEN severity END) AS s1,
                MAX(CASE WHEN condition = 'clean' THEN overall_quality END) AS q0, MAX(CASE WHEN condition = 'distracted' THEN overall_quality END) AS q1,
                MAX(CASE WHEN condition = 'clean' THEN completeness END) AS k0, MAX(CASE WHEN condition = 'distracted' THEN completeness END) AS k1,
+               MAX(CASE WHEN condition = 'clean' THEN clinical_correctness END) AS t0, MAX(CASE WHEN condition = 'distracted' THEN clinical_correctness END) AS t1,
+               MAX(CASE WHEN condition = 'clean' THEN succinctness END) AS u0, MAX(CASE WHEN condition = 'distracted' THEN succinctness END) AS u1,
+               MAX(CASE WHEN condition = 'clean' THEN hallucination END) AS h0, MAX(CASE WHEN condition = 'distracted' THEN hallucination END) AS h1,
                MAX(CASE WHEN condition = 'clean' THEN transcript_chars END) AS chars
         FROM {judgments} GROUP BY 1, 2, 3, 4, 5
         HAVING COUNT(DISTINCT condition) = 2""",
@@ -39,6 +45,13 @@ SPARK: dict[str, str] = {
                MAX(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS is_correct,
                MAX(CASE WHEN l_quantity >= 49 THEN 1 ELSE 0 END) AS is_invalid
         FROM lineitem GROUP BY 1, 2, 3""",
+    "qa_prompts": """
+        SELECT concat('e', CAST(l_suppkey % 8 AS STRING)) AS engine, l_partkey AS item_id,
+               CASE l_orderkey % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'terse' ELSE 'verbose' END AS prompt,
+               CASE l_linenumber % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'nonliteral' ELSE 'bystander' END AS condition,
+               MAX(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS is_correct,
+               MAX(CASE WHEN l_quantity >= 45 + l_suppkey % 4 THEN 1 ELSE 0 END) AS is_invalid
+        FROM lineitem GROUP BY 1, 2, 3, 4""",
     "item_arms": """
         SELECT concat('m', CAST(l_suppkey % 2 AS STRING)) AS model, l_partkey AS item_id,
                CASE l_linenumber % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'interference' WHEN 2 THEN 'random' ELSE 'all' END AS intervention,
@@ -50,15 +63,17 @@ SPARK: dict[str, str] = {
     "dialogues": """
         SELECT conv_id, array_join(transform(array_sort(collect_list(struct(turn, concat(role, ': ', replace(text, chr(10), ' ')) AS line))),
                x -> x.line), chr(10)) AS transcript FROM conversations GROUP BY conv_id""",
+    "bench_at": """
+        SELECT item_id AS bench_id, text AS bench_text, row_number() OVER (ORDER BY item_id) - 1 AS at, count(*) OVER () AS n FROM benchmark""",
     "insertions": """
-        SELECT c.conv_id, b.item_id AS bench_id, 1 + c.conv_id % 3 AS insert_after_turn,
-               concat('user: ', replace(substr(b.text, 1, 80), chr(10), ' '), chr(10), 'assistant: noted') AS distractor_conversation,
-               b.text AS distractor_summary
-        FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN benchmark b ON b.item_id = c.conv_id % 40""",
+        SELECT c.conv_id, b.bench_id, 1 + c.conv_id % 3 AS insert_after_turn,
+               concat('user: ', replace(b.bench_text, chr(10), ' '), chr(10), 'assistant: noted') AS distractor_conversation,
+               b.bench_text AS distractor_summary
+        FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN (SELECT max(n) AS n FROM {bench_at}) k ON true JOIN {bench_at} b ON b.at = c.conv_id % k.n""",
     "leak_pairs": """
-        SELECT d.doc_id, d.lang, d.source, d.text AS clean_transcript, b.text AS segment_text,
-               concat(d.text, ' ', substr(b.text, 1, CAST(floor(length(b.text) / 2) AS INT))) AS mixed_transcript
-        FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40""",
+        SELECT d.doc_id, d.lang, d.source, d.text AS clean_transcript, b.bench_text AS segment_text,
+               concat(d.text, ' ', substr(b.bench_text, 1, CAST(floor(length(b.bench_text) / 2) AS INT))) AS mixed_transcript
+        FROM documents d JOIN (SELECT max(n) AS n FROM {bench_at}) k ON true JOIN {bench_at} b ON b.at = d.doc_id % k.n""",
     "head_masks": """
         SELECT label AS model, CASE WHEN vec_id % 2 = 0 THEN 'nonliteral' ELSE 'bystander' END AS distractor, vec_id AS seed,
                CAST(pos DIV 8 AS INT) AS layer, CAST(pos % 8 AS INT) AS head, round(1 / (1 + exp(-10 * CAST(x AS DOUBLE))), 9) AS gate
@@ -84,7 +99,8 @@ SPARK: dict[str, str] = {
                     ELSE concat('{"contamination": ', CAST(event_id % 2 AS STRING), ', "severity": ', CAST(event_id % 4 AS STRING), ', "reasoning": "r"}') END AS judge_raw
         FROM events""",
 }
-SPARK = {k: v.replace("{judgments}", f"({SPARK['judgments']}) j") for k, v in SPARK.items()}
+# The benchmark is a list of items that others are dealt to: its place numbers come from one window over it, and it is small beside them.
+SPARK = {k: v.replace("{judgments}", f"({SPARK['judgments']}) j").replace("{bench_at}", f"({SPARK['bench_at']})") for k, v in SPARK.items()}
 DUCK: dict[str, str] = SPARK | {
     "dialogues": """
         SELECT conv_id, string_agg(concat(role, ': ', replace(text, chr(10), ' ')), chr(10) ORDER BY turn) AS transcript
@@ -112,4 +128,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def twin(names: str, body: str) -> str:
     """SQL over entities: ``names`` (space-separated) become leading common table expressions."""
     ctes = [f"{n} AS ({DUCK[n]})" for n in names.split()]
-    return "WITH " + ", ".join(ctes) + ("," if body.lstrip().startswith("WITH ") else "") + " " + re.sub(r"^\s*WITH ", "", body)
+    head, rest = re.match(r"(?s)\s*(WITH RECURSIVE |WITH |)(.*)", body).groups()
+    return (head if "RECURSIVE" in head else "WITH ") + ", ".join(ctes) + (", " if head else " ") + rest

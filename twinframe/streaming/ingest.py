@@ -30,17 +30,22 @@ def error_rates(replies: DataFrame, width: str = "1 hour", delay: str = "1 day",
 def run_ingest(spark: SparkSession, folder: str, target: str, checkpoint: str, schema: str = REPLY) -> None:
     """Take in what is new in ``folder`` and stop: good replies are appended to ``target``, errors to ``<target>_errors``.
 
-    A batch writes under its number and replaces only itself, so a batch that is run again after a failure changes nothing.
+    A batch writes under its number, replaces only itself and looks only at the batches before it, so a batch that is run again after a
+    failure gives the same rows. Which requests are done is read from ``<target>_keys``, of ids alone.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         parsed = parse_strict(batch).persist()
-        done = spark.read.schema("request_id string").option("recursiveFileLookup", True).parquet(target).select("request_id") if number and _has(spark, target) else None
         good = parsed.filter("not parse_error")
         good = good.groupBy("request_id").agg(F.min_by(F.struct("received_at", "contamination", "severity", "repaired"), F.struct("received_at", "judge_raw")).alias("r")).select("request_id", "r.*")
-        fresh = good if done is None else good.join(done, "request_id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if number and _has(spark, f"{target}_keys"):
+            done = spark.read.schema("request_id string, batch long").parquet(f"{target}_keys").filter(F.col("batch") < number)
+            good = good.join(done, "request_id", "left_anti")
+        good = good.persist()
+        good.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        good.select("request_id").write.mode("overwrite").parquet(f"{target}_keys/batch={number}")
         parsed.filter("parse_error").write.mode("overwrite").parquet(f"{target}_errors/batch={number}")
+        good.unpersist()
         parsed.unpersist()
 
     stream = reply_stream(spark, folder, schema)
