@@ -42,5 +42,9 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+#: Queries that SQL can't express on whole tables; each has a test of its own.
+WITHOUT_TWIN = {"wer"}
+
+
 def test_every_query_has_a_twin():
-    assert set(registry.QUERIES) == set(registry.ORACLES) and len(registry.QUERIES) > 120
+    assert set(registry.QUERIES) - set(registry.ORACLES) == WITHOUT_TWIN and len(registry.QUERIES) > 150

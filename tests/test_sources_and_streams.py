@@ -59,3 +59,30 @@ def test_stream_rates_equal_batch(spark, tmp_path):
     stream.writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     batch = ingest.error_rates(spark.read.schema(ingest.REPLY).json(str(tmp_path / "in")))
     assert {tuple(r) for r in spark.table("rates").collect()} == {tuple(r) for r in batch.collect()} and batch.select(F.sum("n_error")).first()[0] == 10
+
+
+def test_replay_of_a_batch_keeps_its_rows(spark, tmp_path):
+    """The commit of the second batch is lost, so the batch runs again: the target stays as it was."""
+    source, target, good = tmp_path / "in", str(tmp_path / "out"), '{"contamination": 1, "severity": 2}'
+    source.mkdir()
+    for name, ids in (("1.json", "ab"), ("2.json", "bc")):
+        (source / name).write_text("\n".join(reply(i, good) for i in ids))
+        ingest.run_ingest(spark, str(source), target, str(tmp_path / "cp"))
+    before = sorted(r.request_id for r in spark.read.parquet(target).collect())
+    assert before == ["a", "b", "c"]
+    for lost in (tmp_path / "cp" / "commits").glob("*1*"):
+        lost.unlink()
+    ingest.run_ingest(spark, str(source), target, str(tmp_path / "cp"))
+    assert sorted(r.request_id for r in spark.read.parquet(target).collect()) == before
+
+
+def test_folding_a_stored_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    T.write_table(spark.createDataFrame([(1, 1), (2, 2)], "k int, score int"), path)
+    first = T.spark_path(spark, path)
+    counts = T.fold_table(spark, path, spark.createDataFrame([(2, 9), (3, 3)], "k int, score int"), ["k"], ["score"], {"why": "rerun"})
+    assert tuple(counts.first()) == (1, 1)
+    assert T.latest(spark, path).dtypes == [("k", "int"), ("score", "tinyint")]
+    assert sorted(map(tuple, T.latest(spark, path).collect())) == [(1, 1), (2, 9), (3, 3)] and spark.read.parquet(first).count() == 2
+    known = T.manifest(spark, path).orderBy("run_id").collect()
+    assert [r.n_rows for r in known] == [2, 3] and known[1].params == {"why": "rerun"} and known[1].inputs == [first]

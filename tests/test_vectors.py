@@ -1,5 +1,7 @@
 """Exact vectors and known designs."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,7 +31,10 @@ def test_sentences(spark):
     put = lambda q, s: one(spark, X.insert_sentence(F.col("q"), F.col("s")), q=q, s=s)
     assert put("One. Two.  Three?", "New.") == "One. Two. New. Three?" and put("Only one?", "New.") == "New. Only one?"
     cut = lambda q, s: one(spark, X.remove_sentence(F.col("q"), F.col("s")), q=q, s=s)
-    assert cut("First sentence. New. Last sentence?", "New.") == "First sentence. Last sentence?" and cut("abc", "x") is None
+    assert cut("First sentence. New. Last sentence?", "New.") == "First sentence. Last sentence?"
+    assert cut("A\r\nb  c .  \n New.  \n\tD ;\n e  ?\n", "New.") == "A\nb c. D;\ne?" and cut("a New. New. b", "New.") == "a New. b"
+    with pytest.raises(Exception, match="not found"):
+        cut("abc", "x")
 
 
 @pytest.mark.parametrize(("reply", "want"), [("Therefore, the final answer is [B].", "(B)"), ("the final answer is: C", "(C)"), ("... the answer is C.", "(C)"), ("\\boxed{D}", "(D)"), ("I think (a) is right", "[invalid]"), ("no letter here", "[invalid]"), ("the\u0120final\u0120answer\u0120is\u0120D.\u010a", "(D)")])
@@ -116,3 +121,110 @@ def test_donors_and_split(spark):
         if parts == 1:
             first = {r.id for r in held}, {tuple(r) for r in donors}
     assert first == ({r.id for r in held}, {tuple(r) for r in donors})
+
+
+def test_stems_are_distinct_prefixes(spark):
+    stems = lambda t: one(spark, X.stems(F.col("t")), t=t)
+    assert stems("medication medications headaches cats") == ["headac", "medica", "cats"]
+    assert stems("nasal polyp surgery softball team polyps removed finally breathing through nose") == ["breath", "finall", "polyps", "remove", "softba", "surger", "throug", "nasal"]
+    assert stems("Who said it (a long aside) about THEIR knee-cap's ache") == ["knee-c", "ache"]
+
+
+@pytest.mark.parametrize(("level", "ok"), [("1", True), ('"1"', True), ("1.0", True), ("1.9", True), ("true", True), ('" 1 "', True), ('"1.0"', False), ("2", False), ("null", False), ('"x"', False), ("-1", False)])
+def test_paired_scores_as_whole_numbers(spark, level, ok):
+    raw = f'{{"A": {{"contamination": {level}, "severity": 3}}, "B": {{"contamination": 0, "severity": 0}}}}'
+    rows = spark.createDataFrame([(raw,)], "r string")
+    got = {r.condition: (r.contamination, r.severity, r.parse_error) for r in J.parse_paired(rows, "r", F.lit(True)).collect()}
+    assert got == ({"clean": (1, 3, False), "distracted": (0, 0, False)} if ok else {c: (None, None, True) for c in ("clean", "distracted")})
+
+
+def test_lenient_objects(spark):
+    good = '{"contamination": 1, "severity": 2}'
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([good, f"So {good} then", f"[{good}]", "{'contamination': 1, 'severity': 2}", "broken", None])], "i int, r string")
+    assert [r.contamination for r in J.parse_single(rows, "r").orderBy("i").collect()] == [1, 1, None, None, None, None]
+
+
+def test_tails_and_quantiles(spark):
+    lit = lambda x: F.lit(float(x))
+    row = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    for t, df, p in ((2.0, 10, 0.0733880), (1.0, 1, 0.5), (-12.7062, 1, 0.05), (2.776445, 4, 0.05), (1.96, 1e6, 0.0499960), (0.0, 5, 1.0), (30.0, 3, 1 - 2 / math.pi * (math.atan(30 / 3**0.5) + math.sin(2 * math.atan(30 / 3**0.5)) / 2))):
+        assert row(S.t_tail(lit(t), lit(df))) == pytest.approx(p, rel=2e-4)
+    assert row(S.t_tail(lit(1), lit(0))) is None
+    assert row(S.normal_tail(lit(-1.959964))) == pytest.approx(0.05, rel=1e-5)
+    for df, q in ((1, 12.7062), (10, 2.22814), (126, 1.97897)):
+        assert row(S.t_quantile(lit(df))) == pytest.approx(q, rel=1e-4)
+    assert row(S.log_gamma(lit(1))) == pytest.approx(0, abs=1e-10) and row(S.log_gamma(lit(11))) == pytest.approx(15.104412573, rel=1e-10)
+
+
+def test_exact_tests(spark):
+    p = lambda a, b: spark.range(1).select(S.mcnemar(F.lit(a), F.lit(b)).alias("x")).first()["x"]
+    assert p(0, 0) == 1 and p(3, 7) == pytest.approx(0.34375) and p(10, 1) == pytest.approx(0.01171875) and p(5, 5) == 1
+    assert p(500_000, 502_000) == pytest.approx(0.0458, rel=2e-3) and p(10, 4000) == pytest.approx(0, abs=1e-100)
+    signed = lambda d: S.wilcoxon(spark.createDataFrame([(1, float(x)) for x in d], "g int, d double"), ["g"], "d").first()
+    assert signed([1, 2, 3, 4, 5]).p == pytest.approx(0.0625) and signed([1, -2, 3, 4, 5, 6]).p == pytest.approx(0.09375)
+    assert signed([0, 0]).p == 1.0 and signed([0, 0]).n_nonzero == 0
+    tied = signed([1, 1, -1, 2, 2, 3])
+    assert (tied.w, tied.p) == (2.0, pytest.approx(math.erfc(8.5 / math.sqrt((6 * 7 * 13 - 30 / 2) / 24) / math.sqrt(2)), abs=1e-6))
+
+
+def test_numbering_and_discovery_rates(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i % 2, float(rng.choice((0, 0, 1, 2.5, 7, 1e6)) + (i % 5 == 0) * rng.random()), i) for i in range(300)]
+    got = S.numbered(spark.createDataFrame(rows, "g int, x double, i int"), ["g"], ["x", "i"], None, "k").collect()
+    for g in (0, 1):
+        order = sorted((x, i) for h, x, i in rows if h == g)
+        assert {r.i: (r.k, r.k_all) for r in got if r.g == g} == {i: (n + 1, len(order)) for n, (_, i) in enumerate(order)}
+    p = [rng.choice((rng.random(), 0.5, 0.001 * rng.random(), 1.0)) for _ in range(80)]
+    ranked = sorted(p)
+    want = {x: min(min(1.0, y * len(p) / (n + 1)) for n, y in enumerate(ranked) if y >= x) for x in p}
+    table = S.benjamini_hochberg(spark.createDataFrame([(x,) for x in p] + [(None,)], "p double"), "p").collect()
+    assert len(table) == 81 and all((r.q is None) if r.p is None else r.q == pytest.approx(want[r.p]) for r in table)
+
+
+def test_stability_of_one_run(spark):
+    sets = spark.createDataFrame([("a", 1, [1, 2, 3]), ("a", 2, [1, 2, 4, 5]), ("a", 3, [1, 6]), ("b", 1, [1, 2])], "m string, run int, s array<int>")
+    got = {r.m: r for r in S.set_stability(sets, spark.createDataFrame([("a", [1, 2, 7]), ("b", [1, 3, 9])], "m string, p array<int>"), ["m"], "run").collect()}
+    a, b = got["a"], got["b"]
+    assert (a.heads_mean, a.heads_min, a.heads_max, a.n_all_runs, a.n_union, a.n_recovered) == (3.0, 2, 4, 1, 6, 2)
+    assert (a.jaccard_mean, a.jaccard_min, a.jaccard_max) == (pytest.approx(0.85 / 3, abs=1e-6), 0.2, 0.4) and a.published_max == 0.5
+    assert (b.n_runs, b.n_all_runs, b.n_union, b.published_mean) == (1, 2, 2, 0.25) and b.jaccard_mean is None and b.n_recovered is None
+
+
+def test_codes_options_and_folds(spark):
+    level = lambda c: spark.createDataFrame([(c,)], "c string").select(*X.distractor_code(F.col("c"))).first()
+    assert tuple(level("audio_-10dB_d1")) == (-10, 1) and tuple(level(None)) == (None, None)
+    with pytest.raises(Exception, match="not a distractor code"):
+        level("audio_10")
+    with pytest.raises(Exception, match="without a label"):
+        X.labelled(spark.createDataFrame([("x",)], "c string"), "c", {"a": "A"}).collect()
+    pick = lambda t: spark.createDataFrame([(t,)], "t string").select(X.primed_option(F.col("t"), [(k, F.lit(o)) for k, o in zip("ABCD", ("Acute asthma", "asthma", "Gout", "gout!"))]).alias("x")).first()["x"]
+    assert [pick(t) for t in ("Asthma.", "acute", "GOUT", "severe gout", "", None, "lupus")] == ["B", "A", "C", "C", None, None, None]
+    assert one(spark, X.ascii_fold(F.col("t")), t="\u201cit\u2019s\u201d \u2013 ok\u2026") == "\"it's\" - ok..."
+
+
+def test_rules_in_order(spark):
+    from twinframe.operators import notes as N
+
+    rules = N.AsideRules(redirect=r"(?i)\bback to you\b", forbidden=r"(?i)\bme too\b", body=r"(?i)\bmy knee\b", claim=r"(?i)\bi have [^.]{0,30}stroke\b", tags=("Doctor:", "Patient:"))
+    base = ["Patient: my friend talked of a stroke", "Doctor: I see", "Patient: he is fine"]
+    cases = [
+        (base, False, None), (base[:2], False, "turn count"), ([*base[:2], "Nurse: hm"], False, "speaker tag"), (["Doctor: so", *base[:2]], False, "clinician opens the aside"),
+        ([base[0] + "x" * 600, *base[1:]], False, "too long"), ([*base[:2], "Patient: back to you"], False, "redirect cue"), (["Patient: hi", *base[1:]], False, "assigned content missing"),
+        ([*base[:2], "Patient: me too"], False, "forbidden phrase"), ([*base[:2], "Patient: my knee"], True, "patient refers to own body part"), ([*base[:2], "Patient: I have had a stroke"], False, "patient claims the condition"),
+    ]
+    rows = spark.createDataFrame([(i, "\n".join(t), b) for i, (t, b, _) in enumerate(cases)], "i int, t string, b boolean")
+    got = rows.select("i", N.failing_rule(F.col("t"), F.array(F.lit("stroke")), F.col("b"), rules).alias("f")).orderBy("i").collect()
+    assert [r.f for r in got] == [f for _, _, f in cases]
+
+
+def test_frozen_annotations_are_checked(spark):
+    from twinframe.operators import notes as N
+
+    rows = spark.createDataFrame([(1,), (2,)], "k int")
+    saved = lambda *x: spark.createDataFrame(list(x), "k int, f string")
+    assert {(r.k, r.f) for r in N.frozen(rows, saved((1, "True"), (2, "false")), ["k"], ["f"]).collect()} == {(1, True), (2, False)}
+    for bad, text in ((saved((1, "true")), "match"), (saved((1, "true"), (2, "true"), (2, "true")), "duplicate"), (saved((1, "true"), (2, "yes")), "true or false"), (saved((1, "true"), (2, "true"), (3, "true")), "match")):
+        with pytest.raises(Exception, match=text):
+            N.frozen(rows, bad, ["k"], ["f"]).collect()

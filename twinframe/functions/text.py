@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A line that opens a speaker's turn.
@@ -112,11 +112,15 @@ def normal_option(text: Column) -> Column:
 
 def primed_option(topic: Column, options: list[tuple[str, Column]]) -> Column:
     """The letter of the option that equals the topic, else of the first that contains it or is contained in it; null if none."""
-    t = normal_option(topic)
-    normal = [(k, normal_option(o)) for k, o in options]
-    exact = [F.when(o == t, k) for k, o in normal]
-    near = [F.when((t != "") & (F.contains(o, t) | F.contains(t, o)), k) for k, o in normal]
-    return F.coalesce(*exact, *near)
+    listed = F.transform(F.array(*[F.struct(F.lit(k).alias("k"), o.cast("string").alias("o")) for k, o in options]), lambda x: F.struct(x["k"].alias("k"), normal_option(x["o"]).alias("o")))
+
+    def pick(both: Column) -> Column:
+        t = both["t"]
+        exact = F.filter(both["l"], lambda x: x["o"] == t)
+        near = F.filter(both["l"], lambda x: (t != "") & (F.contains(x["o"], t) | F.contains(t, x["o"])))
+        return F.coalesce(F.try_element_at(exact, F.lit(1))["k"], F.try_element_at(near, F.lit(1))["k"])
+
+    return let(F.struct(normal_option(topic).alias("t"), listed.alias("l")), pick)
 
 
 def distractor_code(code: Column) -> tuple[Column, Column]:
@@ -229,3 +233,10 @@ def stems(topic: Column, stop: list[str] = TOPIC_STOP, size: int = 6, most: int
     cut = F.array_distinct(F.transform(kept, lambda w: F.substring(w, 1, size)))
     order = F.array_sort(cut, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
     return F.slice(order, 1, most)
+
+
+def labelled(df: DataFrame, code: str, labels: dict[str, str], out: str = "label") -> DataFrame:
+    """Add the label of each code from a small map; a code that it lacks is an error, null stays null."""
+    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    lost = F.raise_error(F.concat(F.lit("a code without a label: "), F.col(code))).cast("string")
+    return df.withColumn(out, F.when(F.col(code).isNotNull(), F.coalesce(F.try_element_at(known, F.col(code)), lost)))

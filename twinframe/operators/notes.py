@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +101,43 @@ def keyword_score(text: Column, words: list[str]) -> Column:
     """How many tokens are keywords, as they are or without a final s; each token counts once."""
     known = F.array(*map(F.lit, words)).cast("array<string>")
     return F.size(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda t: F.array_contains(known, t) | (t.endswith("s") & F.array_contains(known, F.substring(t, F.lit(1), F.length(t) - 1)))))
+
+
+@dataclass
+class AsideRules:
+    """What an inserted exchange may not have: patterns, and prefixes of lines. Patterns that ignore case say so."""
+
+    redirect: str
+    forbidden: str
+    body: str
+    claim: str
+    tags: tuple[str, ...]
+    clinician: tuple[str, ...] = ("doctor", "[doctor")
+    patient: tuple[str, ...] = ("patient", "[patient", "guest", "[guest")
+    longest: int = 560
+    turns: tuple[int, int] = (3, 4)
+
+
+def _starts(line: Column, prefixes: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | line.startswith(p)
+    return found
+
+
+def failing_rule(text: Column, stems: Column, bystander: Column, rules: AsideRules) -> Column:
+    """The first rule that an exchange breaks, or null. A bystander's exchange may not name the speaker's own body, another may not claim the condition."""
+    lines = F.filter(F.transform(F.split(text, "\n"), _strip), lambda x: x != "")
+    own = F.filter(lines, lambda x: _starts(F.lower(x), rules.patient))
+    low = F.lower(text)
+    return F.coalesce(
+        F.when(~F.size(lines).between(*rules.turns), "turn count"),
+        F.when(F.exists(lines, lambda x: ~_starts(x, rules.tags)), "speaker tag"),
+        F.when(_starts(F.lower(F.try_element_at(lines, F.lit(1))), rules.clinician) & F.lit(any(not t.lower().startswith(rules.clinician) for t in rules.tags)), "clinician opens the aside"),
+        F.when(F.char_length(text) > rules.longest, "too long"),
+        F.when(text.rlike(rules.redirect), "redirect cue"),
+        F.when(~F.exists(stems, lambda s: F.contains(low, F.lower(s))), "assigned content missing"),
+        F.when(text.rlike(rules.forbidden), "forbidden phrase"),
+        F.when(bystander & F.exists(own, lambda x: x.rlike(rules.body)), "patient refers to own body part"),
+        F.when(~bystander & F.array_join(own, " ").rlike(rules.claim), "patient claims the condition"),
+    )

@@ -62,8 +62,8 @@ def bootstrap_ratio(units: DataFrame, group: list[str], unit: str, top: str, bot
 def dealt_sums(df: DataFrame, group: list[str], value: Column, keys: list[str], units: int = 500) -> DataFrame:
     """(group, unit, total, n): rows with a value dealt by the hash of ``keys`` to at most ``units`` units of each group."""
     unit = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("bigint"), F.lit(units))
-    rows = df.withColumn("__v", value.cast("double")).filter(F.col("__v").isNotNull())
-    return rows.groupBy(*group, unit.alias("unit")).agg(F.sum("__v").alias("total"), F.count("*").alias("n"))
+    rows = df.withColumns({"__v": value.cast("double"), "__u": unit})
+    return rows.groupBy(*group, F.col("__u").alias("unit")).agg(F.sum("__v").alias("total"), F.count("__v").alias("n")).filter("n > 0")
 
 
 def mean_interval(sums: DataFrame, group: list[str], scale: float = 1.0, lo: str = "ci_low", hi: str = "ci_high", **options) -> DataFrame:
@@ -157,7 +157,7 @@ def one_sample_t(x: Column) -> list[Column]:
 def log_gamma(x: Column) -> Column:
     """The logarithm of the gamma function for x of 1 or more: Stirling's series, moved up by seven."""
     y = x.cast("double") + 7
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5)))
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7))) + 1 / (1188 * F.pow(y, F.lit(9)))
     return series - reduce(lambda a, b: a + b, [F.log(x.cast("double") + i) for i in range(7)])
 
 
@@ -303,3 +303,22 @@ def rank_bins(df: DataFrame, by: list[str], order: list[str], bins: int = 5, out
     """Bins of equal width in the rank (not in the count): the edges are quantiles of the ranks themselves. The first of ``order`` is a number."""
     run = numbered(df, by, order, None, "__r")
     return run.withColumn(out, F.greatest(F.lit(1), F.expr(f"((__r - 1) * {bins} + (__r_all - 2)) div greatest(__r_all - 1, 1)")).cast("int")).drop("__r", "__r_all")
+
+
+def set_stability(sets: DataFrame, published: DataFrame, keys: list[str], run: str) -> DataFrame:
+    """Of the sets ``s`` of a few runs a group: sizes, pairwise Jaccard (null with one run), members in all and in any run, members in two runs or
+    more that are published too (null with one run), and each run's Jaccard with the published set ``p``."""
+    a, b = sets.alias("a"), sets.alias("b")
+    met = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    pairs = a.join(b, reduce(lambda x, y: x & y, met) & (F.col(f"a.{run}") < F.col(f"b.{run}")))
+    share = lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    spread = lambda x, n: [F.round(f(x), 6).alias(f"{n}_{m}") for m, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    overlap = pairs.select(*[f"a.{k}" for k in keys], share(F.col("a.s"), F.col("b.s")).alias("j")).groupBy(*keys).agg(*spread("j", "jaccard"))
+    known = sets.join(published, keys, "left").withColumn("p", F.coalesce("p", F.expr("slice(s, 1, 0)")))
+    size = F.size("s")
+    table = known.groupBy(*keys).agg(F.count("*").alias("n_runs"), F.round(F.avg(size), 6).alias("heads_mean"), F.min(size).cast("long").alias("heads_min"), F.max(size).cast("long").alias("heads_max"), F.max(F.size("p")).cast("long").alias("n_published"), *spread(share(F.col("s"), F.col("p")), "published"))
+    hits = known.select(*keys, "p", F.explode("s").alias("x")).groupBy(*keys, "x").agg(F.count("*").alias("hits"), F.bool_or(F.array_contains("p", F.col("x"))).alias("published"))
+    counted = hits.join(table.select(*keys, "n_runs"), keys).groupBy(*keys).agg(
+        F.count_if(F.col("hits") == F.col("n_runs")).alias("n_all_runs"), F.count("*").alias("n_union"), F.when(F.max("n_runs") > 1, F.count_if((F.col("hits") >= 2) & F.col("published"))).alias("n_recovered")
+    )
+    return table.join(counted, keys).join(overlap, keys, "left")

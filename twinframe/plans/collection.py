@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from twinframe.functions import text as X
 from twinframe.operators import judgments as J
+from twinframe.operators import planning as G
 from twinframe.operators import stats as S
 from twinframe.streaming import ingest
 
+from .intervals import replicates_sql, t_table_sql
 from .registry import query
 from .views import table, twin, view
 
@@ -63,12 +65,22 @@ _SLOTS = "CASE WHEN event_id % 10 = 0 THEN 7 ELSE event_id % 2 END"
 
 @query(f"SELECT event_id, condition, CASE WHEN ok THEN CASE WHEN (condition = 'clean') = first THEN c ELSE 1-c END END AS contamination, CASE WHEN ok THEN CASE WHEN (condition = 'clean') = first THEN CAST(event_id % 4 AS INT) ELSE 0 END END AS severity, NOT ok AS parse_error FROM (SELECT event_id, user_id % 2 = 0 AS first, CAST({_SLOTS} AS INT) AS c, event_id % 10 <> 0 AS ok FROM events), (VALUES ('clean'), ('distracted')) v(condition)")
 def parse_paired_judgment(spark, d):
+    """Numbers, digits in quotes, numbers with a fraction and true or false all count as the whole number that they are."""
     a = F.when(F.col("event_id") % 10 == 0, 7).otherwise(F.col("event_id") % 2)
-    reply = F.concat(F.lit('Sure: {"A": {"contamination": '), a.cast("string"), F.lit(', "severity": '), (F.col("event_id") % 4).cast("string"), F.lit('}, "B": {"contamination": '), (1 - a).cast("string"), F.lit(', "severity": 0}}'))
+    spelt = lambda x: F.when((F.col("event_id") % 4 == 3) & (x <= 1), F.when(x == 1, "true").otherwise("false")).when(F.col("event_id") % 4 == 1, F.concat(F.lit('"'), x.cast("string"), F.lit('"'))).when(F.col("event_id") % 4 == 2, F.concat(x.cast("string"), F.lit(".0"))).otherwise(x.cast("string"))
+    reply = F.concat(F.lit('Sure: {"A": {"contamination": '), spelt(a), F.lit(', "severity": '), spelt(F.col("event_id") % 4), F.lit('}, "B": {"contamination": '), spelt(1 - a), F.lit(', "severity": 0}}'))
     rows = table(spark, d, "events").select("event_id", reply.alias("reply"), (F.col("user_id") % 2 == 0).alias("first"))
     return J.parse_paired(rows, "reply", F.col("first")).select("event_id", "condition", "contamination", "severity", "parse_error")
 
 
+@query("SELECT event_id, CASE WHEN ok THEN CAST(event_id % 2 AS INT) END AS contamination, CASE WHEN ok THEN CAST(event_id % 6 AS INT) END AS severity, NOT ok AS parse_error FROM (SELECT event_id, event_id % 6 <= 3 AND event_id % 7 <> 0 AS ok FROM events)")
+def parse_single_judgment(spark, d):
+    """Replies about one note; a list is no object, though it holds one."""
+    body = F.concat(F.lit('{"contamination": '), (F.col("event_id") % 2).cast("string"), F.lit(', "severity": "'), (F.col("event_id") % 6).cast("string"), F.lit('"}'))
+    reply = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("["), body, F.lit("]"))).when(F.col("event_id") % 7 == 1, F.concat(F.lit("So: "), body)).otherwise(body)
+    return J.parse_single(table(spark, d, "events").select("event_id", reply.alias("reply")), "reply").drop("reply")
+
+
 @query("SELECT event_id, CASE WHEN ok THEN CAST(q AS DOUBLE) END AS overall_quality, CASE WHEN ok THEN 4.5e0 END AS completeness, CASE WHEN ok THEN CAST(event_id % 2 AS DOUBLE) END AS hallucination, NOT ok AS parse_error FROM (SELECT event_id, event_id % 7 AS q, event_id % 7 BETWEEN 1 AND 5 AS ok FROM events)")
 def parse_quality_judgment(spark, d):
     reply = F.concat(F.lit('{"overall_quality": '), (F.col("event_id") % 7).cast("string"), F.lit(', "completeness": 4.5, "hallucination": '), (F.col("event_id") % 2).cast("string"), F.lit("}"))
@@ -89,11 +101,32 @@ def pairs_build(spark, d):
     return joined.select("conv_id", "bench_id", "insert_after_turn", F.length("transcript").cast("long").alias("clean_chars"), F.length("distractor_conversation").cast("long").alias("inserted_chars"))
 
 
-@query(twin("utterances", "WITH t AS (SELECT item_id, string_agg(text, ' ' ORDER BY turn) AS x FROM utterances GROUP BY item_id) SELECT a.item_id, b.item_id AS donor, length(a.x) AS clean_chars, length(b.x) AS donor_chars FROM t a JOIN t b ON CAST(b.item_id AS BIGINT) = CAST(a.item_id AS BIGINT) + 1"))
+_PLAN = """c AS (SELECT conv_id, row_number() OVER (ORDER BY md5('21|' || CAST(conv_id AS VARCHAR)), conv_id) - 1 AS pos, count(*) OVER () AS n FROM dialogues),
+    p AS (SELECT a.conv_id, CAST(j AS INT) AS j, b.conv_id AS donor, concat('d', CAST(j AS VARCHAR)) AS code FROM c a, (SELECT unnest(range(0, 2)) AS j) k JOIN c b ON b.pos = (a.pos + j + 1) % a.n WHERE j < a.n - 1),
+    m AS (SELECT p.conv_id, p.code, concat(x.transcript, chr(10), y.transcript) AS text FROM p JOIN dialogues x ON x.conv_id = p.conv_id JOIN dialogues y ON y.conv_id = p.donor WHERE p.conv_id % 7 <> 0 OR p.j = 0)"""
+
+
+@query(twin("dialogues", f"WITH {_PLAN} SELECT p.conv_id, p.code, p.donor, length(d.transcript) AS clean_chars, length(m.text) AS mixed_chars, length(o.transcript) AS donor_chars FROM p JOIN m USING (conv_id, code) JOIN dialogues d ON d.conv_id = p.conv_id JOIN dialogues o ON o.conv_id = p.donor"))
 def transcript_pairs(spark, d):
-    rows = view(spark, d, "utterances").groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("x"))
-    donors = rows.select(F.col("item_id").alias("donor"), (F.col("item_id").cast("long") - 1).cast("string").alias("item_id"), F.length("x").cast("long").alias("donor_chars"))
-    return rows.join(donors, "item_id").select("item_id", "donor", F.length("x").cast("long").alias("clean_chars"), "donor_chars")
+    """Planned mixes with the clean and the mixed transcript of the item and with its donor's."""
+    pairs, _ = _pairs(spark, d)
+    donors = view(spark, d, "dialogues").select(F.col("conv_id").alias("donor"), F.length("transcript").cast("long").alias("donor_chars"))
+    return pairs.join(donors, "donor").select("conv_id", "code", "donor", F.length("clean_text").cast("long").alias("clean_chars"), F.length("mixed_text").cast("long").alias("mixed_chars"), "donor_chars")
+
+
+@query(twin("dialogues", f"WITH {_PLAN} SELECT count(*) AS planned, count(m.text) AS whole, CAST(0 AS BIGINT) AS no_clean, count(*) - count(m.text) AS no_mixed FROM p LEFT JOIN m USING (conv_id, code)"))
+def pair_completeness(spark, d):
+    """How many planned mixes have both transcripts."""
+    return _pairs(spark, d)[1]
+
+
+def _pairs(spark, d):
+    talks = view(spark, d, "dialogues")
+    plan = G.assign_donors(talks, "conv_id", 2, 21).withColumn("code", F.concat(F.lit("d"), F.col("j").cast("string")))
+    donor = talks.select(F.col("conv_id").alias("donor"), F.col("transcript").alias("t"))
+    mixed = plan.filter("conv_id % 7 <> 0 or j = 0").join(talks, "conv_id").join(donor, "donor").select("conv_id", "code", F.concat_ws("\n", "transcript", "t").alias("text"))
+    recorded = mixed.unionByName(talks.select("conv_id", F.lit("clean").alias("code"), F.col("transcript").alias("text")))
+    return G.assemble_pairs(plan, recorded, "conv_id", "code", "text")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (d.lang = x.lang) AS same_lang, count(*) FILTER (d.source = x.source) AS same_source, count(*) FILTER (length(d.text) = x.n_chars) AS same_length FROM documents d JOIN documents x ON x.doc_id = d.doc_id + 1")
@@ -104,12 +137,17 @@ def field_match_audit(spark, d):
     return joined.agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("l")).alias("same_lang"), F.count_if(F.col("source") == F.col("s")).alias("same_source"), F.count_if(F.col("size") == F.col("n_chars")).alias("same_length"))
 
 
-@query("SELECT lang, count(*) AS n, md5(string_agg(md5(concat(CAST(doc_id AS VARCHAR), '|', text)), ',' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY lang")
+_LEVEL = "SELECT lang, k // 1000 AS k, sum(n) AS n, md5(string_agg(h, ',' ORDER BY k)) AS h FROM ({}) GROUP BY lang, k // 1000"
+
+
+@query("SELECT lang, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(h, ',' ORDER BY k)) AS fingerprint FROM (" + _LEVEL.format(_LEVEL.format("SELECT lang, doc_id AS k, 1 AS n, md5(concat(CAST(doc_id AS VARCHAR), '|', text)) AS h FROM documents")) + ") GROUP BY lang")
 def fingerprint(spark, d):
-    # Only hashes are gathered, 32 characters a row; fingerprint_unordered needs no gathering at all.
-    row = F.struct("doc_id", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("text"))).alias("h"))
-    docs = table(spark, d, "documents")
-    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["h"]), ",")).alias("fingerprint"))
+    """A hash of all rows in order: rows by thousands of ids, these by thousands, and so on, so that no task gathers more than a thousand hashes of distinct ids."""
+    level = table(spark, d, "documents").select("lang", F.col("doc_id").alias("k"), F.lit(1).cast("long").alias("n"), F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("text"))).alias("h"))
+    joined = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ","))
+    for _ in range(2):
+        level = level.groupBy("lang", F.expr("k div 1000").alias("top")).agg(F.sum("n").alias("n"), joined.alias("h")).withColumnRenamed("top", "k")
+    return level.groupBy("lang").agg(F.sum("n").alias("n"), joined.alias("fingerprint"))
 
 
 @query("SELECT lang, count(*) AS n, bit_xor(CAST(('0x'||substr(md5(concat(CAST(doc_id AS VARCHAR), '|', text)),1,15)) AS BIGINT)) AS fingerprint FROM documents GROUP BY lang")
@@ -128,26 +166,46 @@ def checksum_audit(spark, d):
     return J.checksum_audit(pages.select(F.concat(name, F.lit(".html")).alias("path"), "content"), listed.unionByName(odd))
 
 
-@query("WITH o AS (SELECT p_partkey, substr('ABCD', CAST(k+1 AS INT), 1) AS letter, list_extract(string_split(p_name, ' '), CAST(1 + k % 2 AS BIGINT)) AS opt FROM part, (VALUES (0),(1),(2),(3)) v(k)), m AS (SELECT p_partkey, letter, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN opt = split_part(p_name, ' ', 2) THEN 0 ELSE 1 END, letter) AS r FROM o JOIN part USING (p_partkey) WHERE contains(split_part(p_name, ' ', 2), opt) OR contains(opt, split_part(p_name, ' ', 2))) SELECT p_partkey, letter FROM m WHERE r = 1")
+_NORM = "trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9 ]', '', 'g'))"
+_PRIMED = f"""o AS (SELECT item_id, correct, {_NORM.format(x='topic')} AS t, letter, {_NORM.format(x='opt')} AS o FROM qa_options, LATERAL (VALUES ('A', a), ('B', b), ('C', c), ('D', e)) v(letter, opt)),
+    pr AS (SELECT item_id, correct, letter AS primed FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN o = t THEN 0 ELSE 1 END, letter) AS r FROM o WHERE o = t OR (t <> '' AND (contains(t, o) OR contains(o, t)))) WHERE r = 1)"""
+
+
+def _primed(spark, d):
+    options = view(spark, d, "qa_options")
+    letter = X.primed_option(F.col("topic"), [(k, F.col(c)) for k, c in zip("ABCD", "abce")])
+    return options.select("item_id", "correct", letter.alias("primed")).filter("primed is not null")
+
+
+@query(twin("qa_options", f"WITH {_PRIMED} SELECT item_id, correct, primed FROM pr"))
 def priming_match(spark, d):
-    words = F.split("p_name", " ")
-    topic = F.element_at(words, 2)
-    options = F.transform(F.array(*map(F.lit, range(4))), lambda k: F.struct(F.substring(F.lit("ABCD"), k + 1, F.lit(1)).alias("letter"), F.element_at(words, 1 + k % 2).alias("opt")))
-    exact = F.filter(options, lambda o: o["opt"] == topic)
-    near = F.filter(options, lambda o: F.contains(topic, o["opt"]) | F.contains(o["opt"], topic))
-    found = F.coalesce(F.try_element_at(exact, F.lit(1)), F.try_element_at(near, F.lit(1)))
-    return table(spark, d, "part").select("p_partkey", found["letter"].alias("letter")).filter("letter is not null")
+    return _primed(spark, d)
 
 
-@query(twin("qa_per_item", "WITH w AS (SELECT engine, item_id, max(CASE WHEN condition='clean' THEN is_correct END) AS c, max(CASE WHEN condition='bystander' THEN is_correct END) AS b, item_id % 3 = 0 AS primed FROM qa_per_item GROUP BY ALL) SELECT CASE WHEN grouping(engine)=1 THEN 'all' ELSE engine END AS engine, count(*) AS n, round(100.0*count(*) FILTER (c = 0 AND primed)/nullif(count(*) FILTER (c = 0), 0), 6) AS primed_clean, round(100.0*count(*) FILTER (b = 0 AND primed)/nullif(count(*) FILTER (b = 0), 0), 6) AS primed_distracted, count(*) FILTER (c = 1 AND b = 0) AS newly_wrong FROM w WHERE c IS NOT NULL AND b IS NOT NULL GROUP BY ROLLUP (engine)"))
+_SHARES = """a AS (SELECT engine, q.item_id, condition, ans, correct, primed FROM qa_answers q JOIN pr USING (item_id) WHERE primed <> correct), dd(distractor) AS (VALUES ('nonliteral'), ('bystander')),
+    s AS (SELECT distractor, a.* FROM a, dd WHERE condition IN ('clean', distractor)),
+    w AS (SELECT distractor, engine, item_id, correct, primed, max(ans) FILTER (condition = 'clean') AS c, max(ans) FILTER (condition <> 'clean') AS x FROM s GROUP BY ALL),
+    r AS (SELECT distractor, CASE WHEN grouping(engine)=1 THEN 'all' ELSE engine END AS engine, count(DISTINCT item_id) AS n_items, round(100.0*count(*) FILTER (condition = 'clean' AND ans <> correct AND ans = primed)/nullif(count(*) FILTER (condition = 'clean' AND ans <> correct), 0), 6) AS share_clean,
+        round(100.0*count(*) FILTER (condition <> 'clean' AND ans <> correct AND ans = primed)/nullif(count(*) FILTER (condition <> 'clean' AND ans <> correct), 0), 6) AS share_distracted FROM s GROUP BY GROUPING SETS ((distractor, engine), (distractor))),
+    f AS (SELECT distractor, CASE WHEN grouping(engine)=1 THEN 'all' ELSE engine END AS engine, count(*) FILTER (c = correct AND x <> correct) AS n_newly_wrong, round(100.0*count(*) FILTER (c = correct AND x <> correct AND x = primed)/nullif(count(*) FILTER (c = correct AND x <> correct), 0), 6) AS share_newly_wrong FROM w GROUP BY GROUPING SETS ((distractor, engine), (distractor)))"""
+
+
+@query(twin("qa_options qa_answers", f"WITH {_PRIMED}, {_SHARES} SELECT * FROM r JOIN f USING (distractor, engine)"))
 def priming_shares(spark, d):
+    """How often wrong answers, and answers that turn wrong, are the option that the insertion names; items that name the right option are left out."""
     from twinframe.operators.tables import grouped
 
-    take = lambda c: F.max(F.when(F.col("condition") == c, F.col("is_correct")))
-    wide = view(spark, d, "qa_per_item").groupBy("engine", "item_id").agg(take("clean").alias("c"), take("bystander").alias("b")).dropna()
-    primed = F.col("item_id") % 3 == 0
-    share = lambda x: F.round(F.try_divide(100.0 * F.count_if((x == 0) & primed), F.count_if(x == 0)), 6)
-    return grouped(wide, [["engine"], []], [F.count("*").alias("n"), share(F.col("c")).alias("primed_clean"), share(F.col("b")).alias("primed_distracted"), F.count_if((F.col("c") == 1) & (F.col("b") == 0)).alias("newly_wrong")])
+    own = view(spark, d, "qa_answers").join(_primed(spark, d), "item_id").filter("primed <> correct")
+    asked = F.when(F.col("condition") == "clean", F.array(F.lit("nonliteral"), F.lit("bystander"))).otherwise(F.array("condition"))
+    rows = own.select("*", F.explode(asked).alias("distractor"))
+    clean, wrong, hit = F.col("condition") == "clean", F.col("ans") != F.col("correct"), F.col("ans") == F.col("primed")
+    share = lambda c, among: F.round(F.try_divide(100.0 * F.count_if(c & among), F.count_if(among)), 6)
+    sets = [["distractor", "engine"], ["distractor"]]
+    rates = grouped(rows, sets, [F.count_distinct("item_id").alias("n_items"), share(hit, clean & wrong).alias("share_clean"), share(hit, ~clean & wrong).alias("share_distracted")])
+    wide = rows.groupBy("distractor", "engine", "item_id", "correct", "primed").agg(F.max(F.when(clean, F.col("ans"))).alias("c"), F.max(F.when(~clean, F.col("ans"))).alias("x"))
+    flipped = F.coalesce((F.col("c") == F.col("correct")) & (F.col("x") != F.col("correct")), F.lit(False))
+    flips = grouped(wide, sets, [F.count_if(flipped).alias("n_newly_wrong"), share(F.col("x") == F.col("primed"), flipped).alias("share_newly_wrong")])
+    return rates.join(flips, ["distractor", "engine"])
 
 
 @query("SELECT doc_id, CAST(k AS INT) AS n_head, CAST(len(w) - k AS INT) AS n_tail, len(w) + 3 AS n_tokens FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w, least(5, len(regexp_extract_all(lower(text), '[a-z]+'))) AS k FROM documents)")
@@ -160,11 +218,11 @@ def align_tokens(spark, d):
     return placed.select("doc_id", first.alias("n_head"), (F.col("n") - first).alias("n_tail"), F.size("a").cast("long").alias("n_tokens"))
 
 
-@query(twin("pairs", "SELECT model, round(avg(d), 6) AS mean, round(stddev_samp(d)/sqrt(count(*)), 6) AS sem, round(avg(d)/(stddev_samp(d)/sqrt(count(*))), 6) AS t, count(*) - 1 AS df FROM (SELECT model, source_dataset, avg(CAST(c1-c0 AS DOUBLE)) AS d FROM pairs GROUP BY ALL) GROUP BY model"))
+@query(twin("pairs", t_table_sql("", "SELECT model, count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd FROM (SELECT model, source_dataset, avg(CAST(c1-c0 AS DOUBLE)) AS d FROM pairs GROUP BY ALL) GROUP BY model", "model")))
 def t_interval(spark, d):
+    """Mean over datasets with its t interval and p."""
     own = view(spark, d, "pairs").groupBy("model", "source_dataset").agg(F.avg(F.col("c1") - F.col("c0")).alias("d"))
-    sem = F.stddev_samp("d") / F.sqrt(F.count("*"))
-    return own.groupBy("model").agg(F.round(F.avg("d"), 6).alias("mean"), F.round(sem, 6).alias("sem"), F.round(F.try_divide(F.avg("d"), sem), 6).alias("t"), (F.count("*") - 1).alias("df"))
+    return own.groupBy("model").agg(*S.one_sample_t(F.col("d"))).withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")})
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_orderstatus = 'P' AS is_refusal, starts_with(o_orderpriority, '1') AS is_error, length(o_orderpriority) AS n_chars FROM orders")
@@ -191,11 +249,10 @@ def drop_duplicates_ordered(spark, d):
     return table(spark, d, "lineitem").withColumn("k", F.row_number().over(w)).filter("k = 1").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query(twin("pairs", "SELECT model, least(1.0, 2*least(avg(CASE WHEN s <= 0 THEN 1.0e0 ELSE 0 END), avg(CASE WHEN s >= 0 THEN 1.0e0 ELSE 0 END))) AS p FROM (SELECT model, b, sum(w*total)/nullif(sum(w*n), 0) AS s FROM (SELECT *, CASE WHEN u<0.36787944117 THEN 0 WHEN u<0.73575888234 THEN 1 WHEN u<0.91969860293 THEN 2 WHEN u<0.98101184312 THEN 3 WHEN u<0.99634015317 THEN 4 WHEN u<0.99940581518 THEN 5 ELSE 6 END AS w FROM (SELECT *, CAST(('0x'||substr(md5(concat_ws('|', '4', CAST(b AS VARCHAR), source_dataset)),1,8)) AS UBIGINT)/4294967296.0e0 AS u FROM (SELECT model, source_dataset, sum(CAST(c1-c0 AS DOUBLE)) AS total, CAST(count(*) AS DOUBLE) AS n FROM pairs GROUP BY ALL), (SELECT unnest(range(0, 100)) AS b))) GROUP BY ALL) WHERE s IS NOT NULL GROUP BY model"))
+_CLUSTERED = "SELECT model, source_dataset, sum(CAST(c1-c0 AS DOUBLE)) AS total, CAST(count(c1-c0) AS DOUBLE) AS n FROM pairs GROUP BY ALL"
+
+
+@query(twin("pairs", f"SELECT model, round(least(1.0, greatest(2*least(avg(CASE WHEN s <= 0 THEN 1.0e0 ELSE 0 END), avg(CASE WHEN s >= 0 THEN 1.0e0 ELSE 0 END)), 1/2000.0)), 6) AS p FROM ({replicates_sql(_CLUSTERED, 'model', 'source_dataset', 'total', 'n', 2000, 4)}) WHERE s IS NOT NULL GROUP BY model"))
 def bootstrap_p(spark, d):
     units = S.cluster_sums(view(spark, d, "pairs"), ["model"], "source_dataset", F.col("c1") - F.col("c0"))
-    reps = units.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    w = S.poisson_weight(S.uniform(4, F.col("b").cast("string"), F.col("source_dataset"))).cast("double")
-    stats = reps.groupBy("model", "b").agg(F.try_divide(F.sum(w * F.col("total")), F.sum(w * F.col("n"))).alias("s")).filter("s is not null")
-    low, high = (F.avg(c.cast("double")) for c in ((F.col("s") <= 0).cast("int"), (F.col("s") >= 0).cast("int")))
-    return stats.groupBy("model").agg(F.least(F.lit(1.0), 2 * F.least(low, high)).alias("p"))
+    return S.bootstrap_p(S.replicates_of(units, ["model"], "source_dataset", "total", "n", 2000, 4), ["model"], 2000)

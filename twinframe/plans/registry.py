@@ -20,5 +20,5 @@ def query(sql: str | None = None):
     return put
 
 
-for _module in ("documentation", "statistics", "text", "collection"):
+for _module in ("documentation", "statistics", "text", "collection", "reports"):
     import_module(f"twinframe.plans.{_module}")

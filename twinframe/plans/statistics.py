@@ -224,33 +224,20 @@ def _run_pairs(spark, d):
 _PUBLISHED = "SELECT model, distractor, layer, head FROM head_masks GROUP BY ALL HAVING avg(gate) < 0.49"
 
 
-@query(twin("head_masks", f"""WITH s AS ({_PICKS}), pub AS ({_PUBLISHED}), n AS (SELECT model, distractor, run, count(*) AS n FROM s GROUP BY ALL),
+@query(twin("head_masks", f"""WITH s AS ({_PICKS}), pub AS ({_PUBLISHED}), n AS (SELECT model, distractor, run, count(*) AS n FROM s GROUP BY ALL), pn AS (SELECT model, distractor, count(*) AS n_published FROM pub GROUP BY ALL),
     i AS (SELECT a.model, a.distractor, a.run AS run_a, b.run AS run_b, count(*) AS k FROM s a JOIN s b ON a.model=b.model AND a.distractor=b.distractor AND a.layer=b.layer AND a.head=b.head AND a.run < b.run GROUP BY ALL),
     p AS (SELECT a.model, a.distractor, a.run AS run_a, b.run AS run_b, a.n + b.n AS sizes FROM n a JOIN n b ON a.model=b.model AND a.distractor=b.distractor AND a.run < b.run),
-    j AS (SELECT model, distractor, avg(x) AS j_mean, min(x) AS j_min, max(x) AS j_max FROM (SELECT model, distractor, coalesce(k,0)/CAST(sizes - coalesce(k,0) AS DOUBLE) AS x FROM p LEFT JOIN i USING (model, distractor, run_a, run_b)) GROUP BY ALL),
+    j AS (SELECT model, distractor, round(avg(x), 6) AS jaccard_mean, round(min(x), 6) AS jaccard_min, round(max(x), 6) AS jaccard_max FROM (SELECT model, distractor, coalesce(k,0)/CAST(sizes - coalesce(k,0) AS DOUBLE) AS x FROM p LEFT JOIN i USING (model, distractor, run_a, run_b)) GROUP BY ALL),
     z AS (SELECT model, distractor, count(*) AS n_runs, round(avg(n), 6) AS heads_mean, min(n) AS heads_min, max(n) AS heads_max FROM n GROUP BY ALL),
-    h AS (SELECT model, distractor, layer, head, count(*) AS hits FROM s GROUP BY ALL),
-    u AS (SELECT coalesce(h.model, pub.model) AS model, coalesce(h.distractor, pub.distractor) AS distractor, hits, pub.model IS NOT NULL AS published FROM h FULL JOIN pub ON h.model=pub.model AND h.distractor=pub.distractor AND h.layer=pub.layer AND h.head=pub.head)
-    SELECT model, distractor, n_runs, heads_mean, heads_min, heads_max, round(j_mean, 6) AS jaccard_mean, round(j_min, 6) AS jaccard_min, round(j_max, 6) AS jaccard_max,
-    count(*) FILTER (hits = n_runs) AS n_all_runs, count(hits) AS n_union, count(*) FILTER (hits >= 2 AND published) AS n_recovered, count(*) FILTER (published) AS n_published, round(count(*) FILTER (hits IS NOT NULL AND published)/CAST(count(*) AS DOUBLE), 6) AS jaccard_published
-    FROM u JOIN z USING (model, distractor) LEFT JOIN j USING (model, distractor) GROUP BY ALL"""))
+    h AS (SELECT s.model, s.distractor, s.layer, s.head, count(*) AS hits, bool_or(pub.model IS NOT NULL) AS published FROM s LEFT JOIN pub ON s.model=pub.model AND s.distractor=pub.distractor AND s.layer=pub.layer AND s.head=pub.head GROUP BY ALL),
+    u AS (SELECT model, distractor, count(*) FILTER (hits = n_runs) AS n_all_runs, count(*) AS n_union, CASE WHEN any_value(n_runs) > 1 THEN count(*) FILTER (hits >= 2 AND published) END AS n_recovered FROM h JOIN z USING (model, distractor) GROUP BY ALL),
+    q AS (SELECT s.model, s.distractor, s.run, count(pub.model) AS k FROM s LEFT JOIN pub ON s.model=pub.model AND s.distractor=pub.distractor AND s.layer=pub.layer AND s.head=pub.head GROUP BY ALL),
+    r AS (SELECT model, distractor, round(avg(x), 6) AS published_mean, round(min(x), 6) AS published_min, round(max(x), 6) AS published_max FROM (SELECT model, distractor, k/CAST(n + coalesce(n_published, 0) - k AS DOUBLE) AS x FROM q JOIN n USING (model, distractor, run) LEFT JOIN pn USING (model, distractor)) GROUP BY ALL)
+    SELECT *  EXCLUDE (n_published), coalesce(n_published, 0) AS n_published FROM z JOIN u USING (model, distractor) JOIN r USING (model, distractor) LEFT JOIN j USING (model, distractor) LEFT JOIN pn USING (model, distractor)"""))
 def run_stability(spark, d):
-    """Stability over runs: sizes, pairwise overlap (null with one run), heads in all or any, overlap with the set of all seeds together."""
-    keys = ["model", "distractor"]
-    sets, pairs = _run_sets(spark, d), _run_pairs(spark, d)
-    sizes = sets.groupBy(*keys).agg(F.count("*").alias("n_runs"), F.round(F.avg(F.size("s")), 6).alias("heads_mean"), F.min(F.size("s")).cast("long").alias("heads_min"), F.max(F.size("s")).cast("long").alias("heads_max"))
-    overlap = pairs.groupBy(*keys).agg(*[F.round(f("jaccard"), 6).alias(f"jaccard_{n}") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
-    hits = sets.select(*keys, F.explode("s").alias("at")).groupBy(*keys, "at").agg(F.count("*").alias("hits"))
-    published = view(spark, d, "head_masks").groupBy(*keys, (F.col("layer") * 8 + F.col("head")).alias("at")).agg(F.avg("gate").alias("g")).filter("g < 0.49").select(*keys, "at", F.lit(True).alias("published"))
-    both = hits.join(published, [*keys, "at"], "full_outer").join(sizes.select(*keys, "n_runs"), keys)
-    counts = both.groupBy(*keys).agg(
-        F.count_if(F.col("hits") == F.col("n_runs")).alias("n_all_runs"),
-        F.count("hits").alias("n_union"),
-        F.count_if((F.col("hits") >= 2) & F.col("published")).alias("n_recovered"),
-        F.count_if("published").alias("n_published"),
-        F.round(F.count_if(F.col("hits").isNotNull() & F.col("published")) / F.count("*"), 6).alias("jaccard_published"),
-    )
-    return sizes.join(overlap, keys, "left").join(counts, keys)
+    """Stability over runs against the set of all seeds together."""
+    published = view(spark, d, "head_masks").groupBy("model", "distractor", "layer", "head").agg(F.avg("gate").alias("g")).filter("g < 0.49")
+    return S.set_stability(_run_sets(spark, d), published.groupBy("model", "distractor").agg(F.collect_set(F.col("layer") * 8 + F.col("head")).alias("p")), ["model", "distractor"], "run")
 
 
 @query(twin("head_masks", "WITH s AS (SELECT model, distractor, layer, head, count(*) FILTER (gate < 0.35) AS hits, count(DISTINCT seed) AS n FROM head_masks GROUP BY ALL) SELECT model, distractor, max(n) AS n_seeds, count(*) FILTER (hits = n) AS n_all_seeds, count(*) FILTER (hits > 0) AS n_union, count(*) FILTER (hits >= 2) AS n_recovered, round(sum(hits)/CAST(max(n) AS DOUBLE), 6) AS mean_heads, min(hits) AS min_hits, max(hits) AS max_hits FROM s GROUP BY ALL"))

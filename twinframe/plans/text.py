@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from twinframe.functions import text as X
 from twinframe.operators import notes as N
 from twinframe.operators import planning as G
+from twinframe.operators import stats as S
 from twinframe.operators import tables as T
 
+from .intervals import bounds_sql, sums_sql
 from .registry import query
 from .views import table, twin, view
 
@@ -47,7 +49,13 @@ def insert_sentence(spark, d):
     return table(spark, d, "documents").select("doc_id", X.insert_sentence(F.col("text"), F.lit(_SENT.strip("'"))).alias("question"))
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(array_to_string(p, ' '), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS clean FROM (SELECT doc_id, {_PARTS} AS p FROM documents)")
+_WS = "[ \\t\\n\\x0B\\f\\r]"
+_TIDY = "q"
+for _pattern, _put in (("\\r\\n", "\\n"), ("[ \\t]+\\n", "\\n"), ("\\n[ \\t]+", "\\n"), ("[ \\t]{2,}", " "), (_WS + "+([,.;:?!])", "\\1"), (f"^{_WS}+|{_WS}+$", "")):
+    _TIDY = f"regexp_replace({_TIDY}, '{_pattern}', {'chr(10)' if _put == chr(92) + 'n' else repr(_put).replace(chr(92) * 2, chr(92))}, 'g')"
+
+
+@query(f"SELECT doc_id, {_TIDY} AS clean FROM (SELECT doc_id, concat(regexp_replace(substr(q, 1, strpos(q, {_SENT}) - 1), '{_WS}+$', ''), ' ', regexp_replace(substr(q, strpos(q, {_SENT}) + length({_SENT})), '^{_WS}+', '')) AS q FROM (SELECT doc_id, array_to_string(list_concat(list_concat(p[1:len(p)-1], [{_SENT}]), p[len(p):]), ' ') AS q FROM (SELECT doc_id, {_PARTS} AS p FROM documents)))")
 def remove_sentence(spark, d):
     sentence = F.lit(_SENT.strip("'"))
     put = table(spark, d, "documents").select("doc_id", X.insert_sentence(F.col("text"), sentence).alias("question"))
@@ -70,22 +78,16 @@ def leakage(spark, d):
     return view(spark, d, "leak_pairs").select("doc_id", "lang", "source", *[c.alias(k) for k, c in made.items()])
 
 
-@query(twin("leak_pairs", f"WITH k AS ({_LEAK}) SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources, round(avg(leakage), 6) AS mean_leakage, round(100*avg(CASE WHEN n_leaked > 0 THEN 1.0 ELSE 0 END), 6) AS any_leak, round(avg(n_content), 6) AS mean_content FROM k GROUP BY lang"))
+@query(twin("leak_pairs", f"WITH k AS ({_LEAK}) SELECT * FROM (SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources, round(avg(leakage), 6) AS mean_leakage, round(100*avg(CASE WHEN n_leaked > 0 THEN 1.0 ELSE 0 END), 6) AS any_leak, round(avg(n_content), 6) AS mean_content FROM k GROUP BY lang) JOIN ({bounds_sql(sums_sql('SELECT * FROM k', 'lang', 'leakage', 'doc_id', 1.0), 'lang')}) USING (lang)"))
 def leakage_by_level(spark, d):
-    return leakage(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"), F.round(F.avg("leakage"), 6).alias("mean_leakage"), T.pct((F.col("n_leaked") > 0).cast("int")).alias("any_leak"), F.round(F.avg("n_content"), 6).alias("mean_content"))
-
+    rows = leakage(spark, d)
+    rates = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"), F.round(F.avg("leakage"), 6).alias("mean_leakage"), T.pct((F.col("n_leaked") > 0).cast("int")).alias("any_leak"), F.round(F.avg("n_content"), 6).alias("mean_content"))
+    return rates.join(S.mean_interval(S.dealt_sums(rows, ["lang"], F.col("leakage"), ["doc_id"]), ["lang"]), "lang")
 
-_TOK = "regexp_extract_all(lower({x}), '[a-z]+')[1:40]"
 
-
-@query(twin("leak_pairs", f"SELECT doc_id, round(CASE WHEN len(r) > 0 THEN levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(33+list_position(v, x) AS INT))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(33+list_position(v, x) AS INT))), ''))/CAST(len(r) AS DOUBLE) END, 6) AS wer FROM (SELECT *, list_distinct(list_concat(r, h)) AS v FROM (SELECT doc_id, {_TOK.format(x='clean_transcript')} AS r, {_TOK.format(x='segment_text')} AS h FROM leak_pairs))"))
+@query()
 def wer(spark, d):
-    tokens = lambda c: F.slice(F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z]+"), F.lit(0)), 1, 40)
-    return view(spark, d, "leak_pairs").select("doc_id", F.round(X.wer(tokens("clean_transcript"), tokens("segment_text")), 6).alias("wer"))
-
-
-def wer_whole(spark, d):
-    """As ``wer``, on all tokens: its twin's edit distance counts bytes, so it can't go beyond some 90 distinct tokens."""
+    """Word error rate over all tokens. No twin: DuckDB's edit distance counts bytes, so it can't code more than some 90 tokens."""
     tokens = lambda c: F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z]+"), F.lit(0))
     return view(spark, d, "leak_pairs").select("doc_id", F.round(X.wer(tokens("clean_transcript"), tokens("segment_text")), 6).alias("wer"))
 
@@ -125,59 +127,120 @@ def score_answers(spark, d):
     return view(spark, d, "responses").select("item_id", (parsed == "[invalid]").alias("is_invalid"), (F.btrim(parsed, F.lit("()")) == F.col("correct_answer")).alias("is_correct"))
 
 
-@query("SELECT conv_id, CASE WHEN count(*) < 4 THEN 'turn count' WHEN min(CASE WHEN turn = 0 THEN role END) <> 'user' THEN 'opener' WHEN max(length(text)) > 2000 THEN 'length' WHEN sum(CASE WHEN regexp_matches(text, '[0-9]{5}') THEN 1 ELSE 0 END) > 0 THEN 'forbidden' END AS failed FROM conversations GROUP BY conv_id")
+_ASIDE = "WITH r AS (SELECT conv_id, string_agg(concat(role, ': ', replace(text, chr(10), ' ')), chr(10) ORDER BY turn) AS c FROM conversations GROUP BY conv_id), l AS (SELECT conv_id, c, list_filter(string_split(c, chr(10)), lambda x: trim(x) <> '') AS l, conv_id % 2 = 0 AS bystander FROM r)"
+
+
+@query(
+    f"""{_ASIDE} SELECT conv_id, CASE WHEN len(l) NOT BETWEEN 3 AND 4 THEN 'turn count' WHEN len(list_filter(l, lambda x: NOT (starts_with(x, 'user:') OR starts_with(x, 'assistant:')))) > 0 THEN 'speaker tag'
+    WHEN starts_with(lower(l[1]), 'assistant') THEN 'clinician opens the aside' WHEN length(c) > 560 THEN 'too long' WHEN regexp_matches(c, '(?i)\\b(back to (you|your|the visit|where we were)|returning to)\\b') THEN 'redirect cue'
+    WHEN NOT contains(lower(c), 'th') THEN 'assigned content missing' WHEN regexp_matches(c, '(?i)\\b(me too|contagious)\\b') THEN 'forbidden phrase'
+    WHEN bystander AND len(list_filter(l, lambda x: starts_with(lower(x), 'user') AND regexp_matches(x, '(?i)\\bmy (knee|head)s?\\b'))) > 0 THEN 'patient refers to own body part'
+    WHEN NOT bystander AND len(list_filter(l, lambda x: starts_with(lower(x), 'user') AND regexp_matches(x, '(?i)\\bi have (stroke|cancer)\\b'))) > 0 THEN 'patient claims the condition' END AS failed FROM l"""
+)
 def rule_validate(spark, d):
-    text = F.col("text")
-    facts = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("turn") == 0, F.col("role"))).alias("opener"), F.max(F.length(text)).alias("longest"), F.count_if(text.rlike("[0-9]{5}")).alias("digits"))
-    return facts.select("conv_id", X.first_failing([(F.col("n") < 4, "turn count"), (F.col("opener") != "user", "opener"), (F.col("longest") > 2000, "length"), (F.col("digits") > 0, "forbidden")]).alias("failed"))
+    rules = N.AsideRules(redirect=r"(?i)\b(back to (you|your|the visit|where we were)|returning to)\b", forbidden=r"(?i)\b(me too|contagious)\b", body=r"(?i)\bmy (knee|head)s?\b", claim=r"(?i)\bi have (stroke|cancer)\b", tags=("user:", "assistant:"), clinician=("assistant",), patient=("user",))
+    return view(spark, d, "dialogues").select("conv_id", N.failing_rule(F.col("transcript"), F.array(F.lit("th")), F.col("conv_id") % 2 == 0, rules).alias("failed"))
 
 
-@query("SELECT item_id, array_to_string(list_transform(list_sort(list_transform(w, lambda x: lpad(CAST(1000-length(x) AS VARCHAR), 4, '0') || x))[1:8], lambda x: substr(x, 5, 6)), ' ') AS stems FROM (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), lambda x: length(x) >= 4 AND x <> 'that') AS w FROM benchmark)")
-def stems(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.array_join(X.stems(F.col("text"), ["that"]), " ").alias("stems"))
+_TOPIC_WORDS = "list_filter(regexp_extract_all(regexp_replace(lower({x}), '\\(.*?\\)', ' ', 'g'), '[a-z][a-z''\\-]{{3,}}'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in X.TOPIC_STOP) + "], w))"
+_STEMS = "list_transform(list_sort(list_transform(list_distinct(list_transform(" + _TOPIC_WORDS + ", lambda w: substr(w, 1, 6))), lambda w: CAST(9-length(w) AS VARCHAR) || w))[1:8], lambda w: substr(w, 2))"
 
 
-_DOC_LINES = "SELECT doc_id, unnest(generate_series(1, len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
-_HEADER = "CASE WHEN regexp_matches(line, '^The ') THEN 'A' WHEN regexp_matches(line, '^(To|Is) ') THEN 'B' END"
+@query(f"SELECT item_id, array_to_string({_STEMS.format(x='text')}, ' ') AS stems FROM benchmark")
+def stems(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(X.stems(F.col("text")), " ").alias("stems"))
 
 
-def _lines(spark, d):
-    return N.note_lines(table(spark, d, "documents"), ["doc_id"], "text")
+_STRIP = f"regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g')"
+_SECTION_CASE = "CASE " + " ".join(f"WHEN regexp_matches(name, {_sql_text(p)}) THEN {_sql_text(N.COARSE[n])}" for n, p in N.SECTION_PATTERNS) + " END"
+_SECTIONED = f"""SELECT *, coalesce(last_value({_SECTION_CASE} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Unsectioned') AS section FROM (
+    SELECT *, lower(coalesce(nullif(regexp_extract(raw, {_sql_text(N.HEADER)}, 2), ''), nullif(regexp_extract(raw, {_sql_text(N.INLINE)}, 2), ''))) AS name FROM (
+    SELECT *, regexp_replace({_STRIP}, {_sql_text(N.LETTER)}, '\\1') AS raw FROM (
+    SELECT doc_id, unnest(generate_series(1, len(l))) AS pos, unnest(l) AS line, stems FROM (SELECT doc_id, string_split(note, chr(10)) AS l, {_STEMS.format(x='topic')} AS stems FROM notes))))"""
+_LOCATED = f"""SELECT *, len(list_filter(stems, lambda s: contains(lower(line), s))) >= CASE WHEN len(stems) <= 2 THEN 1 ELSE 2 END AND NOT (regexp_matches({_STRIP}, {_sql_text(N.HEADER)}) AND length({_STRIP}) < 40) AS hit FROM ({_SECTIONED})"""
+_NOTE_FACTS = f"""SELECT doc_id, count(*) FILTER (hit) AS n_lines, array_to_string(list_sort(list_distinct(list(section) FILTER (hit))), ';') AS sections, coalesce(bool_or(hit AND section IN ('Assessment', 'Plan')), false) AS in_assessment_or_plan,
+    coalesce(bool_or(hit AND section IN ('Assessment', 'Plan') AND regexp_matches(line, {_sql_text(N.ACTION)})), false) AS action_in_plan, string_agg({_STRIP}, ' ' ORDER BY pos) FILTER (hit) AS lines FROM ({_LOCATED}) GROUP BY doc_id"""
 
 
-def _sections(spark, d):
-    header = F.when(F.col("line").rlike("^The "), "A").when(F.col("line").rlike("^(To|Is) "), "B")
-    return N.assign_sections(_lines(spark, d), ["doc_id"], header)
+def _located(spark, d):
+    notes = view(spark, d, "notes").select("doc_id", X.stems(F.col("topic")).alias("stems"), "note")
+    lines = N.assign_sections(N.note_lines(notes, ["doc_id", "stems"], "note"), ["doc_id"])
+    return lines.withColumn("hit", N.located(F.col("line"), F.col("stems")))
 
 
-_SECTIONED = f"SELECT doc_id, pos, line, coalesce(last_value({_HEADER} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Unsectioned') AS section FROM ({_DOC_LINES})"
+def _note_facts(spark, d):
+    """(doc_id, n_lines, sections array, in_assessment_or_plan, action_in_plan, lines) of each note."""
+    in_plan = F.col("hit") & F.col("section").isin("Assessment", "Plan")
+    found = F.when(F.col("hit"), F.struct("pos", F.regexp_replace("line", r"^\s+|\s+\z", "").alias("line")))
+    return _located(spark, d).groupBy("doc_id").agg(
+        F.count_if("hit").alias("n_lines"),
+        F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("section")))).alias("sections"),
+        F.bool_or(in_plan).alias("in_assessment_or_plan"),
+        F.bool_or(in_plan & F.col("line").rlike(N.ACTION)).alias("action_in_plan"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(found)), lambda x: x["line"]), " ").alias("lines"),
+    )
 
 
-@query(f"SELECT doc_id, pos, section FROM ({_SECTIONED})")
+@query(twin("notes", f"SELECT doc_id, pos, section FROM ({_SECTIONED})"))
 def section_assign(spark, d):
-    return _sections(spark, d).select("doc_id", "pos", "section")
+    return _located(spark, d).select("doc_id", "pos", "section")
 
 
-@query(f"SELECT section, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs, round(count(DISTINCT doc_id)/CAST((SELECT count(*) FROM documents) AS DOUBLE), 6) AS share FROM ({_SECTIONED}) GROUP BY section")
+@query(twin("notes", f"SELECT doc_id, n_lines, coalesce(sections, '') AS sections, in_assessment_or_plan, action_in_plan FROM ({_NOTE_FACTS})"))
+def locate_lines(spark, d):
+    return _note_facts(spark, d).select("doc_id", "n_lines", F.array_join("sections", ";").alias("sections"), "in_assessment_or_plan", "action_in_plan")
+
+
+_ASKED = [*N.SECTION_ORDER, "Assessment or Plan", "(located anywhere)"]
+
+
+@query(twin("notes", f"WITH f AS ({_NOTE_FACTS}), i AS (SELECT model, distractor_type, string_split(coalesce(sections, ''), ';') AS s FROM f JOIN notes USING (doc_id) WHERE incorporated), a(section) AS (VALUES {', '.join(f'({_sql_text(x)})' for x in _ASKED)}) SELECT model, distractor_type, section, count(*) AS n_incorporated, round(avg(CASE WHEN CASE section WHEN 'Assessment or Plan' THEN list_contains(s, 'Assessment') OR list_contains(s, 'Plan') WHEN '(located anywhere)' THEN s[1] <> '' ELSE list_contains(s, section) END THEN 1.0 ELSE 0 END), 6) AS share FROM i, a GROUP BY ALL"))
 def section_share(spark, d):
-    total = table(spark, d, "documents").agg(F.count("*").alias("t"))  # one row
-    own = _sections(spark, d).groupBy("section", "doc_id").agg(F.count("*").alias("k")).groupBy("section").agg(F.sum("k").alias("n_lines"), F.count("*").alias("n_docs"))
-    return own.crossJoin(F.broadcast(total)).select("section", "n_lines", "n_docs", F.round(F.col("n_docs") / F.col("t"), 6).alias("share"))
+    """Of incorporated notes the share that has the insertion in each section, in either of two, or anywhere."""
+    rows = view(spark, d, "notes").filter("incorporated").select("doc_id", "model", "distractor_type").join(_note_facts(spark, d).select("doc_id", "sections"), "doc_id")
+    s, asked = F.col("sections"), F.col("section")
+    has = F.when(asked == "Assessment or Plan", F.array_contains(s, "Assessment") | F.array_contains(s, "Plan")).when(asked == "(located anywhere)", F.size(s) > 0).otherwise(F.array_contains(s, asked))
+    long = rows.select("model", "distractor_type", "sections", F.explode(F.array(*map(F.lit, _ASKED))).alias("section"))
+    return long.groupBy("model", "distractor_type", "section").agg(F.count("*").alias("n_incorporated"), F.round(F.avg(has.cast("double")), 6).alias("share"))
 
 
-_CLASSES = [("question", r"\?"), ("shout", r"!!"), ("symbols", r"%%%|&&&"), ("number", r"[0-9]")]
+_MODE = "CASE " + " ".join(f"WHEN regexp_matches(t, {_sql_text(p)}) THEN '{n}'" for n, p in N.TAXONOMY) + " ELSE 'other' END"
+_MODES = f"SELECT doc_id, model, distractor_type, outcome, CASE WHEN outcome IN ('misattributed', 'acted_on') THEN {_MODE} WHEN outcome = 'recorded_only' THEN 'recorded_only' ELSE '' END AS mode FROM (SELECT n.*, lower(concat_ws(' ', coalesce(rationale, ''), lines)) AS t FROM notes n JOIN f USING (doc_id))"
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '\\?') THEN 'question' WHEN regexp_matches(text, '!!') THEN 'shout' WHEN regexp_matches(text, '%%%|&&&') THEN 'symbols' WHEN regexp_matches(text, '[0-9]') THEN 'number' ELSE 'other' END AS class FROM documents")
+@query(twin("notes", f"WITH f AS ({_NOTE_FACTS}) SELECT doc_id, mode FROM ({_MODES})"))
 def taxonomy_classify(spark, d):
-    return table(spark, d, "documents").select("doc_id", N.classify(F.col("text"), _CLASSES).alias("class"))
+    return _modes(spark, d).select("doc_id", "mode")
 
 
-@query(f"SELECT doc_id, count(*) FILTER (hits >= 2) AS n_lines, min(pos) FILTER (hits >= 2) AS first_line FROM (SELECT doc_id, pos, CAST(regexp_matches(lower(line), 'tion') AS INT) + CAST(regexp_matches(lower(line), 'that') AS INT) + CAST(regexp_matches(lower(line), 'heblee?') AS INT) AS hits FROM ({_DOC_LINES})) GROUP BY doc_id")
-def locate_lines(spark, d):
-    low = F.lower("line")
-    hits = sum(low.rlike(p).cast("int") for p in ("tion", "that", "heblee?"))
-    return _lines(spark, d).withColumn("hits", hits).groupBy("doc_id").agg(F.count_if(F.col("hits") >= 2).alias("n_lines"), F.min(F.when(F.col("hits") >= 2, F.col("pos"))).alias("first_line"))
+def _modes(spark, d):
+    """The failure mode of each note, from the judge's rationale and the located lines."""
+    rows = view(spark, d, "notes").drop("note", "topic").join(_note_facts(spark, d), "doc_id")
+    text = F.concat_ws(" ", F.coalesce("rationale", F.lit("")), F.nullif("lines", F.lit("")))
+    mode = F.when(F.col("outcome").isin("misattributed", "acted_on"), N.classify(text)).when(F.col("outcome") == "recorded_only", "recorded_only").otherwise("")
+    return rows.withColumn("mode", mode)
+
+
+@query(twin("notes", f"WITH f AS ({_NOTE_FACTS}), m AS (SELECT * FROM ({_MODES}) WHERE outcome IN ('misattributed', 'acted_on')) SELECT model, distractor_type, outcome, mode, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'all', distractor_type, 'both', mode, count(*) FROM m GROUP BY ALL"))
+def failure_modes(spark, d):
+    harm = _modes(spark, d).filter("outcome in ('misattributed', 'acted_on')").select("model", "distractor_type", "outcome", "mode")
+    both = harm.select(F.lit("all").alias("model"), "distractor_type", F.lit("both").alias("outcome"), "mode")
+    return harm.unionByName(both).groupBy("model", "distractor_type", "outcome", "mode").agg(F.count("*").alias("n"))
+
+
+@query(twin("notes", f"WITH f AS ({_NOTE_FACTS}) SELECT CASE WHEN grouping(model)=1 THEN 'all' ELSE model END AS model, CASE WHEN grouping(distractor_type)=1 THEN 'all' ELSE distractor_type END AS distractor_type, count(*) AS n, round(100*avg(CASE WHEN in_assessment_or_plan THEN 1.0 ELSE 0 END), 6) AS in_plan, round(100*avg(CASE WHEN action_in_plan THEN 1.0 ELSE 0 END), 6) AS action, round(100*avg(CASE WHEN outcome = 'acted_on' THEN 1.0 ELSE 0 END), 6) AS acted_on FROM notes JOIN f USING (doc_id) GROUP BY GROUPING SETS ((model, distractor_type), (distractor_type), ())"))
+def plan_actions(spark, d):
+    """How often the insertion is in the assessment or plan, and on a line with an action."""
+    rows = view(spark, d, "notes").select("doc_id", "model", "distractor_type", "outcome").join(_note_facts(spark, d), "doc_id")
+    rates = [F.count("*").alias("n"), *[T.pct(c.cast("int")).alias(n) for n, c in (("in_plan", F.col("in_assessment_or_plan")), ("action", F.col("action_in_plan")), ("acted_on", F.col("outcome") == "acted_on"))]]
+    return T.grouped(rows, [["model", "distractor_type"], ["distractor_type"], []], rates)
+
+
+@query(twin("notes", f"WITH f AS ({_NOTE_FACTS}) SELECT doc_id, n_lines, CASE WHEN doc_id % 2 = 0 THEN true ELSE false END AS in_assessment_or_plan FROM f"))
+def frozen_annotations(spark, d):
+    """Saved annotations take the place of the parser's, and must cover every note once."""
+    saved = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "True").otherwise("false").alias("in_assessment_or_plan"))
+    return N.frozen(_note_facts(spark, d).select("doc_id", "n_lines", "in_assessment_or_plan"), saved, ["doc_id"], ["in_assessment_or_plan"])
 
 
 @query("SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'red|blue') THEN 'Proprietary' WHEN regexp_matches(lower(p_name), 'ring') THEN 'Open-weight, medical' ELSE 'Open-weight, general' END AS grp FROM part")
@@ -189,9 +252,8 @@ def rule_group(spark, d):
 @query("SELECT l_orderkey, l_linenumber, CAST(regexp_extract(c, '^audio_(-?\\d+)dB_d(\\d+)$', 1) AS INT) AS level_db, CAST(regexp_extract(c, '^audio_(-?\\d+)dB_d(\\d+)$', 2) AS INT) AS donor FROM (SELECT l_orderkey, l_linenumber, concat('audio_', CAST(l_linenumber*5-20 AS VARCHAR), 'dB_d', CAST(l_suppkey % 2 AS VARCHAR)) AS c FROM lineitem)")
 def code_parse(spark, d):
     code = F.format_string("audio_%ddB_d%d", F.col("l_linenumber") * 5 - 20, F.col("l_suppkey") % 2)
-    pattern = r"^audio_(-?\d+)dB_d(\d+)$"
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", code.alias("c"))
-    return rows.select("l_orderkey", "l_linenumber", *[F.regexp_extract("c", pattern, i).try_cast("int").alias(n) for i, n in ((1, "level_db"), (2, "donor"))])
+    level, donor = X.distractor_code(code)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", level.alias("level_db"), donor.alias("donor"))
 
 
 @query("SELECT s_suppkey, regexp_extract(t, '\\((.*?);', 1) AS relation, regexp_replace(t, ' \\(.*\\)$', '') AS topic FROM (SELECT s_suppkey, concat(s_name, ' (nation ', CAST(s_nationkey AS VARCHAR), '; class ', CAST(s_suppkey % 3 AS VARCHAR), ')') AS t FROM supplier)")
@@ -272,15 +334,17 @@ def densest_window(spark, d):
     return G.densest_window(_scored(spark, d), "item_id", "score", 5, 12)
 
 
-@query(twin("utterances", "WITH k AS (SELECT item_id, max(end_s) AS s, count(*) AS n FROM utterances GROUP BY item_id) SELECT count(*) AS n_items, CAST(sum(n) AS BIGINT) AS n_utterances, round(sum(s)/3600, 6) AS hours, round(avg(s)/60, 6) AS mean_minutes FROM k"))
+@query(twin("utterances", f"WITH k AS (SELECT item_id, max(end_s) AS s, count(*) AS n FROM utterances GROUP BY item_id), w AS ({_DENSEST.replace('WITH u AS', 'WITH u0 AS').replace('FROM u a JOIN u b', 'FROM u0 a JOIN u0 b')}) SELECT count(*) AS n_items, count(w.score) AS n_windows, CAST(sum(n) AS BIGINT) AS n_utterances, round(sum(s)/3600, 6) AS hours, round(avg(s)/60, 6) AS mean_minutes, round(avg(w.score), 6) AS score_mean, min(w.score) AS score_min, max(w.score) AS score_max FROM k LEFT JOIN w USING (item_id)"))
 def corpus_profile(spark, d):
     per = view(spark, d, "utterances").groupBy("item_id").agg(F.max("end_s").alias("s"), F.count("*").alias("n"))
-    return per.agg(F.count("*").alias("n_items"), F.sum("n").alias("n_utterances"), F.round(F.sum("s") / 3600, 6).alias("hours"), F.round(F.avg("s") / 60, 6).alias("mean_minutes"))
+    both = per.join(densest_window(spark, d).select("item_id", "score"), "item_id", "left")
+    scores = [F.count("score").alias("n_windows"), F.round(F.avg("score"), 6).alias("score_mean"), F.min("score").alias("score_min"), F.max("score").alias("score_max")]
+    return both.agg(F.count("*").alias("n_items"), F.sum("n").alias("n_utterances"), F.round(F.sum("s") / 3600, 6).alias("hours"), F.round(F.avg("s") / 60, 6).alias("mean_minutes"), *scores)
 
 
-@query(twin("insertions", "SELECT insert_after_turn, count(*) AS n, count(DISTINCT bench_id) AS n_topics, round(avg(length(distractor_summary)), 6) AS mean_chars FROM insertions GROUP BY ALL"))
+@query(twin("insertions", "SELECT CASE WHEN grouping(insert_after_turn)=1 THEN 'all' ELSE CAST(insert_after_turn AS VARCHAR) END AS insert_after_turn, count(*) AS n, count(DISTINCT bench_id) AS n_topics, round(avg(length(distractor_summary)), 6) AS mean_chars, round(avg(1 + conv_id % 4), 6) AS mean_attempts FROM insertions GROUP BY ROLLUP (insert_after_turn)"))
 def insertion_profile(spark, d):
-    return view(spark, d, "insertions").groupBy("insert_after_turn").agg(F.count("*").alias("n"), F.count_distinct("bench_id").alias("n_topics"), F.round(F.avg(F.length("distractor_summary")), 6).alias("mean_chars"))
+    return T.grouped(view(spark, d, "insertions"), [["insert_after_turn"], []], [F.count("*").alias("n"), F.count_distinct("bench_id").alias("n_topics"), F.round(F.avg(F.length("distractor_summary")), 6).alias("mean_chars"), F.round(F.avg(1 + F.col("conv_id") % 4), 6).alias("mean_attempts")])
 
 
 @query("WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('13|' || CAST(c_custkey AS VARCHAR)), c_custkey) AS r, count(*) OVER () AS n FROM customer) SELECT c_custkey, r <= greatest(1, floor(n*0.1)) AS heldout FROM r")
@@ -313,8 +377,8 @@ def mix_plan(spark, d):
 
 @query("SELECT c_custkey, c_mktsegment, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) % 7 AS slot FROM customer")
 def balanced_slots(spark, d):
-    k = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")) - 1
-    return table(spark, d, "customer").select("c_custkey", "c_mktsegment", (k % 7).cast("long").alias("slot"))
+    run = S.numbered(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], ["c_custkey"], None, "k")
+    return run.select("c_custkey", "c_mktsegment", ((F.col("k") - 1) % 7).cast("long").alias("slot"))
 
 
 @query("SELECT c_custkey, coalesce(n_name, 'general') AS system FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")

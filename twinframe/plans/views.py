@@ -74,6 +74,26 @@ SPARK: dict[str, str] = {
         SELECT d.doc_id, d.lang, d.source, d.text AS clean_transcript, b.bench_text AS segment_text,
                concat(d.text, ' ', substr(b.bench_text, 1, CAST(floor(length(b.bench_text) / 2) AS INT))) AS mixed_transcript
         FROM documents d JOIN (SELECT max(n) AS n FROM {bench_at}) k ON true JOIN {bench_at} b ON b.at = d.doc_id % k.n""",
+    "notes": """
+        SELECT d.doc_id, d.lang AS model, CASE WHEN d.doc_id % 2 = 0 THEN 'nonliteral' ELSE 'bystander' END AS distractor_type, d.doc_id % 3 <> 0 AS incorporated,
+               CASE d.doc_id % 4 WHEN 0 THEN 'misattributed' WHEN 1 THEN 'acted_on' WHEN 2 THEN 'recorded_only' ELSE 'not_incorporated' END AS outcome,
+               CASE d.doc_id % 7 WHEN 0 THEN 'restated as a Chief Complaint' WHEN 1 THEN 'a tangential remark' WHEN 2 THEN 'hereditary' WHEN 3 THEN 'an unvoiced worry'
+                    WHEN 4 THEN 'a hobby' WHEN 5 THEN 'taken as a factual report' END AS rationale,
+               concat(b.bench_text, ' (aside; patient said so)') AS topic,
+               concat(CASE d.doc_id % 5 WHEN 0 THEN 'Chief Complaint:' WHEN 1 THEN '## History of Present Illness' WHEN 2 THEN '**S: Subjective**' WHEN 3 THEN 'Odd words of a header' ELSE 'no header, but text.' END, chr(10),
+                      substr(d.text, 1, CAST(floor(length(d.text) / 3) AS INT)), chr(10), CASE WHEN d.doc_id % 4 = 0 THEN b.bench_text ELSE 'nothing' END, chr(10),
+                      CASE d.doc_id % 6 WHEN 0 THEN '**Assessment:** ' WHEN 1 THEN 'Physical Exam: ' WHEN 2 THEN 'O: labs' WHEN 3 THEN 'Impression' WHEN 4 THEN 'Family History:' ELSE 'Social history: ' END, chr(10),
+                      substr(d.text, 1 + CAST(floor(length(d.text) / 3) AS INT), CAST(floor(length(d.text) / 3) AS INT)), chr(10), CASE WHEN d.doc_id % 3 = 0 THEN 'P: consider ' ELSE 'Plan: ' END,
+                      CASE WHEN d.doc_id % 5 < 2 THEN b.bench_text ELSE 'rest' END, chr(10), substr(d.text, 1 + 2 * CAST(floor(length(d.text) / 3) AS INT))) AS note
+        FROM documents d JOIN (SELECT max(n) AS n FROM {bench_at}) k ON true JOIN {bench_at} b ON b.at = d.doc_id % k.n""",
+    "qa_options": """
+        SELECT item_id, a, b, c, e, correct, CASE item_id % 5 WHEN 0 THEN concat(upper(first), '!') WHEN 1 THEN concat('an old ', first) WHEN 2 THEN substr(first, 1, 3) WHEN 3 THEN NULL ELSE first END AS topic
+        FROM (SELECT *, CASE WHEN correct <> 'A' THEN a ELSE b END AS first FROM (
+            SELECT p_partkey AS item_id, p_type AS a, substr(p_name, 1, instr(p_name, ' ') - 1) AS b, substr(p_name, instr(p_name, ' ') + 1) AS c, p_brand AS e, substr('ABCD', CAST(1 + p_size % 4 AS INT), 1) AS correct FROM part) x) y""",
+    "qa_answers": """
+        SELECT concat('e', CAST(l_suppkey % 8 AS STRING)) AS engine, l_partkey AS item_id, CASE l_linenumber % 3 WHEN 0 THEN 'clean' WHEN 1 THEN 'nonliteral' ELSE 'bystander' END AS condition,
+               MAX(substr('ABCD', CAST(1 + (l_orderkey + l_linenumber) % 4 AS INT), 1)) AS ans
+        FROM lineitem GROUP BY 1, 2, 3""",
     "head_masks": """
         SELECT label AS model, CASE WHEN vec_id % 2 = 0 THEN 'nonliteral' ELSE 'bystander' END AS distractor, vec_id AS seed,
                CAST(pos DIV 8 AS INT) AS layer, CAST(pos % 8 AS INT) AS head, round(1 / (1 + exp(-10 * CAST(x AS DOUBLE))), 9) AS gate
