@@ -32,7 +32,7 @@ BATCH = 1000
 _CLASS = bytes(88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 else 48 if 48 <= c <= 57 else 117 if c >= 128 else c for c in range(256))
 _RUN = re.compile(rb"([Xx0u])\1+")
 _known: dict[bytes, int] = {}
-_held = 0
+_held, _buckets = 0, BUCKETS
 
 
 def word_buckets(word: bytes, buckets: int = BUCKETS) -> tuple[int, int]:
@@ -51,9 +51,12 @@ def index_vectors(buckets: int = BUCKETS, dims: int = DIMS, nonzero: int = NONZE
     return out
 
 
-def _bucket_lists(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bucket_lists(texts: list[bytes | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letters and shape buckets of all words of a batch, and each text's number of words."""
-    global _held
+    global _held, _buckets
+    if buckets != _buckets:
+        _known.clear()
+        _held, _buckets = 0, buckets
     words = [(t or b"").split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     codes, distinct = pd.factorize(np.fromiter(chain.from_iterable(words), object, int(sizes.sum())))
@@ -61,8 +64,8 @@ def _bucket_lists(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
     for i, w in enumerate(distinct):
         known = _known.get(w)
         if known is None:
-            letters, shape = word_buckets(w)
-            known = letters * BUCKETS + shape
+            letters, shape = word_buckets(w, buckets)
+            known = letters * buckets + shape
             if len(w) <= LONGEST:
                 _known[w] = known
                 _held += len(w) + 120
@@ -75,19 +78,19 @@ def _bucket_lists(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
             recent, _held = {}, 0
         _known.update(recent)
     flat = packed[codes]
-    return flat // BUCKETS, flat % BUCKETS, sizes
+    return flat // buckets, flat % buckets, sizes
 
 
-def context_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(counts, context sums) of every bucket over all documents: BUCKETS x (DIMS + 1) numbers, whatever the input."""
+def context_vectors(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, context sums) of every bucket over all documents: buckets x (DIMS + 1) numbers, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
-        counts, sums = np.zeros(BUCKETS, np.int64), np.zeros((BUCKETS, DIMS), np.int64)
+        index = index_vectors(buckets)
+        counts, sums = np.zeros(buckets, np.int64), np.zeros((buckets, DIMS), np.int64)
         for batch in batches:
             texts = as_bytes(batch.column(0))
             for lo in range(0, len(texts), BATCH):
-                letters, shapes, sizes = _bucket_lists(texts[lo : lo + BATCH])
+                letters, shapes, sizes = _bucket_lists(texts[lo : lo + BATCH], buckets)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 own = index[letters] + index[shapes]
                 near = np.zeros_like(own)
@@ -96,7 +99,7 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray
                     near[k:] += own[:-k] * same
                     near[:-k] += own[k:] * same
                 for ids in (letters, shapes):
-                    counts += np.bincount(ids, minlength=BUCKETS)
+                    counts += np.bincount(ids, minlength=buckets)
                     order = np.argsort(ids, kind="stable")
                     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
                     if len(first):
@@ -108,8 +111,8 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray
 
     parts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "bucket long, v array<long>")
     added = parts.groupBy("bucket").agg(*[F.sum(F.element_at("v", i + 1)).alias(f"v{i}") for i in range(DIMS + 1)])
-    out = np.zeros((BUCKETS, DIMS + 1))
-    for r in stage_table(added, "context-vectors").toLocalIterator():  # BUCKETS rows at most
+    out = np.zeros((buckets, DIMS + 1))
+    for r in stage_table(added, "context-vectors").toLocalIterator():  # `buckets` rows at most
         out[r[0]] = r[1:]
     return out[:, 0], out[:, 1:]
 
@@ -119,23 +122,23 @@ def word_vectors(counts: np.ndarray, sums: np.ndarray, damping: float = 1e-3) ->
     own = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     share = counts / max(counts.sum(), 1)
     own = own - (share[:, None] * own).sum(axis=0)
-    shape = np.arange(BUCKETS) >= BUCKETS // 2
+    shape = np.arange(len(sums)) >= len(sums) // 2
     weight = np.where(shape, 1.0, damping / (damping + share))
     own = own * weight[:, None]
-    direct = index_vectors() / np.sqrt(NONZERO)
+    direct = index_vectors(len(sums)) / np.sqrt(NONZERO)
     return np.concatenate((own, direct * weight[:, None]), axis=1).astype(np.float32)
 
 
 def with_vectors(docs: DataFrame, vectors: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """(id, vector array<float>): the mean vectors of letters and of shapes, the share of words that repeat the one before, and the
     scaled logarithm of the number of words."""
-    width = 2 * vectors.shape[1] + 2
+    width, buckets = 2 * vectors.shape[1] + 2, len(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for lo in range(0, len(texts), BATCH):
-                letters, shapes, sizes = _bucket_lists(texts[lo : lo + BATCH])
+                letters, shapes, sizes = _bucket_lists(texts[lo : lo + BATCH], buckets)
                 out = np.zeros((len(sizes), width), np.float32)
                 full = np.flatnonzero(sizes)
                 if len(full):
@@ -198,15 +201,15 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 20_000, threshold: float = 0.7) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 20_000, threshold: float = 0.7, buckets: int = BUCKETS) -> DataFrame:
     """(id, held_out, score, predicted) for each row of ``docs``.
 
-    The network learns from at most ``train_rows`` labelled ids that are not held out: all of them, or where there are more those whose
+    Words share ``buckets`` vectors by hash, half for letters and half for shapes. The network learns from at most ``train_rows`` labelled ids that are not held out: all of them, or where there are more those whose
     hash lies under a cutoff that lets some 95 % of ``train_rows`` through. Word vectors and scores cover all documents. Null and empty texts
     are scored from a zero vector. Without labels every score is 0.5; of labels that repeat an id the least counts, and of documents that
     repeat a labelled id one trains. An empty table gives none. Other columns of ``docs`` are not read, so clashing names do no harm.
     """
-    vectors = stage_table(with_vectors(docs, word_vectors(*context_vectors(docs, text_col)), id_col, text_col), "quality-vectors")
+    vectors = stage_table(with_vectors(docs, word_vectors(*context_vectors(docs, text_col, buckets)), id_col, text_col), "quality-vectors")
     known = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("quality").cast("int").alias("y"))
     known = stage_table(known.filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out("id")), "quality-labels")
     n = known.count()
