@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +80,22 @@ def assemble_pairs(plan: DataFrame, transcripts: DataFrame, item: str, code: str
     no_clean, no_mixed = F.col("clean_text").isNull(), F.col("mixed_text").isNull()
     audit = joined.agg(F.count("*").alias("planned"), F.count_if(~no_clean & ~no_mixed).alias("whole"), F.count_if(no_clean).alias("no_clean"), F.count_if(no_mixed).alias("no_mixed"))
     return joined.filter(~no_clean & ~no_mixed), audit
+
+
+def balanced(k: Column, slots: int, pool: Callable[[Column], Column]) -> tuple[Column, Column]:
+    """The slot of item ``k`` (from 0) in a round of ``slots``, and its place in a pool whose size depends on the slot."""
+    slot = (k % slots).cast("long")
+    return slot, ((F.floor(k / slots) + k) % pool(slot)).cast("long")
+
+
+def assemble_transcripts(items: DataFrame, streams: list[DataFrame], item: str) -> DataFrame:
+    """(item, transcript, n, seconds): the streams (item, speaker, start_s, end_s, text) as ``speaker: text`` lines in start order.
+
+    Items that no stream has keep an empty transcript, and no seconds. All lines of an item meet in one row.
+    """
+    rows = streams[0]
+    for more in streams[1:]:
+        rows = rows.unionByName(more)
+    line = F.struct("start_s", "end_s", "speaker", F.concat_ws(": ", "speaker", "text").alias("line"))
+    made = rows.groupBy(item).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("transcript"), F.count("*").alias("n"), F.max("end_s").alias("seconds"))
+    return items.join(made, item, "left").select(item, F.coalesce("transcript", F.lit("")).alias("transcript"), F.coalesce("n", F.lit(0)).alias("n"), "seconds")

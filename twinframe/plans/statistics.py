@@ -424,9 +424,9 @@ def prompt_summary(spark, d):
     return table.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")})
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (l_quantity >= 49) AS n_error, count(*) FILTER (l_discount = 0) AS n_refusal, round(avg(l_extendedprice), 4) AS mean_tokens FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) FILTER (l_quantity >= 49) AS n_error, count(*) FILTER (l_discount = 0) AS n_refusal, round(avg(l_extendedprice), 4) AS mean_tokens, count(*) FILTER (l_tax >= 0.08) AS n_truncated, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS total_tokens, round(100*avg(CASE WHEN l_quantity < 49 AND l_discount > 0 THEN 1.0 ELSE 0 END), 6) AS pct_usable FROM lineitem GROUP BY ALL")
 def run_manifest(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") >= 49).alias("n_error"), F.count_if(F.col("l_discount") == 0).alias("n_refusal"), F.round(F.avg("l_extendedprice"), 4).alias("mean_tokens"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") >= 49).alias("n_error"), F.count_if(F.col("l_discount") == 0).alias("n_refusal"), F.round(F.avg("l_extendedprice"), 4).alias("mean_tokens"), F.count_if(F.col("l_tax") >= 0.08).alias("n_truncated"), F.sum(F.floor("l_extendedprice").cast("long")).alias("total_tokens"), T.pct(((F.col("l_quantity") < 49) & (F.col("l_discount") > 0)).cast("int")).alias("pct_usable"))
 
 
 @query(twin("item_arms", "SELECT model, item_id, max_by(letter, (CAST(logp*1000 AS BIGINT)*10 - k)) AS answer, round(max(logp) FILTER (k = item_id % 4) - max(logp) FILTER (k <> item_id % 4), 6) AS margin FROM (SELECT model, item_id, k, substr('ABCD', CAST(k+1 AS INT), 1) AS letter, CAST((item_id*7 + k*13 + is_correct*5) % 17 AS DOUBLE)/16 AS logp FROM item_arms, (VALUES (0),(1),(2),(3)) v(k) WHERE intervention='none') GROUP BY ALL"))

@@ -284,11 +284,13 @@ def topk_values(spark, d):
 # Transcripts and plans -------------------------------------------------------------------------------------------------
 
 
-@query(twin("utterances", "SELECT item_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY start_s, end_s, speaker) AS transcript, count(*) AS n, max(end_s) AS seconds FROM utterances GROUP BY item_id"))
+@query(twin("utterances", "WITH t AS (SELECT item_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY start_s, end_s, speaker) AS transcript, count(*) AS n, max(end_s) AS seconds FROM utterances WHERE CAST(item_id AS BIGINT) % 9 <> 0 GROUP BY item_id) SELECT item_id, coalesce(transcript, '') AS transcript, coalesce(n, 0) AS n, seconds FROM (SELECT DISTINCT item_id FROM utterances) LEFT JOIN t USING (item_id)"))
 def transcript_assemble(spark, d):
+    """Two speaker streams merged in start order; an item without timings keeps an empty transcript."""
     rows = view(spark, d, "utterances")
-    line = F.struct("start_s", "end_s", "speaker", F.concat_ws(": ", "speaker", "text").alias("line"))
-    return rows.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("transcript"), F.count("*").alias("n"), F.max("end_s").alias("seconds"))
+    timed = rows.filter(F.col("item_id").cast("long") % 9 != 0)
+    streams = [timed.filter(F.col("speaker") == s) if s else timed.filter("speaker <> 'user'") for s in ("user", None)]
+    return G.assemble_transcripts(rows.select("item_id").distinct(), streams, "item_id")
 
 
 @query(twin("utterances", "SELECT item_id, speaker, start_s, end_s, text FROM utterances WHERE trim(text) <> '' AND speaker = 'user'"))
@@ -375,10 +377,12 @@ def mix_plan(spark, d):
     return mixes.unionByName(items.select("s_suppkey", F.lit("clean").alias("code")), allowMissingColumns=True)
 
 
-@query("SELECT c_custkey, c_mktsegment, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1) % 7 AS slot FROM customer")
+@query("SELECT c_custkey, c_mktsegment, k % 7 AS slot, (k // 7 + k) % CASE WHEN (k % 7) % 2 = 0 THEN 8 ELSE 3 END AS relation FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS k FROM customer)")
 def balanced_slots(spark, d):
+    """Items of a system go round its 7 slots; the speaker's relation goes round a pool that has relatives only for slots that allow them."""
     run = S.numbered(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], ["c_custkey"], None, "k")
-    return run.select("c_custkey", "c_mktsegment", ((F.col("k") - 1) % 7).cast("long").alias("slot"))
+    slot, relation = G.balanced(F.col("k") - 1, 7, lambda slot: F.when(slot % 2 == 0, 8).otherwise(3))
+    return run.select("c_custkey", "c_mktsegment", slot.alias("slot"), relation.alias("relation"))
 
 
 @query("SELECT c_custkey, coalesce(n_name, 'general') AS system FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
