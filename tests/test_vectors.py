@@ -228,3 +228,21 @@ def test_frozen_annotations_are_checked(spark):
     for bad, text in ((saved((1, "true")), "match"), (saved((1, "true"), (2, "true"), (2, "true")), "duplicate"), (saved((1, "true"), (2, "yes")), "true or false"), (saved((1, "true"), (2, "true"), (3, "true")), "match")):
         with pytest.raises(Exception, match=text):
             N.frozen(rows, bad, ["k"], ["f"]).collect()
+
+
+def test_pair_assembly_and_transcripts(spark):
+    plan = spark.createDataFrame([(1, "d0"), (1, "d1"), (2, "d0"), (3, "d0")], "i int, c string")
+    texts = spark.createDataFrame([(1, "clean", "a"), (1, "d0", "ax"), (1, "d1", "ay"), (2, "clean", "b"), (3, "d0", "cz")], "i int, c string, t string")
+    whole, audit = G.assemble_pairs(plan, texts, "i", "c", "t")
+    assert sorted((r.i, r.c, r.clean_text, r.mixed_text) for r in whole.collect()) == [(1, "d0", "a", "ax"), (1, "d1", "a", "ay")]
+    assert tuple(audit.first()) == (4, 2, 1, 1)
+    stream = lambda s, rows: spark.createDataFrame([(i, s, float(a), float(b), t) for i, a, b, t in rows], "i int, speaker string, start_s double, end_s double, text string")
+    made = G.assemble_transcripts(spark.createDataFrame([(1,), (2,)], "i int"), [stream("Doctor", [(1, 0, 1, "hi"), (1, 4, 5, "ok")]), stream("Patient", [(1, 2, 3, "yes")])], "i")
+    assert {r.i: (r.transcript, r.n, r.seconds) for r in made.collect()} == {1: ("Doctor: hi\nPatient: yes\nDoctor: ok", 3, 5.0), 2: ("", 0, None)}
+
+
+def test_global_rank_follows_the_hash(spark):
+    rows = [(i, f"{(i * 2654435761) % 2**32:08x}") for i in range(500)]
+    for digits in (1, 3):
+        got = G.global_rank(spark.createDataFrame(rows, "i int, h string"), F.col("h"), "i", digits=digits).collect()
+        assert [r.i for r in sorted(got, key=lambda r: r.rank)] == [i for i, _ in sorted(rows, key=lambda x: x[1])]
