@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: What glibc has to give free memory back; None elsewhere.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: A key with more than 1 / HOT_KEYS of all rows, and more than this, is hot: its facts are broadcast.
 HOT_ROWS, HOT_KEYS = 256, 1000
+#: Rows of a batch that a function works on at once: bounds what a Python worker holds.
+SLICE = 500
 #: Ids (longs) that are broadcast at most; more are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -60,8 +65,26 @@ def join_by_count(rows: DataFrame, facts: DataFrame, key: str, count: str = "n",
     return rows.join(hot, key).select(rest.columns).unionByName(rest)
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches as they are; after each, free memory goes back to the system, so that an idle Python worker holds little."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows."""
+    for batch in trimmed(batches):
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+
+
 def append_columns(df: DataFrame, inputs: list[str], fields: T.StructType, func: Callable[..., list]) -> DataFrame:
-    """Add columns computed batch by batch from the Arrow arrays of ``inputs``.
+    """Add columns computed in slices of SLICE rows from the Arrow arrays of ``inputs``.
 
     ``func`` gets one Arrow array for each input and returns one sequence or array for each field. All other columns pass
     through untouched; an input column that has the name of a computed one is replaced by it.
@@ -76,11 +99,10 @@ def append_columns(df: DataFrame, inputs: list[str], fields: T.StructType, func:
     types = [_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = func(*[batch.column(i) for i in at])
-                made = [x if isinstance(x, pa.Array) and x.type == t else pa.array(x, type=t) for x, t in zip(made, types)]
-                yield pa.RecordBatch.from_arrays(batch.columns[:n_keep] + made, names=schema.names)
+        for part in slices(batches):
+            made = func(*[part.column(i) for i in at])
+            made = [x if isinstance(x, pa.Array) and x.type == t else pa.array(x, type=t) for x, t in zip(made, types)]
+            yield pa.RecordBatch.from_arrays(part.columns[:n_keep] + made, names=schema.names)
 
     return staged.mapInArrow(run, schema)
 

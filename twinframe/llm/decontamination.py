@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, join_by_count, stage_table
+from .common import as_bytes, join_by_count, stage_table, trimmed
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -36,7 +36,7 @@ def test_phrases(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             phrases, items = [], []
             for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 words = words_of(text)
@@ -139,7 +139,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     for block in _blocks(stage_table(test_phrases(benchmark, item_col, item_text, window), "phrases"), phrase_block):
 
         def run(batches: Iterator[pa.RecordBatch], block: Phrases = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in trimmed(batches):
                 for start, texts, words in _shards(batch, 2, shard_words):
                     doc, first, phrase = block.hits(words)
                     items: list[list[str]] = [[] for _ in texts]
@@ -213,7 +213,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     block = blocks[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             changed: dict[int, bytes] = {}
             for start, texts, words in _shards(batch, at, shard_words):
                 rows = np.arange(start, start + len(texts))
@@ -238,7 +238,7 @@ def _remove_by_rounds(docs: DataFrame, blocks: list[Phrases], at: int, shard_wor
     with_mark = T.StructType([*docs.schema, T.StructField("__cut", T.BooleanType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             texts, changed = as_bytes(batch.column(at)), {}
             for i, spans in enumerate(batch.column(spans_at).to_pylist()):
                 if spans:
@@ -253,7 +253,7 @@ def _remove_by_rounds(docs: DataFrame, blocks: list[Phrases], at: int, shard_wor
         for block in blocks:
 
             def search(batches: Iterator[pa.RecordBatch], block: Phrases = block) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
+                for batch in trimmed(batches):
                     spans = batch.column(spans_at).to_pylist()
                     for start, _, words in _shards(batch, at, shard_words):
                         for d, first, last in _hit_words(block, words):

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_IDS, HOT_ROWS, append_columns, as_bytes, join_by_count, stage_table
+from .common import BROADCAST_IDS, HOT_ROWS, append_columns, as_bytes, join_by_count, slices, stage_table
 from .simhash import SEED, components, keep_least, links, majority, shingle_digests
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
@@ -131,7 +131,7 @@ def _verified(dealt: DataFrame, radius: int) -> DataFrame:
             other = node[root]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(node, other)), pa.array(np.minimum(node, other))], names=["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches, 100):
             for k, i, root, s, b, fp in zip(*[c.to_pylist() for c in batch.columns]):
                 if k != key:
                     if len(held) > 1:
@@ -154,7 +154,14 @@ def _pairs_of_blocks(n: Column, block: int) -> Column:
 
 
 def _linked(sets: DataFrame, radius: int, block: int, hot_rows: int) -> DataFrame:
-    """(node, component) over the verified links of ``sets`` (id, group, n, shingles, bands, fp)."""
+    """(node, component) over the verified links of ``sets`` (id, group, shingles, bands, fp).
+
+    A set counts once for each 512 of its shingles, so a block of ``block`` sets has some 2 MB at most, whatever the length of texts.
+    """
+    sets = sets.withColumn("w", F.expr("1 + octet_length(shingles) div 4096"))
+    weights = stage_table(sets.groupBy("group").agg(F.sum("w").alias("n"), F.count("*").alias("rows")), "copies-weights")
+    few = weights.count() <= BROADCAST_IDS
+    sets = (sets.join(F.broadcast(weights), "group") if few else join_by_count(sets, weights, "group", "rows", hot_rows=hot_rows)).drop("rows")
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("n") / F.lit(block)).cast("int"))
     edges = stage_table(_verified(sets.withColumns({"keys": F.array(F.xxhash64("group", own)), "root": F.col("id")}), radius), "copies-edges")
     large = sets.filter(F.col("n") > block)
@@ -165,7 +172,8 @@ def _linked(sets: DataFrame, radius: int, block: int, hot_rows: int) -> DataFram
         return large.join(components(edges), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
 
     heads = stage_table(rooted().filter("id = root").drop("n"), "copies-heads")
-    heads = join_by_count(heads, stage_table(heads.groupBy("group").agg(F.count("*").alias("n")), "copies-head-counts"), "group", hot_rows=hot_rows)
+    sizes = stage_table(heads.groupBy("group").agg(F.sum("w").alias("n"), F.count("*").alias("rows")), "copies-head-counts")
+    heads = join_by_count(heads, sizes, "group", "rows", hot_rows=hot_rows)
     edges = stage_table(edges.union(_verified(heads.withColumn("keys", _pairs_of_blocks(F.col("n"), block)), radius)).distinct(), "copies-edges")
     parts = stage_table(rooted(), "copies-rooted")
     apart = parts.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows")).filter("least < most")
@@ -196,8 +204,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = join_by_count(named.select("fp", "rep"), by_print.filter("least < most"), "fp", hot_rows=hot_rows)
     stars = join_by_count(keyed, shared, "key", hot_rows=hot_rows).select("rep", "least").union(same.select("rep", "least")).filter("rep > least")
     found = components(stars.union(near).toDF("a", "b").distinct())
-    members = stage_table(found.union(found.select("component", "component")).distinct().toDF("id", "group"), "copies-groups")
-    members = stage_table(join_by_count(members, stage_table(members.groupBy("group").agg(F.count("*").alias("n")), "copies-counts"), "group", hot_rows=hot_rows), "copies-members")
+    members = stage_table(found.union(found.select("component", "component")).distinct().toDF("id", "group"), "copies-members")
     sets = stage_table(_with_sets(rows.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "id")), "copies-sets")
     joined = _linked(sets, radius, block, hot_rows)
     classes = reps.join(joined, reps["rep"] == joined["node"], "left").select("print", F.coalesce("component", "rep").alias("component_id"), "n")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stage_table
+from .common import as_bytes, stage_table, trimmed
 
 #: Bytes of remembered chunks (with some 180 for the objects of each), and of the longest chunk that is remembered.
 CACHE_BYTES, LONGEST = 128_000_000, 64
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             ids, texts = batch.column(0).to_pylist(), [t or b"" for t in as_bytes(batch.column(1))]
             for lo in range(0, len(ids), 500):
                 rows: list[list] = [[], [], [], [], [], []]
