@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,16 +89,18 @@ def _with_sets(docs: DataFrame) -> DataFrame:
     return append_columns(docs, ["text"], T.StructType(fields), run).drop("text")
 
 
-def forest(sets: list[np.ndarray], bands: np.ndarray, prints: np.ndarray, radius: int, start: np.ndarray | None = None) -> np.ndarray:
+def forest(sets: list[np.ndarray], bands: np.ndarray, prints: np.ndarray, radius: int, start: np.ndarray | None = None, part: np.ndarray | None = None) -> np.ndarray:
     """The root of each set over verified links of pairs that share a band (``bands``: a row for each set) or have near fingerprints.
 
-    Sets with equal ``start`` are taken for linked.
+    Sets with equal ``start`` are taken for linked. If there are two kinds of ``part``, only pairs of different parts are looked at.
     """
+    across = part is not None and (part != part[0]).any()
     root = np.arange(len(sets)) if start is None else np.unique(start, return_index=True)[1][np.unique(start, return_inverse=True)[1]]
     refuted = set()
 
     def look(i: int, others: np.ndarray) -> None:
-        for j in others[root[others] != root[i]].tolist():
+        others = others[(root[others] != root[i]) & (part[others] != part[i])] if across else others[root[others] != root[i]]
+        for j in others.tolist():
             pair = (i, j) if i < j else (j, i)
             if root[i] == root[j] or pair in refuted:
                 continue
@@ -119,38 +121,40 @@ def forest(sets: list[np.ndarray], bands: np.ndarray, prints: np.ndarray, radius
 
 
 def _verified(dealt: DataFrame, radius: int) -> DataFrame:
-    """From (keys, id, root, shingles, bands, fp): edges (a, b) of verified links between rows that share a key."""
+    """From (keys, id, root, part, shingles, bands, fp): edges (a, b) of verified links between rows that share a key; of two parts, across them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def made() -> pa.RecordBatch:
-            ids, start, sets, bands, prints = zip(*held)
+            ids, start, part, sets, bands, prints = zip(*held)
             node = np.array(ids, np.int64)
-            root = forest(list(sets), np.array(bands), np.array(prints, np.int64).view(np.uint64), radius, np.array(start, np.int64))
+            root = forest(list(sets), np.array(bands), np.array(prints, np.int64).view(np.uint64), radius, np.array(start, np.int64), np.array(part))
             other = node[root]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(node, other)), pa.array(np.minimum(node, other))], names=["a", "b"])
 
         for batch in slices(batches, 100):
-            for k, i, root, s, b, fp in zip(*[c.to_pylist() for c in batch.columns]):
+            for k, i, root, p, s, b, fp in zip(*[c.to_pylist() for c in batch.columns]):
                 if k != key:
                     if len(held) > 1:
                         yield made()
                     key, held = k, []
                 if s:
-                    held.append((i, root, np.frombuffer(s, np.uint64), np.frombuffer(b, np.int64), fp))
+                    held.append((i, root, p, np.frombuffer(s, np.uint64), np.frombuffer(b, np.int64), fp))
         if len(held) > 1:
             yield made()
 
-    rows = dealt.select(F.explode("keys").alias("key"), "id", "root", "shingles", "bands", "fp")
+    rows = dealt.select(F.explode("keys").alias("key"), "id", "root", "part", "shingles", "bands", "fp")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").filter("a > b").distinct()
 
 
-def _pairs_of_blocks(n: Column, block: int) -> Column:
-    """The keys under which a row meets every row of its group, of ``n`` rows, while no key has more than some two blocks."""
-    blocks = F.ceil(n / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
-    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("group", F.least(own, i), F.greatest(own, i)))
+def _dealt(sets: DataFrame, block: int, inside: bool, across: bool) -> DataFrame:
+    """Add ``part``, the row's block in its group of weight ``n``, and the keys under which blocks meet: each with itself, and each two of them."""
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    part = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
+    met = F.filter(F.sequence(F.lit(0), blocks - 1), lambda i: (F.lit(inside) & (i == F.col("part"))) | (F.lit(across) & (i != F.col("part"))))
+    key = lambda i: F.xxhash64("group", F.least(F.col("part"), i), F.greatest(F.col("part"), i))
+    return sets.withColumn("part", part).withColumn("keys", F.transform(met, key))
 
 
 def _linked(sets: DataFrame, radius: int, block: int, hot_rows: int) -> DataFrame:
@@ -162,8 +166,7 @@ def _linked(sets: DataFrame, radius: int, block: int, hot_rows: int) -> DataFram
     weights = stage_table(sets.groupBy("group").agg(F.sum("w").alias("n"), F.count("*").alias("rows")), "copies-weights")
     few = weights.count() <= BROADCAST_IDS
     sets = (sets.join(F.broadcast(weights), "group") if few else join_by_count(sets, weights, "group", "rows", hot_rows=hot_rows)).drop("rows")
-    own = F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("n") / F.lit(block)).cast("int"))
-    edges = stage_table(_verified(sets.withColumns({"keys": F.array(F.xxhash64("group", own)), "root": F.col("id")}), radius), "copies-edges")
+    edges = stage_table(_verified(_dealt(sets.withColumn("root", F.col("id")), block, True, False), radius), "copies-edges")
     large = sets.filter(F.col("n") > block)
     if large.isEmpty():
         return components(edges)
@@ -174,13 +177,13 @@ def _linked(sets: DataFrame, radius: int, block: int, hot_rows: int) -> DataFram
     heads = stage_table(rooted().filter("id = root").drop("n"), "copies-heads")
     sizes = stage_table(heads.groupBy("group").agg(F.sum("w").alias("n"), F.count("*").alias("rows")), "copies-head-counts")
     heads = join_by_count(heads, sizes, "group", "rows", hot_rows=hot_rows)
-    edges = stage_table(edges.union(_verified(heads.withColumn("keys", _pairs_of_blocks(F.col("n"), block)), radius)).distinct(), "copies-edges")
+    edges = stage_table(edges.union(_verified(_dealt(heads, block, True, True), radius)).distinct(), "copies-edges")
     parts = stage_table(rooted(), "copies-rooted")
     apart = parts.groupBy("group").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("rows")).filter("least < most")
     apart = stage_table(apart.select("group", "rows"), "copies-apart")
     if not apart.isEmpty():
         rest = join_by_count(parts, apart, "group", "rows", hot_rows=hot_rows)
-        edges = edges.union(_verified(rest.withColumn("keys", _pairs_of_blocks(F.col("n"), block)), radius))
+        edges = edges.union(_verified(_dealt(rest, block, False, True), radius))
     return components(edges)
 
 
