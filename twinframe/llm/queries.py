@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hilbert, packing, pii, quality_classifier, quality_rules, simhash, token_counts, url_filter, warc
+from . import decontamination, hilbert, packing, pii, quality_classifier, quality_rules, simhash, token_counts, token_planes, url_filter, warc
 from .common import new_path
 
 
@@ -71,6 +71,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "id-planes")
+    token_planes.write_ids(_table(spark, sf_dir, "documents"), path, _tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return token_planes.read_documents(spark, path)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,6 +85,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (pipeline, op1_simhash, op2_quality_rules, op3_packing, op4_decontamination, op5_url_rules, op6_warc, op7_pii, op8_hilbert, op9_token_counts, op10_quality_classifier)
+    for f in (pipeline, op1_simhash, op2_quality_rules, op3_packing, op4_decontamination, op5_url_rules, op6_warc, op7_pii, op8_hilbert, op9_token_counts, op10_quality_classifier, op11_id_planes)
 }
 ORACLES: dict[str, str] = {}
