@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hilbert, packing, pii, quality_classifier, quality_rules, simhash, token_counts, token_planes, url_filter, warc
+from . import decontamination, hard_negatives, hilbert, packing, pii, quality_classifier, quality_rules, simhash, token_counts, token_planes, url_filter, warc, whitening
 from .common import new_path
 
 
@@ -77,6 +77,29 @@ def op11_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_documents(spark, path)
 
 
+def op12_lemp_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+_OP12 = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256*CAST(c AS DOUBLE))) AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 100*score BETWEEN 30*positive_score AND 90*positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    fitted = whitening.fit(rows, components=16, scale=64, offset=1_000_000)
+    found = whitening.transform(rows, fitted).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*map(F.lit, fitted.explained.tolist() if fitted else [])).cast("array<double>")
+    return found.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(fitted.n if fitted else 0).cast("long").alias("n"), "deviation", "whitened", F.element_at(shares, F.col("at") + 1).alias("explained"), F.lit(fitted.identity_error if fitted else 0.0).alias("identity_error")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +108,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (pipeline, op1_simhash, op2_quality_rules, op3_packing, op4_decontamination, op5_url_rules, op6_warc, op7_pii, op8_hilbert, op9_token_counts, op10_quality_classifier, op11_id_planes)
+    for f in (pipeline, op1_simhash, op2_quality_rules, op3_packing, op4_decontamination, op5_url_rules, op6_warc, op7_pii, op8_hilbert, op9_token_counts, op10_quality_classifier, op11_id_planes, op12_lemp_negatives, op13_whitening)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_lemp_negatives": _OP12}
