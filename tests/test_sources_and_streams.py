@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from twinframe.sources import annotations as A
 from twinframe.sources import tables as T
 from twinframe.streaming import ingest
 
@@ -23,6 +24,31 @@ def test_splits_arrays_and_fallbacks(spark, tmp_path):
     assert T.read_or_empty(spark, "id int", ("parquet", str(tmp_path / "none"))).collect() == []
 
 
+def grid(*intervals, name="Doctor"):
+    body = "\n".join(f'        intervals [{k}]:\n            xmin = {a} \n            xmax = {b} \n            text = "{t}" ' for k, (a, b, t) in enumerate(intervals, 1))
+    return f'File type = "ooTextFile"\nObject class = "TextGrid"\nxmin = 0\nxmax = 9\nitem []:\n    item [1]:\n        class = "IntervalTier"\n        name = "{name}"\n        intervals: size = 4\n{body}'
+
+
+def test_annotations_are_scanned_once(spark, tmp_path):
+    long = "word " * 200_000 + 'quote "" ' * 30_000
+    trap = 'he wrote intervals [9]:\n xmin = 1\n xmax = 2\n text = ""x""'
+    text = grid((0, 2.5, ""), (2.5, 3, "Hi. <UNSURE>Hello how</UNSURE>\n are you?"), (3, 4, "<UNIN/>"), (4, 5, 'He said ""fine"".'), (5, 6, '""'), (6, 7, trap), (7, 8, long))
+    (tmp_path / "day1_doctor.TextGrid").write_text(text + "\n" + grid((1, 2, "Yes."), name='Pat""ient') + '\n intervals [2]:\n xmin = 2\n xmax = 3\n text = "not closed')
+    (tmp_path / "empty.TextGrid").write_text("")
+    got = A.read_intervals(spark, f"file://{tmp_path}", "*.TextGrid").orderBy("tier", "start_s").collect()
+    assert [(r.tier, r.start_s, r.end_s) for r in got] == [("Doctor", 2.5, 3.0), ("Doctor", 4.0, 5.0), ("Doctor", 5.0, 6.0), ("Doctor", 6.0, 7.0), ("Doctor", 7.0, 8.0), ('Pat"ient', 1.0, 2.0)]
+    assert [r.text for r in got[:4]] == ["Hi. Hello how are you?", 'He said "fine".', '"', 'he wrote intervals [9]: xmin = 1 xmax = 2 text = "x"'] and len(got[4].text) == len(long.replace('""', '"')) - 1
+    assert all(r.path.endswith("day1_doctor.TextGrid") for r in got)
+
+
+def test_annotations_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"s{i % 2}", float(k), k + 0.5, t) for i in range(5) for k, t in enumerate(['a "b"\nc', "", None, 'x""', "é <other>"])], "i int, who string, start_s double, end_s double, text string")
+    A.write_intervals(rows.withColumn("tier", F.concat_ws("|", "i", "who")), f"file://{tmp_path}/g", [], "tier", tiers=2)
+    got = A.read_intervals(spark, f"file://{tmp_path}/g", "part-*").collect()
+    want = {(f"{i}|s{i % 2}", float(k), t) for i in range(5) for k, t in ((0, 'a "b" c'), (3, 'x""'), (4, "é <other>"))}
+    assert {(r.tier, r.start_s, r.text) for r in got} == want and len(got) == len(want)
+
+
 def test_versions_and_results(spark, tmp_path):
     path = str(tmp_path / "t")
     T.write_table(spark.range(3), path, params={"a": 1})
@@ -40,7 +66,7 @@ def reply(i, text):
 def test_ingest_is_incremental(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
-    good = '{"contamination": 1, "severity": 2}'
+    good = '{"contamination": 1, "severity": 2, "reasoning": "r"}'
     (source / "1.json").write_text("\n".join([reply("a", good), reply("a", good), reply("b", "broken"), reply("c", good)]))
     ingest.run_ingest(spark, str(source), target, str(tmp_path / "cp"))
     (source / "2.json").write_text("\n".join([reply("b", good), reply("c", good)]))
@@ -51,7 +77,7 @@ def test_ingest_is_incremental(spark, tmp_path):
 
 
 def test_stream_rates_equal_batch(spark, tmp_path):
-    rows = [reply(str(i), '{"contamination": 1, "severity": 2}' if i % 3 else "broken") for i in range(30)]
+    rows = [reply(str(i), '{"contamination": 1, "severity": 2, "reasoning": "r"}' if i % 3 else "broken") for i in range(30)]
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.json").write_text("\n".join(rows))
     stream = ingest.error_rates(ingest.reply_stream(spark, str(tmp_path / "in")))
@@ -63,7 +89,7 @@ def test_stream_rates_equal_batch(spark, tmp_path):
 
 def test_replay_of_a_batch_keeps_its_rows(spark, tmp_path):
     """The commit of the second batch is lost, so the batch runs again: the target stays as it was."""
-    source, target, good = tmp_path / "in", str(tmp_path / "out"), '{"contamination": 1, "severity": 2}'
+    source, target, good = tmp_path / "in", str(tmp_path / "out"), '{"contamination": 1, "severity": 2, "reasoning": "r"}'
     source.mkdir()
     for name, ids in (("1.json", "ab"), ("2.json", "bc")):
         (source / name).write_text("\n".join(reply(i, good) for i in ids))

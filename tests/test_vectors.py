@@ -78,11 +78,42 @@ def test_rank_bins(spark, n, sizes):
     assert [r["count"] for r in got] == sizes
 
 
-def test_strict_parsing(spark):
-    replies = ['{"contamination": 1, "severity": 3, "reasoning": "r"}', '{"contamination": 2, "severity": 0}', '{"contamination": true, "severity": 0}', "truncated", '{"contamination": 1, "severity": 3, "reasoning": "r"', '{"contamination": "1", "severity": 1}', '{"contamination": 1.0, "severity": 1}', None]
-    got = J.parse_strict(spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, judge_raw string")).orderBy("i").collect()
-    assert [(r.contamination, r.severity) for r in got] == [(1, 3), (None, None), (None, None), (None, None), (1, 3), (None, None), (None, None), (None, None)]
-    assert [r.i for r in got if r.repaired] == [4]
+_REASON = '"reasoning": "r"'
+
+
+@pytest.mark.parametrize(
+    ("reply", "want", "fixed"),
+    [
+        (f'{{"contamination": 1, "severity": 3, {_REASON}}}', (1, 3), False), (f'\n {{\n "severity": 0,\n "contamination": 0,\n {_REASON}\n}}\n', (0, 0), False), (f'Sure: {{"contamination": 1, "severity": 2, {_REASON}}} ok', (1, 2), False),
+        (f'{{"contamination": 1, "severity": 3, {_REASON}', (1, 3), True), (f'  {{"contamination": 1, "severity": 3, {_REASON} ', (1, 3), True), ('{"contamination": 1, "severity": 3, "reasoning": "a } b"', (1, 3), True),
+        (f'{{"contamination": 2, "severity": 0, {_REASON}}}', None, False), (f'{{"contamination": true, "severity": 0, {_REASON}}}', None, False), (f'{{"contamination": "1", "severity": 1, {_REASON}}}', None, False), (f'{{"contamination": 1.0, "severity": 1, {_REASON}}}', None, False),
+        ('{"contamination": 1, "severity": 2}', None, False), ('{"contamination": 1, "severity": 2, "reasoning": 5}', None, False), ('{"contamination": 1, "severity": 2, garbage}', None, False), (f'{{"contamination": 1, "severity": 2, {_REASON}}}}}}}', None, False), (f'{{"contamination": 1, "severity": 2, {_REASON}, }}', None, False),
+        (f'x {{"contamination": 1, "severity": 2, {_REASON}', None, False), (f'[{{"contamination": 1, "severity": 2, {_REASON}}}]', (1, 2), False), (f'{{"contamination": 1, "severity": 2, {_REASON}}} {{}}', None, False), ("}{", None, False), ("truncated", None, False), ("", None, False), (None, None, False),
+    ],
+)
+def test_strict_parsing(spark, reply, want, fixed):
+    r = J.parse_strict(spark.createDataFrame([(reply,)], "judge_raw string")).first()
+    assert ((r.contamination, r.severity) if not r.parse_error else None) == want and r.repaired == fixed
+    assert (r.reasoning is None) == r.parse_error and (not r.parse_error or r.contamination is None)
+
+
+@pytest.mark.parametrize(("score", "want"), [("4", 4.0), ('"4"', 4.0), ('" 4.5 "', 4.5), ("true", 1.0), ("1e0", 1.0), ('"1e0"', 1.0), ("5.0", 5.0), ("5.1", None), ("0", None), ("null", None), ('"x"', None), ('"nan"', None), ("[4]", None), ("false", None)])
+def test_quality_scores(spark, score, want):
+    rows = spark.createDataFrame([(f'So: {{"q": {score}, "hallucination": true}}!', 7)], "r string, x int")
+    r = J.parse_quality(rows, "r", ["q"]).first()
+    assert (r.q, r.hallucination, r.parse_error, r.x) == ((want, 1.0, False, 7) if want else (None, None, True, 7))
+
+
+@pytest.mark.parametrize(("label", "used", "want"), [("patient", "1", ("patient", 1)), (" Patient", '"1"', ("patient", 1)), ("THIRD_PARTY\\n", "1.0", ("correct", 1)), ("absent", "false", ("absent", 0)), ("absent", "2", None), ("someone", "1", None), ("patient", '"1.0"', None), ("patient", "null", None)])
+def test_attribution_labels(spark, label, used, want):
+    r = J.parse_attribution(spark.createDataFrame([(f'{{"attribution": "{label}", "used_for_patient": {used}}}',)], "r string"), "r").first()
+    assert ((r.attribution, r.used_for_patient) if not r.parse_error else None) == want
+
+
+def test_only_whole_json_counts(spark):
+    texts = ['{"a": 1}', " [1] ", "null", '{"a": 1} x', '{"a": 1}}', "{} {}", '{"a": 1, "a": 2}', "\ue000", '"\ue000"', "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", J.whole_json(F.col("t")).isNotNull().alias("ok")).orderBy("i").collect()
+    assert [r.ok for r in got] == [True, True, True] + [False] * 8
 
 
 def test_upsert_and_resume(spark):

@@ -91,6 +91,11 @@ def tidy(text: Column) -> Column:
     return out
 
 
+def clean_text(text: Column, tags: str) -> Column:
+    """Without what the pattern ``tags`` matches, and with runs of white space as one space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, tags, ""), r"\s+", " "))
+
+
 def remove_sentence(question: Column, sentence: Column) -> Column:
     """Without the first occurrence of the sentence, then tidied; a question without it is an error."""
     at = F.instr(question, sentence)

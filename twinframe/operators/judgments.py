@@ -27,47 +27,85 @@ def render(template: str, **columns: Column) -> Column:
     return F.concat(*out, F.lit(rest))
 
 
-def repaired(reply: Column) -> tuple[Column, Column]:
-    """The reply with a missing final brace put back, and whether that was needed."""
-    text = F.trim(reply)
-    cut = text.startswith("{") & text.endswith('"')
-    return F.when(cut, F.concat(text, F.lit("}"))).otherwise(text), cut
+#: A key that no reply has: it shows that a text ended where its JSON value did. A reply that has this character counts as no JSON.
+_END = "\ue000"
 
 
-def strict_field(reply: Column, name: str, allowed: str) -> Column:
-    """An unquoted integer field within ``allowed`` (a character class); anything else, true and 1.0 too, is null."""
-    return F.nullif(F.regexp_extract(reply, rf'^\{{(?:.*,)?\s*"{name}"\s*:\s*({allowed})(?=\s*[,}}]).*\}}$', 1), F.lit("")).cast("int")
+def whole_json(text: Column) -> Column:
+    """A text that is one JSON value and nothing else as a VARIANT; null for any other. Keys that repeat in an object are no JSON here."""
+    framed = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(f',"{_END}":0}}')))
+    ended = F.try_variant_get(framed, f'$["{_END}"]', "int").isNotNull() & ~F.contains(text, F.lit(_END))
+    return F.when(ended, F.try_variant_get(framed, "$.value", "variant"))
+
+
+def kind_of(value: Column) -> Column:
+    """BIGINT, DOUBLE, DECIMAL(..), STRING, BOOLEAN, VOID, OBJECT<..> or ARRAY<..>; null for null."""
+    return F.schema_of_variant(value)
+
+
+def field(value: Column, name: str) -> Column:
+    return F.try_variant_get(value, f"$.{name}", "variant")
+
+
+def braces(reply: Column) -> Column:
+    """From the first opening to the last closing brace; null if these are not there in this order."""
+    first = F.instr(reply, F.lit("{"))
+    last = F.length(reply) - F.instr(F.reverse(reply), F.lit("}")) + 1
+    return F.when((first > 0) & F.contains(reply, F.lit("}")) & (last > first), F.substring(reply, first, last - first + 1))
 
 
 def parse_strict(df: DataFrame, reply: str = "judge_raw") -> DataFrame:
-    """Add contamination, severity, repaired, parse_error. A field that fails makes both null, never 0."""
-    text, cut = repaired(F.col(reply))
-    c, s = strict_field(text, "contamination", "[01]"), strict_field(text, "severity", "[0-3]")
-    whole = c.isNotNull() & s.isNotNull()
-    return df.withColumns({"contamination": F.when(whole, c), "severity": F.when(whole, s), "repaired": cut & whole, "parse_error": ~whole})
+    """Add contamination, severity, reasoning, repaired, parse_error.
+
+    What lies between a reply's outermost braces has to be a JSON object with integers (not true, not 1.0, not "1") in their range and a text as
+    reasoning. Only if it is no JSON, and the reply is an object up to its last quote, a missing final brace is put back. A reply that
+    fails has nulls, never 0.
+    """
+    text = F.col(reply)
+    stripped = F.regexp_replace(text, r"^\s+|\s+\z", "")
+    cut = F.when(stripped.startswith("{") & stripped.endswith('"'), whole_json(F.concat(stripped, F.lit("}"))))
+    staged = df.withColumn("__v", whole_json(braces(text))).withColumns({"__r": F.col("__v").isNull(), "__v": F.coalesce("__v", cut)})
+    exact = lambda n: F.when(kind_of(field(F.col("__v"), n)) == "BIGINT", F.try_variant_get("__v", f"$.{n}", "int"))
+    said = F.when(kind_of(field(F.col("__v"), "reasoning")) == "STRING", F.try_variant_get("__v", "$.reasoning", "string"))
+    staged = staged.withColumns({"__c": exact("contamination"), "__s": exact("severity"), "__t": said})
+    ok = F.coalesce(F.col("__c").isin(0, 1) & F.col("__s").between(0, 3) & F.col("__t").isNotNull(), F.lit(False))
+    made = {"contamination": F.when(ok, F.col("__c")), "severity": F.when(ok, F.col("__s")), "reasoning": F.when(ok, F.col("__t")), "repaired": ok & F.col("__r"), "parse_error": ~ok}
+    return staged.withColumns(made).drop("__v", "__r", "__c", "__s", "__t")
 
 
 def lenient_object(reply: Column) -> Column:
-    """The reply if it is JSON as a whole (an object, or nothing), else its outermost braces if they are; null otherwise."""
-    inner = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
-    whole = F.try_parse_json(reply).isNotNull()
-    found = F.when(whole, F.when(F.ltrim(reply).startswith("{"), reply)).when(F.try_parse_json(inner).isNotNull(), inner)
-    return F.nullif(found, F.lit(""))
+    """The reply as a VARIANT if it is JSON as a whole, else what lies between its outermost braces if that is; null unless it is an object."""
+    whole = whole_json(reply)
+    found = F.coalesce(whole, F.when(whole.isNull(), whole_json(braces(reply))))
+    return F.when(kind_of(found).startswith("OBJECT"), found)
+
+
+def _text(value: Column) -> Column:
+    return F.regexp_replace(F.try_variant_get(value, "$", "string"), r"^\s+|\s+\z", "")
+
+
+_NUMBER = "^(BIGINT|DOUBLE|DECIMAL|FLOAT)"
 
 
 def whole_number(value: Column) -> Column:
     """A JSON value as a whole number: numbers lose their fraction, true is 1, a string must be digits; anything else is null."""
-    kind = F.schema_of_variant(value)
-    text = F.trim(F.try_variant_get(value, "$", "string"))
-    digits = F.when(text.rlike(r"^[+-]?[0-9]{1,9}$"), text.cast("int"))
+    kind, text = kind_of(value), _text(value)
+    digits = F.when(text.rlike(r"^[+-]?[0-9]{1,9}$"), text.try_cast("int"))
     number = F.try_variant_get(value, "$", "double")
     small = F.when(F.abs(number) < 1e9, F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("int"))
-    return F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int")).when(kind == "STRING", digits).when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), small)
+    return F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int")).when(kind == "STRING", digits).when(kind.rlike(_NUMBER), small)
+
+
+def real_number(value: Column) -> Column:
+    """A JSON value as a double: numbers, true as 1, and strings that spell a decimal number; anything else is null."""
+    kind, text = kind_of(value), _text(value)
+    spelt = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    return F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double")).when(kind == "STRING", spelt).when(kind.rlike(_NUMBER), F.try_variant_get(value, "$", "double"))
 
 
 def parse_paired(df: DataFrame, reply: str, first_is_clean: Column) -> DataFrame:
     """Two rows a reply: slots A and B un-blinded to conditions. Values outside their range make the whole reply a parse error."""
-    parsed = F.try_parse_json(lenient_object(F.col(reply)))
+    parsed = lenient_object(F.col(reply))
     fields = {(s, f): f"__{s}_{f}" for s in "AB" for f in ("contamination", "severity")}
     wide = df.withColumn("__v", parsed)
     wide = wide.withColumns({name: whole_number(F.try_variant_get("__v", f"$.{s}.{f}", "variant")) for (s, f), name in fields.items()})
@@ -83,27 +121,30 @@ def parse_paired(df: DataFrame, reply: str, first_is_clean: Column) -> DataFrame
 
 def parse_single(df: DataFrame, reply: str) -> DataFrame:
     """contamination 0 or 1 and severity 0 to 3 of a reply about one note; a value that fails makes both null."""
-    wide = df.withColumn("__v", F.try_parse_json(lenient_object(F.col(reply))))
+    wide = df.withColumn("__v", lenient_object(F.col(reply)))
     c, s = (whole_number(F.try_variant_get("__v", f"$.{f}", "variant")) for f in ("contamination", "severity"))
     ok = F.coalesce(c.isin(0, 1) & s.between(0, 3), F.lit(False))
     return wide.withColumns({"contamination": F.when(ok, c), "severity": F.when(ok, s), "parse_error": ~ok}).drop("__v")
 
 
 def parse_quality(df: DataFrame, reply: str, metrics: list[str]) -> DataFrame:
-    """Metrics from 1 to 5 and hallucination 0 or 1; a value that fails makes all null."""
-    parsed = F.from_json(lenient_object(F.col(reply)), "struct<" + ",".join(f"{m}:double" for m in [*metrics, "hallucination"]) + ">")
-    ok = F.coalesce(parsed["hallucination"].isin(0.0, 1.0), F.lit(False))
+    """Metrics from 1 to 5 and hallucination 0 or 1, as numbers or spelt; a value that fails makes all null."""
+    names = [*metrics, "hallucination"]
+    wide = df.withColumn("__v", lenient_object(F.col(reply)))
+    wide = wide.withColumns({f"__{m}": real_number(field(F.col("__v"), m)) for m in names})
+    ok = F.coalesce(F.col("__hallucination").isin(0.0, 1.0), F.lit(False))
     for m in metrics:
-        ok = ok & F.coalesce(parsed[m].between(1, 5), F.lit(False))
-    return df.withColumns({**{m: F.when(ok, parsed[m]) for m in [*metrics, "hallucination"]}, "parse_error": ~ok})
+        ok = ok & F.coalesce(F.col(f"__{m}").between(1, 5), F.lit(False))
+    return wide.withColumns({**{m: F.when(ok, F.col(f"__{m}")) for m in names}, "parse_error": ~ok}).drop("__v", *[f"__{m}" for m in names])
 
 
 def parse_attribution(df: DataFrame, reply: str) -> DataFrame:
-    """attribution (patient, correct, absent; the older third_party is correct) and used_for_patient; unknown labels are errors."""
-    parsed = F.from_json(lenient_object(F.col(reply)), "struct<attribution:string,used_for_patient:int>")
-    label = F.when(parsed["attribution"] == "third_party", "correct").otherwise(parsed["attribution"])
-    ok = F.coalesce(label.isin("patient", "correct", "absent") & parsed["used_for_patient"].isin(0, 1), F.lit(False))
-    return df.withColumns({"attribution": F.when(ok, label), "used_for_patient": F.when(ok, parsed["used_for_patient"]), "parse_error": ~ok})
+    """attribution (patient, correct, absent; the older third_party is correct) in any case and spacing, and used_for_patient as a whole number; unknown labels are errors."""
+    wide = df.withColumn("__v", lenient_object(F.col(reply)))
+    wide = wide.withColumns({"__l": F.lower(_text(field(F.col("__v"), "attribution"))), "__u": whole_number(field(F.col("__v"), "used_for_patient"))})
+    label = F.when(F.col("__l") == "third_party", "correct").otherwise(F.col("__l"))
+    ok = F.coalesce(label.isin("patient", "correct", "absent") & F.col("__u").isin(0, 1), F.lit(False))
+    return wide.withColumns({"attribution": F.when(ok, label), "used_for_patient": F.when(ok, F.col("__u")), "parse_error": ~ok}).drop("__v", "__l", "__u")
 
 
 def validate_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

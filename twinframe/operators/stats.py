@@ -222,7 +222,9 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     k = F.col("__k")
     sxy, sxx, syy = (F.sum(k * F.col(a) * F.col(b)) for a, b in (("__x", "__y"), ("__x", "__x"), ("__y", "__y")))
     made = cells.groupBy(*group).agg(F.sum(k).alias("n"), F.when((sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy)).alias("rho"))
-    return made.select(*group, "n", F.round("rho", 6).alias("rho"), F.round(correlation_p(F.col("rho"), F.col("n")), 6).alias("p"))
+    # A step of its own: in one select a lambda would take the rounded alias for the column.
+    tested = made.withColumn("p", F.round(correlation_p(F.col("rho"), F.col("n")), 6))
+    return tested.withColumn("rho", F.round("rho", 6))
 
 
 def correlation_p(r: Column, n: Column) -> Column:
@@ -295,8 +297,9 @@ def wilcoxon(df: DataFrame, group: list[str], difference: str) -> DataFrame:
     ties = F.sum(k / F.col("__c") * (F.pow("__c", F.lit(3)) - F.col("__c")))
     sums = ranked.groupBy(*group).agg(F.sum(k).alias("n_nonzero"), plus.alias("w_plus"), minus.alias("w_minus"), ties.alias("ties"))
     every = known.select(*group).distinct().join(sums, group, "left").fillna(0)
-    w = F.least("w_plus", "w_minus")
-    return every.select(*group, "n_nonzero", *[F.round(c, 6).alias(c) for c in ("w_plus", "w_minus")], F.round(w, 6).alias("w"), F.round(signed_rank_p(F.col("n_nonzero"), w, F.col("ties")), 6).alias("p"))
+    every = every.withColumn("w", F.least("w_plus", "w_minus"))
+    tested = every.withColumn("p", F.round(signed_rank_p(F.col("n_nonzero"), F.col("w"), F.col("ties")), 6)).drop("ties")
+    return tested.withColumns({c: F.round(c, 6) for c in ("w_plus", "w_minus", "w")})
 
 
 def rank_bins(df: DataFrame, by: list[str], order: list[str], bins: int = 5, out: str = "bin") -> DataFrame:

@@ -38,9 +38,13 @@ def request_ids(spark, d):
     return view(spark, d, "dialogues").select("conv_id", F.substring(F.sha2("transcript", 256), 1, 40).alias("input_hash"), F.base64(F.concat(F.lit("conv|"), F.col("conv_id").cast("string")).cast("binary")).alias("custom_id"))
 
 
-_STRICT = """SELECT event_id, user_id, ts, CASE WHEN ok THEN c END AS contamination, CASE WHEN ok THEN s END AS severity, cut AND ok AS repaired, NOT ok AS parse_error FROM (
-SELECT *, c IS NOT NULL AND s IS NOT NULL AS ok FROM (SELECT *, TRY_CAST(nullif(regexp_extract(t, '"contamination": *([01]) *[,}]', 1), '') AS INT) AS c, TRY_CAST(nullif(regexp_extract(t, '"severity": *([0-3]) *[,}]', 1), '') AS INT) AS s FROM (
-SELECT *, CASE WHEN cut THEN judge_raw || '}' ELSE judge_raw END AS t FROM (SELECT *, judge_raw LIKE '{%"' AS cut FROM judge_raw))))"""
+_BRACES = "CASE WHEN strpos({0}, '{{') > 0 AND strpos({0}, '}}') > 0 AND length({0}) - strpos(reverse({0}), '}}') + 1 > strpos({0}, '{{') THEN substr({0}, strpos({0}, '{{'), length({0}) - strpos(reverse({0}), '}}') + 2 - strpos({0}, '{{')) END"
+_INT = "CASE WHEN json_type(v, '$.{0}') IN ('BIGINT', 'UBIGINT') THEN TRY_CAST(json_extract_string(v, '$.{0}') AS INT) END"
+_STRICT = f"""SELECT event_id, user_id, ts, CASE WHEN ok THEN c END AS contamination, CASE WHEN ok THEN s END AS severity, ok AND NOT inner_ok AS repaired, NOT ok AS parse_error FROM (
+    SELECT *, coalesce(c IN (0, 1) AND s BETWEEN 0 AND 3 AND json_type(v, '$.reasoning') = 'VARCHAR', false) AS ok FROM (
+    SELECT *, {_INT.format('contamination')} AS c, {_INT.format('severity')} AS s FROM (
+    SELECT *, CASE WHEN inner_ok THEN b WHEN starts_with(t, '{{') AND ends_with(t, '"') AND json_valid(t || '}}') THEN t || '}}' END AS v FROM (
+    SELECT *, coalesce(json_valid(b), false) AS inner_ok FROM (SELECT *, trim(judge_raw) AS t, {_BRACES.format('judge_raw')} AS b FROM judge_raw)))))"""
 
 
 @query(twin("judge_raw", f"SELECT event_id, contamination, severity, repaired, parse_error FROM ({_STRICT})"))
@@ -81,18 +85,33 @@ def parse_single_judgment(spark, d):
     return J.parse_single(table(spark, d, "events").select("event_id", reply.alias("reply")), "reply").drop("reply")
 
 
-@query("SELECT event_id, CASE WHEN ok THEN CAST(q AS DOUBLE) END AS overall_quality, CASE WHEN ok THEN 4.5e0 END AS completeness, CASE WHEN ok THEN CAST(event_id % 2 AS DOUBLE) END AS hallucination, NOT ok AS parse_error FROM (SELECT event_id, event_id % 7 AS q, event_id % 7 BETWEEN 1 AND 5 AS ok FROM events)")
+#: Ways to write a number: as it is, in quotes, with a fraction, as true or false (0 and 1 only), in quotes with blanks.
+_SPELT = "CASE event_id % 5 WHEN 1 THEN concat('\"', {0}, '\"') WHEN 2 THEN concat({0}, '.0') WHEN 3 THEN CASE {0} WHEN '0' THEN 'false' WHEN '1' THEN 'true' ELSE {0} END WHEN 4 THEN concat('\" ', {0}, ' \"') ELSE {0} END"
+_SCORED = f"""SELECT event_id, CASE event_id % 3 WHEN 0 THEN body WHEN 1 THEN concat('Scores: ', body, ' - done') ELSE concat('[', body, ']') END AS reply, event_id % 3 <> 2 AS object, q, h FROM (
+    SELECT event_id, q, h, concat('{{"overall_quality": ', {_SPELT.format("CAST(q AS VARCHAR(9))")}, ', "completeness": 4.5, "hallucination": ', {_SPELT.format("CAST(h AS VARCHAR(9))")}, '}}') AS body FROM (SELECT event_id, event_id % 7 AS q, event_id % 11 % 3 AS h FROM events) x) y"""
+_LABELLED = f"""SELECT event_id, event_type, u, concat(CASE WHEN event_id % 4 = 0 THEN '{{}} then ' ELSE '' END, '{{"attribution": "', CASE event_type WHEN 'click' THEN 'patient' WHEN 'view' THEN ' Third_Party' WHEN 'error' THEN 'ABSENT ' ELSE 'someone' END, '", "used_for_patient": ', {_SPELT.format("CAST(u AS VARCHAR(9))")}, '}}') AS reply
+    FROM (SELECT event_id, event_type, event_id % 11 % 3 AS u FROM events) x"""
+
+
+def _real(f: str) -> str:
+    return f"CASE json_type(v, '$.{f}') WHEN 'BOOLEAN' THEN CASE json_extract_string(v, '$.{f}') WHEN 'true' THEN 1.0e0 ELSE 0.0e0 END ELSE TRY_CAST(trim(json_extract_string(v, '$.{f}')) AS DOUBLE) END"
+
+
+_OBJECT = "CASE WHEN json_valid(reply) THEN CASE WHEN json_type(reply) = 'OBJECT' THEN reply END WHEN json_valid({0}) THEN {0} END".format(_BRACES.format("reply"))
+
+
+@query(f"SELECT event_id, CASE WHEN ok THEN q END AS overall_quality, CASE WHEN ok THEN k END AS completeness, CASE WHEN ok THEN h END AS hallucination, NOT ok AS parse_error FROM (SELECT event_id, q, k, h, coalesce(q BETWEEN 1 AND 5 AND k BETWEEN 1 AND 5 AND h IN (0, 1), false) AS ok FROM (SELECT event_id, {_real('overall_quality')} AS q, {_real('completeness')} AS k, {_real('hallucination')} AS h FROM (SELECT event_id, {_OBJECT} AS v FROM ({_SCORED}))))")
 def parse_quality_judgment(spark, d):
-    reply = F.concat(F.lit('{"overall_quality": '), (F.col("event_id") % 7).cast("string"), F.lit(', "completeness": 4.5, "hallucination": '), (F.col("event_id") % 2).cast("string"), F.lit("}"))
-    rows = table(spark, d, "events").select("event_id", reply.alias("reply"))
+    """Scores written as numbers, in quotes, with a fraction or as true and false, in a reply with words around it; a list is no object."""
+    rows = spark.sql(_SCORED.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=table(spark, d, "events")).select("event_id", "reply")
     return J.parse_quality(rows, "reply", ["overall_quality", "completeness"]).drop("reply")
 
 
-@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'patient' WHEN 'view' THEN 'correct' WHEN 'error' THEN 'absent' END AS attribution, CASE WHEN event_type IN ('click','view','error') THEN CAST(event_id % 2 AS INT) END AS used_for_patient, event_type NOT IN ('click','view','error') AS parse_error FROM events")
+@query(f"SELECT event_id, CASE WHEN ok THEN a END AS attribution, CASE WHEN ok THEN CAST(u AS INT) END AS used_for_patient, NOT ok AS parse_error FROM (SELECT event_id, a, u, coalesce(a IN ('patient', 'correct', 'absent') AND u IN (0, 1), false) AS ok FROM (SELECT event_id, CASE a WHEN 'third_party' THEN 'correct' ELSE a END AS a, u FROM (SELECT event_id, lower(trim(json_extract_string(v, '$.attribution'))) AS a, {_real('used_for_patient')} AS u FROM (SELECT event_id, {_OBJECT} AS v FROM ({_LABELLED})))))")
 def parse_attribution(spark, d):
-    label = F.when(F.col("event_type") == "click", "patient").when(F.col("event_type") == "view", "third_party").when(F.col("event_type") == "error", "absent").otherwise("someone")
-    reply = F.concat(F.lit('{"attribution": "'), label, F.lit('", "used_for_patient": '), (F.col("event_id") % 2).cast("string"), F.lit("}"))
-    return J.parse_attribution(table(spark, d, "events").select("event_id", reply.alias("reply")), "reply").drop("reply")
+    """Labels in any case and spacing, the older one renamed; a reply with an object before the answer is no JSON between its braces."""
+    rows = spark.sql(_LABELLED.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}"), events=table(spark, d, "events")).select("event_id", "reply")
+    return J.parse_attribution(rows, "reply").drop("reply")
 
 
 @query(twin("dialogues insertions", "SELECT conv_id, bench_id, insert_after_turn, length(transcript) AS clean_chars, length(distractor_conversation) AS inserted_chars FROM insertions JOIN dialogues USING (conv_id)"))

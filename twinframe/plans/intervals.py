@@ -39,19 +39,24 @@ def sums_sql(rows: str, group: str, value: str, keys: str, scale: float = 100.0,
     return f"SELECT {by}{unit_sql(keys, units)} AS unit, sum({scale}e0*({value})) AS total, count(*) AS n FROM ({rows}) WHERE ({value}) IS NOT NULL GROUP BY ALL"
 
 
-def tail_sql(t: str, df: str, points: int = 20000) -> str:
-    """Two-sided p of Student's t by the midpoint rule over the angle whose tangent is t / sqrt(df)."""
+def _simpson(f: str, lo: str, step: str, points: int) -> str:
+    """Simpson's rule for ``f`` of ``x`` from ``lo`` over ``points`` steps (an even number)."""
+    weight = f"CASE WHEN i = 0 OR i = {points} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"({step}/3*list_sum(list_transform(range(0, {points + 1}), lambda i: {weight}*{f.format(x=f'({lo} + i*{step})')})))"
+
+
+def tail_sql(t: str, df: str, points: int = 2000) -> str:
+    """Two-sided p of Student's t by Simpson's rule over the angle whose tangent is t / sqrt(df)."""
 
     def part(lo: str) -> str:
-        step = f"((least(pi()/2, {lo} + 40/sqrt({df})) - {lo})/{points})"
-        return f"({step}*list_sum(list_transform(range(0, {points}), lambda i: pow(cos({lo} + (i + 0.5e0)*{step}), ({df}) - 1))))"
+        return _simpson(f"pow(cos({{x}}), ({df}) - 1)", lo, f"((least(pi()/2, {lo} + 40/sqrt({df})) - {lo})/{points})", points)
 
     return f"({part(f'atan(abs({t})/sqrt({df}))')}/{part('0.0e0')})"
 
 
-def normal_tail_sql(z: str, points: int = 20000) -> str:
-    """Two-sided p of a standard normal value by the midpoint rule."""
-    return f"(sqrt(2/pi())*(12.0e0/{points})*list_sum(list_transform(range(0, {points}), lambda i: exp(-pow(abs({z}) + (i + 0.5e0)*12.0e0/{points}, 2)/2))))"
+def normal_tail_sql(z: str, points: int = 2000) -> str:
+    """Two-sided p of a standard normal value by Simpson's rule."""
+    return f"(sqrt(2/pi())*{_simpson('exp(-pow({x}, 2)/2)', f'abs({z})', f'(12.0e0/{points})', points)})"
 
 
 def average_rank_sql(group: str, x: str) -> str:
@@ -60,7 +65,7 @@ def average_rank_sql(group: str, x: str) -> str:
 
 def t_table_sql(ctes: str, rows: str, group: str) -> str:
     """One-sample t: n, mean, sd, sem, p and the interval, from ``rows`` with ``group``, n, mean, sd; the quantile by bisection."""
-    over = tail_sql("((lo+hi)/2)", "(n-1)", 2000) + " > 0.05"
+    over = tail_sql("((lo+hi)/2)", "(n-1)", 1000) + " > 0.05"
     p = tail_sql("(mean/(sd/sqrt(n)))", "(n-1)")
     return f"""WITH RECURSIVE {ctes + ',' if ctes else ''} g AS ({rows}), h AS (SELECT *, 0.0e0 AS lo, 1.0e4 AS hi, 0 AS step FROM g WHERE n > 1
         UNION ALL SELECT {group}, n, mean, sd, CASE WHEN {over} THEN (lo+hi)/2 ELSE lo END, CASE WHEN {over} THEN hi ELSE (lo+hi)/2 END, step + 1 FROM h WHERE step < 48),

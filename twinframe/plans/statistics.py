@@ -252,11 +252,11 @@ def depth_histogram(spark, d):
     return T.shares(binned, ["model"], "bin").withColumnRenamed("n", "n_selected")
 
 
-@query(twin("head_masks", "SELECT model, gate, n, round(sum(n) OVER (PARTITION BY model ORDER BY gate)/CAST(sum(n) OVER (PARTITION BY model) AS DOUBLE), 6) AS ecdf FROM (SELECT model, gate, count(*) AS n FROM head_masks GROUP BY ALL)"))
+@query(twin("head_masks", "SELECT model, gate, n, CAST(sum(n) OVER (PARTITION BY model ORDER BY gate) AS BIGINT) AS n_up_to, sum(n) OVER (PARTITION BY model ORDER BY gate)/CAST(sum(n) OVER (PARTITION BY model) AS DOUBLE) AS ecdf FROM (SELECT model, gate, count(*) AS n FROM head_masks GROUP BY ALL)"))
 def ecdf(spark, d):
-    """The share of heads with a gate up to each value, over all layers."""
+    """How many heads have a gate up to each value, over all layers, and their share."""
     values = view(spark, d, "head_masks").groupBy("model", "gate").agg(F.count("*").alias("n"))
-    return S.numbered(values, ["model"], ["gate"], "n", "__k").select("model", "gate", "n", F.round(F.col("__k") / F.col("__k_all"), 6).alias("ecdf"))
+    return S.numbered(values, ["model"], ["gate"], "n", "__k").select("model", "gate", "n", F.col("__k").alias("n_up_to"), (F.col("__k") / F.col("__k_all")).alias("ecdf"))
 
 
 @query(twin("head_masks", "SELECT model, distractor, round(avg(gate) FILTER (layer < 2), 6) AS mean_a, round(avg(gate) FILTER (layer >= 2), 6) AS mean_b, round(avg(gate) FILTER (layer < 2)/nullif(avg(gate) FILTER (layer >= 2), 0), 6) AS ratio FROM head_masks GROUP BY ALL"))

@@ -10,6 +10,8 @@ from twinframe.operators import notes as N
 from twinframe.operators import planning as G
 from twinframe.operators import stats as S
 from twinframe.operators import tables as T
+from twinframe.sources import annotations as A
+from twinframe.sources import tables as store
 
 from .intervals import bounds_sql, sums_sql
 from .registry import query
@@ -103,15 +105,20 @@ def keyword_score(spark, d):
     return table(spark, d, "documents").select("doc_id", F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.coalesce(F.try_element_at(lexicon, w), F.lit(0))).alias("score"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS clean FROM documents")
-def clean_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(F.regexp_replace("text", "<[^<>]*>", " "), r"[ \t\n\x0B\f\r]+", " ")).alias("clean"))
-
-
 def _sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+_TAGGED = "concat('<UNSURE>', text, '</UNSURE><UNIN/> (', source, ') <INAUDIBLE_SPEECH/> <other>')"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace({_TAGGED}, {_sql_text(A.TAGS)}, '', 'g'), '{_WS}+', ' ', 'g'), ' ') AS clean FROM documents")
+def clean_text(spark, d):
+    """Texts with the transcribers' tags put in, cleaned: their tags go, other tags stay, white space is collapsed."""
+    tagged = F.concat(F.lit("<UNSURE>"), "text", F.lit("</UNSURE><UNIN/> ("), "source", F.lit(") <INAUDIBLE_SPEECH/> <other>"))
+    return table(spark, d, "documents").select("doc_id", X.clean_text(tagged, A.TAGS).alias("clean"))
+
+
 _ANSWER = "coalesce(" + ", ".join(f"regexp_extract_all(response, {_sql_text(p)}, 1)[-1]" if end else f"nullif(regexp_extract(response, {_sql_text(p)}, 1), '')" for p, end in X.ANSWER_PATTERNS)
 _ANSWER += f", upper(regexp_extract_all(response, {_sql_text(X.FINAL_ANSWER)}, 1)[-1]))"
 
@@ -303,19 +310,17 @@ def chunk_explode(spark, d):
     return kept.select("item_id", F.lit("user").alias("speaker"), F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text")
 
 
-_INTERVAL = r'xmin = ([0-9.]+)\s+xmax = ([0-9.]+)\s+text = "((?:[^"]|"")*)"'
+_UNTAGGED = f"trim(regexp_replace(regexp_replace({{x}}, {_sql_text(A.TAGS)}, '', 'g'), '{_WS}+', ' ', 'g'), ' ')"
 
 
-@query(twin("utterances", "SELECT item_id, start_s, end_s, replace(text, chr(10), ' ') AS text FROM utterances WHERE trim(text) <> ''"))
+@query(twin("utterances", f"SELECT * FROM (SELECT item_id, speaker, start_s, end_s, {_UNTAGGED.format(x='text')} AS text FROM utterances) WHERE text <> ''"))
 def utterance_extract(spark, d):
-    """Timed intervals written as annotation text and read back by pattern."""
-    part = F.concat(F.lit("xmin = "), F.col("start_s").cast("string"), F.lit("\n xmax = "), F.col("end_s").cast("string"), F.lit('\n text = "'), F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit('""')), F.lit('"\n'))
-    files = view(spark, d, "utterances").groupBy("item_id").agg(F.array_join(F.collect_list(part), "").alias("content"))
-    fields = [F.regexp_extract_all("content", F.lit(_INTERVAL), F.lit(i)) for i in (1, 2, 3)]
-    zipped = files.select("item_id", F.inline(F.arrays_zip(*[f.alias(n) for f, n in zip(fields, "abc")])))
-    names = [c for c in zipped.columns if c != "item_id"]
-    rows = zipped.select("item_id", F.col(names[0]).cast("double").alias("start_s"), F.col(names[1]).cast("double").alias("end_s"), F.replace(F.col(names[2]), F.lit('""'), F.lit('"')).alias("text"))
-    return rows.filter(F.trim("text") != "")
+    """Timed intervals through annotation files: a tier for each speaker of an item, tags of transcribers and blank intervals left out."""
+    path = store.scratch(spark, "grids")
+    rows = view(spark, d, "utterances").withColumn("tier", F.concat_ws("|", "item_id", "speaker"))
+    A.write_intervals(rows, path, [], "tier")
+    parts = F.split("tier", r"\|", 2)
+    return A.read_intervals(spark, path, "part-*").select(parts[0].alias("item_id"), parts[1].alias("speaker"), "start_s", "end_s", "text")
 
 
 _SCORED = "SELECT item_id, start_s, end_s, len(regexp_extract_all(lower(text), 'on')) AS score FROM utterances"

@@ -112,12 +112,26 @@ SPARK: dict[str, str] = {
                  ELSE p_name END AS response
         FROM part""",
     "judge_raw": """
-        SELECT event_id, user_id, ts,
-               CASE WHEN event_id % 17 = 0 THEN concat('{"contamination": ', CAST(event_id % 2 AS STRING), ', "severity": 1, "reasoning": "r"')
-                    WHEN event_id % 13 = 0 THEN '{"contamination": true, "severity": 0, "reasoning": "r"}'
-                    WHEN event_id % 11 = 0 THEN 'truncated response'
-                    ELSE concat('{"contamination": ', CAST(event_id % 2 AS STRING), ', "severity": ', CAST(event_id % 4 AS STRING), ', "reasoning": "r"}') END AS judge_raw
-        FROM events""",
+        SELECT event_id, user_id, ts, CASE event_id % 23
+                 WHEN 0 THEN substr(good, 1, length(good) - 1)
+                 WHEN 1 THEN concat('{"contamination": true, "severity": ', s, ', "reasoning": "r"}')
+                 WHEN 2 THEN 'truncated response'
+                 WHEN 3 THEN concat('{"contamination": ', c, ', "severity": ', s, ', garbage}')
+                 WHEN 4 THEN concat(good, '}}')
+                 WHEN 5 THEN concat('{', chr(10), '  "contamination": ', c, ',', chr(10), '  "severity": ', s, ',', chr(10), '  "reasoning": "r"', chr(10), '}', chr(10))
+                 WHEN 6 THEN concat('Here you are: ', good, ' as asked.')
+                 WHEN 7 THEN concat('{"contamination": ', c, ', "severity": ', s, '}')
+                 WHEN 8 THEN concat('{"contamination": ', c, ', "severity": ', s, ', "reasoning": 7}')
+                 WHEN 9 THEN concat('{"contamination": "', c, '", "severity": ', s, ', "reasoning": "r"}')
+                 WHEN 10 THEN concat('{"contamination": ', c, '.0, "severity": ', s, ', "reasoning": "r"}')
+                 WHEN 11 THEN concat('{"contamination": ', c, ', "severity": 4, "reasoning": "r"}')
+                 WHEN 12 THEN concat('  {"contamination": ', c, ', "severity": ', s, ', "reasoning": "not done"')
+                 WHEN 13 THEN concat('{"reasoning": "a } brace", "contamination": ', c, ', "severity": ', s, '}')
+                 WHEN 14 THEN concat('{"reasoning": "cut } at a brace", "contamination": ', c, ', "severity": "', s, '"')
+                 ELSE good END AS judge_raw
+        FROM (SELECT event_id, user_id, ts, CAST(event_id % 2 AS STRING) AS c, CAST(event_id % 4 AS STRING) AS s,
+                     concat('{"contamination": ', CAST(event_id % 2 AS STRING), ', "severity": ', CAST(event_id % 4 AS STRING), ', "reasoning": "r"}') AS good
+              FROM events) x""",
 }
 # The benchmark is a list of items that others are dealt to: its place numbers come from one window over it, and it is small beside them.
 SPARK = {k: v.replace("{judgments}", f"({SPARK['judgments']}) j").replace("{bench_at}", f"({SPARK['bench_at']})") for k, v in SPARK.items()}

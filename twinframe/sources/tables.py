@@ -50,7 +50,7 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str)
 
 def read_json_items(spark: SparkSession, path: str, item: str) -> DataFrame:
     """(pos, item fields) of files that hold one JSON array each; ``pos`` is the place in the array, from 0. A file is read as a whole."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.from_json("value", f"array<struct<{item}>>")).alias("pos", "item"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{item}>>")).alias("pos", "item"))
     return rows.select("pos", "item.*")
 
 
