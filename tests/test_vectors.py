@@ -277,3 +277,31 @@ def test_global_rank_follows_the_hash(spark):
     for digits in (1, 3):
         got = G.global_rank(spark.createDataFrame(rows, "i int, h string"), F.col("h"), "i", digits=digits).collect()
         assert [r.i for r in sorted(got, key=lambda r: r.rank)] == [i for i, _ in sorted(rows, key=lambda x: x[1])]
+
+
+@pytest.mark.parametrize(("units", "groups"), [(512, 256), (3, 1)])
+def test_replicates_equal_plain_sums(spark, monkeypatch, units, groups):
+    import hashlib
+
+    from twinframe.operators import replicates as R
+
+    monkeypatch.setattr(R, "UNITS", units)
+    monkeypatch.setattr(R, "GROUPS", groups)
+    rows = [(g, None if i % 11 == 0 else f"h{i % 2}", f"u{i}", float(i % 5) if i % 7 else None, float(i % 3)) for g in range(3) for i in range(40)] + [(9, "z", "u1", 2.0, 0.0)]
+
+    def weight(unit, b):
+        digest = hashlib.md5(f"4|{unit}".encode()).hexdigest()
+        k = [int(digest[8 * i : 8 * i + 8], 16) % R.PRIME for i in range(3)]
+        u = (k[0] + k[1] * b + k[2] * b * b) % R.PRIME / R.PRIME
+        return sum(u >= p for p in R.POISSON)
+
+    want = {}
+    for g, h, unit, t, n in rows:
+        for b in range(25):
+            sums = want.setdefault((g, h, b), [0.0, 0.0])
+            sums[0] += weight(unit, b) * (t or 0)
+            sums[1] += weight(unit, b) * n
+    df = spark.createDataFrame(rows, "g int, h string, unit string, t double, n double").repartition(3)
+    got = {(r.g, r.h, r.b): r.s for r in R.replicates_of(df, ["g", "h"], "unit", "t", "n", 25, 4).collect()}
+    assert got.keys() == want.keys() and all(s is None if n == 0 else s == pytest.approx(t / n) for (t, n), s in ((want[k], got[k]) for k in want))
+    assert R.replicates_of(df, [], "unit", "t", "n", 7, 4).count() == 7 and R.replicates_of(df.limit(0), ["g"], "unit", "t", "n", 7, 4).count() == 0

@@ -1,8 +1,7 @@
 """Paired and clustered statistics on DataFrames.
 
-Resampling works on collapsed units (clusters, or rows dealt to a bounded number of units), never on rows: a replicate's weight of a
-unit is Poisson(1) by inverse distribution of a hash, so intervals repeat exactly on any partitioning. A unit is hashed once; its numbers
-in the replicates are the values of a random polynomial of degree 2 modulo a prime, so any three replicates are independent.
+Resampling works on collapsed units (clusters, or rows dealt to a bounded number of units), never on rows, with weights from hashes
+(``replicates``), so intervals repeat on any partitioning.
 """
 
 from __future__ import annotations
@@ -14,13 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The distribution function of Poisson(1) at 0, 1, 2, ..
-POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518)
-
-
-#: The prime 2^31 - 1.
-PRIME = 2147483647
-
+from .replicates import replicates_of
 
 def uniform(*parts: Column | str | int) -> Column:
     """A number in [0, 1) from the md5 of the parts joined by ``|``."""
@@ -28,29 +21,6 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def poisson_weight(u: Column) -> Column:
-    out = F.when(u < POISSON[0], 0)
-    for k, p in enumerate(POISSON[1:], 1):
-        out = out.when(u < p, k)
-    return out.otherwise(len(POISSON))
-
-
-def replicate_uniform(seed: int, unit: Column, b: Column) -> tuple[list[Column], Column]:
-    """The three coefficients of a unit (columns to be computed once) and the number in [0, 1) of replicate ``b`` from columns k0, k1, k2."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), unit.cast("string")))
-    made = [(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") % PRIME).alias(f"k{i}") for i in range(3)]
-    b = b.cast("bigint")
-    return made, (F.col("k0") + F.col("k1") * b + F.col("k2") * b * b) % PRIME / F.lit(float(PRIME))
-
-
-def replicates_of(units: DataFrame, group: list[str], unit: str, top: str, bottom: str, replicates: int, seed: int) -> DataFrame:
-    """(group, b, s): sum(top) / sum(bottom) over each replicate's resampled units (one row each)."""
-    made, u = replicate_uniform(seed, F.col(unit), F.col("b"))
-    coded = units.select(*group, F.col(top).cast("double").alias("__t"), F.col(bottom).cast("double").alias("__n"), *made)
-    reps = coded.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", poisson_weight(u).cast("double"))
-    return reps.groupBy(*group, "b").agg(F.try_divide(F.sum(F.col("w") * F.col("__t")), F.sum(F.col("w") * F.col("__n"))).alias("s"))
-
-
 def bootstrap_ratio(units: DataFrame, group: list[str], unit: str, top: str, bottom: str, replicates: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of sum(top) / sum(bottom) over resampled units (one row each)."""
     stats = replicates_of(units, group, unit, top, bottom, replicates, seed)
@@ -59,10 +29,14 @@ def bootstrap_ratio(units: DataFrame, group: list[str], unit: str, top: str, bot
     return point.join(bounds, group) if group else point.crossJoin(bounds)
 
 
+def dealt_unit(keys: list[str], units: int = 500) -> Column:
+    """The unit of a row, by the hash of ``keys``."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("bigint"), F.lit(units))
+
+
 def dealt_sums(df: DataFrame, group: list[str], value: Column, keys: list[str], units: int = 500) -> DataFrame:
     """(group, unit, total, n): rows with a value dealt by the hash of ``keys`` to at most ``units`` units of each group."""
-    unit = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("bigint"), F.lit(units))
-    rows = df.withColumns({"__v": value.cast("double"), "__u": unit})
+    rows = df.withColumns({"__v": value.cast("double"), "__u": dealt_unit(keys, units)})
     return rows.groupBy(*group, F.col("__u").alias("unit")).agg(F.sum("__v").alias("total"), F.count("__v").alias("n")).filter("n > 0")
 
 

@@ -158,13 +158,17 @@ _KINDS = ("misattributed", "used", "recorded_only")
     SELECT * FROM t JOIN ({bounds_sql('SELECT * FROM u', 'kind, ' + _BY)}) USING (kind, {_BY})"""))
 def attribution_rates(spark, d):
     """Shares of all pairs by outcome with intervals, by cohort over grouping sets."""
-    rows = _outcomes(_paired_rows(spark, d)).select("*", F.explode(F.array(*map(F.lit, _KINDS))).alias("kind"))
-    value = (F.col("outcome") == F.col("kind")).cast("int")
-    sets = [["cohort", "kind", *x] for x in _ATTR_SETS]
-    by = ["cohort", "kind", *_DIMS]
-    cells = [F.count("*").alias("n"), F.sum("c1").alias("n_incorporated"), F.count_if((F.col("c1") == 1) & (F.col("s1") >= 1)).alias("n_judged"), T.pct(F.col("c1")).alias("incorporated"), T.pct(value).alias("pct")]
-    units = T.grouped(S.dealt_sums(rows, by, value, ["item_id"]), [[*x, "unit"] for x in sets], [F.sum("total").alias("total"), F.sum("n").alias("n")])
-    return T.grouped(rows, sets, cells).join(S.mean_interval(units, by, 100.0), by)
+    rows, by = _outcomes(_paired_rows(spark, d)), ["cohort", *_DIMS]
+    # One pass over pairs: the kinds are columns of sums by unit, and all that follows works on these few rows.
+    cells = [F.count("*").alias("n"), F.sum("c1").alias("c"), F.count_if((F.col("c1") == 1) & (F.col("s1") >= 1)).alias("j"), *[F.count_if(F.col("outcome") == k).alias(k) for k in _KINDS]]
+    own = rows.groupBy(*by, S.dealt_unit(["item_id"]).alias("unit")).agg(*cells)
+    sets, sums = [["cohort", *x] for x in _ATTR_SETS], [F.sum(c).alias(c) for c in ("n", "c", "j", *_KINDS)]
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("v")) for k in _KINDS])).alias("k")
+    share = lambda x: F.round(100 * (F.col(x) / F.col("n")), 6)
+    rates = T.grouped(own, sets, sums).select(*by, "n", F.col("c").alias("n_incorporated"), F.col("j").alias("n_judged"), share("c").alias("incorporated"), kinds)
+    rates = rates.select(*by, "n", "n_incorporated", "n_judged", "incorporated", F.col("k.kind").alias("kind"), F.round(100 * (F.col("k.v") / F.col("n")), 6).alias("pct"))
+    units = T.grouped(own, [[*x, "unit"] for x in sets], sums).select(*by, "unit", "n", kinds).select(*by, "unit", "n", F.col("k.kind").alias("kind"), F.col("k.v").alias("total"))
+    return rates.join(S.mean_interval(units, [*by, "kind"], 100.0), [*by, "kind"])
 
 
 @query(twin("pairs", f"WITH h AS (SELECT model, distractor_type, {_OUTCOME} AS outcome, {_OUTCOME_OPEN} AS mode FROM pairs), f AS (SELECT * FROM h WHERE outcome IN ('misattributed', 'used')) SELECT model, distractor_type, outcome, mode, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT 'all', distractor_type, 'both', mode, count(*) FROM f GROUP BY ALL"))
