@@ -4,8 +4,8 @@ from twinframe.llm.common import stage_table
 
 from .helpers import DOCS, frame
 from .test_decontamination import BENCH, plain as hits, tables
+from .test_near_copies import plain_kept
 from .test_quality_rules import plain as counts
-from .test_simhash import plain_components
 
 
 def folder(spark, tmp_path, docs, items):
@@ -27,7 +27,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         results.append({r.doc_id: r.text for r in docs.collect()})
     good = [r for r in rows if counts(r[1])[0] >= 20 and 100 * counts(r[1])[4] <= 30 * counts(r[1])[0]]
     assert results[0] == {i: t for i, t, *_ in good}
-    assert set(results[1]) == {c for _, _, c in plain_components(good)}
+    assert sorted(results[1]) == plain_kept(good)
     assert set(results[2]) == set(results[1]) and not any(hits(t, items)[1] for t in results[2].values())
     assert results[3] == {i: pii.mask(t, pii.find_spans(t)) for i, t in results[2].items()}
     packed = corpus_pipeline.run(spark, top).collect()
