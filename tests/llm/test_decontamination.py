@@ -116,3 +116,24 @@ def test_a_phrase_of_many_items_is_dealt_out(spark):
     for block in (200_000, 30):
         got = D.find_contamination(frame(spark, rows), spark.createDataFrame(items, BENCH), phrase_block=block).selectExpr("doc_id", "n_words", "n_hit", "size(items) n", "sha2(array_join(items, ','), 256) h")
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_one_block_is_held_at_a_time(spark, monkeypatch):
+    import gc
+    import weakref
+
+    alive, most, made = [], [], D._block
+
+    def watched(phrases, k, n):
+        gc.collect()
+        most.append(sum(r() is not None for r in alive))
+        block = made(phrases, k, n)
+        alive.append(weakref.ref(block))
+        return block
+
+    monkeypatch.setattr(D, "_block", watched)
+    rows, items = tables()
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, BENCH)
+    want = sorted((i, *plain(t, items)[:3]) for i, t, *_ in rows)
+    got = D.find_contamination(docs, bench, phrase_block=8).selectExpr("doc_id", "n_words", "n_hit", "size(items) n")
+    assert sorted(map(tuple, got.collect())) == want and len(most) > 10 and max(most) <= 1

@@ -3,20 +3,22 @@
 A shard is a run of documents that one task holds (some ``shard_words`` words). Words that no benchmark item has cannot lie in an
 occurrence, so they and runs shorter than the shortest phrase become separators; the rest is indexed, every test phrase is searched
 backwards through the wavelet ranks, occurrences are located from sampled suffix positions, and hit spans of a document are merged.
-Test phrases are sent to the tasks in blocks of some ``phrase_block`` (phrase, item) pairs, each block one pass over the documents.
+Test phrases are sent to the tasks in blocks of some ``phrase_block`` (phrase, item) pairs. Each block is one pass over the documents, whose hits are
+written before the next block is read, so the driver holds one block at a time, however many there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, join_by_count, stage_table, trimmed
+from .common import BROADCAST_IDS, as_bytes, join_by_count, new_path, stage_table, trimmed
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -106,13 +108,26 @@ def word_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
     return [(int(edge[2 * a]), int(edge[2 * b - 1])) for a, b in spans]
 
 
-def _blocks(phrases: DataFrame, size: int) -> Iterator[Phrases]:
-    """The staged table ``phrases`` in blocks of some ``size`` ids of items, each with its phrase: what the driver holds at once."""
+def _count_blocks(phrases: DataFrame, size: int) -> int:
     entries = phrases.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
-    n = max(1, -(-entries * 5 // (size * 4)))
+    return max(1, -(-entries * 5 // (size * 4)))
+
+
+def _block(phrases: DataFrame, k: int, n: int) -> Phrases:
+    """Block ``k`` of ``n`` of the staged table ``phrases``: what the driver holds at once, some 0.8 x size ids of items, each with its phrase."""
+    rows = phrases.filter(F.pmod(F.xxhash64("phrase", "part"), F.lit(n)) == k).select("phrase", "items").collect()
+    return Phrases(sorted((r["phrase"], r["items"]) for r in rows))
+
+
+def _hits_of_blocks(phrases: DataFrame, n: int, search: Callable[[Broadcast], DataFrame]) -> DataFrame:
+    """The rows that ``search`` gives for each block, written block by block into one folder and read from it."""
+    spark, path, found = phrases.sparkSession, new_path(phrases.sparkSession, "phrase-hits"), None
     for k in range(n):
-        rows = phrases.filter(F.pmod(F.xxhash64("phrase", "part"), F.lit(n)) == k).select("phrase", "items").collect()  # some 0.8 x size ids
-        yield Phrases(sorted((r["phrase"], r["items"]) for r in rows))
+        sent = spark.sparkContext.broadcast(_block(phrases, k, n))
+        found = search(sent)
+        found.write.parquet(f"{path}/block={k}")
+        sent.destroy()
+    return spark.read.schema(found.schema).parquet(*[f"{path}/block={k}" for k in range(n)])
 
 
 def _shards(batch: pa.RecordBatch, column: int, shard_words: int) -> Iterator[tuple[int, list[bytes], list[list[bytes]]]]:
@@ -132,33 +147,40 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     ``items`` are the sorted ids of items with an occurring window, ``spans`` the merged hit word spans [first, last). Null and empty
     texts have no words. An empty benchmark leaves everything clean. Rows with equal ids are reported each for itself.
     """
-    out, blocks = None, 0
-    schema = "id long, row long, n_words long, items array<string>, spans array<struct<first:int,last:int>>"
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    for block in _blocks(stage_table(test_phrases(benchmark, item_col, item_text, window), "phrases"), phrase_block):
+    phrases = stage_table(test_phrases(benchmark, item_col, item_text, window), "phrases")
+    n = _count_blocks(phrases, phrase_block)
 
-        def run(batches: Iterator[pa.RecordBatch], block: Phrases = block) -> Iterator[pa.RecordBatch]:
+    def search(sent: Broadcast, every: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = sent.value
             for batch in trimmed(batches):
                 for start, texts, words in _shards(batch, 2, shard_words):
-                    doc, first, phrase = block.hits(words)
                     items: list[list[str]] = [[] for _ in texts]
                     spans: list[list[dict]] = [[] for _ in texts]
+                    doc, first, phrase = block.hits(words)
                     order = np.argsort(doc, kind="stable")
                     for own in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else ():
                         d = int(doc[own[0]])
                         items[d] = sorted({i for p in set(phrase[own].tolist()) for i in block.items[p]})
                         spans[d] = [{"first": a, "last": b} for a, b in merged(first[own], first[own] + block.lengths[phrase[own]])]
-                    ids, rows = (batch.column(i).slice(start, len(texts)) for i in (0, 1))
-                    yield pa.RecordBatch.from_arrays([ids, rows, pa.array(list(map(len, words)), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span_type)], names=["id", "row", "n_words", "items", "spans"])
-
-        found, blocks = source.mapInArrow(run, schema), blocks + 1
-        out = found if out is None else out.unionByName(found)
-    if blocks > 1:  # each block has a row for each document: put their items and spans together; rows that repeat stay as many
-        sets = [F.flatten(F.collect_set(c)).alias(c) for c in ("items", "spans")]
-        out = out.groupBy("id", "row", "n_words").agg((F.count("*") / blocks).cast("int").alias("n"), *sets)
-        out = out.withColumn("items", F.sort_array(F.array_distinct("items"))).withColumn("spans", _merge_spans(F.sort_array("spans")))
-        out = out.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n"))))
+                    keep = [i for i in range(len(texts)) if every or items[i]]
+                    ids, rows = (batch.column(i).slice(start, len(texts)).take(pa.array(keep, pa.int64())) for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([ids, rows, pa.array([len(words[i]) for i in keep], pa.int64()), pa.array([items[i] for i in keep], pa.list_(pa.string())), pa.array([spans[i] for i in keep], span_type)], names=["id", "row", "n_words", "items", "spans"])
+
+        return source.mapInArrow(run, "id long, row long, n_words long, items array<string>, spans array<struct<first:int,last:int>>")
+
+    out = search(docs.sparkSession.sparkContext.broadcast(_block(phrases, 0, n)), True) if n == 1 else None
+    if n > 1:  # put the hits of the blocks together; documents without any meet none
+        found = _hits_of_blocks(phrases, n, lambda sent: search(sent, False))
+        sets = found.distinct().groupBy(F.col("id").alias("i"), F.col("row").alias("r")).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("items", "spans")])  # a row for each block at most
+        sets = stage_table(sets.select("i", "r", F.sort_array(F.array_distinct("items")).alias("items"), _merge_spans(F.sort_array("spans")).alias("spans")), "phrase-sets")
+        none = Phrases([])
+        plain = search(docs.sparkSession.sparkContext.broadcast(none), True).drop("items", "spans")
+        met = F.broadcast(sets) if sets.count() <= BROADCAST_IDS // 100 else sets
+        joined = plain.join(met, F.col("id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")), "left")
+        out = joined.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in (("items", "array<string>"), ("spans", "array<struct<first:int,last:int>>"))})
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["last"] - x["first"]))
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "spans")
 
@@ -207,12 +229,13 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     """
     at, cut_mark = docs.columns.index(text_col), mark.encode()
     phrases = stage_table(test_phrases(benchmark, item_col, item_text, window), "phrases")
-    blocks = list(_blocks(phrases, phrase_block))
-    if len(blocks) > 1:
-        return _remove_by_rounds(docs, blocks, at, shard_words, cut_mark)
-    block = blocks[0]
+    n = _count_blocks(phrases, phrase_block)
+    if n > 1:
+        return _remove_by_rounds(docs, phrases, n, text_col, shard_words, cut_mark)
+    sent = docs.sparkSession.sparkContext.broadcast(_block(phrases, 0, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
         for batch in trimmed(batches):
             changed: dict[int, bytes] = {}
             for start, texts, words in _shards(batch, at, shard_words):
@@ -230,42 +253,47 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     return docs.mapInArrow(run, docs.schema)
 
 
-def _remove_by_rounds(docs: DataFrame, blocks: list[Phrases], at: int, shard_words: int, mark: bytes) -> DataFrame:
-    """Each block adds its hit spans to a column while the texts stay unchanged; then they are cut, and cut documents go round again."""
-    spans_at = len(docs.columns)
-    spans_type = pa.list_(pa.int32())
-    with_spans = T.StructType([*docs.schema, T.StructField("__spans", T.ArrayType(T.IntegerType()))])
-    with_mark = T.StructType([*docs.schema, T.StructField("__cut", T.BooleanType())])
+def _remove_by_rounds(docs: DataFrame, phrases: DataFrame, n: int, text_col: str, shard_words: int, mark: bytes) -> DataFrame:
+    """All blocks are searched on the unchanged texts, each giving the spans of the rows that it hits; then those rows are cut, and go round again.
+
+    Rows are told apart by numbers that are written with them, as ids may be null or repeat; only rows that are hit meet their spans.
+    """
+    number = "__row"
+    fields = T.StructType([*docs.schema])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, at = len(fields), fields.names.index(text_col)
         for batch in trimmed(batches):
             texts, changed = as_bytes(batch.column(at)), {}
-            for i, spans in enumerate(batch.column(spans_at).to_pylist()):
-                if spans:
-                    ends = np.array(spans).reshape(-1, 2)
-                    changed[i] = _cut(texts[i], ends[:, 0], ends[:, 1], mark)
-            done = _with_texts(batch, at, changed)
-            yield pa.RecordBatch.from_arrays([*done.columns[:spans_at], pa.array([i in changed for i in range(batch.num_rows)], pa.bool_())], names=with_mark.names)
+            for i, spans in enumerate(batch.column(width).to_pylist()):
+                ends = np.array(spans).reshape(-1, 2)
+                changed[i] = _cut(texts[i], ends[:, 0], ends[:, 1], mark)
+            yield pa.RecordBatch.from_arrays(_with_texts(batch, at, changed).columns[:width], names=fields.names)
 
     out, left = None, docs
     while True:
-        found = left.withColumn("__spans", F.array().cast("array<int>"))
-        for block in blocks:
+        left = stage_table(left.withColumn(number, F.monotonically_increasing_id()), "decontaminating")
 
-            def search(batches: Iterator[pa.RecordBatch], block: Phrases = block) -> Iterator[pa.RecordBatch]:
+        def search(sent: Broadcast, left: DataFrame = left) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                block = sent.value
                 for batch in trimmed(batches):
-                    spans = batch.column(spans_at).to_pylist()
-                    for start, _, words in _shards(batch, at, shard_words):
-                        for d, first, last in _hit_words(block, words):
-                            spans[start + d] += [x for span in merged(first, last) for x in span]
-                    yield batch.set_column(spans_at, batch.schema.field(spans_at), pa.array(spans, spans_type).cast(batch.column(spans_at).type))
-
-            found = found.mapInArrow(search, with_spans)
-        done = stage_table(found.mapInArrow(cut, with_mark), "decontaminated")
-        clean, left = (done.filter(c).drop("__cut") for c in ("not __cut", "__cut"))
+                    for start, _, words in _shards(batch, 1, shard_words):
+                        found = [(start + d, [x for span in merged(first, last) for x in span]) for d, first, last in _hit_words(block, words)]
+                        rows = batch.column(0).take(pa.array([d for d, _ in found], pa.int64()))
+                        yield pa.RecordBatch.from_arrays([rows, pa.array([s for _, s in found], pa.list_(pa.int32()))], names=["row", "spans"])
+
+            return left.select(number, text_col).mapInArrow(run, "row long, spans array<int>")
+
+        found = _hits_of_blocks(phrases, n, search)
+        spans = stage_table(found.groupBy(F.col("row").alias(number)).agg(F.flatten(F.collect_list("spans")).alias("__spans")), "decontaminating-spans")  # a row for each block at most
+        hits = spans.count()
+        met = F.broadcast(spans) if hits <= BROADCAST_IDS // 100 else spans
+        clean = left.join(met.select(number), number, "left_anti").select(docs.columns)
         out = clean if out is None else out.unionByName(clean)
-        if left.isEmpty():
+        if not hits:
             return out
+        left = left.join(met, number).select(*docs.columns, "__spans").mapInArrow(cut, fields)
 
 
 def digest(items: "F.Column"):
