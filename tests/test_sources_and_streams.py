@@ -1,9 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from twinframe.sources import annotations as A
+from twinframe.sources import files as V
 from twinframe.sources import tables as T
+from twinframe.sources.positions import aligned, match_report, with_positions
 from twinframe.streaming import ingest
 
 
@@ -49,6 +52,80 @@ def test_annotations_round_trip(spark, tmp_path):
     assert {(r.tier, r.start_s, r.text) for r in got} == want and len(got) == len(want)
 
 
+def test_positions_follow_files_and_blocks(spark, tmp_path):
+    for name, rows in (("b.json", range(300, 340)), ("a.json", range(300)), ("c.json", ())):
+        (tmp_path / name).write_text("".join(json.dumps({"i": i, "t": "x" * (i % 50)}) + "\n" for i in rows))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # many blocks of a file, read in any order
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        read = spark.read.schema("i long, t string").json(f"file://{tmp_path}")
+        assert read.rdd.getNumPartitions() > 4
+        got = with_positions(read).collect()
+        assert {(r.pos, r.i) for r in got} == {(i, i) for i in range(340)} and got[0].__fields__ == ["i", "t", "pos"]
+        assert {r.pos for r in with_positions(read.filter("i % 3 = 0")).collect()} == set(range(114))
+    finally:
+        for k, v in zip(("maxPartitionBytes", "openCostInBytes"), was):
+            spark.conf.set(f"spark.sql.files.{k}", v)
+
+
+def test_releases_by_place(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "pos long, a string, b int")
+    built = frame([(0, "x", 1), (1, "y", None), (2, "z", 3)])
+    assert tuple(match_report(built, built, ["a", "b"]).first()) == (3, 3, 3, 3, None)
+    assert tuple(match_report(built, frame([(0, "x", 1), (1, "z", None)]), ["a", "b"]).first()) == (2, 3, 1, 2, 1)
+    labels = spark.createDataFrame([(i, "xyz"[i], i * 10) for i in range(3)], "pos long, a string, label int")
+    assert sorted(tuple(r) for r in aligned(built, labels, ["a"]).select("pos", "label").collect()) == [(0, 0), (1, 10), (2, 20)]
+    for bad in (labels.filter("pos < 2"), labels.withColumn("a", F.lit("x"))):
+        with pytest.raises(Exception, match="not aligned"):
+            aligned(built, bad, ["a"]).collect()
+
+
+def test_files_against_a_manifest(spark, tmp_path):
+    import hashlib
+
+    root, out = tmp_path / "root", tmp_path / "outside"
+    (root / "deep").mkdir(parents=True)
+    out.mkdir()
+    for path, text in ((root / "a.bin", b"one"), (root / "deep/b c.bin", b"\x00\xfftwo"), (root / "changed.bin", b"now"), (root / "more.bin", b"m"), (out / "secret.bin", b"s")):
+        path.write_bytes(text)
+    (root / "inner.bin").symlink_to(root / "a.bin")
+    (root / "outer.bin").symlink_to(out / "secret.bin")
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    listed = [("a.bin", sha(b"one").upper()), ("./deep/b c.bin", sha(b"\x00\xfftwo")), ("changed.bin", sha(b"then")), ("gone.bin", sha(b"")), ("inner.bin", sha(b"one")), ("outer.bin", sha(b"s")), ("../outside/secret.bin", sha(b"s")), ("/etc/passwd", sha(b"")), ("deep/../a.bin", sha(b"one")), (".", sha(b""))]
+    files = V.hashed_files(spark, f"file://{root}")
+    assert {(r.path, r.size) for r in files.collect()} == {("a.bin", 3), ("deep/b c.bin", 5), ("changed.bin", 3), ("more.bin", 1), ("inner.bin", 3), ("outer.bin", 1)}
+    got = {r.path: r.status for r in V.verify(files, spark.createDataFrame(listed, "path string, sha256 string")).collect()}
+    assert got == {"a.bin": "ok", "./deep/b c.bin": "ok", "changed.bin": "mismatch", "gone.bin": "missing", "inner.bin": "ok", "outer.bin": "unsafe", "../outside/secret.bin": "unsafe", "/etc/passwd": "unsafe", "deep/../a.bin": "unsafe", ".": "unsafe", "more.bin": "extra"}
+
+
+def test_corrections_replace_their_row(spark, tmp_path):
+    """A later reply to a request replaces its row, an older one does not; a batch that runs again changes nothing; buckets without new keys are left alone."""
+    source, target, state = tmp_path / "in", f"file://{tmp_path}/out", str(tmp_path / "cp")
+    source.mkdir()
+
+    def put(name, *replies):
+        (source / name).write_text("\n".join(json.dumps({"request_id": i, "received_at": f"2024-01-0{day}T00:00:00Z", "judge_raw": f'{{"contamination": {c}, "severity": 2, "reasoning": "r"}}' if c in (0, 1) else "broken"}) for i, day, c in replies))
+        ingest.run_upsert(spark, str(source), target, state, buckets=8)
+
+    def rows():
+        return {r.request_id: (r.contamination, r.received_at.day) for r in ingest.read_upserted(spark, target).collect()}
+
+    put("1.json", ("a", 2, 0), ("b", 2, 0), ("c", 2, 0), ("c", 1, 1), ("d", 2, 7))
+    assert rows() == {"a": (0, 2), "b": (0, 2), "c": (0, 2)}
+    put("2.json", ("a", 3, 1), ("b", 1, 1), ("d", 3, 1))
+    want = {"a": (1, 3), "b": (0, 2), "c": (0, 2), "d": (1, 3)}
+    assert rows() == want
+    written = [{int(p.name.partition("=")[2]) for p in tmp_path.glob(f"out/batch={k}/bucket=*")} for k in (0, 1)]
+    assert written[1] == {r.b for r in spark.createDataFrame([("a",), ("b",), ("d",)], "request_id string").select(ingest.bucket_of("request_id", 8).alias("b")).collect()}
+    for lost in (tmp_path / "cp" / "commits").glob("*1*"):
+        lost.unlink()
+    ingest.run_upsert(spark, str(source), target, state, buckets=8)
+    assert rows() == want
+    put("3.json", ("c", 4, 1))
+    assert rows() == want | {"c": (1, 4)}
+
+
 def test_versions_and_results(spark, tmp_path):
     path = str(tmp_path / "t")
     T.write_table(spark.range(3), path, params={"a": 1})

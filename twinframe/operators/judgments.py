@@ -1,4 +1,4 @@
-"""Replies of judges: blinding, requests, lenient and strict parsing, audits."""
+"""Replies of judges: blinding, requests, lenient and strict parsing, checked joins."""
 
 from __future__ import annotations
 
@@ -153,12 +153,3 @@ def validate_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
     joined = left.join(once, keys, "left")
     checked = F.when(F.col("__n").isNull(), F.raise_error(F.lit("no match for a key"))).when(F.col("__n") > 1, F.raise_error(F.lit("a key occurs twice")))
     return joined.filter(F.coalesce(checked.cast("int"), F.lit(1)) == 1).drop("__n")
-
-
-def checksum_audit(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(path, status): ok, mismatch, missing, extra, or unsafe for a manifest path that is absolute or climbs. ``files``: path, content."""
-    found = files.select("path", F.sha2("content", 256).alias("got"))
-    unsafe = F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), "..")
-    both = manifest.select("path", "sha256").join(found, "path", "full_outer")
-    status = F.when(F.col("sha256").isNull(), "extra").when(unsafe, "unsafe").when(F.col("got").isNull(), "missing").when(F.col("got") == F.col("sha256"), "ok").otherwise("mismatch")
-    return both.select("path", status.alias("status"))

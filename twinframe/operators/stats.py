@@ -10,6 +10,7 @@ import math
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,34 @@ def bootstrap_ratio(units: DataFrame, group: list[str], unit: str, top: str, bot
     return point.join(bounds, group) if group else point.crossJoin(bounds)
 
 
+#: Rows of a group whose interval is drawn with numpy's own generator.
+EXACT_ROWS = 1_000_000
+
+
+def numpy_interval(df: DataFrame, group: list[str], value: Column, order: list[str], replicates: int = 2000, seed: int = 0, alpha: float = 0.05, scale: float = 100.0, most: int = EXACT_ROWS) -> DataFrame:
+    """(group, n, estimate, ci_low, ci_high): the percentile interval of a mean as numpy draws it, for comparison with published tables.
+
+    The values of a group, times ``scale``, stand in the order of ``order`` (which has to tell rows apart), and a replicate takes the next n numbers of ``numpy.random.default_rng(seed)``
+    .integers(0, n). A group meets in one task, which draws in blocks of replicates of some 8 MB; one of over ``most`` rows is an
+    error, as ``mean_interval`` has no such bound. Null values take no part; a group without any gives no row.
+    """
+    rows = df.select(*group, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], value.cast("double").alias("__v")).filter("__v is not null")
+    kinds = ", ".join([*[f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in group], "n long, estimate double, ci_low double, ci_high double"])
+    places = [f"__o{i}" for i in range(len(order))]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) > most:
+            raise ValueError(f"a group of over {most} rows: use mean_interval")
+        x = part.sort_values(places, kind="stable")["__v"].to_numpy() * scale
+        rng, n = np.random.default_rng(seed), len(x)
+        block = max(1, 1_000_000 // n)
+        means = np.concatenate([x[rng.integers(0, n, size=(min(block, replicates - at), n))].mean(axis=1) for at in range(0, replicates, block)])
+        low, high = np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])
+        return pd.DataFrame([[*[part[g].iloc[0] for g in group], n, x.mean(), low, high]], columns=[*group, "n", "estimate", "ci_low", "ci_high"])
+
+    return rows.groupBy(*group).applyInPandas(run, kinds)
+
+
 def dealt_unit(keys: list[str], units: int = 500) -> Column:
     """The unit of a row, by the hash of ``keys``."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("bigint"), F.lit(units))
@@ -162,22 +191,41 @@ def kappa(n11: Column, n10: Column, n01: Column, n00: Column) -> tuple[Column, C
     return F.round(100 * seen, 6), F.round(F.when(chance < 1, (seen - chance) / (1 - chance)), 6)
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], weight: str | None = None, out: str = "last", buckets: int = 64) -> DataFrame:
+def bucketed(df: DataFrame, by: list[str], value: str, buckets: int = 64, out: str = "__b") -> DataFrame:
+    """Add the bucket (from 0, in order) of a number that isn't null within ``by``: edges are approximate quantiles of the rows, so buckets are even however skewed the values.
+
+    Rows with equal values share a bucket.
+    """
+    lead = F.col(value).cast("double")
+    cuts = F.percentile_approx(lead, [(i + 1) / buckets for i in range(buckets - 1)], 10 * buckets)
+    edges = df.groupBy(*by).agg(cuts.alias("__edges"))
+    joined = df.join(edges, by) if by else df.crossJoin(F.broadcast(edges))  # one row
+    # Binary search: which of the sorted edges is the first not below the value.
+    steps = F.sequence(F.lit(1), F.lit(buckets.bit_length()))
+    start = F.struct(F.lit(0).alias("lo"), F.size("__edges").alias("hi"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        below = F.try_element_at("__edges", middle + 1) < lead
+        return F.struct(F.when((at["lo"] < at["hi"]) & below, middle + 1).otherwise(at["lo"]).alias("lo"), F.when((at["lo"] < at["hi"]) & ~below, middle).otherwise(at["hi"]).alias("hi"))
+
+    return joined.withColumn(out, F.aggregate(steps, start, halve, lambda at: at["lo"])).drop("__edges")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], weight: str | None = None, out: str = "last", buckets: int = 64, bucket: str | None = None) -> DataFrame:
     """Add to each row the running sum of ``weight`` (1 without one) in the order of ``order`` within ``by``, and the sum of all as ``out``_all.
 
-    The first order column is a number (not null). Rows are bucketed by its value between the group's least and greatest, so no task
-    sorts a whole group unless its values crowd together; sums of at most ``buckets`` buckets a group give the offsets.
+    The first order column is a number (not null). Rows are bucketed by its quantiles, so no task sorts a whole group unless a third of its rows are
+    one value; sums of at most ``buckets`` buckets a group give the offsets. ``bucket``: keep the bucket's number under this name.
     """
-    lead, w = F.col(order[0]).cast("double"), F.col(weight) if weight else F.lit(1).cast("long")
-    span = df.groupBy(*by).agg(F.min(lead).alias("__lo"), F.max(lead).alias("__hi"))
-    joined = df.join(span, by) if by else df.crossJoin(F.broadcast(span))  # one row
-    cell = F.floor(F.try_divide(lead - F.col("__lo"), F.col("__hi") - F.col("__lo")) * buckets)
-    cut = joined.withColumn("__b", F.least(F.coalesce(cell, F.lit(0)), F.lit(buckets - 1)).cast("int")).withColumn("__w", w)
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    cut = bucketed(df, by, order[0], buckets).withColumn("__w", w)
     sums = cut.groupBy(*by, "__b").agg(F.sum("__w").alias("__s"))
     own = Window.partitionBy(*by)
     base = sums.select(*by, "__b", (F.sum("__s").over(own.orderBy("__b")) - F.col("__s")).alias("__base"), F.sum("__s").over(own).alias(f"{out}_all"))
     inside = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return cut.join(base, [*by, "__b"]).withColumn(out, F.col("__base") + F.sum("__w").over(inside)).drop("__lo", "__hi", "__b", "__w", "__base")
+    made = cut.join(base, [*by, "__b"]).withColumn(out, F.col("__base") + F.sum("__w").over(inside)).drop("__w", "__base")
+    return made.withColumnRenamed("__b", bucket) if bucket else made.drop("__b")
 
 
 def value_ranks(df: DataFrame, by: list[str], value: str, count: str | None = None) -> DataFrame:
@@ -229,14 +277,14 @@ def benjamini_hochberg(df: DataFrame, p: str, order: list[str] = (), by: list[st
 
     Only distinct p-values are ordered, in buckets: the least p n / rank from a bucket on is carried over its lesser buckets.
     """
-    by, buckets = list(by), 256
-    run = numbered(df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__c")), by, [p], "__c", "__r")
-    cut = run.withColumn("__v", F.col(p) * F.col("__r_all") / F.col("__r")).withColumn("__b", F.floor(F.col(p) * buckets))
-    later = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    carried = cut.groupBy(*by, "__b").agg(F.min("__v").alias("__m")).select(*by, "__b", F.min("__m").over(later).alias("__m"))
-    inside = Window.partitionBy(*by, "__b").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by = list(by)
+    run = numbered(df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__c")), by, [p], "__c", "__r", 256, "__k")
+    cut = run.withColumn("__v", F.col(p) * F.col("__r_all") / F.col("__r"))
+    later = Window.partitionBy(*by).orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy(*by, "__k").agg(F.min("__v").alias("__m")).select(*by, "__k", F.min("__m").over(later).alias("__m"))
+    inside = Window.partitionBy(*by, "__k").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     q = F.least(F.min("__v").over(inside), F.coalesce("__m", F.lit(1.0)), F.lit(1.0))
-    done = cut.join(carried, [*by, "__b"]).select(*by, p, F.greatest(q, F.lit(0.0)).alias(out))
+    done = cut.join(carried, [*by, "__k"]).select(*by, p, F.greatest(q, F.lit(0.0)).alias(out))
     return df.join(done, [*by, p], "left").select(*df.columns, out)
 
 

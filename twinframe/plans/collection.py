@@ -9,6 +9,9 @@ from twinframe.functions import text as X
 from twinframe.operators import judgments as J
 from twinframe.operators import planning as G
 from twinframe.operators import stats as S
+from twinframe.sources import files as V
+from twinframe.sources import tables as store
+from twinframe.sources.positions import match_report, with_positions
 from twinframe.streaming import ingest
 
 from .intervals import replicates_sql, t_table_sql
@@ -148,12 +151,20 @@ def _pairs(spark, d):
     return G.assemble_pairs(plan, recorded, "conv_id", "code", "text")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (d.lang = x.lang) AS same_lang, count(*) FILTER (d.source = x.source) AS same_source, count(*) FILTER (length(d.text) = x.n_chars) AS same_length FROM documents d JOIN documents x ON x.doc_id = d.doc_id + 1")
+_PLACED = """WITH b AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, lang, source, n_chars FROM documents),
+    r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, lang, source, CASE WHEN doc_id % 10 = 3 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id <> 17)"""
+
+
+@query(f"{_PLACED} SELECT count(r.pos) AS n_release, count(b.pos) AS n_built, count(*) FILTER (b.lang = r.lang) AS lang, count(*) FILTER (b.source = r.source) AS source, count(*) FILTER (b.n_chars = r.n_chars) AS n_chars, min(coalesce(b.pos, r.pos)) FILTER (NOT coalesce(b.lang = r.lang AND b.source = r.source AND b.n_chars = r.n_chars, false)) AS first_difference FROM b FULL JOIN r ON b.pos = r.pos")
 def field_match_audit(spark, d):
-    docs = table(spark, d, "documents")
-    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("l"), F.col("source").alias("s"), "n_chars")
-    joined = docs.select("doc_id", "lang", "source", F.length("text").alias("size")).join(other, "doc_id")
-    return joined.agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("l")).alias("same_lang"), F.count_if(F.col("source") == F.col("s")).alias("same_source"), F.count_if(F.col("size") == F.col("n_chars")).alias("same_length"))
+    """A release against the built table, field by field at the same place of two written files; the release lacks a row, so all later ones are shifted."""
+    docs, path = table(spark, d, "documents"), store.scratch(spark, "labels")
+    fields = ["lang", "source", "n_chars"]
+    docs.select("doc_id", *fields).orderBy("doc_id").select(fields).write.json(f"{path}/built")
+    changed = F.when(F.col("doc_id") % 10 == 3, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars")
+    docs.filter("doc_id <> 17").select("doc_id", "lang", "source", changed).orderBy("doc_id").select(fields).write.json(f"{path}/release")
+    built, release = (with_positions(spark.read.schema("lang string, source string, n_chars long").json(f"{path}/{n}")) for n in ("built", "release"))
+    return match_report(built, release, fields)
 
 
 _LEVEL = "SELECT lang, k // 1000 AS k, sum(n) AS n, md5(string_agg(h, ',' ORDER BY k)) AS h FROM ({}) GROUP BY lang, k // 1000"
@@ -175,14 +186,23 @@ def fingerprint_unordered(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.bit_xor(h).alias("fingerprint"))
 
 
-@query("SELECT CAST(page_id AS VARCHAR) || '.html' AS path, CASE page_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'extra' ELSE 'ok' END AS status FROM pages UNION ALL SELECT '../' || CAST(page_id AS VARCHAR), 'unsafe' FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT 'gone/' || CAST(page_id AS VARCHAR), 'missing' FROM pages WHERE page_id % 5 = 1")
+#: Pages go to files of so many buckets; a file holds the hashes of its pages, so that SQL can say what is in it.
+_FILES = """SELECT b, string_agg(h, chr(10) ORDER BY h) || chr(10) AS content FROM (SELECT CAST(('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 2)) AS INT) AS b, md5(concat(CAST(page_id AS VARCHAR), '|', html)) AS h FROM pages) GROUP BY b"""
+
+
+@query(f"WITH f AS ({_FILES}) SELECT 'bucket=' || CAST(b AS VARCHAR) AS path, sha256(content) AS sha256, CAST(length(content) AS BIGINT) AS size, CASE b % 5 WHEN 1 THEN 'mismatch' WHEN 2 THEN 'extra' ELSE 'ok' END AS status FROM f UNION ALL SELECT '../' || CAST(b AS VARCHAR), NULL, NULL, 'unsafe' FROM f WHERE b % 5 = 0 UNION ALL SELECT 'gone/' || CAST(b AS VARCHAR), NULL, NULL, 'missing' FROM f WHERE b % 5 = 1")
 def checksum_audit(spark, d):
-    pages = table(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
-    name, kind = F.col("page_id").cast("string"), F.col("page_id") % 5
-    good = F.sha2(F.when(kind == 1, F.concat("content", F.lit(b"x"))).otherwise(F.col("content")), 256)
-    listed = pages.filter(kind != 2).select(F.concat(name, F.lit(".html")).alias("path"), good.alias("sha256"))
-    odd = pages.filter(kind <= 1).select(F.concat(F.when(kind == 0, "../").otherwise("gone/"), name).alias("path"), F.lit("0").alias("sha256"))
-    return J.checksum_audit(pages.select(F.concat(name, F.lit(".html")).alias("path"), "content"), listed.unionByName(odd))
+    """Written files against a manifest that has some of them wrong, lacks some, and lists some that aren't there or may not be."""
+    path = store.scratch(spark, "release")
+    pages = table(spark, d, "pages").select(F.conv(F.substring(F.md5(F.col("page_id").cast("string")), 1, 2), 16, 10).cast("int").alias("bucket"), F.md5(F.concat(F.col("page_id").cast("string"), F.lit("|"), "html")).alias("h"))
+    # Sorted by bucket and hash, each bucket's rows are one file of one task.
+    pages.repartition("bucket").sortWithinPartitions("bucket", "h").select("bucket", F.col("h").alias("value")).write.partitionBy("bucket").text(path)
+    found = V.hashed_files(spark, path, "part-*").withColumn("path", F.regexp_extract("path", "^[^/]+", 0))
+    number = F.regexp_extract("path", "[0-9]+", 0).cast("int")
+    listed = found.filter(number % 5 != 2).select("path", F.when(number % 5 == 1, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    odd = found.filter(number % 5 <= 1).select(F.concat(F.when(number % 5 == 0, "../").otherwise("gone/"), number.cast("string")).alias("path"), F.lit("0").alias("sha256"))
+    done = V.verify(found, listed.unionByName(odd))
+    return done.join(found.select("path", "sha256", "size"), "path", "left").select("path", "sha256", "size", "status")
 
 
 _NORM = "trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9 ]', '', 'g'))"

@@ -215,3 +215,15 @@ def stream_ingest(spark, d):
     view(spark, d, "judge_raw").select(F.col("event_id").cast("string").alias("request_id"), F.col("ts").alias("received_at"), "judge_raw").write.json(folder)
     ingest.run_ingest(spark, folder, target, store.scratch(spark, "ingest-checkpoint"))
     return spark.read.parquet(target).select("request_id", "contamination", "severity", "repaired")
+
+
+@query(twin("judge_raw", f"SELECT CAST(user_id AS VARCHAR) AS request_id, contamination, severity, repaired FROM (SELECT * FROM ({_STRICT}) WHERE NOT parse_error QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, contamination DESC, severity DESC, repaired DESC) = 1)"))
+def stream_upsert(spark, d):
+    """Replies in two lots of files through the keyed ingest: each user's newest good reply, the second lot replacing rows of the first."""
+    folder, target, state = (store.scratch(spark, n) for n in ("replies", "upserted", "upsert-checkpoint"))
+    replies = view(spark, d, "judge_raw").select(F.col("user_id").cast("string").alias("request_id"), F.col("ts").alias("received_at"), "judge_raw", F.col("event_id") % 2 == 0)
+    half = replies.columns[-1]
+    for lot in (True, False):
+        replies.filter(F.col(half) == lot).drop(half).write.mode("append").json(folder)
+        ingest.run_upsert(spark, folder, target, state)
+    return ingest.read_upserted(spark, target).select("request_id", "contamination", "severity", "repaired")

@@ -80,6 +80,13 @@ def bootstrap_ci(spark, d):
     return S.bootstrap_ratio(rows, ["model"], "item_id", "v", "one", seed=5)
 
 
+@query()
+def numpy_intervals(spark, d):
+    """The contrast of each model and distractor with numpy's own draws. No twin: SQL has no such generator; tested against numpy."""
+    keys = ["source_dataset", "item_id"]
+    return S.numpy_interval(view(spark, d, "pairs"), ["model", "distractor_type"], F.col("c1") - F.col("c0"), keys)
+
+
 _RHO_P = "CASE WHEN n > 2 THEN CASE WHEN abs(rho) >= 1 THEN 0.0 ELSE " + tail_sql("(rho*sqrt((n-2)/(1-rho*rho)))", "(n-2)") + " END END"
 
 
