@@ -13,9 +13,3 @@ def test_sections_lines_and_classes(spark):
     texts = ["recorded in Family History", "a tangential remark in family history", "nothing", None]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(N.classify(F.col("t")).alias("c")).collect()
     assert [r.c for r in got] == ["family_history_inflation", "pathologised_conversation", "other", "other"]
-
-
-def test_keyword_score(spark):
-    words = ["chest", "pain", "cough", "headache", "tablet"]
-    rows = spark.createDataFrame([("Chest pain and a cough, headaches, no tablets, thank you",), ("thank you, see you next week",)], "t string")
-    assert [r.n for r in rows.select(N.keyword_score(F.col("t"), words).alias("n")).collect()] == [5, 0]

@@ -126,6 +126,13 @@ def test_upsert_and_resume(spark):
     assert {r.k for r in P.resume(base, done, ["k"], failed=F.col("note") == "new").collect()} == {1}
 
 
+def test_one_to_one_merge(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string"), spark.createDataFrame([(2, 5), (3, 6)], "k int, w int")
+    assert sorted(map(tuple, P.merge_one_to_one([a, b], ["k"]).collect())) == [(1, "x", None), (2, None, 5), (3, None, 6)]
+    with pytest.raises(Exception, match="a key occurs twice: 2"):
+        P.merge_one_to_one([a, b.union(b.filter("k = 2"))], ["k"]).collect()
+
+
 def test_checked_join(spark):
     left, right = spark.createDataFrame([(1,), (1,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string")
     assert J.validate_join(left, right, ["k"]).count() == 2

@@ -17,16 +17,6 @@ def request_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 40)
 
 
-def render(template: str, **columns: Column) -> Column:
-    """A template with ``{name}`` fields filled from columns; null shows as nothing."""
-    out, rest = [], template
-    while "{" in rest:
-        before, _, rest = rest.partition("{")
-        name, _, rest = rest.partition("}")
-        out += [F.lit(before), F.coalesce(columns[name].cast("string"), F.lit(""))]
-    return F.concat(*out, F.lit(rest))
-
-
 #: A key that no reply has: it shows that a text ended where its JSON value did. A reply that has this character counts as no JSON.
 _END = "\ue000"
 

@@ -50,12 +50,28 @@ TAXONOMY = [
 ]
 
 
+#: What an inserted exchange may not say.
+REDIRECT = r"(?i)\b(back to (you|your|the visit|where we were)|let'?s get back|anyway,? (so|about) your|returning to)\b"
+FORBIDDEN = (
+    r"(?i)\b(contagious|caught|catch(ing)?|exposed|exposure|spread(ing)?|infect\w*|genetic|hereditary|runs in (the|our|my) family|me too|same thing|"
+    r"should I|do I need|could I have|worried (that )?I|I (have|had|get|got|feel|felt)( a| an| the| some| my| that)? [a-z]* ?(pain|ache|sore|symptom|flare|swelling|numb|stiff))\b"
+)
+BODY = r"(?i)\b(my|our) (own )?(knee|shoulder|wrist|back|ankle|elbow|foot|feet|heel|neck|tonsils|appendix|hand|hip|chest|heart|stomach|belly|gut|head|eye|ear|throat|skin|bladder|kidney|thyroid|nose|sinus|lung|breathing|blood pressure|sugar|period|pregnancy|mood|sleep|nerve|migraine|headache)s?\b"
+CLAIM = r"(?i)\b(i|i'm|i've|i have|i had)\b[^.]{0,30}\b(stroke|cancer|lupus|migraine|concussion|arrhythmia|vertigo|hysteria|delirium|tremor|outbreak|shock|fractur\w*)\b"
+#: Groups of engines by substrings of their lower-case names, first match wins; any other is general.
+ENGINE_GROUPS = [(1, "gpt|o1|o3|o4|claude|gemini", "Proprietary"), (2, "med|meerkat|ultramedical", "Open-weight, medical")]
+
+
 def classify(text: Column, rules: list[tuple[str, str]] = TAXONOMY, default: str = "other") -> Column:
     """The first rule whose pattern occurs in the lower-cased text. Null counts as empty."""
     low = F.lower(F.coalesce(text, F.lit("")))
     return F.coalesce(*[F.when(low.rlike(p), F.lit(n)) for n, p in rules], F.lit(default))
 
 
+#: The ends of lines that text readers know.
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+
+
 def _strip(line: Column) -> Column:
     return F.regexp_replace(line, r"^\s+|\s+\z", "")
 
@@ -97,12 +113,6 @@ def frozen(rows: DataFrame, saved: DataFrame, keys: list[str], flags: list[str])
     return checked.withColumns({f: F.col(f).cast("boolean") for f in flags}).drop("__n", "__row")
 
 
-def keyword_score(text: Column, words: list[str]) -> Column:
-    """How many tokens are keywords, as they are or without a final s; each token counts once."""
-    known = F.array(*map(F.lit, words)).cast("array<string>")
-    return F.size(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda t: F.array_contains(known, t) | (t.endswith("s") & F.array_contains(known, F.substring(t, F.lit(1), F.length(t) - 1)))))
-
-
 @dataclass
 class AsideRules:
     """What an inserted exchange may not have: patterns, and prefixes of lines. Patterns that ignore case say so."""
@@ -127,7 +137,7 @@ def _starts(line: Column, prefixes: tuple[str, ...]) -> Column:
 
 def failing_rule(text: Column, stems: Column, bystander: Column, rules: AsideRules) -> Column:
     """The first rule that an exchange breaks, or null. A bystander's exchange may not name the speaker's own body, another may not claim the condition."""
-    lines = F.filter(F.transform(F.split(text, "\n"), _strip), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, LINE_END), _strip), lambda x: x != "")
     own = F.filter(lines, lambda x: _starts(F.lower(x), rules.patient))
     low = F.lower(text)
     return F.coalesce(

@@ -57,6 +57,18 @@ def join_audit(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def merge_one_to_one(sides: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Full outer join of tables that have each key once: a key that is twice in one of them is an error when it is met."""
+    out = None
+    for side in sides:
+        values = [c for c in side.columns if c not in keys]
+        once = side.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in values])
+        twice = F.raise_error(F.concat(F.lit("a key occurs twice: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))).cast("boolean")
+        checked = once.filter(F.when(F.col("__n") > 1, twice).otherwise(F.lit(True))).drop("__n")
+        out = checked if out is None else out.join(checked, keys, "full_outer")
+    return out
+
+
 def resume(todo: DataFrame, done: DataFrame, keys: list[str], failed: Column | None = None) -> DataFrame:
     """Rows of ``todo`` whose key has no successful row in ``done``."""
     ready = done if failed is None else done.filter(~F.coalesce(failed, F.lit(False)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,12 +80,6 @@ def assemble_pairs(plan: DataFrame, transcripts: DataFrame, item: str, code: str
     return joined.filter(~no_clean & ~no_mixed), audit
 
 
-def balanced(k: Column, slots: int, pool: Callable[[Column], Column]) -> tuple[Column, Column]:
-    """The slot of item ``k`` (from 0) in a round of ``slots``, and its place in a pool whose size depends on the slot."""
-    slot = (k % slots).cast("long")
-    return slot, ((F.floor(k / slots) + k) % pool(slot)).cast("long")
-
-
 def assemble_transcripts(items: DataFrame, streams: list[DataFrame], item: str) -> DataFrame:
     """(item, transcript, n, seconds): the streams (item, speaker, start_s, end_s, text) as ``speaker: text`` lines in start order.
 

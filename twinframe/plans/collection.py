@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from twinframe.functions import text as X
 from twinframe.operators import judgments as J
 from twinframe.operators import planning as G
+from twinframe.operators import rules as R
 from twinframe.operators import stats as S
 from twinframe.sources import files as V
 from twinframe.sources import tables as store
@@ -27,13 +30,36 @@ def blind_order(spark, d):
     return view(spark, d, "pairs").select(*keys, J.blind_order(*map(F.col, keys), seed=7).alias("clean_first"))
 
 
-_PROMPT = "Item {item}: compare the notes of {model} ({kind}). Answer in JSON."
+#: A template for each kind of request.
+TEMPLATES = [
+    ("note", "Write a note.\n\nTranscript:\n{transcript}\n\nNote:"),
+    ("paired", "## Encounter\n{transcript}\n## Inserted\n{inserted}\n## A\n{note_a}\n## B\n{note_b}\nAnswer with {{\"a\": <0 or 1>, \"b\": <0 or 1>}}"),
+    ("single", "## Encounter\n{transcript}\n## Note\n{note_a}\n## Inserted\n{inserted}\nAnswer with {{\"contamination\": <0 or 1>}}"),
+    ("control", "## Encounter\n{transcript}\n## Note\n{note_a}\nAnswer with {{\"contamination\": <0 or 1>}}"),
+    ("quality", "## Encounter\n{transcript}\n## Note\n{note_a}\n## Reference\n{reference}\nAnswer with {{\"overall_quality\": <1-5>}}"),
+    ("attribution", "## Inserted\n{inserted}\n## Note\n{note_a}\nAnswer with {{\"attribution\": \"<patient|correct|absent>\"}}"),
+]
+_ASKED = "SELECT conv_id, ['note', 'paired', 'single', 'control', 'quality', 'attribution'][CAST(1 + conv_id % 6 AS INT)] AS kind, transcript, distractor_summary AS inserted, concat('note of ', CAST(conv_id AS VARCHAR)) AS note_a, concat('other of ', CAST(conv_id AS VARCHAR)) AS note_b, CASE WHEN conv_id % 4 = 0 THEN NULL ELSE distractor_conversation END AS reference FROM dialogues JOIN insertions USING (conv_id)"
+
+
+def _filled(template: str) -> str:
+    parts = re.split(r"\{([a-z_]+)\}", template.replace("{{", "\x01").replace("}}", "\x02"))
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\x01", "{").replace("\x02", "}").replace("\n", "' || chr(10) || '") + "'"
+    return "(" + " || ".join(f"coalesce({p}, '')" if i % 2 else quoted(p) for i, p in enumerate(parts)) + ")"
+
+
+_RENDERED = "CASE kind " + " ".join(f"WHEN '{k}' THEN {_filled(t)}" for k, t in TEMPLATES) + " END"
 
 
-@query(twin("pairs", "SELECT substr(sha256(concat_ws(chr(31), model, prompt)), 1, 40) AS request_id, model, prompt, 64 AS max_tokens FROM (SELECT model, concat('Item ', item_id, ': compare the notes of ', model, ' (', distractor_type, '). Answer in JSON.') AS prompt FROM pairs)"))
+@query(twin("dialogues insertions", f"SELECT conv_id, kind, prompt, substr(sha256(concat_ws(chr(31), kind, prompt)), 1, 40) AS request_id FROM (SELECT conv_id, kind, {_RENDERED} AS prompt FROM ({_ASKED}))"))
 def render_requests(spark, d):
-    rows = view(spark, d, "pairs").select("model", J.render(_PROMPT, item=F.col("item_id"), model=F.col("model"), kind=F.col("distractor_type")).alias("prompt"))
-    return rows.select(J.request_id(F.col("model"), F.col("prompt")).alias("request_id"), "model", "prompt", F.lit(64).alias("max_tokens"))
+    """Requests of six kinds from a table of templates; equal requests have equal ids."""
+    kinds = F.element_at(F.array(*[F.lit(k) for k, _ in TEMPLATES]), (1 + F.col("conv_id") % 6).cast("int"))
+    named = lambda n: F.concat(F.lit(f"{n} of "), F.col("conv_id").cast("string"))
+    rows = view(spark, d, "dialogues").join(view(spark, d, "insertions"), "conv_id")
+    rows = rows.select("conv_id", kinds.alias("kind"), "transcript", F.col("distractor_summary").alias("inserted"), named("note").alias("note_a"), named("other").alias("note_b"), F.when(F.col("conv_id") % 4 != 0, F.col("distractor_conversation")).alias("reference"))
+    made = R.rendered(rows, spark.createDataFrame(TEMPLATES, "kind string, template string"))
+    return made.select("conv_id", "kind", "prompt", J.request_id(F.col("kind"), F.col("prompt")).alias("request_id"))
 
 
 @query(twin("dialogues", "SELECT conv_id, substr(sha256(transcript), 1, 40) AS input_hash, base64(encode('conv|' || CAST(conv_id AS VARCHAR))) AS custom_id FROM dialogues"))

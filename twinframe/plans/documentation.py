@@ -251,7 +251,7 @@ def judge_merge(spark, d):
     keys = [*P.KEYS, "condition"]
     rows = view(spark, d, "judgments")
     a, b = (rows.filter(f"model <> '{m}'").select(*keys, c) for m, c in (("m1", "contamination"), ("m2", "contamination_b")))
-    merged = a.join(b, keys, "full_outer").groupBy("model", "condition")
+    merged = P.merge_one_to_one([a, b], keys).groupBy("model", "condition")
     return merged.agg(F.count("*").alias("n"), F.count("contamination").alias("n_a"), F.count("contamination_b").alias("n_b"), F.sum("contamination").alias("hits_a"), F.sum("contamination_b").alias("hits_b"))
 
 

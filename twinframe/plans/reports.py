@@ -152,6 +152,40 @@ def csv_scan(spark, d):
     return store.read_csv(spark, path, _DOCS, F.col("lang") == "en")
 
 
+@query("SELECT CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'train' WHEN 'de' THEN 'validation' END AS split, lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY ALL")
+def split_scan(spark, d):
+    """Files of several splits in one read, each row with its file's split; a file without a split has none."""
+    path = store.scratch(spark, "splits")
+    table(spark, d, "documents").select("doc_id", "text", "lang", F.col("lang").alias("file")).write.partitionBy("file").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    rows = store.read_splits(spark, [path], {"file=en": "train", "file=fr": "train", "file=de": "validation"}, "doc_id long, text string, lang string", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    return rows.groupBy("split", "lang").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query("SELECT 2 AS n_versions, count(*) AS n_rows, true AS refused FROM documents")
+def frozen_outputs(spark, d):
+    """A result that is there is never written over: the second write is refused, and the first stays."""
+    from pyspark.errors import AnalysisException
+
+    path, refused = store.scratch(spark, "frozen"), False
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    store.write_results(docs, path)
+    try:
+        store.write_results(docs.filter("doc_id < 0"), path)
+    except AnalysisException as e:
+        refused = "PATH_ALREADY_EXISTS" in str(e)
+    for _ in range(2):  # while a versioned table takes another version
+        store.write_table(docs, f"{path}-table")
+    n = store.manifest(spark, f"{path}-table").count()
+    return spark.read.schema("doc_id long, n_chars long").option("header", True).csv(path).agg(F.lit(n).alias("n_versions"), F.count("*").alias("n_rows")).withColumn("refused", F.lit(refused))
+
+
+@query(f"SELECT doc_id, replace(translate(t, '{chr(0x2018)}{chr(0x2019)}{chr(0x201C)}{chr(0x201D)}{chr(0x2013)}{chr(0x2014)}{chr(0x2011)}{chr(0xA0)}', chr(39) || chr(39) || '\"\"--- '), '{chr(0x2026)}', '...') AS plain FROM (SELECT doc_id, concat('{chr(0x201C)}', replace(text, '. ', '{chr(0x2026)} '), '{chr(0x201D)}{chr(0xA0)}{chr(0x2014)}{chr(0x2013)}it{chr(0x2019)}s') AS t FROM documents)")
+def ascii_fold(spark, d):
+    """Texts with typographic marks, with plain ones in their place."""
+    marked = F.concat(F.lit(chr(0x201C)), F.replace("text", F.lit(". "), F.lit(chr(0x2026) + " ")), F.lit(f"{chr(0x201D)}{chr(0xA0)}{chr(0x2014)}{chr(0x2013)}it{chr(0x2019)}s"))
+    return table(spark, d, "documents").select("doc_id", X.ascii_fold(marked).alias("plain"))
+
+
 @query("SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def tree_scan(spark, d):
     """A folder tree with the key in its paths."""

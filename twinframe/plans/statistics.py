@@ -54,11 +54,20 @@ def intervention_contrast(spark, d):
     return cells.withColumn("p", F.round(S.mcnemar(F.col("b01"), F.col("b10")), 6)).join(interval, ["model", "arm"])
 
 
-@query(twin("item_arms", f"SELECT model, count(*) FILTER (h) AS n_heldout, count(*) AS n_all, round(100*(avg(CAST(a AS DOUBLE)) FILTER (h) - avg(CAST(b AS DOUBLE)) FILTER (h)), 6) AS drop_heldout, round(100*avg(CAST(a-b AS DOUBLE)), 6) AS drop_all FROM (SELECT *, item_id % 10 = 0 AS h FROM ({_VECTORS})) GROUP BY model"))
+_BASE_LONG = f"SELECT *, CAST(item_id % 10 = 0 AS INT) AS heldout FROM (SELECT model, item_id, distractor, x, y FROM ({_VECTORS}), LATERAL (VALUES ('interference', a, b), ('random', a, c)) s(distractor, x, y))"
+_BASE_PARTS = "SELECT 'heldout' AS part, model, distractor, item_id, x, y FROM l WHERE heldout = 1 UNION ALL SELECT 'all', model, distractor, item_id, x, y FROM l"
+
+
+@query(twin("item_arms", f"WITH l AS ({_BASE_LONG}), p AS ({_BASE_PARTS}), t AS (SELECT model, distractor, part, {_PAIRED}, count(*) FILTER (x=0 AND y=1) AS b01, count(*) FILTER (x=1 AND y=0) AS b10 FROM p GROUP BY ALL) SELECT *, round({_MCNEMAR}, 6) AS p FROM t JOIN ({bounds_sql(sums_sql('SELECT * FROM p', 'model, distractor, part', 'x-y', 'item_id'), 'model, distractor, part')}) USING (model, distractor, part)"))
 def baseline_drop(spark, d):
-    held = F.col("item_id") % 10 == 0
-    gap = F.col("none") - F.col("interference")
-    return arms(spark, d).groupBy("model").agg(F.count_if(held).alias("n_heldout"), F.count("*").alias("n_all"), T.pct(F.when(held, gap)).alias("drop_heldout"), T.pct(gap).alias("drop_all"))
+    """The baseline of each model and distractor, on held-out items and on all: accuracies, paired loss, its standard error, interval and exact p."""
+    by = ["model", "distractor", "part"]
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("distractor"), F.col(n).alias("y")) for n in ("interference", "random")])).alias("s")
+    parts = F.explode(F.when(F.col("item_id") % 10 == 0, F.array(F.lit("heldout"), F.lit("all"))).otherwise(F.array(F.lit("all")))).alias("part")
+    long = arms(spark, d).select("model", "item_id", F.col("none").alias("x"), sides).select("model", "item_id", "x", "s.*", parts)
+    cells = long.groupBy(*by).agg(*S.paired_difference(F.col("x"), F.col("y")), F.count_if(F.expr("x = 0 and y = 1")).alias("b01"), F.count_if(F.expr("x = 1 and y = 0")).alias("b10"))
+    interval = S.mean_interval(S.dealt_sums(long, by, F.col("x") - F.col("y"), ["item_id"]), by, 100.0)
+    return cells.withColumn("p", F.round(S.mcnemar(F.col("b01"), F.col("b10")), 6)).join(interval, by)
 
 
 _CLUSTERS = "SELECT model, distractor_type, item_id, sum(CAST(c1-c0 AS DOUBLE)) AS total, CAST(count(c1-c0) AS DOUBLE) AS n FROM pairs GROUP BY ALL"

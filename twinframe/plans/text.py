@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from twinframe.functions import text as X
 from twinframe.operators import notes as N
 from twinframe.operators import planning as G
+from twinframe.operators import rules as R
 from twinframe.operators import stats as S
 from twinframe.operators import tables as T
 from twinframe.sources import annotations as A
@@ -94,15 +95,16 @@ def wer(spark, d):
     return view(spark, d, "leak_pairs").select("doc_id", F.round(X.wer(tokens("clean_transcript"), tokens("segment_text")), 6).alias("wer"))
 
 
-_LEXICON = [("the", 1), ("and", 1), ("tion", 2), ("anner", 3), ("erhe", 3)]
+#: A lexicon of the benchmark's own words: those of seven letters or more, weighted by their length.
+_LEX = "SELECT word, CAST(length(word) - 6 AS BIGINT) AS w FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) WHERE length(word) >= 7"
 
 
-@query("WITH lex(w, s) AS (VALUES ('the',1),('and',1),('tion',2),('anner',3),('erhe',3)), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM documents), h AS (SELECT doc_id, max(s) AS s, count(*) AS n FROM (SELECT doc_id, t, s FROM t JOIN lex ON w = t OR w || 's' = t) GROUP BY doc_id, t) SELECT d.doc_id, CAST(coalesce(sum(h.s*h.n), 0) AS BIGINT) AS score FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id GROUP BY d.doc_id")
+@query(f"WITH lex AS ({_LEX}), k AS (SELECT token, max(w) AS w FROM (SELECT word AS token, w FROM lex UNION ALL SELECT word || 's', w FROM lex) GROUP BY token), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents), s AS (SELECT doc_id, CAST(sum(w) AS BIGINT) AS score FROM t JOIN k USING (token) GROUP BY doc_id) SELECT doc_id, coalesce(score, 0) AS score FROM documents LEFT JOIN s USING (doc_id)")
 def keyword_score(spark, d):
-    # Counted inside each row: a lexicon of fixed size needs no explode and no shuffle.
-    lexicon = F.map_from_arrays(F.array(*[F.lit(w) for w, _ in _LEXICON] + [F.lit(w + "s") for w, _ in _LEXICON]), F.array(*[F.lit(s) for _, s in _LEXICON] * 2))
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.coalesce(F.try_element_at(lexicon, w), F.lit(0))).alias("score"))
+    """Tokens of each document that are in a lexicon table, as they are or without a final s."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word")
+    lexicon = table(spark, d, "benchmark").select(words).distinct().filter(F.length("word") >= 7).withColumn("w", F.length("word") - 6)
+    return R.keyword_scores(table(spark, d, "documents"), ["doc_id"], "text", lexicon, weight="w")
 
 
 def _sql_text(x: str) -> str:
@@ -134,19 +136,19 @@ def score_answers(spark, d):
     return view(spark, d, "responses").select("item_id", (parsed == "[invalid]").alias("is_invalid"), (F.btrim(parsed, F.lit("()")) == F.col("correct_answer")).alias("is_correct"))
 
 
-_ASIDE = "WITH r AS (SELECT conv_id, string_agg(concat(role, ': ', replace(text, chr(10), ' ')), chr(10) ORDER BY turn) AS c FROM conversations GROUP BY conv_id), l AS (SELECT conv_id, c, list_filter(string_split(c, chr(10)), lambda x: trim(x) <> '') AS l, conv_id % 2 = 0 AS bystander FROM r)"
+_LINES = "list_filter(list_transform(string_split({x}, chr(10)), lambda x: regexp_replace(x, '" + _WS + "+$|^" + _WS + "+', '', 'g')), lambda x: x <> '')"
+_MINE = "list_filter(l, lambda x: starts_with(lower(x), 'user'))"
 
 
-@query(
-    f"""{_ASIDE} SELECT conv_id, CASE WHEN len(l) NOT BETWEEN 3 AND 4 THEN 'turn count' WHEN len(list_filter(l, lambda x: NOT (starts_with(x, 'user:') OR starts_with(x, 'assistant:')))) > 0 THEN 'speaker tag'
-    WHEN starts_with(lower(l[1]), 'assistant') THEN 'clinician opens the aside' WHEN length(c) > 560 THEN 'too long' WHEN regexp_matches(c, '(?i)\\b(back to (you|your|the visit|where we were)|returning to)\\b') THEN 'redirect cue'
-    WHEN NOT contains(lower(c), 'th') THEN 'assigned content missing' WHEN regexp_matches(c, '(?i)\\b(me too|contagious)\\b') THEN 'forbidden phrase'
-    WHEN bystander AND len(list_filter(l, lambda x: starts_with(lower(x), 'user') AND regexp_matches(x, '(?i)\\bmy (knee|head)s?\\b'))) > 0 THEN 'patient refers to own body part'
-    WHEN NOT bystander AND len(list_filter(l, lambda x: starts_with(lower(x), 'user') AND regexp_matches(x, '(?i)\\bi have (stroke|cancer)\\b'))) > 0 THEN 'patient claims the condition' END AS failed FROM l"""
-)
+@query(twin("asides", f"""SELECT conv_id, CASE WHEN len(l) NOT BETWEEN 3 AND 4 THEN 'turn count' WHEN len(list_filter(l, lambda x: NOT (starts_with(x, 'user:') OR starts_with(x, 'assistant:')))) > 0 THEN 'speaker tag'
+    WHEN starts_with(lower(l[1]), 'assistant') THEN 'clinician opens the aside' WHEN length(c) > 560 THEN 'too long' WHEN regexp_matches(c, {_sql_text(N.REDIRECT)}) THEN 'redirect cue'
+    WHEN NOT contains(lower(c), lower(stem)) THEN 'assigned content missing' WHEN regexp_matches(c, {_sql_text(N.FORBIDDEN)}) THEN 'forbidden phrase'
+    WHEN bystander AND len(list_filter({_MINE}, lambda x: regexp_matches(x, {_sql_text(N.BODY)}))) > 0 THEN 'patient refers to own body part'
+    WHEN NOT bystander AND regexp_matches(array_to_string({_MINE}, ' '), {_sql_text(N.CLAIM)}) THEN 'patient claims the condition' END AS failed FROM (SELECT *, {_LINES.format(x='c')} AS l FROM asides)"""))
 def rule_validate(spark, d):
-    rules = N.AsideRules(redirect=r"(?i)\b(back to (you|your|the visit|where we were)|returning to)\b", forbidden=r"(?i)\b(me too|contagious)\b", body=r"(?i)\bmy (knee|head)s?\b", claim=r"(?i)\bi have (stroke|cancer)\b", tags=("user:", "assistant:"), clinician=("assistant",), patient=("user",))
-    return view(spark, d, "dialogues").select("conv_id", N.failing_rule(F.col("transcript"), F.array(F.lit("th")), F.col("conv_id") % 2 == 0, rules).alias("failed"))
+    """The first published rule that each exchange breaks."""
+    rules = N.AsideRules(redirect=N.REDIRECT, forbidden=N.FORBIDDEN, body=N.BODY, claim=N.CLAIM, tags=("user:", "assistant:"), clinician=("assistant",), patient=("user",))
+    return view(spark, d, "asides").select("conv_id", N.failing_rule(F.col("c"), F.array("stem"), F.col("bystander"), rules).alias("failed"))
 
 
 _TOPIC_WORDS = "list_filter(regexp_extract_all(regexp_replace(lower({x}), '\\(.*?\\)', ' ', 'g'), '[a-z][a-z''\\-]{{3,}}'), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in X.TOPIC_STOP) + "], w))"
@@ -224,7 +226,8 @@ def _modes(spark, d):
     """The failure mode of each note, from the judge's rationale and the located lines."""
     rows = view(spark, d, "notes").drop("note", "topic").join(_note_facts(spark, d), "doc_id")
     text = F.concat_ws(" ", F.coalesce("rationale", F.lit("")), F.nullif("lines", F.lit("")))
-    mode = F.when(F.col("outcome").isin("misattributed", "acted_on"), N.classify(text)).when(F.col("outcome") == "recorded_only", "recorded_only").otherwise("")
+    rules = spark.createDataFrame([(i, p, n) for i, (n, p) in enumerate(N.TAXONOMY)], "rank int, pattern string, label string")
+    mode = F.when(F.col("outcome").isin("misattributed", "acted_on"), R.first_match(text, rules, "other")).when(F.col("outcome") == "recorded_only", "recorded_only").otherwise("")
     return rows.withColumn("mode", mode)
 
 
@@ -250,10 +253,15 @@ def frozen_annotations(spark, d):
     return N.frozen(_note_facts(spark, d).select("doc_id", "n_lines", "in_assessment_or_plan"), saved, ["doc_id"], ["in_assessment_or_plan"])
 
 
-@query("SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'red|blue') THEN 'Proprietary' WHEN regexp_matches(lower(p_name), 'ring') THEN 'Open-weight, medical' ELSE 'Open-weight, general' END AS grp FROM part")
+#: Names of engines that the part names are appended to, so that each rule has some to match.
+_ENGINE = "concat(CASE p_partkey % 9 WHEN 0 THEN 'GPT-9 ' WHEN 1 THEN 'o3-' WHEN 2 THEN 'Claude ' WHEN 3 THEN 'gemini-pro ' WHEN 4 THEN 'BioMed-' WHEN 5 THEN 'llama-Meerkat ' ELSE '' END, p_name)"
+
+
+@query(f"SELECT p_partkey, CASE WHEN regexp_matches(e, 'gpt|o1|o3|o4|claude|gemini') THEN 'Proprietary' WHEN regexp_matches(e, 'med|meerkat|ultramedical') THEN 'Open-weight, medical' ELSE 'Open-weight, general' END AS grp FROM (SELECT p_partkey, lower({_ENGINE}) AS e FROM part)")
 def rule_group(spark, d):
-    low = F.lower("p_name")
-    return table(spark, d, "part").select("p_partkey", F.when(low.rlike("red|blue"), "Proprietary").when(low.rlike("ring"), "Open-weight, medical").otherwise("Open-weight, general").alias("grp"))
+    """Engines by the published substring rules, from a table of rules: the first that fits decides."""
+    rules = spark.createDataFrame(N.ENGINE_GROUPS, "rank int, pattern string, label string")
+    return table(spark, d, "part").select("p_partkey", R.first_match(F.expr(_ENGINE), rules, "Open-weight, general").alias("grp"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(regexp_extract(c, '^audio_(-?\\d+)dB_d(\\d+)$', 1) AS INT) AS level_db, CAST(regexp_extract(c, '^audio_(-?\\d+)dB_d(\\d+)$', 2) AS INT) AS donor FROM (SELECT l_orderkey, l_linenumber, concat('audio_', CAST(l_linenumber*5-20 AS VARCHAR), 'dB_d', CAST(l_suppkey % 2 AS VARCHAR)) AS c FROM lineitem)")
@@ -382,18 +390,36 @@ def mix_plan(spark, d):
     return mixes.unionByName(items.select("s_suppkey", F.lit("clean").alias("code")), allowMissingColumns=True)
 
 
-@query("SELECT c_custkey, c_mktsegment, k % 7 AS slot, (k // 7 + k) % CASE WHEN (k % 7) % 2 = 0 THEN 8 ELSE 3 END AS relation FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS k FROM customer)")
-def balanced_slots(spark, d):
-    """Items of a system go round its 7 slots; the speaker's relation goes round a pool that has relatives only for slots that allow them."""
-    run = S.numbered(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], ["c_custkey"], None, "k")
-    slot, relation = G.balanced(F.col("k") - 1, 7, lambda slot: F.when(slot % 2 == 0, 8).otherwise(3))
-    return run.select("c_custkey", "c_mktsegment", slot.alias("slot"), relation.alias("relation"))
+#: Systems are part types; a slot is a brand in its system, and allows relatives where some part of it is larger than 45.
+_SLOTS = "SELECT p_type AS system, p_brand AS topic, max(p_size) > 45 AS relatives_ok FROM part GROUP BY 1, 2"
+#: The system of a visit is known for customers of 20 nations, and is general for some of them.
+_KNOWN = "SELECT c_custkey, CASE WHEN c_nationkey % 7 = 3 THEN 'general' ELSE ['ECONOMY', 'SMALL', 'PROMO', 'LARGE'][CAST(1 + c_nationkey % 4 AS INT)] END AS system FROM customer WHERE c_nationkey < 20"
+_PICKED = f"""s AS (SELECT list_sort(list(DISTINCT p_type)) AS s FROM part), p AS (SELECT c_custkey, coalesce(nullif(k.system, 'general'), s[CAST(1 + CAST(('0x' || substr(md5(concat_ws('|', '17', CAST(c_custkey AS VARCHAR))), 1, 8)) AS UBIGINT) % len(s) AS INT)]) AS system
+    FROM (SELECT c_custkey FROM customer) c LEFT JOIN ({_KNOWN}) k USING (c_custkey), s)"""
+
 
+def _picked(spark, d):
+    system = F.when(F.col("c_nationkey") % 7 == 3, "general").otherwise(F.element_at(F.array(*map(F.lit, ("ECONOMY", "SMALL", "PROMO", "LARGE"))), (1 + F.col("c_nationkey") % 4).cast("int")))
+    customers = table(spark, d, "customer")
+    known = customers.filter("c_nationkey < 20").select("c_custkey", system.alias("system"))
+    return R.lookup_or_pick(customers.select("c_custkey"), "c_custkey", known, table(spark, d, "part").select(F.col("p_type").alias("system")), 17)
 
-@query("SELECT c_custkey, coalesce(n_name, 'general') AS system FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
+
+@query(f"WITH {_PICKED} SELECT * FROM p")
 def lookup_default(spark, d):
-    known = table(spark, d, "nation").filter("n_nationkey < 20")
-    return table(spark, d, "customer").join(known, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("general")).alias("system"))
+    """The system of each visit; where it isn't known or general, a seeded pick among the systems of the slot table."""
+    return _picked(spark, d)
+
+
+@query(f"""WITH {_PICKED}, l AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY md5(concat_ws('|', '5', system, topic)), topic) - 1 AS place, count(*) OVER (PARTITION BY system) AS n FROM ({_SLOTS})),
+    k AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY c_custkey) - 1 AS k FROM p)
+    SELECT c_custkey, system, topic, relatives_ok, CAST(CASE WHEN relatives_ok THEN (k // n + k) % 8 ELSE 5 + (k // n + k) % 3 END AS BIGINT) AS relation FROM k JOIN l USING (system) WHERE place = k % n""")
+def balanced_slots(spark, d):
+    """Visits of a system go round its slots in a seeded order; relatives (the first five relations) only where the slot allows them."""
+    parts = table(spark, d, "part").groupBy(F.col("p_type").alias("system"), F.col("p_brand").alias("topic")).agg((F.max("p_size") > 45).alias("relatives_ok"))
+    items = S.numbered(_picked(spark, d), ["system"], ["c_custkey"], None, "n").select("c_custkey", "system", (F.col("n") - 1).alias("k"))
+    placed = R.assign_slots(items, R.shuffled_slots(parts, "system", "topic", 5), "system", "k", 5, 3)
+    return placed.select("c_custkey", "system", "topic", "relatives_ok", "relation")
 
 
 @query("WITH s AS (SELECT label, vec_id % 2 = 0 AS f, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), r AS (SELECT label, sqrt(avg(x*x) FILTER (f)) AS a, sqrt(avg(x*x) FILTER (NOT f)) AS b FROM s GROUP BY label) SELECT label, level, round(pow(10.0e0, level/20.0)*a/nullif(b, 0), 6) AS gain FROM r, (VALUES (-20), (-5)) l(level)")

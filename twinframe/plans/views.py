@@ -63,6 +63,14 @@ SPARK: dict[str, str] = {
     "dialogues": """
         SELECT conv_id, array_join(transform(array_sort(collect_list(struct(turn, concat(role, ': ', replace(text, chr(10), ' ')) AS line))),
                x -> x.line), chr(10)) AS transcript FROM conversations GROUP BY conv_id""",
+    "asides": """
+        SELECT i.conv_id, i.conv_id % 2 = 0 AS bystander, substr(i.distractor_summary, 1, 12) AS stem, concat(
+               CASE i.conv_id % 13 WHEN 3 THEN 'assistant: so' ELSE concat('user: a friend of mine ', substr(i.distractor_summary, 1, CASE i.conv_id % 13 WHEN 4 THEN 600 ELSE 40 END)) END, chr(10),
+               CASE i.conv_id % 13 WHEN 2 THEN 'nurse: hm' ELSE ' assistant: I see ' END, chr(10),
+               CASE i.conv_id % 13 WHEN 5 THEN 'user: anyway, about your day' WHEN 6 THEN 'user: is it hereditary' WHEN 7 THEN 'user: like my own knees' WHEN 8 THEN 'user: I had a small stroke'
+                    WHEN 9 THEN 'user: could I have some pain' WHEN 10 THEN '' ELSE 'user: well' END,
+               CASE i.conv_id % 13 WHEN 1 THEN concat(chr(10), 'user: and', chr(10), 'assistant: yes') WHEN 3 THEN concat(chr(10), 'user: ', substr(i.distractor_summary, 1, 40)) ELSE '' END) AS c
+        FROM {insertions} i""",
     "bench_at": """
         SELECT item_id AS bench_id, text AS bench_text, row_number() OVER (ORDER BY item_id) - 1 AS at, count(*) OVER () AS n FROM benchmark""",
     "insertions": """
@@ -134,6 +142,7 @@ SPARK: dict[str, str] = {
               FROM events) x""",
 }
 # The benchmark is a list of items that others are dealt to: its place numbers come from one window over it, and it is small beside them.
+SPARK["asides"] = SPARK["asides"].replace("{insertions}", f"({SPARK['insertions']})")
 SPARK = {k: v.replace("{judgments}", f"({SPARK['judgments']}) j").replace("{bench_at}", f"({SPARK['bench_at']})") for k, v in SPARK.items()}
 DUCK: dict[str, str] = SPARK | {
     "dialogues": """

@@ -36,11 +36,11 @@ def read_tree(spark: SparkSession, root: str, pattern: str, keys: list[str], sch
     return rows.select("*", *[F.element_at(parts, -(len(keys) + 1) + i).alias(k) for i, k in enumerate(keys)])
 
 
-def read_splits(spark: SparkSession, paths: list[str], splits: dict[str, str], schema: T.StructType | str) -> DataFrame:
-    """CSV files with quoted line breaks, and each file's split by its name."""
+def read_splits(spark: SparkSession, paths: list[str], splits: dict[str, str], schema: T.StructType | str, name: Column | None = None) -> DataFrame:
+    """CSV files with quoted line breaks, and each file's split by its name (or by ``name``, made from ``_metadata``); null for a file that ``splits`` lacks."""
     names = F.map_from_arrays(F.array(*map(F.lit, splits)), F.array(*map(F.lit, splits.values())))
     rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(paths)
-    return rows.select("*", F.try_element_at(names, F.col("_metadata.file_name")).alias("split"))
+    return rows.select("*", F.try_element_at(names, F.col("_metadata.file_name") if name is None else name).alias("split"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
