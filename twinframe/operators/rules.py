@@ -6,6 +6,7 @@ Lexicons may be large and are joined.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rules and templates that a table may have.
 MOST = 1000
+#: A doubled brace, or a field.
+_FIELD = re.compile(r"\{\{|\}\}|\{(\w+)\}")
 
 
 def _bounded(table: DataFrame, columns: list[str], order: list[str]) -> list:
@@ -48,14 +51,14 @@ def rendered(rows: DataFrame, templates: DataFrame, kind: str = "kind", template
     """
     made = []
     for r in _bounded(templates, [template], [kind]):
-        parts, rest = [], r[template].replace("{{", "\x01").replace("}}", "\x02")
-        while "{" in rest:
-            before, _, rest = rest.partition("{")
-            name, _, rest = rest.partition("}")
-            if name not in rows.columns:
+        parts, at = [], 0
+        for found in _FIELD.finditer(r[template]):
+            name = found[1]
+            if name and name not in rows.columns:
                 raise ValueError(f"the template {r[kind]} asks for {name!r}")
-            parts += [F.lit(before), F.coalesce(rows[name].cast("string"), F.lit(""))]
-        parts = [F.lit(p.replace("\x01", "{").replace("\x02", "}")) if isinstance(p, str) else p for p in [*parts, rest]]
+            parts += [F.lit(r[template][at : found.start()]), F.coalesce(rows[name].cast("string"), F.lit("")) if name else F.lit(found[0][0])]
+            at = found.end()
+        parts.append(F.lit(r[template][at:]))
         made.append((r[kind], F.concat(*parts)))
     unknown = F.raise_error(F.concat(F.lit("no template of the kind "), F.coalesce(F.col(kind), F.lit("null")))).cast("string")
     return rows.withColumn(out, reduce(lambda rest, m: F.when(F.col(kind) == m[0], m[1]).otherwise(rest), reversed(made), unknown))

@@ -183,6 +183,11 @@ def mcnemar(b01: Column, b10: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(2 * first * tail, F.lit(1.0)))
 
 
+def rounded(p: Column, digits: int = 6) -> Column:
+    """Rounded so that ties, which the p of an exact test often is, go up whatever its last bits are."""
+    return F.round(p + 1e-10, digits)
+
+
 def kappa(n11: Column, n10: Column, n01: Column, n00: Column) -> tuple[Column, Column]:
     """Percent agreement and Cohen's kappa (null where chance agreement is 1) of a 2 x 2 table."""
     n = (n11 + n10 + n01 + n00).cast("double")

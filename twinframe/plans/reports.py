@@ -113,7 +113,7 @@ def report_order(spark, d):
 _STYLES = "SELECT engine AS model, condition AS distractor, item_id, max(is_correct) FILTER (prompt='standard') AS b, max(is_correct) FILTER (prompt='terse') AS i, max(is_correct) FILTER (prompt='verbose') AS v FROM qa_prompts GROUP BY ALL HAVING b + i + v IS NOT NULL"
 
 
-@query(twin("qa_prompts", f"WITH w AS ({_STYLES}), l AS (SELECT model, distractor, item_id, style, b AS x, y FROM w, LATERAL (VALUES ('terse', i), ('verbose', v)) s(style, y)) SELECT *, round({_MCNEMAR}, 6) AS p FROM (SELECT model, distractor, style, {_PAIRED}, count(*) FILTER (x=0 AND y=1) AS b01, count(*) FILTER (x=1 AND y=0) AS b10 FROM l GROUP BY ALL) JOIN ({bounds_sql(sums_sql('SELECT * FROM l', 'model, distractor, style', 'x-y', 'item_id'), 'model, distractor, style')}) USING (model, distractor, style)"))
+@query(twin("qa_prompts", f"WITH w AS ({_STYLES}), l AS (SELECT model, distractor, item_id, style, b AS x, y FROM w, LATERAL (VALUES ('terse', i), ('verbose', v)) s(style, y)) SELECT *, round({_MCNEMAR} + 1e-10, 6) AS p FROM (SELECT model, distractor, style, {_PAIRED}, count(*) FILTER (x=0 AND y=1) AS b01, count(*) FILTER (x=1 AND y=0) AS b10 FROM l GROUP BY ALL) JOIN ({bounds_sql(sums_sql('SELECT * FROM l', 'model, distractor, style', 'x-y', 'item_id'), 'model, distractor, style')}) USING (model, distractor, style)"))
 def prompt_styles(spark, d):
     """Each prompt style against the standard one on the same items: paired loss, interval and exact p."""
     by = ["model", "distractor", "style"]
@@ -122,7 +122,7 @@ def prompt_styles(spark, d):
     long = rows.select("model", "distractor", "item_id", "x", F.explode(F.create_map(F.lit("terse"), F.col("terse"), F.lit("verbose"), F.col("verbose"))).alias("style", "y"))
     cells = long.groupBy(*by).agg(*S.paired_difference(F.col("x"), F.col("y")), F.count_if(F.expr("x = 0 and y = 1")).alias("b01"), F.count_if(F.expr("x = 1 and y = 0")).alias("b10"))
     interval = S.mean_interval(S.dealt_sums(long, by, F.col("x") - F.col("y"), ["item_id"]), by, 100.0)
-    return cells.withColumn("p", F.round(S.mcnemar(F.col("b01"), F.col("b10")), 6)).join(interval, by)
+    return cells.withColumn("p", S.rounded(S.mcnemar(F.col("b01"), F.col("b10")))).join(interval, by)
 
 
 _SCALED = "SELECT model, distractor, head_set, scale, avg(CASE WHEN sel THEN scale*gate ELSE gate END) AS x, count(*) FILTER (sel) AS n_scaled FROM (SELECT *, CASE head_set WHEN 'interference' THEN gate < 0.2 ELSE (layer*8 + head + seed) % 7 = 0 END AS sel FROM head_masks, (VALUES ('interference'), ('random')) h(head_set), (VALUES (1.0e0), (0.5e0), (0.0e0)) s(scale)) GROUP BY ALL"

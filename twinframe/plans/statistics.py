@@ -34,31 +34,31 @@ def paired_diff(spark, d):
     return arms(spark, d).groupBy("model").agg(*S.paired_difference(F.col("none"), F.col("interference")))
 
 
-@query(twin("item_arms", f"WITH t AS (SELECT model, count(*) FILTER (a=0 AND b=1) AS b01, count(*) FILTER (a=1 AND b=0) AS b10 FROM ({_VECTORS}) GROUP BY model) SELECT model, b01, b10, round({_MCNEMAR}, 6) AS p FROM t"))
+@query(twin("item_arms", f"WITH t AS (SELECT model, count(*) FILTER (a=0 AND b=1) AS b01, count(*) FILTER (a=1 AND b=0) AS b10 FROM ({_VECTORS}) GROUP BY model) SELECT model, b01, b10, round({_MCNEMAR} + 1e-10, 6) AS p FROM t"))
 def mcnemar(spark, d):
     cells = arms(spark, d).groupBy("model").agg(F.count_if(F.expr("`none` = 0 and interference = 1")).alias("b01"), F.count_if(F.expr("`none` = 1 and interference = 0")).alias("b10"))
-    return cells.withColumn("p", F.round(S.mcnemar(F.col("b01"), F.col("b10")), 6))
+    return cells.withColumn("p", S.rounded(S.mcnemar(F.col("b01"), F.col("b10"))))
 
 
 _SIDES = (("interference", "none", "interference"), ("random", "none", "random"), ("all", "none", "all"), ("interference_vs_random", "random", "interference"))
 _LONG = f"SELECT model, item_id, arm, x, y FROM ({_VECTORS}), LATERAL (VALUES ('interference', a, b), ('random', a, c), ('all', a, e), ('interference_vs_random', c, b)) s(arm, x, y)"
 
 
-@query(twin("item_arms", f"WITH l AS ({_LONG}), t AS (SELECT model, arm, {_PAIRED}, count(*) FILTER (x=0 AND y=1) AS b01, count(*) FILTER (x=1 AND y=0) AS b10 FROM l GROUP BY ALL) SELECT *, round({_MCNEMAR}, 6) AS p FROM t JOIN ({bounds_sql(sums_sql('SELECT * FROM l', 'model, arm', 'x-y', 'item_id'), 'model, arm')}) USING (model, arm)"))
+@query(twin("item_arms", f"WITH l AS ({_LONG}), t AS (SELECT model, arm, {_PAIRED}, count(*) FILTER (x=0 AND y=1) AS b01, count(*) FILTER (x=1 AND y=0) AS b10 FROM l GROUP BY ALL) SELECT *, round({_MCNEMAR} + 1e-10, 6) AS p FROM t JOIN ({bounds_sql(sums_sql('SELECT * FROM l', 'model, arm', 'x-y', 'item_id'), 'model, arm')}) USING (model, arm)"))
 def intervention_contrast(spark, d):
     """Each arm against no intervention, and interference against random: paired loss, its interval and exact p."""
     sides = F.explode(F.array(*[F.struct(F.lit(n).alias("arm"), F.col(a).alias("x"), F.col(b).alias("y")) for n, a, b in _SIDES]))
     long = arms(spark, d).select("model", "item_id", sides.alias("s")).select("model", "item_id", "s.*")
     cells = long.groupBy("model", "arm").agg(*S.paired_difference(F.col("x"), F.col("y")), F.count_if(F.expr("x = 0 and y = 1")).alias("b01"), F.count_if(F.expr("x = 1 and y = 0")).alias("b10"))
     interval = S.mean_interval(S.dealt_sums(long, ["model", "arm"], F.col("x") - F.col("y"), ["item_id"]), ["model", "arm"], 100.0)
-    return cells.withColumn("p", F.round(S.mcnemar(F.col("b01"), F.col("b10")), 6)).join(interval, ["model", "arm"])
+    return cells.withColumn("p", S.rounded(S.mcnemar(F.col("b01"), F.col("b10")))).join(interval, ["model", "arm"])
 
 
 _BASE_LONG = f"SELECT *, CAST(item_id % 10 = 0 AS INT) AS heldout FROM (SELECT model, item_id, distractor, x, y FROM ({_VECTORS}), LATERAL (VALUES ('interference', a, b), ('random', a, c)) s(distractor, x, y))"
 _BASE_PARTS = "SELECT 'heldout' AS part, model, distractor, item_id, x, y FROM l WHERE heldout = 1 UNION ALL SELECT 'all', model, distractor, item_id, x, y FROM l"
 
 
-@query(twin("item_arms", f"WITH l AS ({_BASE_LONG}), p AS ({_BASE_PARTS}), t AS (SELECT model, distractor, part, {_PAIRED}, count(*) FILTER (x=0 AND y=1) AS b01, count(*) FILTER (x=1 AND y=0) AS b10 FROM p GROUP BY ALL) SELECT *, round({_MCNEMAR}, 6) AS p FROM t JOIN ({bounds_sql(sums_sql('SELECT * FROM p', 'model, distractor, part', 'x-y', 'item_id'), 'model, distractor, part')}) USING (model, distractor, part)"))
+@query(twin("item_arms", f"WITH l AS ({_BASE_LONG}), p AS ({_BASE_PARTS}), t AS (SELECT model, distractor, part, {_PAIRED}, count(*) FILTER (x=0 AND y=1) AS b01, count(*) FILTER (x=1 AND y=0) AS b10 FROM p GROUP BY ALL) SELECT *, round({_MCNEMAR} + 1e-10, 6) AS p FROM t JOIN ({bounds_sql(sums_sql('SELECT * FROM p', 'model, distractor, part', 'x-y', 'item_id'), 'model, distractor, part')}) USING (model, distractor, part)"))
 def baseline_drop(spark, d):
     """The baseline of each model and distractor, on held-out items and on all: accuracies, paired loss, its standard error, interval and exact p."""
     by = ["model", "distractor", "part"]
@@ -67,7 +67,7 @@ def baseline_drop(spark, d):
     long = arms(spark, d).select("model", "item_id", F.col("none").alias("x"), sides).select("model", "item_id", "x", "s.*", parts)
     cells = long.groupBy(*by).agg(*S.paired_difference(F.col("x"), F.col("y")), F.count_if(F.expr("x = 0 and y = 1")).alias("b01"), F.count_if(F.expr("x = 1 and y = 0")).alias("b10"))
     interval = S.mean_interval(S.dealt_sums(long, by, F.col("x") - F.col("y"), ["item_id"]), by, 100.0)
-    return cells.withColumn("p", F.round(S.mcnemar(F.col("b01"), F.col("b10")), 6)).join(interval, by)
+    return cells.withColumn("p", S.rounded(S.mcnemar(F.col("b01"), F.col("b10")))).join(interval, by)
 
 
 _CLUSTERS = "SELECT model, distractor_type, item_id, sum(CAST(c1-c0 AS DOUBLE)) AS total, CAST(count(c1-c0) AS DOUBLE) AS n FROM pairs GROUP BY ALL"
@@ -125,12 +125,12 @@ def welch_stat(spark, d):
 _BRANDS = "SELECT p_brand, count(*) FILTER (l_returnflag='R') AS b01, count(*) FILTER (l_returnflag='A') AS b10 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"
 
 
-@query(f"WITH t AS ({_BRANDS}), p AS (SELECT p_brand, {_MCNEMAR} AS p FROM t), r AS (SELECT *, row_number() OVER (ORDER BY p, p_brand) AS r, count(*) OVER () AS n FROM p) SELECT p_brand, round(p, 6) AS p, round(least(1.0, greatest(0.0, min(p*n/r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))), 6) AS q FROM r")
+@query(f"WITH t AS ({_BRANDS}), p AS (SELECT p_brand, {_MCNEMAR} AS p FROM t), r AS (SELECT *, row_number() OVER (ORDER BY p, p_brand) AS r, count(*) OVER () AS n FROM p) SELECT p_brand, round(p + 1e-10, 6) AS p, round(1e-10 + least(1.0, greatest(0.0, min(p*n/r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))), 6) AS q FROM r")
 def bh_fdr(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     cells = rows.groupBy("p_brand").agg(F.count_if(F.col("l_returnflag") == "R").alias("b01"), F.count_if(F.col("l_returnflag") == "A").alias("b10"))
     done = S.benjamini_hochberg(cells.withColumn("p", S.mcnemar(F.col("b01"), F.col("b10"))), "p")
-    return done.select("p_brand", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
+    return done.select("p_brand", *[S.rounded(F.col(c)).alias(c) for c in ("p", "q")])
 
 
 _SIGNED = f"""WITH z AS (SELECT model, distractor_type, q1-q0 AS d, abs(q1-q0) AS a FROM pairs WHERE q1 <> q0), r AS (SELECT *, {average_rank_sql('model, distractor_type', 'a')} AS r FROM z),
@@ -330,7 +330,7 @@ def qa_long(wide):
 _MODEL = f"""WITH q AS ({_QA}), l AS ({_LOSS}), t AS (SELECT engine, distractor, {_PAIRED}, count(*) FILTER (x=0 AND y=1) AS b01, count(*) FILTER (x=1 AND y=0) AS b10 FROM l WHERE bad = 0 GROUP BY ALL),
     a AS (SELECT engine, distractor, count(*) AS n_all, drop_pp AS drop_all_pp, se_pp AS se_all_pp FROM (SELECT engine, distractor, {_PAIRED.replace('count(*) AS n', 'count(*) AS k')} FROM l GROUP BY ALL) GROUP BY ALL),
     c AS (SELECT engine, condition, CAST(sum(is_invalid) AS BIGINT) AS n_bad, 512*(1 + count(*) % 2) AS cap FROM qa_per_item GROUP BY ALL)
-    SELECT t.* , round({_MCNEMAR}, 6) AS p, (SELECT count(*) FROM l WHERE l.engine = t.engine AND l.distractor = t.distractor) AS n_all, a.drop_all_pp, a.se_all_pp, c.n_bad AS invalid_clean, d.n_bad AS invalid_distracted, c.cap AS cap_clean, d.cap AS cap_distracted
+    SELECT t.* , round({_MCNEMAR} + 1e-10, 6) AS p, (SELECT count(*) FROM l WHERE l.engine = t.engine AND l.distractor = t.distractor) AS n_all, a.drop_all_pp, a.se_all_pp, c.n_bad AS invalid_clean, d.n_bad AS invalid_distracted, c.cap AS cap_clean, d.cap AS cap_distracted
     FROM t JOIN a USING (engine, distractor) JOIN c ON c.engine = t.engine AND c.condition = 'clean' JOIN c d ON d.engine = t.engine AND d.condition = t.distractor"""
 
 
@@ -344,7 +344,7 @@ def qa_model_table(spark, d):
     runs = view(spark, d, "qa_per_item").groupBy("engine", "condition").agg(F.sum("is_invalid").alias("bad"), (512 * (1 + F.count("*") % 2)).alias("cap"))
     clean = runs.filter("condition = 'clean'").select("engine", F.col("bad").alias("invalid_clean"), F.col("cap").alias("cap_clean"))
     other = runs.select("engine", F.col("condition").alias("distractor"), F.col("bad").alias("invalid_distracted"), F.col("cap").alias("cap_distracted"))
-    return cells.withColumn("p", F.round(S.mcnemar(F.col("b01"), F.col("b10")), 6)).join(every, keys).join(clean, "engine").join(other, keys)
+    return cells.withColumn("p", S.rounded(S.mcnemar(F.col("b01"), F.col("b10")))).join(every, keys).join(clean, "engine").join(other, keys)
 
 
 @query(twin("qa_per_item", f"WITH q AS ({_QA}), l AS ({_LOSS}), e AS (SELECT engine, CASE WHEN engine < 'e4' THEN 'Proprietary' ELSE 'Open-weight' END AS grp, 100*(avg(CAST(x AS DOUBLE))-avg(CAST(y AS DOUBLE))) AS loss FROM l GROUP BY ALL) SELECT CASE WHEN grouping(grp)=1 THEN 'all' ELSE grp END AS grp, count(*) AS n, round(avg(loss), 6) AS mean, round(stddev_samp(loss), 6) AS sd, round(stddev_samp(loss)/sqrt(count(*)), 6) AS sem, round(min(loss), 6) AS lo, round(max(loss), 6) AS hi FROM e GROUP BY ROLLUP (grp)"))
