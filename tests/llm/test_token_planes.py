@@ -99,3 +99,13 @@ def test_repeated_ids_and_empty_tables(spark, vocabulary, plain, tmp_path):
     assert sorted(r["ids_crc32"] for r in got) == sorted(zlib.crc32(np.array([*plain(r[1]), 2], "<u4").tobytes()) for r in rows)
     TP.write_ids(frame(spark, rows).limit(0), f"file://{tmp_path}/b", vocabulary)
     assert TP.read_documents(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_query_on_the_given_table(spark, plain):
+    from twinframe.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    got = queries.op11_id_planes(spark, d)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == expected(rows, plain)
