@@ -49,6 +49,13 @@ def test_same_as_brute_force(spark, options):
     assert mined(spark, rows, **options) == brute(rows)
 
 
+def test_blocks_are_full_on_many_partitions(spark):
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("k")).repartition(9)
+    blocks = H.in_blocks(rows, [F.desc("k"), F.col("id")], 64, "b", "t").collect()
+    order = sorted(blocks, key=lambda r: (-r.k, r.id))
+    assert [r.b for r in order] == [i // 64 for i in range(1000)]
+
+
 def test_messy_rows_ties_and_copies(spark):
     rows = clouds(120, seed=4)
     rows += [(500, None, 1), (510, [float("nan")] * 6, 1), (520, [None, 1.0, 1.0, 1.0, 1.0, 1.0], 0), (530, [float("inf")] * 6, 0), (None, [1.0] * 6, 1), (540, [1.0] * 6, None), (550, [], 2), (560, [0.0] * 6, 2), (570, [0.5, -0.25], 1)]

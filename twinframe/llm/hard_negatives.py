@@ -52,11 +52,12 @@ def integer_rows(df: DataFrame, id_col: str, vec_col: str, label: Column, anchor
 
 
 def in_blocks(rows: DataFrame, order: list[Column], block: int, name: str, label: str) -> DataFrame:
-    """Staged rows in the order of ``order``, with the number of their block (``block`` rows at most) in ``name``."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    inside = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    number = F.shiftleft(F.shiftright("__m", 33), 20) + F.floor(inside / block)
-    return stage_table(placed.withColumn(name, number.cast("long")).drop("__m"), label)
+    """Staged rows in the order of ``order``, with the number of their block (``block`` rows, but for the last) in ``name``, however many partitions Spark makes."""
+    placed = stage_table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), label)
+    part, inside = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    base = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__base"))  # a row for each partition
+    return placed.withColumn("__p", part).join(F.broadcast(base), "__p").withColumn(name, F.floor((F.col("__base") + inside) / block)).drop("__m", "__p", "__base")
 
 
 class Bucket:
