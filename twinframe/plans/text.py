@@ -278,10 +278,28 @@ def topic_parse(spark, d):
     return rows.select("s_suppkey", F.regexp_extract("t", r"\((.*?);", 1).alias("relation"), F.regexp_replace("t", r" \(.*\)$", "").alias("topic"))
 
 
-@query(twin("responses", "SELECT item_id, CASE WHEN correct_answer = 'A' THEN 'B' ELSE 'A' END AS option_letter FROM responses"))
+@query(twin("qa_options", "SELECT item_id, letter AS option_letter, opt AS option_text FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY letter) AS k FROM (SELECT item_id, correct, letter, opt FROM qa_options, LATERAL (VALUES ('A', a), ('B', b), ('C', c), ('D', e)) v(letter, opt)) WHERE letter <> correct AND opt <> '') WHERE k = 1"))
 def first_wrong_option(spark, d):
-    options = F.filter(F.array(*map(F.lit, "ABCD")), lambda x: x != F.col("correct_answer"))
-    return view(spark, d, "responses").select("item_id", F.element_at(options, 1).alias("option_letter"))
+    """The first wrong option in letter order, with its text; options without text are passed over."""
+    options = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("o")) for k, c in zip("ABCD", "abce")])
+    wrong = F.try_element_at(F.filter(options, lambda x: (x["k"] != F.col("correct")) & (x["o"] != "")), F.lit(1))
+    return view(spark, d, "qa_options").select("item_id", wrong.alias("w")).filter("w is not null").select("item_id", F.col("w.k").alias("option_letter"), F.col("w.o").alias("option_text"))
+
+
+#: A registry: engine, display name, provider, open weights, parameters in billions.
+_ENGINES = [("e0", "GPT-9", "north", False, None), ("e1", "Claude Nine", "south", False, None), ("e2", "Meerkat-8B", "east", True, 8.0), ("e3", "Llama-70B", "west", True, 70.0), ("e5", "BioMed-7B", "east", True, 7.0), ("e6", "o3-large", "north", False, None)]
+_REGISTRY = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in _ENGINES)
+
+
+@query(twin("qa_per_item", f"""WITH reg(engine, display_name, provider, open_weights, params_b) AS (VALUES {_REGISTRY}), n AS (SELECT engine, count(*) AS n FROM qa_per_item GROUP BY engine)
+    SELECT engine, coalesce(display_name, engine) AS display_name, CASE WHEN regexp_matches(lower(display_name), 'gpt|o1|o3|o4|claude|gemini') THEN 'Proprietary' WHEN regexp_matches(lower(display_name), 'med|meerkat|ultramedical') THEN 'Open-weight, medical' ELSE 'Open-weight, general' END AS grp, provider, open_weights, CAST(params_b AS DOUBLE) AS params_b, n FROM n LEFT JOIN reg USING (engine)"""))
+def engine_registry(spark, d):
+    """Engines with what a registry table knows of them, and their group by rules; an engine that it lacks keeps its own name."""
+    registry = spark.createDataFrame(_ENGINES, "engine string, display_name string, provider string, open_weights boolean, params_b double")
+    rules = spark.createDataFrame(N.ENGINE_GROUPS, "rank int, pattern string, label string")
+    counts = view(spark, d, "qa_per_item").groupBy("engine").agg(F.count("*").alias("n")).join(registry, "engine", "left")
+    group = R.first_match(F.col("display_name"), rules, "Open-weight, general")
+    return counts.select("engine", F.coalesce("display_name", "engine").alias("display_name"), group.alias("grp"), "provider", "open_weights", "params_b", "n")
 
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (contains(text, 'tion')) AS n_tion, count(DISTINCT source) AS n_sources, round(avg(length(text)), 6) AS mean_chars, round(avg(length(text) - length(replace(text, chr(10), '')) + 1), 6) AS mean_lines FROM documents GROUP BY lang")
