@@ -92,6 +92,15 @@ def test_hot_sets_give_the_same(spark, monkeypatch):
     assert sorted(map(str, U.judge_urls(pages, known).collect())) == want
 
 
+def test_facts_of_a_key_in_parts(spark):
+    rows = [(i, f"k{min(i % 7, 3)}") for i in range(60)] + [(99, "none"), (100, None)]
+    facts = [(f"k{i % 3}", i) for i in range(50)] + [("other", 1), (None, 2)]
+    a, b = spark.createDataFrame(rows, "id int, key string"), spark.createDataFrame(facts, "key string, fact int")
+    want = sorted((i, f) for i, k in rows for x, f in facts if k is not None and k == x)
+    for part in (1, 4, 1_000):
+        assert sorted((r.id, r.fact) for r in U._small_or_by_count(a, b, "key", 0, part).collect()) == want
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(0, 0, 1), (0, None, None), (None, 1, 0)], LABELS)
     assert U.judge_urls(spark.createDataFrame([], PAGES), labels).collect() == []

@@ -29,8 +29,6 @@ from .common import BROADCAST_IDS, HOT_ROWS, append_columns, as_bytes, join_by_c
 SEED = 42
 #: Estimated seconds for a probe row (shuffled, sorted) and for a candidate pair (verified).
 PROBE_S, PAIR_S = 1.2e-6, 3e-8
-#: Edges of a node that are shuffled together at most.
-HUB = 50_000
 
 
 def shingle_digests(text: bytes | None, shingle: int) -> list[bytes]:
@@ -208,10 +206,10 @@ def links(prints: DataFrame, radius: int = 4, block: int = 512) -> DataFrame:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60, hot_rows: int = HUB) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, component): the least node reachable, for each node that has an edge. Alternating large and small stars.
 
-    A node with more edges than ``hot_rows`` (the hub of a star) meets its minimum without a shuffle of its edges.
+    A node with more edges than ``hot_rows`` and than a thousandth of all (the hub of a star) meets its minimum without a shuffle of its edges.
     """
     size = 0
 
@@ -242,7 +240,7 @@ def components(edges: DataFrame, rounds: int = 60, hot_rows: int = HUB) -> DataF
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, block: int = 512, hub: int = HUB, hot_rows: int = HOT_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, block: int = 512, hub: int = HOT_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, fp, component_id) for each row of ``docs``.
 
     component_id is the least id reachable over links, the row's own included. Rows without words (null or empty text) have the

@@ -57,13 +57,23 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(labels, segments, keys, rest))))
 
 
-def _small_or_by_count(rows: DataFrame, facts: DataFrame, key: str, small: int = 100_000) -> DataFrame:
-    """Inner join with a staged table of facts by key: broadcast up to ``small`` rows of facts, else shuffled without hot keys."""
+def _small_or_by_count(rows: DataFrame, facts: DataFrame, key: str, small: int = 100_000, part: int = 1_000) -> DataFrame:
+    """Inner join with a staged table of facts by key: broadcast up to ``small`` rows of facts, else shuffled without hot keys.
+
+    The facts of a key are dealt out in parts of some ``part``; its rows meet each of them, and no row of the join holds more.
+    """
     if facts.count() <= small:
         return rows.join(F.broadcast(facts), key)
-    counts = stage_table(rows.groupBy(key).agg(F.count("*").alias("__n")), "url-key-counts")
-    busy = facts.groupBy(key).agg(F.collect_list(F.struct(*[c for c in facts.columns if c != key])).alias("__f"))
-    met = join_by_count(rows, stage_table(busy.join(counts, key), "url-facts"), key, "__n")
+    asking = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    held = facts.groupBy(key).agg(F.count("*").alias("__facts"), F.ceil(F.count("*") / F.lit(part)).cast("int").alias("__parts"))
+    sizes = stage_table(asking.join(held, key), "url-key-counts")
+    own = [c for c in facts.columns if c != key]
+    place = F.struct(key, F.pmod(F.xxhash64(*own), F.col("__parts")).cast("int").alias("__part")).alias("__key")
+    dealt = join_by_count(facts, sizes, key, "__facts").select(place, F.struct(*own).alias("__f"), "__n")
+    keyed = stage_table(dealt.groupBy("__key").agg(F.collect_list("__f").alias("__f"), F.first("__n").alias("__n")), "url-facts")
+    asked = join_by_count(rows, sizes, key, "__n").select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"))
+    asked = asked.select(*rows.columns, F.struct(key, "__part").alias("__key"))
+    met = join_by_count(asked, keyed, "__key", "__n")
     return met.select(*rows.columns, F.explode("__f").alias("__f")).select(*rows.columns, "__f.*")
 
 
