@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -32,3 +33,26 @@ def test_whole_texts_against_brute_force(spark):
 def test_more_tokens_than_codes_before_surrogates(spark):
     rows = spark.createDataFrame([([f"t{i}" for i in range(55_200)], ["other"])], "r array<string>, h array<string>")
     assert rows.select(X.wer(F.col("r"), F.col("h"))).first()[0] == 1.0
+
+
+def edited(draw, n):
+    """A token array and an edited copy of it, or another array, over few different tokens."""
+    kinds = draw.choice([1, 2, 5, 40])
+    tokens = lambda k: [f"t{draw.randrange(kinds)}" for _ in range(k)]
+    ref = tokens(n)
+    hyp = list(ref) if draw.random() < 0.7 else tokens(draw.choice([0, 1, 9, 70]))
+    for _ in range(draw.choice([0, 1, 3, 30])):
+        at = draw.randrange(len(hyp) + 1)
+        hyp[at : at + draw.randrange(2)] = ["new"] * draw.randrange(2)
+    return ref, hyp
+
+
+def test_cut_ends_shared_codes_and_bands(spark):
+    draw = random.Random(5)
+    pairs = [edited(draw, draw.choice([0, 1, 3, 10, 60, 150])) for _ in range(200)] + [edited(draw, 400) for _ in range(5)]
+    pairs += [(["a"] * 300, ["b"] * 300 + ["a"]), (["r"], ["h"]), (["a", "b"], []), (["x", "y"] * 90, ["y", "x"] * 90)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, r array<string>, h array<string>")
+    got = {x.i: x.w for x in rows.select("i", X.wer(F.col("r"), F.col("h")).alias("w")).collect()}
+    assert got == {i: distance(a, b) / len(a) if a else None for i, (a, b) in enumerate(pairs)}
+    odd = spark.createDataFrame([(None, ["a"]), (["a"], None), (None, None)], "r array<string>, h array<string>")
+    assert [x.w for x in odd.select(X.wer(F.col("r"), F.col("h")).alias("w")).collect()] == [None] * 3

@@ -18,6 +18,8 @@ make making made need needs look looking feel feeling felt tell told mean means
 ever never always sometimes every each both same such through under around down away until though although whether
 either neither anyone everyone someone people person else lots okay mmhmm umm hmmm bye
 """.split()
+#: Widths of the bands in which an edit distance is looked for before the whole table of distances is filled.
+BANDS = (16, 128, 1024)
 #: Reply formats in order of precedence; (pattern, whether its last match counts instead of its first).
 ANSWER_PATTERNS = [
     (r"the answer is ([A-D])", False),
@@ -161,21 +163,36 @@ def leakage(segment: Column, clean: Column, mixed: Column) -> dict[str, Column]:
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:
-    """Word error rate of two token arrays: distinct tokens become single characters and edit distance does the rest.
+    """Word error rate of two token arrays: tokens become single characters and edit distance does the rest.
 
-    An empty reference gives null. There are codes for a million distinct tokens in a pair; more are an error.
+    What the two share at their ends costs nothing and is cut first. Only tokens of both sides can match, so they alone need codes of
+    their own; all others of a side have one code. The distance is looked for in narrow bands first, which is exact where it is
+    found there. An empty or null reference and a null hypothesis give null. There are codes for a million distinct shared tokens in a
+    pair; more are an error.
     """
 
+    def distance(mid: Column) -> Column:
+        ref, hyp, shared = mid["r"], mid["h"], mid["s"]
+        # A token's code is its place among the shared tokens, looked up in a map that is built once. Surrogates are no characters and are left out.
+        char = lambda i: F.decode(F.unhex(F.lpad(F.hex(F.when(i < 0xD800, i).otherwise(i + 0x800)), 8, "0")), "UTF-32")
+        codes = F.map_from_arrays(shared, F.transform(F.sequence(F.lit(256), F.size(shared) + 255), char))
+        codes = F.when(F.size(shared) > 1_000_000, F.raise_error(F.lit("over a million distinct tokens in a pair")).cast("map<string,string>")).otherwise(codes)
+        coded = lambda m, a, other: F.array_join(F.transform(a, lambda x: F.coalesce(F.try_element_at(m, x), F.lit(other))), "")
+        texts = let(codes, lambda m: F.struct(coded(m, ref, "r").alias("a"), coded(m, hyp, "h").alias("b")))
+        within = lambda t, k: F.nullif(F.levenshtein(t["a"], t["b"], k), F.lit(-1))
+        banded = let(texts, lambda t: F.coalesce(*[within(t, k) for k in BANDS], F.levenshtein(t["a"], t["b"])))
+        return F.when(F.size(shared) == 0, F.greatest(F.size(ref), F.size(hyp))).otherwise(banded)
+
     def rate(both: Column) -> Column:
         ref, hyp = both["r"], both["h"]
-        known = F.array_distinct(F.concat(ref, hyp))
-        # A token's code is its place among the distinct tokens, looked up in a map that is built once. Surrogates are no characters and are left out.
-        codes = F.map_from_arrays(known, F.transform(F.sequence(F.lit(256), F.size(known) + 255), lambda i: F.decode(F.unhex(F.lpad(F.hex(F.when(i < 0xD800, i).otherwise(i + 0x800)), 8, "0")), "UTF-32")))
-        text = lambda m, a: F.array_join(F.transform(a, lambda x: F.element_at(m, x)), "")
-        codes = F.when(F.size(known) > 1_000_000, F.raise_error(F.lit("over a million distinct tokens in a pair")).cast("map<string,string>")).otherwise(codes)
-        return F.when(F.size(ref) > 0, let(codes, lambda m: F.levenshtein(text(m, ref), text(m, hyp)) / F.size(ref)))
-
-    return let(F.struct(reference.alias("r"), hypothesis.alias("h")), rate)
+        n, m = F.size(ref), F.size(hyp)
+        tail = lambda h: F.least(common_prefix(both["rr"], both["hh"]), n - h, m - h)
+        ends = let(common_prefix(ref, hyp), lambda h: F.struct(h.alias("h"), tail(h).alias("t")))
+        cut = let(ends, lambda e: F.struct(F.slice(ref, e["h"] + 1, n - e["h"] - e["t"]).alias("r"), F.slice(hyp, e["h"] + 1, m - e["h"] - e["t"]).alias("h")))
+        mid = let(cut, lambda c: F.struct(c["r"].alias("r"), c["h"].alias("h"), F.array_intersect(c["r"], c["h"]).alias("s")))
+        return F.when((n > 0) & hyp.isNotNull(), let(mid, distance) / n)
+
+    return let(F.struct(reference.alias("r"), hypothesis.alias("h"), F.reverse(reference).alias("rr"), F.reverse(hypothesis).alias("hh")), rate)
 
 
 def _by_format(response: Column) -> list[Column]:

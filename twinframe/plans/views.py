@@ -72,7 +72,10 @@ SPARK: dict[str, str] = {
                CASE i.conv_id % 13 WHEN 1 THEN concat(chr(10), 'user: and', chr(10), 'assistant: yes') WHEN 3 THEN concat(chr(10), 'user: ', substr(i.distractor_summary, 1, 40)) ELSE '' END) AS c
         FROM {insertions} i""",
     "bench_at": """
-        SELECT item_id AS bench_id, text AS bench_text, row_number() OVER (ORDER BY item_id) - 1 AS at, count(*) OVER () AS n FROM benchmark""",
+        SELECT bench_id, bench_text, base + row_number() OVER (PARTITION BY bucket ORDER BY bench_id) - 1 AS at, n
+        FROM (SELECT item_id AS bench_id, text AS bench_text, floor(item_id / 4096) AS bucket FROM benchmark) x JOIN (
+            SELECT bucket, sum(c) OVER (ORDER BY bucket) - c AS base, sum(c) OVER () AS n
+            FROM (SELECT floor(item_id / 4096) AS bucket, count(*) AS c FROM benchmark GROUP BY 1) y) z USING (bucket)""",
     "insertions": """
         SELECT c.conv_id, b.bench_id, 1 + c.conv_id % 3 AS insert_after_turn,
                concat('user: ', replace(b.bench_text, chr(10), ' '), chr(10), 'assistant: noted') AS distractor_conversation,
@@ -141,10 +144,15 @@ SPARK: dict[str, str] = {
                      concat('{"contamination": ', CAST(event_id % 2 AS STRING), ', "severity": ', CAST(event_id % 4 AS STRING), ', "reasoning": "r"}') AS good
               FROM events) x""",
 }
-# The benchmark is a list of items that others are dealt to: its place numbers come from one window over it, and it is small beside them.
-SPARK["asides"] = SPARK["asides"].replace("{insertions}", f"({SPARK['insertions']})")
-SPARK = {k: v.replace("{judgments}", f"({SPARK['judgments']}) j").replace("{bench_at}", f"({SPARK['bench_at']})") for k, v in SPARK.items()}
-DUCK: dict[str, str] = SPARK | {
+def _filled(views: dict[str, str]) -> dict[str, str]:
+    """The statements with those that they stand on put in."""
+    views = views | {"asides": views["asides"].replace("{insertions}", f"({views['insertions']})")}
+    return {k: v.replace("{judgments}", f"({views['judgments']}) j").replace("{bench_at}", f"({views['bench_at']})") for k, v in views.items()}
+
+
+# Items are numbered in ranges of their ids, so the one window over everything has a row for each range; the twin numbers them plainly.
+_NUMBERED = "SELECT item_id AS bench_id, text AS bench_text, row_number() OVER (ORDER BY item_id) - 1 AS at, count(*) OVER () AS n FROM benchmark"
+DUCK: dict[str, str] = _filled(SPARK | {"bench_at": _NUMBERED}) | {
     "dialogues": """
         SELECT conv_id, string_agg(concat(role, ': ', replace(text, chr(10), ' ')), chr(10) ORDER BY turn) AS transcript
         FROM conversations GROUP BY conv_id""",
@@ -153,6 +161,7 @@ DUCK: dict[str, str] = SPARK | {
                CAST(floor((i-1)/8) AS INT) AS layer, CAST((i-1) % 8 AS INT) AS head, round(1/(1+exp(-10*CAST(embedding[i] AS DOUBLE))), 9) AS gate
         FROM embeddings, LATERAL (SELECT unnest(range(1, 65)) AS i)""",
 }
+SPARK = _filled(SPARK)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
