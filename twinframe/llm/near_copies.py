@@ -204,8 +204,8 @@ def _joined(candidates: DataFrame, sketches: DataFrame, sets: DataFrame, edges:
     placed = candidates.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "w", F.coalesce("component", "id").alias("root"))
     placed = stage_table(placed, "copies-placed")
     chosen = placed.groupBy("key", "root").agg(F.min(F.struct("id", "w")).alias("m")).select("key", "root", "m.id", "m.w") if heads else placed
-    mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
-    mixed = stage_table(chosen.join(mixed, "key", "left_semi").groupBy("key").agg(F.sum("w").alias("n"), F.count("*").alias("rows")), "copies-mixed")
+    sums = [F.min("root").alias("least"), F.max("root").alias("most"), F.sum("w").alias("n"), F.count("*").alias("rows")]
+    mixed = stage_table(chosen.groupBy("key").agg(*sums).filter("least < most").select("key", "n", "rows"), "copies-mixed")
     if mixed.isEmpty():
         return edges
     met = join_by_count(chosen, mixed, "key", "rows", hot_rows=hot_rows).drop("rows", "w")
