@@ -205,6 +205,18 @@ def test_exact_tests(spark):
     assert (tied.w, tied.p) == (2.0, pytest.approx(math.erfc(8.5 / math.sqrt((6 * 7 * 13 - 30 / 2) / 24) / math.sqrt(2)), abs=1e-6))
 
 
+def test_signed_ranks_of_many_differences(spark):
+    got = S.wilcoxon(spark.range(1, 2001).selectExpr("1 AS g", "IF(id % 2 = 0, id, -id) AS d"), ["g"], "d").first()
+    n, w = 2000, 1000.0 * 1000
+    assert (got.n_nonzero, got.w_plus, got.w_minus, got.w) == (n, w + 1000, w, w)
+    z = (n * (n + 1) / 4 - w) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    assert got.p == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-6)
+    n = 30_000_000  # its cube is no long
+    mean, sd = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    p = spark.range(1).select(S.signed_rank_p(F.lit(n).cast("long"), F.lit(mean - 2 * sd), F.lit(0.0)).alias("x")).first()["x"]
+    assert p == pytest.approx(math.erfc(2 / math.sqrt(2)), rel=1e-6)
+
+
 def test_numbering_and_discovery_rates(spark):
     import random
 
