@@ -1,6 +1,9 @@
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from twinframe.operators import notes as N
+from twinframe.plans import registry
 
 
 def test_sections_lines_and_classes(spark):
@@ -13,3 +16,16 @@ def test_sections_lines_and_classes(spark):
     texts = ["recorded in Family History", "a tangential remark in family history", "nothing", None]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(N.classify(F.col("t")).alias("c")).collect()
     assert [r.c for r in got] == ["family_history_inflation", "pathologised_conversation", "other", "other"]
+
+
+@pytest.mark.parametrize("name", ["locate_lines"])
+def test_actions_after_other_letters_are_found_as_in_sql(spark, tmp_path, name):
+    docs = [(i, f"words\n{t}\nmore words of it", "de", "web", 9) for i, t in enumerate(("Plan: ein \u00f6test", "plain", "\u00dfcheck", "Plan: order"), 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(i, t) for i, t in enumerate(("zebrafink wandert \u00f6test", "zebrafink wandert xtest", "zebrafink wandert, test", "zebrafink wandert \u00dforder"))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        d.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), d.execute(registry.ORACLES[name]).df()
+    assert sorted(map(str, got[want.columns].itertuples(index=False))) == sorted(map(str, want.itertuples(index=False)))
