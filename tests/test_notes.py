@@ -18,7 +18,7 @@ def test_sections_lines_and_classes(spark):
     assert [r.c for r in got] == ["family_history_inflation", "pathologised_conversation", "other", "other"]
 
 
-@pytest.mark.parametrize("name", ["locate_lines"])
+@pytest.mark.parametrize("name", ["locate_lines", "plan_actions"])
 def test_actions_after_other_letters_are_found_as_in_sql(spark, tmp_path, name):
     docs = [(i, f"words\n{t}\nmore words of it", "de", "web", 9) for i, t in enumerate(("Plan: ein \u00f6test", "plain", "\u00dfcheck", "Plan: order"), 1)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
