@@ -345,6 +345,19 @@ def test_numpy_draws_in_blocks(spark):
         S.numpy_interval(df, ["g"], F.col("v"), ["i"], most=100).collect()
 
 
+def test_numpy_draws_of_a_long_group(spark):
+    import numpy as np
+
+    n = 1_000_001
+    df = spark.range(n).selectExpr("id", "IF(id % 7 = 0, 'b', 'a') AS half", "CAST(id % 5 AS DOUBLE) AS v").repartition(7)
+    r = S.numpy_interval(df, [], F.col("v"), ["half", "id"], replicates=20, seed=3, scale=1.0).first()
+    i = np.arange(n)
+    x = np.concatenate([i[i % 7 != 0], i[i % 7 == 0]]) % 5.0
+    rng = np.random.default_rng(3)
+    low, high = np.percentile([x[rng.integers(0, n, size=n)].mean() for _ in range(20)], [2.5, 97.5])
+    assert (r.n, r.estimate, r.ci_low, r.ci_high) == (n, pytest.approx(x.mean()), pytest.approx(low), pytest.approx(high))
+
+
 def test_published_interval(spark):
     """A published contrast of 4,608 pairs, 4 of them -1 and 2,309 of them 1. Its rows aren't published, and another order gives other draws:
     with 2,000 replicates a bound has a standard error of some 0.045, so it is held to three of these."""
