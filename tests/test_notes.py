@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinframe.operators import notes as N
+from twinframe.operators import tables as T
 from twinframe.plans import registry
 
 
@@ -29,3 +30,9 @@ def test_actions_after_other_letters_are_found_as_in_sql(spark, tmp_path, name):
         d.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     got, want = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), d.execute(registry.ORACLES[name]).df()
     assert sorted(map(str, got[want.columns].itertuples(index=False))) == sorted(map(str, want.itertuples(index=False)))
+
+
+@pytest.mark.parametrize("hits", [641, 1287, 32_123])
+def test_ties_of_rates_are_rounded_as_in_sql(spark, hits):
+    got = spark.range(64_000).agg(T.pct((F.col("id") < hits).cast("int"))).first()[0]  # 641 are 1.0015625 %, which a double holds a little below
+    assert got == duckdb.sql(f"select round(100 * avg(case when i < {hits} then 1.0 else 0 end), 6) from range(64000) t(i)").fetchall()[0][0]

@@ -164,9 +164,9 @@ def attribution_rates(spark, d):
     own = rows.groupBy(*by, S.dealt_unit(["item_id"]).alias("unit")).agg(*cells)
     sets, sums = [["cohort", *x] for x in _ATTR_SETS], [F.sum(c).alias(c) for c in ("n", "c", "j", *_KINDS)]
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("v")) for k in _KINDS])).alias("k")
-    share = lambda x: F.round(100 * (F.col(x) / F.col("n")), 6)
+    share = lambda x: T.sql_round(100 * (F.col(x) / F.col("n")))
     rates = T.grouped(own, sets, sums).select(*by, "n", F.col("c").alias("n_incorporated"), F.col("j").alias("n_judged"), share("c").alias("incorporated"), kinds)
-    rates = rates.select(*by, "n", "n_incorporated", "n_judged", "incorporated", F.col("k.kind").alias("kind"), F.round(100 * (F.col("k.v") / F.col("n")), 6).alias("pct"))
+    rates = rates.select(*by, "n", "n_incorporated", "n_judged", "incorporated", F.col("k.kind").alias("kind"), T.sql_round(100 * (F.col("k.v") / F.col("n"))).alias("pct"))
     units = T.grouped(own, [[*x, "unit"] for x in sets], sums).select(*by, "unit", "n", kinds).select(*by, "unit", "n", F.col("k.kind").alias("kind"), F.col("k.v").alias("total"))
     return rates.join(S.mean_interval(units, [*by, "kind"], 100.0), [*by, "kind"])
 
@@ -209,7 +209,7 @@ def action_rates(spark, d):
 @query(twin("pairs", "WITH f AS (SELECT model, family, count(*) AS n, avg(CAST(c1 AS DOUBLE)) AS share FROM pairs GROUP BY ALL) SELECT model, CAST(sum(n) AS BIGINT) AS n, round(sum(share*n)/sum(n), 6) AS weighted_share FROM f GROUP BY ALL"))
 def weighted_share(spark, d):
     own = view(spark, d, "pairs").groupBy("model", "family").agg(F.count("*").alias("n"), F.avg("c1").alias("share"))
-    return own.groupBy("model").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("share") * F.col("n")) / F.sum("n"), 6).alias("weighted_share"))
+    return own.groupBy("model").agg(F.sum("n").alias("n"), T.sql_round(F.sum(F.col("share") * F.col("n")) / F.sum("n")).alias("weighted_share"))
 
 
 @query(twin("pairs", "SELECT model, bin, count(*) AS n, min(chars) AS lo, max(chars) AS hi, round(100*avg(CAST(c1-c0 AS DOUBLE)), 6) AS delta_pp FROM (SELECT *, CAST(greatest(1, ((rn-1)*5 + (n-2)) // greatest(n-1, 1)) AS INT) AS bin FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY chars, source_dataset, item_id, distractor_type) AS rn, count(*) OVER (PARTITION BY model) AS n FROM pairs)) GROUP BY ALL"))
@@ -243,7 +243,7 @@ def release_compare(spark, d):
     rates = lambda s, t: [F.avg(f"c{s}").alias(f"inc_{t}"), F.avg((F.col(f"s{s}") == 3).cast("int")).alias(f"mis_{t}")]
     both = pairs.groupBy("model").agg(*rates(0, "old")).join(pairs.filter("model <> 'm3'").groupBy("model").agg(*rates(1, "new")), "model", "full_outer")
     both = both.withColumn("inc_delta", F.col("inc_new") - F.col("inc_old"))
-    return both.select("model", *[F.round(c, 6).alias(c) for c in ("inc_old", "inc_new", "inc_delta", "mis_old", "mis_new")])
+    return both.select("model", *[T.sql_round(F.col(c)).alias(c) for c in ("inc_old", "inc_new", "inc_delta", "mis_old", "mis_new")])
 
 
 @query(twin("judgments", "WITH a AS (SELECT source_dataset, item_id, model, distractor_type, condition, contamination FROM judgments WHERE model <> 'm1'), b AS (SELECT source_dataset, item_id, model, distractor_type, condition, contamination_b FROM judgments WHERE model <> 'm2') SELECT model, condition, count(*) AS n, count(contamination) AS n_a, count(contamination_b) AS n_b, CAST(sum(contamination) AS BIGINT) AS hits_a, CAST(sum(contamination_b) AS BIGINT) AS hits_b FROM a FULL JOIN b USING (source_dataset, item_id, model, distractor_type, condition) GROUP BY ALL"))
