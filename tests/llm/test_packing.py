@@ -91,3 +91,15 @@ def test_clashing_columns_and_null_ids(spark):
     odd = frame(spark, rows).selectExpr("*", "1 as id", "2 as width", "3 as salt", "4 as sequence_id")
     got = packing.pack(odd, VOCABULARY).collect()
     assert sorted(str(r.doc_id) for r in got) == ["5", "None", "None"] and {r.doc_tokens for r in got} == {4, 1, 2}
+
+
+def test_words_and_marks_are_encoded_once_and_as_the_tokenizer_does():
+    encoder, tok, rng = packing.ChunkEncoder(VOCABULARY), Tokenizer.from_file(VOCABULARY), np.random.default_rng(7)
+    seen, encode = [], encoder._encode
+    encoder._encode = lambda chunks: seen.extend(chunks) or encode(chunks)
+    encoder(["treourÉ. treourÉ!! treourÉ$$$ andin.%%% andin &&&".encode()])
+    assert sorted(seen) == sorted(x.encode() for x in ("treourÉ", "andin", ".", "!!", "$$$", ".%%%", "&&&"))
+    letters = [*"abcxyzABC019äßÉÿ×÷ªµñłΣςе́'’.,;!?#$%&*|<>()[]{}_-+=/\\^~`@—", "'s", "n't", "é", "̸", "≠", "İ", "ﬁ", "½", "²"]
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(40)) for _ in range(200)]
+    for t, ids in zip(texts, encoder([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids

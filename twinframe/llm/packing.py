@@ -26,7 +26,10 @@ from .common import as_bytes, stage_table, trimmed
 CACHE_BYTES, LONGEST = 128_000_000, 64
 #: Chunks that are encoded as one text, with a special token between them.
 JOINED = 32
-_TAIL = re.compile(rb"(?<=[a-z0-9])[.,;:!?]+\Z")
+#: Letters of ASCII and Latin-1 in UTF-8, a chunk of nothing else, and the marks (no apostrophe) at the end of a chunk after one or a digit.
+_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+_WORD = re.compile(rb"(?:[a-z]|" + _LATIN + rb")+\Z")
+_TAIL = re.compile(rb"(?:(?<=[a-z0-9])|(?<=" + _LATIN + rb"))[!-&(-/:-@\[-`{-~]+\Z")
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -34,8 +37,8 @@ class ChunkEncoder:
     """Encodes texts by their chunks between ASCII white space.
 
     The vocabulary ignores case and drops white space, so a text's ids are those of its chunks, each encoded by itself; and those of a
-    chunk that ends with stops after an ASCII letter or digit are those of its two parts, as a run of marks is a word of its own. Texts that
-    may hold a special token go through whole.
+    chunk that ends with marks after a letter or digit are those of its two parts, as a run of marks is a word of its own. Chunks of letters
+    are one word each, so many are encoded as one text and cut behind the ids that end a word. Texts that may hold a special token go through whole.
     """
 
     def __init__(self, path: str):
@@ -45,14 +48,35 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         special = [(i, t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.normalized)]
         self.mark_id, self.mark = special[-1] if special else (None, "")
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        ids = self.tok.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in ids.items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.held = 0
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        texts = [c.decode() for c in chunks]
+    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        words = [c for c in chunks if _WORD.match(c)] if self.ends.any() else []
+        rest = list(set(chunks).difference(words)) if words else chunks
+        return dict(zip(words, self._words([c.decode() for c in words]))) | dict(zip(rest, self._marked([c.decode() for c in rest])))
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at, ids in zip(range(0, len(texts), JOINED), self._ids([" ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)])):
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            part = texts[at : at + JOINED]
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                out += [raw[4 * lo : 4 * hi] for lo, hi in zip([0, *cuts], cuts)]
+            else:  # a vocabulary that makes more of a run of letters
+                out += [x.tobytes() for x in self._ids(part)]
+        return out
+
+    def _marked(self, texts: list[str]) -> list[bytes]:
         if self.mark_id is None:
             return [x.tobytes() for x in self._ids(texts)]
         out: list[bytes] = []
@@ -71,8 +95,7 @@ class ChunkEncoder:
         tails = {c: m.start() for c in chunks if (m := _TAIL.search(c))}
         need = [c for c in {c[: tails[c]] if c in tails else c for c in chunks} | {c[at:] for c, at in tails.items()} if c not in self.known]
         for at in range(0, len(need), 20_000):
-            part = need[at : at + 20_000]
-            self.known.update(zip(part, self._encode(part)))
+            self.known.update(self._encode(need[at : at + 20_000]))
         for c, at in tails.items():
             self.known[c] = self.known[c[:at]] + self.known[c[at:]]
         new = [*need, *tails]
