@@ -380,3 +380,20 @@ def test_buckets_are_even_on_skewed_values(spark):
         assert a.g != b.g or a.hi < b.lo
     single = S.bucketed(spark.createDataFrame([(1, 5.0)] * 10, "g int, x double"), ["g"], "x").select("__b").distinct().collect()
     assert len(single) == 1
+
+
+def test_buckets_hang_on_the_rows_alone(spark):
+    """Not on the order in which tasks' parts are merged: ranks are sums over buckets, and a plan may deal the rows twice."""
+    rows = spark.range(60_000).selectExpr("CAST(id % 2 AS INT) AS g", "CAST(pmod(hash(id), 20000) AS BIGINT) AS x", "id AS i")
+    dealt = [S.bucketed(rows.repartition(n, c), ["g"], "x").select("i", "__b") for n, c in ((16, F.col("i")), (5, F.hash("i", F.lit(3))))]
+    assert dealt[0].exceptAll(dealt[1]).count() == 0
+    sizes = [r["count"] for r in dealt[0].join(rows, "i").groupBy("g", "__b").count().collect()]
+    assert len(sizes) == 128 and max(sizes) < 2.5 * 30_000 / 64
+
+
+def test_numbers_with_nulls_last(spark):
+    rows = [(1, None, "b"), (1, None, None), (1, None, "a"), (1, 2.0, None), (1, 2.0, "c"), (1, -1.0, "d"), (2, None, "a")]
+    got = S.numbered(spark.createDataFrame(rows, "g int, x double, s string"), ["g"], ["x", "s"], None, "k").collect()
+    assert {(r.g, r.x, r.s): (r.k, r.k_all) for r in got} == {(1, -1.0, "d"): (1, 6), (1, 2.0, "c"): (2, 6), (1, 2.0, None): (3, 6), (1, None, "a"): (4, 6), (1, None, "b"): (5, 6), (1, None, None): (6, 6), (2, None, "a"): (1, 1)}
+    for none in (spark.createDataFrame([(None, "a"), (None, "b")], "x double, s string"), spark.createDataFrame([], "x double, s string")):
+        assert sorted((r.s, r.k) for r in S.numbered(none, [], ["x", "s"], None, "k").collect()) == [("a", 1), ("b", 2)][: none.count()]

@@ -43,3 +43,16 @@ def test_odd_lines_as_in_sql(spark, tmp_path, name):
     got, want = V.view(spark, str(tmp_path), name), d.sql(V.DUCK[name])
     assert got.columns == want.columns
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall())) and want.fetchall()
+
+
+def test_length_quintiles_of_pairs_without_a_length_as_in_sql(spark, tmp_path):
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    lines = [(k, 5, k % 3, n, 10.0, None if k % 4 == 0 else 10.0 * (k % 11), 0.06, 0.07, "R" if (k + n) % 3 else "A", "O") for k in range(90) for n in (1, 2)]
+    spark.createDataFrame(lines, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, None if k % 5 == 0 else ("1-URGENT", "5-LOW")[k % 2]) for k in range(90)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    d = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        d.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = registry.QUERIES["length_quintiles"](spark, str(tmp_path)), d.sql(registry.ORACLES["length_quintiles"])
+    assert got.columns == want.columns and got.filter("lo IS NULL").count() > 0
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
